@@ -170,9 +170,9 @@ def greedy_match(pairs: DataFrame, order: list[Column], rounds: int = 20) -> Dat
         now = ranked.where("_a = 1 and _b = 1").drop("_a", "_b").checkpoint()
         if now.isEmpty():
             break
-        taken = now if taken is None else taken.unionAll(now)
+        taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select("a_id"), "a_id", "left_anti").join(now.select("b_id"), "b_id", "left_anti")
-    return taken if taken is not None else pairs.limit(0)
+    return taken.select(*pairs.columns) if taken is not None else pairs.limit(0)
 
 
 def cluster_label(scores: DataFrame, overrides: DataFrame) -> DataFrame:

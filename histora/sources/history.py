@@ -60,7 +60,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     relative = F.element_at(F.split(F.col("path"), base), -1)
-    return describe_files(raw.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text")))
+    return describe_files(raw.select(relative.alias("path"), F.decode("content", "UTF-8").alias("text")))
 
 
 def describe_files(files: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -160,7 +161,7 @@ def _merge(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         if bits:
             mask |= np.frombuffer(bits, np.uint8)
         items |= set(found)
-    return pd.DataFrame([_verdict(int(key[0]), n, int(np.unpackbits(mask).sum()), items)], columns=_SCHEMA.names)
+    return pd.DataFrame([(*_verdict(int(key[0]), n, int(np.unpackbits(mask).sum()), items), key[1])], columns=[*_SCHEMA.names, "text_key"])
 
 
 def _blocks(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -176,6 +177,19 @@ def _blocks(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | None
     yield block
 
 
+def _indexes(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | None, bytes]]]:
+    return _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), block_mb)
+
+
+def _merged(docs: DataFrame, blocks: Iterator[list[tuple[int | None, bytes]]], span: int, gram: int) -> DataFrame:
+    """Verdicts over several blocks, with text_key: one pass and one index at a time; what each block hits is written down."""
+    kind, whole = "doc_id long, text_key binary, n_words long, mask binary, items array<long>", None
+    for block in blocks:
+        one = stored(docs.mapInArrow(_part(ItemIndex(block, span, gram), every=whole is None), kind), "decontamination")
+        whole = one if whole is None else whole.unionAll(one)
+    return whole.groupBy("doc_id", "text_key").applyInPandas(_merge, RESULT + ", text_key binary")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, block_mb: float = BLOCK_MB) -> DataFrame:
     """One row per document: its words, those that an item's span hits, the items, and the verdict.
 
@@ -184,17 +198,37 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     """
     small_batches(docs.sparkSession)
     docs = keyed_text(docs)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    blocks = _blocks(items, block_mb)
+    blocks = _indexes(items, block_mb)
     block, more = next(blocks), next(blocks, None)
     if more is None:
         return docs.mapInArrow(_judge(ItemIndex(block, span, gram)), RESULT).withColumn("doc_id", null_id())
-    kind, whole = "doc_id long, text_key binary, n_words long, mask binary, items array<long>", None
-    while block is not None:  # one pass and one index at a time; what each block hits is written down
-        one = stored(docs.mapInArrow(_part(ItemIndex(block, span, gram), every=whole is None), kind), "decontamination")
-        whole = one if whole is None else whole.unionAll(one)
-        block, more = more, next(blocks, None)
-    return whole.groupBy("doc_id", "text_key").applyInPandas(_merge, RESULT).withColumn("doc_id", null_id())
+    return _merged(docs, chain([block, more], blocks), span, gram).drop("text_key").withColumn("doc_id", null_id())
+
+
+def _clean(index: ItemIndex):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = WordIds()
+        for batch in batches:
+            keep = []
+            for text in batch.column("text").to_pylist():
+                ids = word.of(words_of((text or "").encode()))
+                mask, found = index.hits(ids)
+                keep.append(not _verdict(None, len(ids), int(mask.sum()), found)[-1])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, block_mb: float = BLOCK_MB) -> DataFrame:
+    """The rows of docs that aren't contaminated, whole and unchanged, each judged by its own text."""
+    small_batches(docs.sparkSession)
+    blocks = _indexes(items, block_mb)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return docs.mapInArrow(_clean(ItemIndex(block, span, gram)), docs.schema)
+    bad = _merged(keyed_text(docs), chain([block, more], blocks), span, gram).where("contaminated").select("text_key").distinct()
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.join(bad, key == bad["text_key"], "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,29 +52,30 @@ def boilerplate(pages: DataFrame, ratio_percent: int = RATIO_PERCENT, least_page
 
 
 def dedup_lines(docs: DataFrame, host: str | Column = "source", ratio_percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with three more columns: kept_text, n_lines and n_dropped. Columns of docs must not be named so."""
+    """docs with three more columns: kept_text, n_lines and n_dropped; columns of docs that are named so are replaced."""
     host = F.col(host) if isinstance(host, str) else host
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
     pages = docs.select(host.alias("host"), "text")
     found = stored(boilerplate(pages, ratio_percent, least_pages), "boilerplate")
-    lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_drop"))
+    lists = found.groupBy(F.col("host").alias("__line_dedup_host")).agg(F.collect_list("line").alias("__line_dedup_drop"))
     if found.count() <= broadcast_rows:
-        joined = docs.join(F.broadcast(lists), host.eqNullSafe(F.col("_host")), "left")
+        joined = docs.join(F.broadcast(lists), host.eqNullSafe(F.col("__line_dedup_host")), "left")
     else:
-        salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = lists.withColumn("__line_dedup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         text_salt = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(SALTS)).cast("int")
-        joined = docs.join(salted, host.eqNullSafe(F.col("_host")) & (text_salt == F.col("_salt")), "left").drop("_salt")
+        joined = docs.join(salted, host.eqNullSafe(F.col("__line_dedup_host")) & (text_salt == F.col("__line_dedup_salt")), "left").drop("__line_dedup_salt")
     lines = _lines()
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains("_drop", _key(x)))
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
-    bare = ~F.exists("_kept", lambda x: ~_blank(x))
-    joined = joined.withColumn("_kept", F.when(bare, lines).otherwise(F.col("_kept")))
+    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains("__line_dedup_drop", _key(x)))
+    joined = joined.withColumn("__line_dedup_kept", F.when(F.col("__line_dedup_drop").isNull(), lines).otherwise(kept))
+    bare = ~F.exists("__line_dedup_kept", lambda x: ~_blank(x))
+    joined = joined.withColumn("__line_dedup_kept", F.when(bare, lines).otherwise(F.col("__line_dedup_kept")))
     return joined.withColumns(
         {
-            "kept_text": F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")),
+            "kept_text": F.when(F.col("text").isNotNull(), F.array_join("__line_dedup_kept", "\n")),
             "n_lines": F.size(lines).cast("long"),
-            "n_dropped": (F.size(lines) - F.size("_kept")).cast("long"),
+            "n_dropped": (F.size(lines) - F.size("__line_dedup_kept")).cast("long"),
         }
-    ).drop("_host", "_drop", "_kept")
+    ).drop("__line_dedup_host", "__line_dedup_drop", "__line_dedup_kept")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

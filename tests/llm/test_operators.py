@@ -387,6 +387,14 @@ def test_decontamination(spark, block_mb):
     assert {x["doc_id"]: tuple(x[k] for k in keys) for x in got} == brute.decontaminate(docs, items)
 
 
+@pytest.mark.parametrize("block_mb", [8, 0.00005])
+def test_contaminated_rows_go(spark, block_mb):
+    items = [(1, " ".join(f"w{i}" for i in range(20))), (2, " ".join(f"v{i}" for i in range(15)))]
+    docs = [(1, items[0][1]), (1, "clean text"), (None, items[1][1]), (None, None), (3, "")]
+    got = rows(decontamination.drop_contaminated(made(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_mb=block_mb))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "clean text"), ("3", ""), ("None", "None")]
+
+
 def test_op10_on_whole_table(spark, documents, benchmark):
     keys = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     got = {x["doc_id"]: tuple(x[k] for k in keys) for x in rows(QUERIES["op10_benchmark_decontamination"](spark, MEDIUM))}

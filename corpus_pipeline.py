@@ -36,17 +36,18 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id: five words, similarity of 0.8."""
+    """One document of each group of near copies stays, that with the smallest id: five words, similarity of 0.8.
+
+    Rows without a doc_id can't be told apart by the join's result and stay.
+    """
     classes = jaccard_join.jaccard_classes(docs, words=5, percent=80)
-    gone = classes.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("gone"), F.coalesce("component_id", F.lit(NULL_ID)).alias("of")).where("gone <> of").select("gone").distinct()
-    return docs.select(*COLUMNS).join(gone, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("gone"), "left_anti")
+    gone = classes.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("gone"), F.coalesce("component_id", F.lit(NULL_ID)).alias("of")).where(F.col("gone") != F.col("of")).where(F.col("gone") != NULL_ID).select("gone").distinct()
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents contaminated by benchmark items."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("bad")).distinct()
-    return docs.select(*COLUMNS).join(bad, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("bad"), "left_anti")
+    """Drops documents contaminated by benchmark items; each row is judged by its own text."""
+    return decontamination.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

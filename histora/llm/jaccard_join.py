@@ -8,22 +8,22 @@ of one another are at distance 1, so every document is as near to one pivot as t
 any other and windows of the triangle inequality replicate everything. The pivots
 of the first level are therefore the sets of one shingle each. The distance of x
 to {s} is 1 - 1/|x| if s is in x and 1 otherwise, so the nearest pivots of x are its
-own shingles, in a fixed order. A document within eps of x shares at least
-ceil(t |x|) shingles with it, t = 1 - eps; so x needs to be in the regions of its
-first |x| - ceil(t |x|) + 1 pivots, and any two linked documents meet in one.
-
-The order puts shingles that many documents have last: each task counts the
-shingles of what it reads and names the frequent ones, and at most ``FREQUENT`` of
-them, by total count, are known to all workers (8 bytes each, a proven bound). The
-order decides how much is compared, never what is found.
+own shingles, in the order of their hashes. A document within eps of x shares at
+least ceil(t |x|) shingles with it, t = 1 - eps, so x must be in the regions of more
+than eps |x| of its first pivots; it is put into those of its first (eps + SLACK) |x|.
+Then two linked documents meet not in one region but in at least SLACK |x|: shared
+pivots are counted, and a document that shares fewer with all others together has
+no link and goes. Of the pivots left, the rarest |S| - SLACK |x| + 1 do.
 
 Regions that share documents are joined together: documents are connected with
 the first one of each of their regions, and each connected region is joined
-exactly by itself. Within it whole documents are pivots, chosen farthest-first:
-its cells are joined recursively, and a document is compared with the cells whose
-pivot is no more than 2 eps farther than its own. Leaves multiply incidence
-matrices. A region beyond ``BLOCK`` shingles is dealt into blocks that meet
-pairwise, so no task holds an unbounded group.
+exactly by itself. There, sets that share less than ceil(t |x|) shingles with all
+others together are peeled off, the rest falls apart by its rarest shingles, and
+within each part whole documents are pivots, chosen farthest-first: cells are
+joined recursively, and a document is compared with the cells whose pivot is no
+more than 2 eps farther than its own. Leaves multiply incidence matrices. A region
+beyond ``BLOCK`` shingles is dealt into blocks that meet pairwise, so no task holds
+an unbounded group.
 
 Documents of equal sets are one class and are compared once. Results are linear in
 the documents: each has its number of links and its component; pairs are not
@@ -48,14 +48,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, NULL_ID, WordIds, keyed_text, null_id, small_batches, stored, table, texts, window_hashes
+from .common import LOWER, WordIds, keyed_text, null_id, small_batches, stored, table, texts, window_hashes
 from .components import components
 
 WORDS = 4
 PERCENT = 85
-FREQUENT = 1_000_000
-LOCAL_COUNT = 4
-COUNTED = 1_500_000
+SLACK = 7  # percent
 BLOCK = 6_000_000
 LEAF = 512
 PIVOTS = 16
@@ -72,66 +70,35 @@ def _signature(own: np.ndarray) -> tuple[int, int]:
     return (value >> 64) - 2**63, (value & (2**64 - 1)) - 2**63
 
 
-def _signed(k: int):
-    """doc_id, set size and 128-bit signature of the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordIds()
-        for batch in batches:
-            sets = [shingle_set(t, word, k) for t in texts(batch.column(1))]
-            signs = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64())], schema=schema)
-
-    return run
-
-
-def _frequent(k: int):
-    """Shingles that several documents of one task have, with their number there."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+def first_pivots(n: int, percent: int, slack: int) -> int:
+    """Of how many of its first pivots a set of n is in the region.
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        value, n = np.unique(np.concatenate(sets), return_counts=True)
-        most = n >= LOCAL_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(value[most].view(np.int64)), pa.array(n[most])], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, sets, size = WordIds(), [], 0
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                sets.append(shingle_set(text, word, k))
-                size += len(sets[-1])
-                if size >= COUNTED:
-                    yield counted(sets)
-                    sets, size = [], 0
-        if sets:
-            yield counted(sets)
-
-    return run
+    Linked sets x and y have at least t max(|x|, |y|) common shingles. Take the one
+    whose last first pivot comes first in the order, say z: common shingles up to there
+    are first pivots of both, the others are among the rest of z, fewer than (t - slack) |z|.
+    So over slack max(|x|, |y|) first pivots are shared, whichever z is: see least_shared.
+    """
+    return min(n, -(-(100 - percent + slack) * n // 100) + 1)
 
 
-def pivots_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first pivots of a set: rare shingles by hash, then frequent ones by hash."""
-    n = len(own) - (-(-percent * len(own) // 100)) + 1
-    if len(frequent):
-        common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-        own = np.concatenate([own[~common], own[common]])
-    return own[:n]
+def least_shared(n, slack: int):
+    """Of its first pivots, a set of n shares at least so many with any set that it is linked with."""
+    return F.floor(n * slack / 100) + 1
 
 
-def _regions(k: int, percent: int, frequent: np.ndarray):
-    schema = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64())])
+def _signed(k: int, percent: int, slack: int):
+    """doc_id, set size, 128-bit signature and first pivots of the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
-            found, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                own = shingle_set(text, word, k)
-                if len(own):
-                    found.append(pivots_of(own, frequent, percent))
-                    of.append(np.full(len(found[-1]), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(of))], schema=schema)
+            sets = [shingle_set(t, word, k) for t in texts(batch.column(1))]
+            signs = [_signature(s) for s in sets]
+            pivots = [s[: first_pivots(len(s), percent, slack)].view(np.int64) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in pivots])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *pivots])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), lists], schema=schema)
 
     return run
 
@@ -169,19 +136,20 @@ class Region:
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _matrix(self, rows: np.ndarray, columns: np.ndarray, most: int) -> np.ndarray:
-        """Incidence of rows over some columns; columns maps a shingle to its place, most or more: absent."""
+        """Incidence of rows over some columns; columns maps a shingle to its place, most: absent."""
+        at, of = self._held(rows)
+        place = columns[self.column[at]]
+        here = place < most
         out = np.zeros((len(rows), most), np.float32)
-        for i, r in enumerate(rows.tolist()):
-            c = columns[self.column[self.bounds[r] : self.bounds[r + 1]]]
-            out[i, c[c < most]] = 1
+        out[of[here], place[here]] = 1
         return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Intersection sizes of rows a with rows b, by products over stretches of the shingles that a holds."""
-        held = np.unique(np.concatenate([self.column[self.bounds[r] : self.bounds[r + 1]] for r in a.tolist()] or [np.empty(0, np.int64)]))
+        held = np.intersect1d(self.column[self._held(a)[0]], self.column[self._held(b)[0]])
         out = np.zeros((len(a), len(b)), np.float32)
-        for k in range(0, len(held), 4096):
-            some = held[k : k + 4096]
+        for k in range(0, len(held), 8192):
+            some = held[k : k + 8192]
             columns = np.full(self.width, len(some), np.int64)
             columns[some] = np.arange(len(some))
             out += self._matrix(a, columns, len(some)) @ self._matrix(b, columns, len(some)).T
@@ -201,6 +169,59 @@ class Region:
                 if len(p):
                     self.pairs.append((x[p], y[q]))
 
+    def _held(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in column of the shingles of some rows, and the row of each as a place in rows."""
+        sizes = self.bounds[rows + 1] - self.bounds[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.bounds[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return at, np.repeat(np.arange(len(rows)), sizes)
+
+    def parts(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Rows that can be linked, in parts between which no link is possible."""
+        need = -(-self.percent * self.sizes // 100)
+        while True:  # peel: a row links only if the others together hold ceil(t |x|) of its shingles
+            at, of = self._held(rows)
+            count = np.bincount(self.column[at], minlength=self.width)
+            shared = np.bincount(of, count[self.column[at]] > 1, len(rows))
+            stays = shared >= need[rows]
+            if stays.all():
+                break
+            rows = rows[stays]
+        if len(rows) < 2:
+            return []
+        # rows that are linked meet in one of the first |S| - ceil(t |x|) + 1 shared shingles, rarest first
+        keep = count[self.column[at]] > 1
+        column, of = self.column[at][keep], of[keep]
+        order = np.lexsort((column, count[column], of))
+        column, of = column[order], of[order]
+        starts = np.searchsorted(of, np.arange(len(rows) + 1))
+        nth = np.arange(len(of)) - starts[of]
+        first = nth <= (np.diff(starts) - need[rows])[of]
+        column, of = column[first], of[first]
+        label = np.arange(len(rows))
+        while True:  # least labels over shared shingles, to and fro
+            least = np.full(self.width, len(rows))
+            np.minimum.at(least, column, label[of])
+            now = label.copy()
+            np.minimum.at(now, of, least[column])
+            now = now[now]
+            if (now == label).all():
+                break
+            label = now
+        order = np.argsort(label, kind="stable")
+        cuts = np.flatnonzero(np.diff(label[order])) + 1
+        return [rows[np.sort(g)] for g in np.split(order, cuts) if len(g) > 1]
+
+    def links(self) -> None:
+        """All links of the region."""
+        for part in self.parts(np.arange(len(self.sizes))):
+            self.join(part)
+
+    def cross_links(self, side: np.ndarray) -> None:
+        """All links between rows of one side and rows of the other."""
+        for part in self.parts(np.arange(len(self.sizes))):
+            self._linked(part[side[part]], part[~side[part]], False)
+
     def join(self, rows: np.ndarray) -> None:
         """All links among rows: recursively by cells of document pivots, directly in leaves."""
         if len(rows) <= LEAF:
@@ -248,9 +269,9 @@ def _join_region(percent: int):
         docs, copies, block = rows.doc_id.to_numpy(), rows.copies.to_numpy(), rows.block.to_numpy()
         space = Region([np.frombuffer(b, np.uint64) for b in rows.own], percent)
         if first == second:
-            space.join(np.arange(len(docs)))
+            space.links()
         else:
-            space._linked(np.flatnonzero(block == first), np.flatnonzero(block == second), False)
+            space.cross_links(block == first)
         links = np.zeros(len(docs), np.int64)
         parent = np.arange(len(docs))
         for a, b in space.pairs:
@@ -266,27 +287,32 @@ def _join_region(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slack: int = SLACK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: a row a document.
 
     Documents link when 100 * intersection >= percent * union of their shingle sets.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = keyed_text(docs)
-    signed = stored(docs.mapInArrow(_signed(words), "doc_id long, n long, s1 long, s2 long"), "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-
-    counts = docs.select("text").mapInArrow(_frequent(words), "h long, n long")
-    top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas().h.to_numpy()
-    frequent = np.sort(top.astype(np.int64).view(np.uint64))
-
-    first = stored(classes.groupBy(F.col("least").alias("doc_id")).agg(F.sum("copies").alias("copies")), "jaccard-classes")
-    pivots = docs.join(first, "doc_id", "left_semi").mapInArrow(_regions(words, percent, frequent), "pivot long, doc_id long")
-    meets = pivots.select("doc_id", F.min("doc_id").over(Window.partitionBy("pivot")).alias("least"), F.max("doc_id").over(Window.partitionBy("pivot")).alias("most")).where("least < most")
-    region = components(meets.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))  # one star a region: as many edges as members
-
-    members = stored(region.select(F.col("id").alias("doc_id"), F.col("component").alias("region")).join(first, "doc_id").join(signed.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "jaccard-members")
+    signed = stored(docs.mapInArrow(_signed(words, percent, slack), "doc_id long, n long, s1 long, s2 long, pivots array<long>"), "jaccard-signed")
+    classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
+    first = classes.groupBy(F.col("least").alias("doc_id")).agg(F.sum("copies").alias("copies"))
+
+    # regions of one-shingle pivots, of two documents or more
+    by_pivot, by_doc = Window.partitionBy("pivot"), Window.partitionBy("doc_id")
+    least, most = F.min("doc_id").over(by_pivot), F.max("doc_id").over(by_pivot)
+    pivots = signed.join(first, "doc_id", "left_semi").select("doc_id", F.explode("pivots").alias("pivot"))
+    met = pivots.select("doc_id", "pivot", least.alias("least"), most.alias("most")).where("least < most").select("doc_id", "pivot")
+    need = signed.groupBy("doc_id").agg(F.min("n").alias("n")).select("doc_id", least_shared(F.col("n"), slack).alias("need"))
+    shared = stored(met.withColumn("s", F.count("*").over(by_doc)).join(need, "doc_id").where("s >= need").select("doc_id", "pivot", "need"), "jaccard-shared")
+    # once more among those left; then only the rarest of a document's shared pivots
+    again = shared.withColumn("df", F.count("*").over(by_pivot)).where("df > 1")
+    rare = F.row_number().over(by_doc.orderBy("df", "pivot"))
+    kept = again.withColumn("s", F.count("*").over(by_doc)).withColumn("nth", rare).where("s >= need and nth <= s - need + 1")
+    star = kept.select("doc_id", least.alias("least")).where("least < doc_id").distinct()
+    region = components(star.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))  # one star a region: as many edges as members
+
+    members = stored(region.select(F.col("id").alias("doc_id"), F.col("component").alias("region")).join(first, "doc_id").join(signed.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "jaccard-members")
     sizes = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "region").select("doc_id", "copies", "region", "blocks")
     sets = docs.join(placed, "doc_id").mapInArrow(_sets(words), "region long, blocks int, doc_id long, copies long, own binary")
@@ -298,8 +324,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     joined = components(found.select(F.col("doc_id").alias("a"), F.col("with_id").alias("b")))
     links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
     verdict = first.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(links, "doc_id", "left").select(F.col("doc_id").alias("least"), F.coalesce("component", "doc_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    of = classes.join(verdict, "least").select("s1", "s2", "component", (F.col("links") + F.col("copies") - 1).alias("links"))
-    return signed.join(of, ["s1", "s2"], "left").select(
+    of = stored(classes.join(verdict, "least").select("s1", "s2", "component", (F.col("links") + F.col("copies") - 1).alias("links")), "jaccard-verdicts")
+    return signed.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"], "left").select(
         null_id().alias("doc_id"),
         F.col("n").alias("n_shingles"),
         null_id(F.coalesce("component", "doc_id")).alias("component_id"),

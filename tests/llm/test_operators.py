@@ -196,10 +196,15 @@ def test_region_recursion_finds_all_links():
             own.discard(int(x))
             own.add(int(r.integers(5000)))
         sets.append(np.array(sorted(own), np.uint64))
-    space = jaccard_join.Region(sets, 85)
+    space, whole, sides = (jaccard_join.Region(sets, 85) for _ in range(3))
     space.join(np.arange(len(sets)))
-    got = {tuple(sorted(p)) for a, b in space.pairs for p in zip(a.tolist(), b.tolist())}
-    assert sum(len(a) for a, _ in space.pairs) == len(got)
+    whole.links()
+    side = np.arange(len(sets)) % 2 == 0
+    sides.cross_links(side)
+    pairs = lambda x: {tuple(sorted(p)) for a, b in x.pairs for p in zip(a.tolist(), b.tolist())}
+    got = pairs(space)
+    assert sum(len(a) for a, _ in space.pairs) == len(got) == sum(len(a) for a, _ in whole.pairs)
+    assert pairs(whole) == got and pairs(sides) == {p for p in got if side[p[0]] != side[p[1]]}
     small = [set(s.tolist()) for s in sets]
     assert got == {(i, j) for i in range(700) for j in range(i + 1, 700) if 100 * len(small[i] & small[j]) >= 85 * len(small[i] | small[j])}
 

@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, largest: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256, a row a document."""
     spark = docs.sparkSession
     runs = flush(docs)
-    index = compact(spark, [runs], largest)
+    index = stored(compact(spark, [runs], largest), "digest-index")  # as a table, so that a hot digest's join can be split
     members = stored(spark.read.schema(RUN_SCHEMA).parquet(runs).join(index, "digest").select("doc_id", "digest", "keep_id", "group_size"), "exact-members")
 
     whole = _entries(docs)

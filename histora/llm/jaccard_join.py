@@ -54,7 +54,7 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 SLACK = 7  # percent
-BLOCK = 6_000_000
+BLOCK = 2_000_000
 LEAF = 512
 PIVOTS = 16
 
@@ -121,7 +121,7 @@ def _sets(k: int):
 class Region:
     """Sets of one region as rows over the shingles that at least two of them share."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+    def __init__(self, sets: list[np.ndarray], percent: int, copies: np.ndarray | None = None, record: bool = False) -> None:
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.percent = percent
         value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -132,8 +132,10 @@ class Region:
         self.column, self.row = place[at[keep]], row[keep]
         self.width = int(shared.sum())
         self.bounds = np.searchsorted(self.row, np.arange(len(sets) + 1))
-        self.label = np.arange(len(sets))
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.copies = np.ones(len(sets), np.int64) if copies is None else copies
+        self.found = np.zeros(len(sets), np.int64)  # documents that each row is linked with
+        self.label = np.arange(len(sets))  # least row that each is connected with
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] | None = [] if record else None
 
     def _matrix(self, rows: np.ndarray, columns: np.ndarray, most: int) -> np.ndarray:
         """Incidence of rows over some columns; columns maps a shingle to its place, most: absent."""
@@ -165,9 +167,27 @@ class Region:
                 hit = 100 * both >= self.percent * union
                 if same and i == j:
                     hit = np.triu(hit, 1)
-                p, q = np.nonzero(hit)
-                if len(p):
-                    self.pairs.append((x[p], y[q]))
+                self._take(x, y, hit)
+
+    def _take(self, x: np.ndarray, y: np.ndarray, hit: np.ndarray) -> None:
+        """Counts and connects the links of a block."""
+        if not hit.any():
+            return
+        self.found[x] += hit @ self.copies[y]
+        np.add.at(self.found, y, self.copies[x] @ hit)
+        p, q = np.nonzero(hit)
+        p, q = x[p], y[q]
+        if self.pairs is not None:
+            self.pairs.append((p, q))
+        while True:
+            a, b = self.label[p], self.label[q]
+            apart = a != b
+            if not apart.any():
+                return
+            p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (self.label != (up := self.label[self.label])).any():
+                self.label = up
 
     def _held(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in column of the shingles of some rows, and the row of each as a place in rows."""
@@ -253,13 +273,6 @@ class Region:
                 self._linked(rows[core], rows[halo], False)
 
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def _join_region(percent: int):
     """Links of one region, or of one pair of its blocks: per document how many, and whom it is connected with."""
 
@@ -267,21 +280,12 @@ def _join_region(percent: int):
         region, first, second = key
         rows = rows.sort_values("doc_id", kind="stable")
         docs, copies, block = rows.doc_id.to_numpy(), rows.copies.to_numpy(), rows.block.to_numpy()
-        space = Region([np.frombuffer(b, np.uint64) for b in rows.own], percent)
+        space = Region([np.frombuffer(b, np.uint64) for b in rows.own], percent, copies)
         if first == second:
             space.links()
         else:
             space.cross_links(block == first)
-        links = np.zeros(len(docs), np.int64)
-        parent = np.arange(len(docs))
-        for a, b in space.pairs:
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                i, j = _root(parent, i), _root(parent, j)
-                parent[max(i, j)] = min(i, j)
-        least = np.array([_root(parent, i) for i in range(len(docs))], np.int64)
-        out = pd.DataFrame({"doc_id": docs, "links": links, "with_id": docs[least]})
+        out = pd.DataFrame({"doc_id": docs, "links": space.found, "with_id": docs[space.label]})
         return out[out.links > 0]
 
     return run

@@ -196,7 +196,7 @@ def test_region_recursion_finds_all_links():
             own.discard(int(x))
             own.add(int(r.integers(5000)))
         sets.append(np.array(sorted(own), np.uint64))
-    space, whole, sides = (jaccard_join.Region(sets, 85) for _ in range(3))
+    space, whole, sides = (jaccard_join.Region(sets, 85, record=True) for _ in range(3))
     space.join(np.arange(len(sets)))
     whole.links()
     side = np.arange(len(sets)) % 2 == 0
@@ -206,6 +206,8 @@ def test_region_recursion_finds_all_links():
     assert sum(len(a) for a, _ in space.pairs) == len(got) == sum(len(a) for a, _ in whole.pairs)
     assert pairs(whole) == got and pairs(sides) == {p for p in got if side[p[0]] != side[p[1]]}
     small = [set(s.tolist()) for s in sets]
+    assert whole.found.sum() == 2 * len(got)
+    assert whole.label.tolist() == [brute.components(range(700), got)[i] for i in range(700)]
     assert got == {(i, j) for i in range(700) for j in range(i + 1, 700) if 100 * len(small[i] & small[j]) >= 85 * len(small[i] | small[j])}
 
 

@@ -305,10 +305,11 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # regions of one-shingle pivots, of two documents or more
     by_pivot, by_doc = Window.partitionBy("pivot"), Window.partitionBy("doc_id")
     least, most = F.min("doc_id").over(by_pivot), F.max("doc_id").over(by_pivot)
-    pivots = signed.join(first, "doc_id", "left_semi").select("doc_id", F.explode("pivots").alias("pivot"))
+    # merge joins: both sides grow with the corpus, so that a small one's broadcast would be a plan for small inputs only
+    pivots = signed.join(first.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("pivots").alias("pivot"))
     met = pivots.select("doc_id", "pivot", least.alias("least"), most.alias("most")).where("least < most").select("doc_id", "pivot")
     need = signed.groupBy("doc_id").agg(F.min("n").alias("n")).select("doc_id", least_shared(F.col("n"), slack).alias("need"))
-    shared = stored(met.withColumn("s", F.count("*").over(by_doc)).join(need, "doc_id").where("s >= need").select("doc_id", "pivot", "need"), "jaccard-shared")
+    shared = stored(met.withColumn("s", F.count("*").over(by_doc)).join(need.hint("merge"), "doc_id").where("s >= need").select("doc_id", "pivot", "need"), "jaccard-shared")
     # once more among those left; then only the rarest of a document's shared pivots
     again = shared.withColumn("df", F.count("*").over(by_pivot)).where("df > 1")
     rare = F.row_number().over(by_doc.orderBy("df", "pivot"))
@@ -319,7 +320,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     members = stored(region.select(F.col("id").alias("doc_id"), F.col("component").alias("region")).join(first, "doc_id").join(signed.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "jaccard-members")
     sizes = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "region").select("doc_id", "copies", "region", "blocks")
-    sets = docs.join(placed, "doc_id").mapInArrow(_sets(words), "region long, blocks int, doc_id long, copies long, own binary")
+    sets = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets(words), "region long, blocks int, doc_id long, copies long, own binary")
     block = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = block.withColumn("other", other).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")

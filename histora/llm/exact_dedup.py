@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import keyed_text, null_id, scratch_dir, stored, table
 
 
+#: Rows of a group that are compared with one copy of the text that stays.
+VERIFIED = 500
+
+
 def ascii_lower(c: str | Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII alone take the quick way."""
     c = F.col(c) if isinstance(c, str) else c
@@ -64,10 +68,12 @@ def exact_dedup(docs: DataFrame, largest: bool = False) -> DataFrame:
     members = stored(spark.read.schema(RUN_SCHEMA).parquet(runs).join(index, "digest").select("doc_id", "digest", "keep_id", "group_size"), "exact-members")
 
     whole = _entries(docs)
-    hits = members.where("doc_id <> keep_id").select("doc_id", "digest", "keep_id").distinct()
-    stay = hits.select(F.col("keep_id").alias("doc_id"), "digest").distinct()
-    kept = whole.join(stay, ["doc_id", "digest"]).select(F.col("doc_id").alias("keep_id"), "digest", F.col("norm").alias("kept_text"))
-    verified = whole.join(hits, ["doc_id", "digest"]).join(kept, ["keep_id", "digest"])
+    # a group meets its text that stays in parts of about VERIFIED rows, each with a copy of that text
+    parts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
+    hits = members.where("doc_id <> keep_id").select("doc_id", "digest", "keep_id", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part")).distinct()
+    stay = hits.select(F.col("keep_id").alias("doc_id"), "digest", "parts").distinct()
+    kept = whole.join(stay, ["doc_id", "digest"]).select(F.col("doc_id").alias("keep_id"), "digest", F.col("norm").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    verified = whole.join(hits, ["doc_id", "digest"]).join(kept, ["keep_id", "digest", "part"])
     torn = verified.where("norm <> kept_text").select("digest").distinct()
     if not torn.isEmpty():  # two texts with one digest: group these by text
         by_text = whole.join(torn, "digest").groupBy("digest", "norm").agg((F.max("doc_id") if largest else F.min("doc_id")).alias("keep_id"), F.count("*").alias("group_size"))

@@ -40,11 +40,22 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """Validity of each entry: host, listed, valid_from, valid_to (null: still valid). entries: entry_id, host, ts, listed."""
+def _bucket(c: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(c) / F.lit(seconds * 1_000_000)).cast("long")
+
+
+def intervals(entries: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Validity of each entry: host, bucket, listed, valid_from, valid_to (null: still valid). entries: entry_id, host, ts, listed.
+
+    The next entry is looked up within the bucket, and for the last of a bucket it is the
+    first of the host's next bucket; so the longest window is over a host's buckets, not its entries.
+    """
     one = entries.select(F.lower("host").alias("host"), F.col("ts").cast("timestamp").alias("ts"), "listed", "entry_id").where("host is not null and ts is not null and listed is not null")
-    last = one.groupBy("host", "ts").agg(F.max_by("listed", "entry_id").alias("listed"))
-    return last.select("host", "listed", F.col("ts").alias("valid_from"), F.lead("ts").over(Window.partitionBy("host").orderBy("ts")).alias("valid_to"))
+    last = one.groupBy("host", "ts").agg(F.max_by("listed", "entry_id").alias("listed")).withColumn("bucket", _bucket("ts", bucket_seconds))
+    heads = last.groupBy("host", "bucket").agg(F.min("ts").alias("head"))
+    after = heads.select("host", "bucket", F.lead("head").over(Window.partitionBy("host").orderBy("bucket")).alias("after"))
+    inside = last.withColumn("next", F.lead("ts").over(Window.partitionBy("host", "bucket").orderBy("ts")))
+    return inside.join(after, ["host", "bucket"]).select("host", "bucket", "listed", F.col("ts").alias("valid_from"), F.coalesce("next", "after").alias("valid_to"))
 
 
 def judge_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -53,17 +64,13 @@ def judge_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int
     captures: capture_id, url, fetched.
     """
 
-    def bucket(c: str) -> Column:
-        return F.floor(F.unix_micros(c) / F.lit(bucket_seconds * 1_000_000)).cast("long")
-
     seen = captures.select("capture_id", F.col("url").alias("url"), F.col("fetched").cast("timestamp").alias("fetched"))
     looked = seen.withColumn("host", host_of("url"))
     # the verdict depends on host and time alone
-    keys = looked.where("host is not null and fetched is not null").select(F.col("host").alias("of"), "fetched").distinct().select("*", F.explode(suffixes(F.col("of"))).alias("key")).withColumn("bucket", bucket("fetched"))
-    valid = intervals(entries)
+    keys = looked.where("host is not null and fetched is not null").select(F.col("host").alias("of"), "fetched").distinct().select("*", F.explode(suffixes(F.col("of"))).alias("key")).withColumn("bucket", _bucket("fetched", bucket_seconds))
+    begun = intervals(entries, bucket_seconds)
     # an interval is met in the buckets that it begins in, and, carried, in those of captures after it
     asked = keys.select(F.col("key").alias("host"), "bucket").distinct()
-    begun = valid.withColumn("bucket", bucket("valid_from"))
     by_bucket = begun.groupBy("host", "bucket").agg(F.max_by(F.struct("listed", "valid_from", "valid_to"), "valid_from").alias("state"))
     steps = by_bucket.select("host", "bucket", "state", F.lit(False).alias("ask")).unionByName(asked.select("host", "bucket", F.lit(None).cast(by_bucket.schema["state"].dataType).alias("state"), F.lit(True).alias("ask")))
     before = Window.partitionBy("host").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)

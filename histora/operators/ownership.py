@@ -157,22 +157,28 @@ def sequence_ids(rows: DataFrame, space: str, name: str = "name", order: str = "
     return rows.withColumn("seq", seq).withColumn("uuid", minted_id(space, F.col(name), F.col("seq")))
 
 
-def greedy_match(pairs: DataFrame, order: list[Column], rounds: int = 20) -> DataFrame:
-    """One-to-one matching that takes candidates best first, by rounds of mutual bests.
+def greedy_match(pairs: DataFrame, order: list[Column]) -> DataFrame:
+    """One-to-one matching that takes candidates best first, by rounds of mutual bests until no candidate is left.
 
     pairs: a_id, b_id and what ``order`` sorts by; order must be total. A pair that is first for both of
     its sides is taken by the greedy walk too; so taking all such pairs and dropping
-    their sides, again and again, gives the same matching.
+    their sides, again and again, gives the same matching. Each round takes the first candidate of
+    all at least. Equal scores may need a round a pair; so each round is written down.
     """
-    left, taken = pairs, None
-    for _ in range(rounds):
-        ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy("a_id").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("b_id").orderBy(*order)))
-        now = ranked.where("_a = 1 and _b = 1").drop("_a", "_b").checkpoint()
+    by_a, by_b = Window.partitionBy("a_id"), Window.partitionBy("b_id")
+    left, taken, n = pairs, pairs.limit(0), 0
+    while True:
+        ranked = left.withColumn("_a", F.row_number().over(by_a.orderBy(*order))).withColumn("_b", F.row_number().over(by_b.orderBy(*order)))
+        both = ranked.withColumn("_now", (F.col("_a") == 1) & (F.col("_b") == 1))
+        sides = both.withColumn("_of_b", F.max("_now").over(by_b)).withColumn("_of_a", F.max("_now").over(by_a)).checkpoint()
+        now = sides.where("_now").select(*pairs.columns)
         if now.isEmpty():
-            break
-        taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select("a_id"), "a_id", "left_anti").join(now.select("b_id"), "b_id", "left_anti")
-    return taken.select(*pairs.columns) if taken is not None else pairs.limit(0)
+            return taken
+        n += 1
+        taken = taken.unionByName(now)
+        if n % 16 == 0:  # keeps the plan of the result short
+            taken = taken.checkpoint()
+        left = sides.where("not _of_a and not _of_b").select(*pairs.columns)
 
 
 def cluster_label(scores: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -211,6 +211,12 @@ def test_greedy_match_equals_a_walk(spark):
     assert rows(ownership.greedy_match(df, [F.desc("score"), F.col("a_id"), F.col("b_id")])) == sorted(want)
 
 
+def test_greedy_match_takes_all_of_equal_scores(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    df = spark.createDataFrame([(a, b, 1.0) for a in range(30) for b in range(30)], "a_id long, b_id long, score double")
+    assert rows(ownership.greedy_match(df, [F.desc("score"), F.col("a_id"), F.col("b_id")])) == [(i, i, 1.0) for i in range(30)]
+
+
 def test_conservation(spark):
     votes = spark.createDataFrame([("u", "in", 6, 0), ("u", "x", 4, 1), ("v", "in", 2, 0), ("v", "x", 8, 0), ("t", "b", 5, 1), ("t", "a", 5, 1)], "uf string, pf string, span long, entries long")
     inc = spark.createDataFrame([("u", "in"), ("v", "in"), ("t", "c"), ("none", "in")], "uf string, pf string")

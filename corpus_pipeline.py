@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histora.llm import decontamination, jaccard_join, line_dedup, packing, quality
-from histora.llm.common import NULL_ID, stored, table
+from histora.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,13 +36,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id: five words, similarity of 0.8.
+    """One row of each group of near copies stays, that with the smallest id: five words, similarity of 0.8.
 
-    Rows without a doc_id can't be told apart by the join's result and stay.
+    Rows are judged by their own text, also where ids repeat; rows without a doc_id stay.
     """
-    classes = jaccard_join.jaccard_classes(docs, words=5, percent=80)
-    gone = classes.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("gone"), F.coalesce("component_id", F.lit(NULL_ID)).alias("of")).where(F.col("gone") != F.col("of")).where(F.col("gone") != NULL_ID).select("gone").distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return jaccard_join.one_of_each(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

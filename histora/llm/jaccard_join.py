@@ -31,8 +31,9 @@ listed. n_links counts the other documents within the threshold, copies included
 
 Defined cases: texts with fewer words than a shingle are one shingle; texts
 without words or null texts are empty, linked with nothing; rows that repeat a
-doc_id get a row each, and where their texts differ they act as one document that
-has the links of all of them; a null doc_id is the largest id and comes back null.
+doc_id or have none get a row each and are judged each by their own text, as the
+nodes of the graph are classes of equal sets, not ids; component_id is the smallest
+doc_id of the component, and a null doc_id is the largest and comes back null.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, WordIds, keyed_text, null_id, small_batches, stored, table, texts, window_hashes
+from .common import LOWER, NULL_ID, WordIds, keyed_text, null_id, small_batches, stored, table, texts, window_hashes
 from .components import components
 
 WORDS = 4
@@ -87,33 +88,33 @@ def least_shared(n, slack: int):
 
 
 def _signed(k: int, percent: int, slack: int):
-    """doc_id, set size, 128-bit signature and first pivots of the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64()))])
+    """doc_id, key of the text, set size, 128-bit signature and first pivots of the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
-            sets = [shingle_set(t, word, k) for t in texts(batch.column(1))]
+            sets = [shingle_set(t, word, k) for t in texts(batch.column("text"))]
             signs = [_signature(s) for s in sets]
             pivots = [s[: first_pivots(len(s), percent, slack)].view(np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in pivots])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *pivots])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), lists], schema=schema)
 
     return run
 
 
-_SETS = "region long, block int, blocks int, doc_id long, copies long, own binary"
+_SETS = "region long, blocks int, node long, copies long, own binary"
 
 
 def _sets(k: int):
-    schema = pa.schema([("region", pa.int64()), ("blocks", pa.int32()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("own", pa.binary())])
+    schema = pa.schema([("region", pa.int64()), ("blocks", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("own", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
             own = [shingle_set(t, word, k).tobytes() for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("blocks"), batch.column("doc_id"), batch.column("copies"), pa.array(own, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("blocks"), batch.column("node"), batch.column("copies"), pa.array(own, pa.binary())], schema=schema)
 
     return run
 
@@ -274,69 +275,107 @@ class Region:
 
 
 def _join_region(percent: int):
-    """Links of one region, or of one pair of its blocks: per document how many, and whom it is connected with."""
+    """Links of one region, or of one pair of its blocks: per class of equal sets how many, and whom it is connected with."""
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         region, first, second = key
-        rows = rows.sort_values("doc_id", kind="stable")
-        docs, copies, block = rows.doc_id.to_numpy(), rows.copies.to_numpy(), rows.block.to_numpy()
+        rows = rows.drop_duplicates("node").sort_values("node", kind="stable")  # a row that stands twice brings its set twice
+        nodes, copies, block = rows.node.to_numpy(), rows.copies.to_numpy(), rows.block.to_numpy()
         space = Region([np.frombuffer(b, np.uint64) for b in rows.own], percent, copies)
         if first == second:
             space.links()
         else:
             space.cross_links(block == first)
-        out = pd.DataFrame({"doc_id": docs, "links": space.found, "with_id": docs[space.label]})
+        out = pd.DataFrame({"node": nodes, "links": space.found, "with_node": nodes[space.label]})
         return out[out.links > 0]
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slack: int = SLACK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: a row a document.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, the text's hash; a row is found again by doc_id and key."""
+    return keyed_text(docs).withColumn("key", F.xxhash64("text"))
 
-    Documents link when 100 * intersection >= percent * union of their shingle sets.
+
+def _judged(docs: DataFrame, words: int, percent: int, slack: int) -> DataFrame:
+    """row, doc_id, key, n, component, least (the component's smallest doc_id) and links: a row a document; docs as by _keyed.
+
+    A class of equal sets is a node, named by the first of its rows. component is the least node, null without words.
     """
-    small_batches(docs.sparkSession)
-    docs = keyed_text(docs)
-    signed = stored(docs.mapInArrow(_signed(words, percent, slack), "doc_id long, n long, s1 long, s2 long, pivots array<long>"), "jaccard-signed")
-    classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "jaccard-classes")
-    first = classes.groupBy(F.col("least").alias("doc_id")).agg(F.sum("copies").alias("copies"))
-
-    # regions of one-shingle pivots, of two documents or more
-    by_pivot, by_doc = Window.partitionBy("pivot"), Window.partitionBy("doc_id")
-    least, most = F.min("doc_id").over(by_pivot), F.max("doc_id").over(by_pivot)
+    signed = docs.mapInArrow(_signed(words, percent, slack), "doc_id long, key long, n long, s1 long, s2 long, pivots array<long>")
+    signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "jaccard-signed")
+    one = (F.min("row").alias("node"), F.min_by("doc_id", "row").alias("doc_id"), F.min_by("key", "row").alias("key"), F.min("doc_id").alias("least"))
+    classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(*one, F.min("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
+
+    # regions of one-shingle pivots, of two classes or more
+    by_pivot, by_node = Window.partitionBy("pivot"), Window.partitionBy("node")
+    least, most = F.min("node").over(by_pivot), F.max("node").over(by_pivot)
     # merge joins: both sides grow with the corpus, so that a small one's broadcast would be a plan for small inputs only
-    pivots = signed.join(first.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("pivots").alias("pivot"))
-    met = pivots.select("doc_id", "pivot", least.alias("least"), most.alias("most")).where("least < most").select("doc_id", "pivot")
-    need = signed.groupBy("doc_id").agg(F.min("n").alias("n")).select("doc_id", least_shared(F.col("n"), slack).alias("need"))
-    shared = stored(met.withColumn("s", F.count("*").over(by_doc)).join(need.hint("merge"), "doc_id").where("s >= need").select("doc_id", "pivot", "need"), "jaccard-shared")
-    # once more among those left; then only the rarest of a document's shared pivots
+    pivots = signed.select(F.col("row").alias("node"), "pivots").join(classes.select("node").hint("merge"), "node", "left_semi").select("node", F.explode("pivots").alias("pivot"))
+    met = pivots.select("node", "pivot", least.alias("least"), most.alias("most")).where("least < most").select("node", "pivot")
+    need = classes.select("node", least_shared(F.col("n"), slack).alias("need"))
+    shared = stored(met.withColumn("s", F.count("*").over(by_node)).join(need.hint("merge"), "node").where("s >= need").select("node", "pivot", "need"), "jaccard-shared")
+    # once more among those left; then only the rarest of a class's shared pivots
     again = shared.withColumn("df", F.count("*").over(by_pivot)).where("df > 1")
-    rare = F.row_number().over(by_doc.orderBy("df", "pivot"))
-    kept = again.withColumn("s", F.count("*").over(by_doc)).withColumn("nth", rare).where("s >= need and nth <= s - need + 1")
-    star = kept.select("doc_id", least.alias("least")).where("least < doc_id").distinct()
-    region = components(star.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))  # one star a region: as many edges as members
+    rare = F.row_number().over(by_node.orderBy("df", "pivot"))
+    kept = again.withColumn("s", F.count("*").over(by_node)).withColumn("nth", rare).where("s >= need and nth <= s - need + 1")
+    star = kept.select("node", least.alias("least")).where("least < node").distinct()
+    region = components(star.select(F.col("node").alias("a"), F.col("least").alias("b")))  # one star a region: as many edges as members
 
-    members = stored(region.select(F.col("id").alias("doc_id"), F.col("component").alias("region")).join(first, "doc_id").join(signed.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "jaccard-members")
+    members = stored(region.select(F.col("id").alias("node"), F.col("component").alias("region")).join(classes.select("node", "doc_id", "key", "n", "copies"), "node"), "jaccard-members")
     sizes = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "region").select("doc_id", "copies", "region", "blocks")
-    sets = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets(words), "region long, blocks int, doc_id long, copies long, own binary")
-    block = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = members.join(sizes, "region").select("node", "doc_id", "key", "copies", "region", "blocks")
+    sets = docs.join(placed.hint("merge"), ["doc_id", "key"]).select("text", "region", "blocks", "node", "copies").mapInArrow(_sets(words), _SETS)
+    block = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = block.withColumn("other", other).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
-    found = stored(dealt.groupBy("region", "first", "second").applyInPandas(_join_region(percent), "doc_id long, links long, with_id long"), "jaccard-found")
+    found = stored(dealt.groupBy("region", "first", "second").applyInPandas(_join_region(percent), "node long, links long, with_node long"), "jaccard-found")
+
+    joined = components(found.select(F.col("node").alias("a"), F.col("with_node").alias("b"))).withColumnRenamed("id", "node")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    verdict = classes.join(joined, "node", "left").join(links, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    verdict = stored(verdict, "jaccard-verdicts")
+    smallest = verdict.groupBy("component").agg(F.min("least").alias("least"))
+    of = stored(verdict.drop("least").join(smallest, "component"), "jaccard-components")
+    return signed.select("row", "doc_id", "key", "n", "s1", "s2").join(of, ["s1", "s2"], "left")
+
 
-    joined = components(found.select(F.col("doc_id").alias("a"), F.col("with_id").alias("b")))
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    verdict = first.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(links, "doc_id", "left").select(F.col("doc_id").alias("least"), F.coalesce("component", "doc_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    of = stored(classes.join(verdict, "least").select("s1", "s2", "component", (F.col("links") + F.col("copies") - 1).alias("links")), "jaccard-verdicts")
-    return signed.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"], "left").select(
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slack: int = SLACK) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: a row a document.
+
+    Documents link when 100 * intersection >= percent * union of their shingle sets.
+    """
+    small_batches(docs.sparkSession)
+    return _judged(_keyed(docs), words, percent, slack).select(
         null_id().alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        null_id(F.coalesce("component", "doc_id")).alias("component_id"),
+        null_id(F.coalesce("least", "doc_id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slack: int = SLACK) -> DataFrame:
+    """The rows of docs, whole and unchanged, that stay when each component keeps one row, that with the smallest doc_id.
+
+    Rows without a doc_id and rows without words stay.
+    """
+    small_batches(docs.sparkSession)
+    judged = _judged(_keyed(docs), words, percent, slack).where(F.col("component").isNotNull()).where(F.col("doc_id") != NULL_ID)
+    # a row is the first of its component if its id is the smallest and its place the first of those
+    first = judged.where("doc_id = least").groupBy("component").agg(F.min_by("key", "row").alias("first_key"))
+    ids = judged.select("component", "doc_id", "key", "least").groupBy("component", "doc_id", "key", "least").agg(F.count("*").alias("rows")).join(first, "component")
+    stays = (F.col("doc_id") == F.col("least")) & (F.col("key") == F.col("first_key"))
+    marks = stored(ids.withColumn("__stays", stays).where("not __stays or rows > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__stays"), "jaccard-marks")
+
+    def of(marks: DataFrame, how: str) -> DataFrame:
+        key = F.xxhash64(F.coalesce("text", F.lit("")))
+        return docs.join(marks, (F.col("doc_id").cast("long") == F.col("__id")) & (key == F.col("__key")), how)
+
+    # rows that stand twice, id and text: one of them
+    twice = of(marks.where("__stays").select("__id", "__key"), "inner")
+    nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(*[F.col(c) for c in docs.columns if c != "text"]))
+    return of(marks, "left_anti").unionByName(twice.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))

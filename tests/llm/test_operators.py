@@ -216,6 +216,24 @@ def test_op5_on_whole_table(spark, documents):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == brute.jaccard(documents)
 
 
+def test_unrelated_texts_stay_apart_under_null_and_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    data = [(1, a), (2, b), (None, a + " end"), (None, b + " end"), (7, a + " fin"), (7, b + " fin"), (7, b + " fin")]
+    got = sorted((r["doc_id"] or 99, r["component_id"], r["n_links"]) for r in rows(jaccard_join.jaccard_classes(made(spark, data))))
+    assert got == [(1, 1, 2), (2, 2, 3), (7, 1, 2), (7, 2, 3), (7, 2, 3), (99, 1, 2), (99, 2, 3)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(3, a), (2, b), (None, a + " end"), (None, b + " end"), (7, a + " fin"), (7, b + " fin"), (8, c), (8, c), (8, c + " fin"), (9, None), (9, "")]
+    got = [(r["doc_id"], r["text"]) for r in rows(jaccard_join.one_of_each(made(spark, data)))]
+    eights = [x for x in got if x[0] == 8]
+    assert len(eights) == 1 and eights[0] in data
+    # rows without an id stay, as the pipeline's stage has them
+    want = [(2, b), (3, a), (9, None), (9, ""), (None, a + " end"), (None, b + " end")]
+    assert sorted(map(str, got)) == sorted(map(str, [*want, *eights]))
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(200) if i != 77] + [(500, 300), (300, 400), (9, 9)]
     got = {r["id"]: r["component"] for r in rows(components(spark.createDataFrame(pairs, "a long, b long")))}

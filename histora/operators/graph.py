@@ -77,18 +77,41 @@ def file_lane(imports: DataFrame, n_products: DataFrame, share_percent: int = 8,
     return each.crossJoin(F.broadcast(n_products)).where(F.col("products") >= need).select("path", "products")
 
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step on edges (u, v) with u > v: larger neighbours (large) or all others go to a node's least one."""
+    sides = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = sides.groupBy(F.col("u").alias("at")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    near = sides.join(least, sides["u"] == least["at"])
+    moved = near.where("v > u") if large else near
+    to = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        to = to.unionAll(near.select("u", F.col("m").alias("v")))
+    return to.where("u > v").distinct()
+
+
 def components(pairs: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Connected components by rounds of least labels with a jump to the label's own label. pairs: a, b; out: node, component."""
-    edges = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    """Connected components by large-star and small-star rounds until nothing changes. pairs: a, b; out: node, component.
+
+    component is the least node. Rounds grow with the logarithm of a path's length; should ``rounds`` not be enough, it raises.
+    """
+    pairs = pairs.select("a", "b").where("a is not null and b is not null").checkpoint()
+    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
+
+    def sign(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    was = sign(edges)
     for _ in range(rounds):
-        near = edges.join(label, edges["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        now = label.join(near, "node").join(jump, "component").select("node", F.least("near", "far").alias("new"), F.col("component").alias("old")).checkpoint()
-        label = now.select("node", F.col("new").alias("component"))
-        if now.where("new <> old").isEmpty():
+        edges = _star(_star(edges, True), False).checkpoint()
+        now = sign(edges)
+        if now == was:
             break
-    return label
+        was = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    label = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def import_clusters(edges: DataFrame, hub_fan_in: int = 20) -> DataFrame:

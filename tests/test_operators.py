@@ -263,6 +263,16 @@ def test_components_and_cohesion(spark):
     assert rows(graph.cohesion(edges, clusters)) == [(1, 2, 2, 1, 1.0), (2, 1, 0, 0, 0.0)]
 
 
+def test_components_of_a_path_in_no_order(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)
+    path = spark.createDataFrame([*zip(ids, ids[1:]), (5000, 5000), (6001, 6000)], "a long, b long")
+    assert rows(graph.components(path).groupBy("component").count()) == [(0, 1000), (5000, 1), (6000, 2)]
+    with pytest.raises(RuntimeError):
+        graph.components(path, rounds=2)
+
+
 def test_import_resolution(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/lib/index.ts",), ("pkg/z.tsx",)], "path string")
     specs = spark.createDataFrame([("src/x/y.ts", "../a"), ("src/x.ts", "./lib"), ("src/x.ts", "@p/z"), ("src/x.ts", "react")], "importer string, spec string")

@@ -393,6 +393,15 @@ def member_backfill(d: Domain) -> DataFrame:
     return ownership.backfill(d.feature_paths.select(F.col("feature").alias("a_id"), F.col("path").alias("member")), product)
 
 
+@query("flow_paths fp", """, n AS (SELECT feature, count(*) AS c FROM fp GROUP BY 1), k AS (SELECT fp.feature, flow % 4 AS product, count(DISTINCT path) AS shared FROM fp JOIN flow_paths USING (path) GROUP BY ALL),
+r AS (SELECT feature AS dev, product, shared, shared::DOUBLE / c AS share, row_number() OVER (PARTITION BY feature ORDER BY shared::DOUBLE / c DESC, product) AS nth FROM k JOIN n USING (feature) WHERE shared::DOUBLE / c >= 0.5)
+SELECT dev, product, shared, share FROM r WHERE nth = 1""")
+def member_backfill_whole(d: Domain) -> DataFrame:
+    """member_backfill over all flows."""
+    product = d.flow_paths.select((F.col("flow") % 4).alias("b_id"), F.col("path").alias("member"))
+    return ownership.backfill(d.feature_paths.select(F.col("feature").alias("a_id"), F.col("path").alias("member")), product)
+
+
 @query("", """WITH v AS (SELECT l_suppkey AS uf, p_brand AS pf, sum(l_linenumber)::BIGINT AS span, count(*) FILTER (WHERE l_linenumber = 1) AS entries FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 t AS (SELECT *, sum(span) OVER w AS ts, sum(entries) OVER w AS te, row_number() OVER (PARTITION BY uf ORDER BY span DESC, entries DESC, pf) AS nth FROM v WINDOW w AS (PARTITION BY uf)),
 i AS (SELECT s_suppkey AS uf, 'Brand#' || (11 + s_suppkey % 5) AS was FROM supplier), h AS (SELECT i.uf, was, CASE WHEN b.pf IS NULL OR coalesce(t.span * 2 > t.ts AND (t.te = 0 OR t.entries * 2 >= t.te), false) THEN was ELSE b.pf END AS home
@@ -449,6 +458,12 @@ def import_reach(d: Domain) -> DataFrame:
     return graph.reach(d.edges, seeds, 2)
 
 
+@query()
+def import_reach_whole(d: Domain) -> DataFrame:
+    """import_reach from all files of each feature, to the operator's depth; no plain SQL, tested against a walk."""
+    return graph.reach(d.edges, d.feature_paths.select(F.col("feature").alias("seed"), F.col("path").alias("node")))
+
+
 @query("flow_paths", """, e AS (SELECT path AS symbol, count(*) AS fan_in FROM flow_paths GROUP BY 1), m AS (SELECT quantile_cont(fan_in, 0.5)::DOUBLE AS median FROM e)
 SELECT symbol, fan_in, median, fan_in >= 2 AND fan_in > 1.5 * median AS shared FROM e, m""")
 def fan_in_shared(d: Domain) -> DataFrame:
@@ -476,6 +491,13 @@ def import_components(d: Domain) -> DataFrame:
     return graph.components(e)
 
 
+@query()
+def import_components_whole(d: Domain) -> DataFrame:
+    """import_components over all line items; no plain SQL, as a recursive query keeps every pair, tested against a walk."""
+    e = d.table("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    return graph.components(e)
+
+
 def _set_checkpoints(spark: SparkSession) -> None:
     """The folder that the cluster names; a local one only where it names none."""
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/histora-checkpoints")
@@ -641,6 +663,13 @@ def sibling_collapse(d: Domain) -> DataFrame:
     return sets.collapse_siblings(d.table("part").where("p_size < 3").select(F.concat_ws("/", "p_brand", "p_type").alias("name"), F.col("p_brand").alias("parent"), F.col("p_partkey").alias("path")))
 
 
+@query("", """WITH f AS (SELECT p_brand || '/' || p_type AS name, p_brand AS parent, p_partkey AS path FROM part), g AS (SELECT parent, count(DISTINCT name) AS siblings FROM f GROUP BY 1)
+SELECT CASE WHEN siblings >= 3 THEN parent ELSE name END AS name, count(DISTINCT path) AS paths, bool_or(siblings >= 3) AS collapsed FROM f JOIN g USING (parent) GROUP BY 1""")
+def sibling_collapse_whole(d: Domain) -> DataFrame:
+    """sibling_collapse over all parts."""
+    return sets.collapse_siblings(d.table("part").select(F.concat_ws("/", "p_brand", "p_type").alias("name"), F.col("p_brand").alias("parent"), F.col("p_partkey").alias("path")))
+
+
 @query("", """WITH s AS (SELECT p_brand || p_size AS feature, p_brand AS top, count(*) AS files FROM part GROUP BY ALL), b AS (SELECT top, arg_max(feature, (files, feature)) AS target FROM s WHERE files >= 3 GROUP BY 1)
 SELECT feature, CASE WHEN files >= 3 THEN feature ELSE coalesce(target, feature) END AS becomes FROM s LEFT JOIN b USING (top)""")
 def small_merge(d: Domain) -> DataFrame:
@@ -780,6 +809,6 @@ def _with_checkpoints(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[
     return run
 
 
-for _name in ("identity_match", "import_reach", "import_components"):
+for _name in ("identity_match", "import_reach", "import_reach_whole", "import_components", "import_components_whole"):
     QUERIES[_name] = _with_checkpoints(QUERIES[_name])
 del _name

@@ -5,6 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from histora.operators import cochange, evaluation, graph, history, incremental, intervals, journeys, metrics, ownership, sets, tools
+from histora.plans.domain import Domain
+from histora.plans.queries import QUERIES
+
+from .conftest import SMALL
 
 
 def rows(df, *order):
@@ -273,6 +277,46 @@ def test_components_of_a_path_in_no_order(spark):
         graph.components(path, rounds=2)
 
 
+def test_whole_table_queries(spark):
+    q, d = {k: rows(QUERIES[f"{k}_whole"](spark, SMALL)) for k in ("import_reach", "import_components", "member_backfill", "sibling_collapse")}, Domain(spark, SMALL)
+    files, flows, steps = rows(d.feature_paths.select("feature", "path")), rows(d.flow_paths.select("flow", "path")), {}
+    for a, b in rows(d.edges.select("importer", "target")):
+        steps.setdefault(a, set()).add(b)
+
+    want, of = [], {}
+    for feature, path in files:
+        of.setdefault(feature, set()).add(path)
+    for feature, seeds in of.items():
+        seen, now = {p: 0 for p in seeds}, seeds
+        for depth in (1, 2, 3):
+            now = {b for a in now for b in steps.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(now, depth)
+        want += [(feature, node, depth) for node, depth in seen.items()]
+    assert q["import_reach"] == sorted(want)
+
+    up = {}
+    for s, p in rows(d.table("lineitem").select("l_suppkey", "l_partkey")):
+        sides = [f"s{s}", f"p{p}"]
+        group = set(sides).union(*(up.get(x, ()) for x in sides))
+        for x in group:
+            up[x] = group
+    assert q["import_components"] == sorted((x, min(g)) for x, g in up.items())
+
+    want = []
+    for feature, paths in of.items():
+        shared = {k: len(paths & {p for f, p in flows if f % 4 == k}) for k in range(4)}
+        best = min(shared, key=lambda k: (-shared[k], k))
+        if shared[best] * 2 >= len(paths):
+            want.append((feature, best, shared[best], shared[best] / len(paths)))
+    assert q["member_backfill"] == sorted(want)
+
+    names = {}
+    for brand, kind, part in rows(d.table("part").select("p_brand", "p_type", "p_partkey")):
+        names.setdefault(brand, {}).setdefault(f"{brand}/{kind}", set()).add(part)
+    want = [(b, len(set().union(*k.values())), True) if len(k) >= 3 else (n, len(p), False) for b, k in names.items() for n, p in k.items()]
+    assert q["sibling_collapse"] == sorted(set(want))
+
+
 def test_import_resolution(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/lib/index.ts",), ("pkg/z.tsx",)], "path string")
     specs = spark.createDataFrame([("src/x/y.ts", "../a"), ("src/x.ts", "./lib"), ("src/x.ts", "@p/z"), ("src/x.ts", "react")], "importer string, spec string")

@@ -12,7 +12,7 @@ patterns are written so that no text makes them take more than linear time: runs
 are possessive and are only entered at their start.
 
 Base kinds are email, ip, card and phone, none of which context can drop. The
-method adds iban, confirmed by mod 97 whatever the context, and secret, a key or
+method adds iban, the longest start of a run of groups that mod 97 confirms whatever the context, and secret, a key or
 token value that must have its telling word right before it.
 
 Defined cases: a null text is an empty one, without spans; a span at the edge of
@@ -47,7 +47,8 @@ KINDS = (
     # at least 13 digits: shorter runs cannot pass, and a longer one is matched whole from its start
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "", r"(?i)card|visa|pay", 0.7, True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", r"(?i)phone|call|tel|mobile", 0.6, True),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", r"(?i)iban|account|bank", 0.8, False),
+    # the head of a run of 15 to 34; group 1 looks ahead at the rest and one character more, of which _accounts takes what is valid
+    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", "", r"(?i)iban|account|bank", 0.8, False),
     Kind("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,64}+(?![A-Za-z0-9_])", "", r"(?i)(?:token|secret|passw(?:or)?d|api_?key|key)\"?\s*[:=]\s*\"?$", 0.3, False),
 )
 CONTEXT_CHARS = 24
@@ -85,8 +86,6 @@ def _valid(kind: Kind, match: Column) -> Column:
         return F.length(_digits(match)).between(13, 19) & luhn(_digits(match))
     if kind.name == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind.name == "iban":
-        return F.length(F.regexp_replace(match, " ", "")).between(15, 34) & mod97(match)
     if kind.name == "secret":
         return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return F.lit(True)
@@ -124,6 +123,31 @@ def _places(text: Column, kind: Kind) -> Column:
     return F.when(there, walked).otherwise(F.array().cast(_SPAN))
 
 
+def _account(run: Column) -> Column:
+    """The longest start of a run that is an account number and ends where a group does, or null."""
+    groups = F.split(run, " ")
+    starts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    return F.get(F.filter(starts, lambda s: s.rlike("^[A-Z0-9 ]+$") & F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34) & mod97(s)), F.lit(0))
+
+
+def _accounts(text: Column, kind: Kind) -> Column:
+    """Account numbers with their places, as _places gives them; of those that overlap, the first."""
+    heads = _places(text, kind)
+    rests = F.when(F.size(heads) > 0, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    def whole(head: Column, rest: Column) -> Column:
+        return F.struct(head["start"].alias("start"), head["end"].alias("end"), _account(F.concat(head["match"], rest)).alias("match"), head["before"].alias("before"))
+
+    found = F.filter(F.zip_with(heads, rests, whole), lambda s: s["match"].isNotNull())
+    ended = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match"), s["before"].alias("before")))
+    return F.aggregate(
+        ended,
+        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found")),
+        lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["found"], F.array(s)).alias("found"))),
+        lambda a: a["found"],
+    )
+
+
 def _confirmed(spans: Column, kind: Kind) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["match"]))
 
@@ -145,7 +169,8 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least_score: floa
     """doc_id, text and found: array of (kind, start, end, match, score), by kind as listed, then start."""
     df = keyed_text(docs)
     for kind in kinds:
-        df = df.withColumn(f"_{kind.name}", _confirmed(_places(F.col("text"), kind), kind))
+        spans = _accounts(F.col("text"), kind) if kind.name == "iban" else _confirmed(_places(F.col("text"), kind), kind)
+        df = df.withColumn(f"_{kind.name}", spans)
     each = [_scored(F.col(f"_{kind.name}"), kind, least_score) for kind in kinds]
     return df.select(null_id().alias("doc_id"), "text", F.concat(*each).alias("found"))
 

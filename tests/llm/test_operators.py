@@ -111,6 +111,18 @@ def test_pii_base_spans(spark):
     assert [s["kind"] for s in got[3]["found"]] == ["iban", "iban", "secret"]
 
 
+def test_account_numbers_end_where_a_group_does(spark):
+    plain, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    data = [f"{n}{after}" for n in (plain, spaced) for after in (" Please", " I will", " 17 times", " 2024", ".", "", " AND ALL THIS IN CAPITALS", f" {plain}")]
+    data += [f"{plain}x", f"X{plain}", plain[:-1] + "1 Please", "AB12 " + plain, "AB12 3456 7890 1234 " + spaced + " Z9", "é\U0001f600 " + plain + " É", ("AB12 " * 4000) + plain]
+    got = {r["doc_id"]: [(s["start"], s["match"]) for s in r["found"] if s["kind"] == "iban"] for r in rows(pii.find_pii(made(spark, list(enumerate(data)))))}
+    for i, n in enumerate((plain, spaced)):
+        assert all(got[8 * i + k] == [(0, n)] for k in range(7)) and got[8 * i + 7] == [(0, n), (len(n) + 1, plain)]
+    assert [got[k] for k in range(16, 23)] == [[], [], [], [(5, plain)], [(20, spaced)], [(3, plain)], [(20000, plain)]]
+    redacted = {r["doc_id"]: r["text"] for r in rows(pii.redact(made(spark, list(enumerate(data)))))}
+    assert redacted[0] == "[iban] Please" and redacted[8 + 2] == "[iban] 17 times"
+
+
 def test_op2_on_whole_table(spark, documents):
     got = {r["doc_id"]: r for r in rows(QUERIES["op2_pii"](spark, MEDIUM))}
     for d, t in documents:

@@ -17,7 +17,7 @@ documents are never shuffled when one block is enough.
 Defined cases: null or empty texts and items without words have no spans and are
 never hit; repeated items count by distinct item_id; a null item_id is ignored
 in the list of items but still hits words; repeated doc_ids are judged each by
-itself (with several blocks, rows that share a doc_id and text merge).
+itself, and each row gives a row, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -133,11 +133,11 @@ def _judge(index: ItemIndex):
     return run
 
 
-_PART = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("mask", pa.binary()), ("items", pa.list_(pa.int64()))])
+_PART = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("mask", pa.binary()), ("items", pa.list_(pa.int64())), ("rows", pa.int64())])
 
 
 def _part(index: ItemIndex, every: bool):
-    """Hits of one block: only documents with a hit, or all of them for the first block."""
+    """Hits of one block: only documents with a hit, or all of them for the first block, which counts the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
@@ -147,7 +147,7 @@ def _part(index: ItemIndex, every: bool):
                 ids = word.of(words_of(text))
                 mask, found = index.hits(ids)
                 if every or mask.any():
-                    rows.append((doc, hashlib.sha256(text).digest(), len(ids), np.packbits(mask).tobytes() if mask.any() else b"", sorted(x for x in found if x is not None)))
+                    rows.append((doc, hashlib.sha256(text).digest(), len(ids), np.packbits(mask).tobytes() if mask.any() else b"", sorted(x for x in found if x is not None), int(every)))
             yield _rows(rows, _PART)
 
     return run
@@ -161,7 +161,8 @@ def _merge(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         if bits:
             mask |= np.frombuffer(bits, np.uint8)
         items |= set(found)
-    return pd.DataFrame([(*_verdict(int(key[0]), n, int(np.unpackbits(mask).sum()), items), key[1])], columns=[*_SCHEMA.names, "text_key"])
+    verdict = (*_verdict(int(key[0]), n, int(np.unpackbits(mask).sum()), items), key[1])
+    return pd.DataFrame([verdict] * int(pdf.rows.sum()), columns=[*_SCHEMA.names, "text_key"])
 
 
 def _blocks(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -183,7 +184,7 @@ def _indexes(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | Non
 
 def _merged(docs: DataFrame, blocks: Iterator[list[tuple[int | None, bytes]]], span: int, gram: int) -> DataFrame:
     """Verdicts over several blocks, with text_key: one pass and one index at a time; what each block hits is written down."""
-    kind, whole = "doc_id long, text_key binary, n_words long, mask binary, items array<long>", None
+    kind, whole = "doc_id long, text_key binary, n_words long, mask binary, items array<long>, rows long", None
     for block in blocks:
         one = stored(docs.mapInArrow(_part(ItemIndex(block, span, gram), every=whole is None), kind), "decontamination")
         whole = one if whole is None else whole.unionAll(one)

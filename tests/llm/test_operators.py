@@ -461,6 +461,13 @@ def test_odd_rows(spark, name):
     assert sorted((r["doc_id"] for r in got), key=key) == sorted((d for d, _ in data), key=key)
 
 
+def test_odd_rows_against_several_blocks_of_items(spark):
+    data = ODD[:6] + [(None, "one two three"), (None, "one two three"), (None, None), (4, "one"), (4, "other words"), (4, "other words")]
+    items = spark.createDataFrame([(1, "one two"), (2, "other words"), (3, "three")], "item_id long, text string")
+    one, several = (sorted(map(str, rows(decontamination.decontaminate(made(spark, data), items, block_mb=mb)))) for mb in (8, 0.000005))
+    assert len(several) == len(data) and several == one
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert rows(OPERATORS[name](made(spark, [], extra=name != "lines"))) == []

@@ -5,7 +5,9 @@ good and one from bad labelled texts: the bytes as they are, and their outline
 (runs of lower-case, upper-case and digit characters as one mark each). A text
 is cut into chunks of equal size, each chunk is compressed with both
 dictionaries, and the difference of the two sizes over the chunk's size is the
-evidence. Mean and extremes of that evidence, with the compressed shares
+evidence. Each sampled text has an equal share of its class's dictionaries, in
+pieces spread over the whole text; with 2,500 texts that is 44 bytes of each and
+12 of its outline. Mean and extremes of that evidence, with the compressed shares
 themselves, go through a logistic calibration to a score from 0 to 1.
 
 The model is fitted on the driver from a bounded sample: at most
@@ -21,7 +23,9 @@ ones (0.5 without any); null labels are ignored; a null doc_id is not held out.
 
 from __future__ import annotations
 
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,12 +62,23 @@ class View:
 
 VIEWS = (View(False, 112 << 10, 512), View(True, 32 << 10, 128))
 LEVEL = 3
+PIECE = 64
+
+
+def _pieces(text: bytes, share: int) -> bytes:
+    """share bytes of a text: the whole of a shorter one, else pieces at hashed offsets, one from each of equal stretches."""
+    if len(text) <= share:
+        return text
+    n = max(1, share // PIECE)
+    size, cuts = share // n, [i * len(text) // n for i in range(n + 1)]
+    starts = [a + zlib.crc32(text, i) % max(1, b - a - size + 1) for i, (a, b) in enumerate(itertools.pairwise(cuts))]
+    return b"".join(text[at : at + size] for at in starts)
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary: an equal share of each sample until it is full."""
-    share = max(64, size // max(1, len(samples)), 1024)
-    return b"\n".join(s[:share] for s in samples)[:size] or b"\n" * 8
+    """Content of a dictionary: an equal share of each sample, in pieces spread over the whole of it."""
+    share = max(1, size // max(1, len(samples)) - 1)
+    return b"\n".join(_pieces(s, share) for s in samples)[:size] or b"\n" * 8
 
 
 class Measure:

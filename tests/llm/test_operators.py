@@ -178,6 +178,14 @@ def test_held_out_quality(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_dictionaries_hold_all_samples_and_their_ends():
+    samples = [b"%04d" % i * 1000 for i in range(2000)]
+    content = quality._dictionary(samples, 112 << 10)
+    assert len(content) <= 112 << 10 and all(content.split(b"\n")) and content.count(b"\n") == 1999
+    late = quality._dictionary([bytes([97 + i // 1000 for i in range(20_000)])] * 10, 32 << 10)
+    assert set(late) == {*range(97, 117), 10}
+
+
 def test_quality_without_labels_or_text(spark):
     model = quality.fit([])
     assert [r["score"] for r in rows(quality.quality_scores(made(spark, ODD), model))] == [0.5] * len(ODD)

@@ -1,43 +1,48 @@
-"""Benchmark decontamination by winnowing.
+"""Benchmark decontamination by winnowing: a join of fingerprints.
 
 Each item of at least ``span`` words is cut into spans of ``span`` words. Every
 span owns its least k-gram hash as fingerprint, in items and in documents alike,
 so each shared span of ``span`` words shares a fingerprint: with k-grams of 7 and
-spans of 13 that is one fingerprint per window of 7 k-grams. Document
-fingerprints that an item also has are extended to the spans around them, which
-must equal a span of an item whole. Items of fewer words are one span each, of
-their own length; they are looked up by that length.
-
-The item side is an index of sorted arrays, built on the driver from blocks of
-items whose text adds up to at most ``block_mb``; so what is sent to the workers
-has a proven bound. More items mean more blocks, each a stated query set against
-all documents, and the hits of a document are merged: no item is left out. The
-documents are never shuffled when one block is enough.
+spans of 13 that is one fingerprint per window of 7 k-grams. Items of fewer words
+are one span each, of their own length, with a fingerprint made the same way.
+
+Items give a table of spans, (size, fingerprint, span hash, items that own it).
+Documents are read once, in place. A worker winnows a text and keeps the spans
+whose fingerprint may be an item's: a filter of ``FILTER_BITS`` bits, the same
+size for any benchmark, is all that is sent to it. These candidates, few, are
+joined with the table by fingerprint and span; the hits of a document are then
+extended to the stretch of words that they cover together. A benchmark that
+fills the filter makes more candidates, not other results; no part of the
+benchmark passes through the driver, and texts are never shuffled.
+
+The keys that candidates ask for are made distinct before they meet the table,
+and what they find is dealt over ``SALTS`` parts, so a passage in a third of all
+documents is split. Items that share a span are gathered once a span, and each
+distinct list of items is kept once; a list is as long as its benchmark at most.
 
 Defined cases: null or empty texts and items without words have no spans and are
 never hit; repeated items count by distinct item_id; a null item_id is ignored
 in the list of items but still hits words; repeated doc_ids are judged each by
-itself, and each row gives a row, however many blocks there are.
+itself, and each row gives a row.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import chain
-from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordIds, keyed_text, null_id, sliding_min, small_batches, stored, table, texts, window_hashes
+from .common import LOWER, WordIds, keyed_text, mixed, null_id, sliding_min, small_batches, stored, table, texts, window_hashes
 
 SPAN = 13
 GRAM = 7
-BLOCK_MB = 8
+FILTER_BITS = 1 << 26
+SEGMENTS = 64
+SALTS = 16
 
 #: Words are runs of digits, letters and any byte of a character beyond ASCII.
 WORDS = bytes(c if chr(c).isdigit() and c < 128 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
@@ -47,189 +52,171 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-class ItemIndex:
-    """Spans and fingerprints of a block of items."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], span: int = SPAN, gram: int = GRAM) -> None:
-        self.span, self.gram, word = span, gram, WordIds()
-        owners: dict[int, dict[int, set]] = {}
-        prints = [np.empty(0, np.uint64)]
-        for item, text in items:
-            ids = word.of(words_of(text))
-            size = min(len(ids), span)
-            if size:
-                own = owners.setdefault(size, {})
-                for h in window_hashes(ids, size).tolist():
-                    own.setdefault(h, set()).add(item)
-                if size == span:
-                    prints.append(sliding_min(window_hashes(ids, gram), span - gram + 1))
-        self.prints = np.unique(np.concatenate(prints))
-        self.owners = owners
-        self.sizes = {size: np.array(sorted(own), np.uint64) for size, own in owners.items()}
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, set]:
-        """Mask of hit words, and the items with a span in the document."""
-        mask, found = np.zeros(len(ids), bool), set()
-        for size, known in self.sizes.items():
-            if len(ids) < size:
-                continue
-            if size == self.span:
-                # seeds: the fingerprints of the document that the items have too
-                own = sliding_min(window_hashes(ids, self.gram), self.span - self.gram + 1)
-                seeds = np.flatnonzero(_within(own, self.prints))
-                if not len(seeds):
-                    continue
-                # extension: the spans that own these seeds, compared whole
-                whole = window_hashes(ids, size)[seeds]
-                at = _within(whole, known)
-                starts, whole = seeds[at], whole[at]
-            else:
-                whole = window_hashes(ids, size)
-                starts = np.flatnonzero(_within(whole, known))
-                whole = whole[starts]
-            if len(starts):
-                edges = np.zeros(len(ids) + 1, np.int64)
-                edges[starts] += 1
-                np.subtract.at(edges, starts + size, 1)
-                mask |= np.cumsum(edges[:-1]) > 0
-                own = self.owners[size]
-                for h in np.unique(whole).tolist():
-                    found |= own[h]
-        return mask, found
-
-
-def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each value is in the sorted array."""
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-
-
-def _verdict(doc, n: int, hit: int, items: set) -> tuple:
-    ids = sorted(str(x) for x in items if x is not None)
-    return doc, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= n
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def _judge(index: ItemIndex):
+def fingerprints(ids: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """The fingerprint of each span of size words: its least k-gram, or itself if it is shorter than one."""
+    k = min(gram, size)
+    return mixed(sliding_min(window_hashes(ids, k), size - k + 1) + np.uint64(size))
+
+
+_SPANS = pa.schema([("size", pa.int32()), ("print", pa.int64()), ("whole", pa.int64()), ("item", pa.int64())])
+
+
+def _item_spans(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 ids = word.of(words_of(text))
-                mask, found = index.hits(ids)
-                rows.append(_verdict(doc, len(ids), int(mask.sum()), found))
-            yield _rows(rows, _SCHEMA)
+                size = min(len(ids), span)
+                if size:
+                    own, first = np.unique(window_hashes(ids, size), return_index=True)
+                    prints = fingerprints(ids, size, gram)[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), size, np.int32)), pa.array(prints.view(np.int64)), pa.array(own.view(np.int64)), pa.array([item] * len(own), pa.int64())], schema=_SPANS)
 
     return run
 
 
-_PART = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("mask", pa.binary()), ("items", pa.list_(pa.int64())), ("rows", pa.int64())])
+def _bits(prints: np.ndarray, size: int) -> np.ndarray:
+    """The two bits of each fingerprint in a filter of size bits."""
+    return np.concatenate([prints % np.uint64(size), (prints >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(size)])
+
+
+class Filter:
+    """A Bloom filter over fingerprints; its size doesn't depend on what it holds."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def __call__(self, prints: np.ndarray) -> np.ndarray:
+        at = _bits(prints, 8 * len(self.bits))
+        here = self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+        return here[: len(prints)] & here[len(prints) :]
+
+
+def filter_of(prints: DataFrame, size: int = FILTER_BITS) -> Filter:
+    """The filter over a column of fingerprints, made in segments on the cluster; the driver gets size bits, a multiple of 8 * SEGMENTS."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for k, part in enumerate(bits.reshape(SEGMENTS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["segment", "bits"])
+
+    def united(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows.bits])
+        return pd.DataFrame({"segment": [rows.segment.iloc[0]], "bits": [whole.tobytes()]})
 
+    parts = prints.mapInArrow(partial, "segment int, bits binary").groupBy("segment").applyInPandas(united, "segment int, bits binary")
+    bits = np.zeros((SEGMENTS, size // 8 // SEGMENTS), np.uint8)
+    for r in parts.collect():  # at most SEGMENTS rows
+        bits[r.segment] = np.frombuffer(r.bits, np.uint8)
+    return Filter(bits.reshape(-1))
 
-def _part(index: ItemIndex, every: bool):
-    """Hits of one block: only documents with a hit, or all of them for the first block, which counts the rows."""
+
+_ASKED = "array<struct<size:int,start:int,print:bigint,whole:bigint>>"
+_SPAN = pa.struct([("size", pa.int32()), ("start", pa.int32()), ("print", pa.int64()), ("whole", pa.int64())])
+_CANDIDATES = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(_SPAN))])
+
+
+def _candidates(known, sizes: list[int], gram: int, every: bool):
+    """doc_id, the text's key, words and the spans that may be an item's; every: also documents without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordIds()
+        word, may = WordIds(), known.value
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            kept, counts, ends, spans = [], [], [0], [[np.empty(0, np.int64)] for _ in range(4)]
+            for row, text in enumerate(texts(batch.column("text"))):
                 ids = word.of(words_of(text))
-                mask, found = index.hits(ids)
-                if every or mask.any():
-                    rows.append((doc, hashlib.sha256(text).digest(), len(ids), np.packbits(mask).tobytes() if mask.any() else b"", sorted(x for x in found if x is not None), int(every)))
-            yield _rows(rows, _PART)
+                found = 0
+                for size in sizes:
+                    if len(ids) >= size:
+                        prints = fingerprints(ids, size, gram)
+                        at = np.flatnonzero(may(prints))
+                        if len(at):
+                            found += len(at)
+                            for column, x in zip(spans, (np.full(len(at), size), at, prints[at].view(np.int64), window_hashes(ids, size)[at].view(np.int64)), strict=True):
+                                column.append(x)
+                if every or found:
+                    kept.append(row)
+                    counts.append(len(ids))
+                    ends.append(ends[-1] + found)
+            size, start, prints, whole = (np.concatenate(c) for c in spans)
+            inner = pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(prints), pa.array(whole)], fields=list(_SPAN))
+            own = [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("doc_id", "a", "b")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], schema=_CANDIDATES)
 
     return run
 
 
-def _merge(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-    n = int(pdf.n_words.iloc[0])
-    mask = np.zeros((n + 7) // 8, np.uint8)
-    items: set = set()
-    for bits, found in zip(pdf["mask"], pdf["items"], strict=True):
-        if bits:
-            mask |= np.frombuffer(bits, np.uint8)
-        items |= set(found)
-    verdict = (*_verdict(int(key[0]), n, int(np.unpackbits(mask).sum()), items), key[1])
-    return pd.DataFrame([verdict] * int(pdf.rows.sum()), columns=[*_SCHEMA.names, "text_key"])
+def _covered(spans: Column) -> Column:
+    """How many words spans (start, size) cover, in order of start: each hit extends the stretch before it or begins one."""
+    step = lambda a, s: F.struct(
+        F.greatest(a["end"], s["start"] + s["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["start"] + s["size"] - F.greatest(a["end"], s["start"]))).alias("n")
+    )
+    return F.aggregate(F.sort_array(spans), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a["n"].cast("long"))
 
 
-def _blocks(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | None, bytes]]]:
-    """Items in blocks of bounded size, streamed through the driver one Spark partition at a time."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        text = row.text.encode()
-        if block and size + len(text) > block_mb * 1e6:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, text))
-        size += len(text)
-    yield block
+_NO_ITEMS = "sha2('', 256)"
 
 
-def _indexes(items: DataFrame, block_mb: float) -> Iterator[list[tuple[int | None, bytes]]]:
-    return _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), block_mb)
+def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, filter_bits: int, every: bool) -> DataFrame:
+    """doc_id, a, b and the verdict of each row of docs (doc_id, a, b, text), or of those that have candidates."""
+    spark = docs.sparkSession
+    texts_of = items.select(F.col("item_id").cast("long").alias("item"), "text").where("text is not null")
+    spans = stored(texts_of.mapInArrow(_item_spans(span, gram), "size int, print long, whole long, item long").distinct(), "benchmark-spans")
+    sizes = sorted(r.size for r in spans.select("size").distinct().collect())  # at most one a word of a span
+    known = spark.sparkContext.broadcast(filter_of(spans.select("print").distinct(), filter_bits))
+    asked = docs.mapInArrow(_candidates(known, sizes, gram, every), f"doc_id long, a long, b long, n_words long, spans {_ASKED}")
+    asked = stored(asked.withColumn("row", F.monotonically_increasing_id()), "decontamination-candidates")
 
+    each = asked.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    hit = spans.join(each.select("size", "print", "whole").distinct(), ["size", "print", "whole"], "left_semi")
+    owners = hit.groupBy("size", "print", "whole").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))  # as strings: nulls are left out
+    owners = stored(owners.withColumn("owner", F.xxhash64("items")), "benchmark-hits")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(owners.drop("items").withColumn("salt", salt), ["size", "print", "whole", "salt"])
+    per_row = stored(found.groupBy("row").agg(_covered(F.collect_list(F.struct("start", "size"))).alias("n_hit"), F.sort_array(F.collect_set("owner")).alias("owners")), "decontamination-hits")
+    # documents that hit the same lists of items share their union and its digest
+    lists = owners.groupBy("owner").agg(F.first("items").alias("items"))
+    unions = per_row.select("owners").distinct().select("owners", F.explode("owners").alias("owner")).join(lists, "owner")
+    named = unions.select("owners", F.explode("items").alias("item")).groupBy("owners").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = named.select("owners", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    hits = per_row.join(named, "owners", "left").select("row", "n_hit", "n_items", "items_sha256")
 
-def _merged(docs: DataFrame, blocks: Iterator[list[tuple[int | None, bytes]]], span: int, gram: int) -> DataFrame:
-    """Verdicts over several blocks, with text_key: one pass and one index at a time; what each block hits is written down."""
-    kind, whole = "doc_id long, text_key binary, n_words long, mask binary, items array<long>, rows long", None
-    for block in blocks:
-        one = stored(docs.mapInArrow(_part(ItemIndex(block, span, gram), every=whole is None), kind), "decontamination")
-        whole = one if whole is None else whole.unionAll(one)
-    return whole.groupBy("doc_id", "text_key").applyInPandas(_merge, RESULT + ", text_key binary")
+    zero = F.lit(0).cast("long")
+    plain = asked.where(F.size("spans") == 0).select("doc_id", "a", "b", "n_words", zero.alias("n_hit"), zero.alias("n_items"), F.expr(_NO_ITEMS).alias("items_sha256"))
+    some = asked.where(F.size("spans") > 0).drop("spans").join(hits, "row", "left")
+    some = some.select("doc_id", "a", "b", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.expr(_NO_ITEMS)).alias("items_sha256"))
+    return plain.unionAll(some).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, block_mb: float = BLOCK_MB) -> DataFrame:
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text, in two columns."""
+    return F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: its words, those that an item's span hits, the items, and the verdict.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. contaminated: at
     least one word in twenty is hit.
     """
     small_batches(docs.sparkSession)
-    docs = keyed_text(docs)
-    blocks = _indexes(items, block_mb)
-    block, more = next(blocks), next(blocks, None)
-    if more is None:
-        return docs.mapInArrow(_judge(ItemIndex(block, span, gram)), RESULT).withColumn("doc_id", null_id())
-    return _merged(docs, chain([block, more], blocks), span, gram).drop("text_key").withColumn("doc_id", null_id())
-
-
-def _clean(index: ItemIndex):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordIds()
-        for batch in batches:
-            keep = []
-            for text in batch.column("text").to_pylist():
-                ids = word.of(words_of((text or "").encode()))
-                mask, found = index.hits(ids)
-                keep.append(not _verdict(None, len(ids), int(mask.sum()), found)[-1])
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return run
+    zero = F.lit(0).cast("long")
+    return _judged(keyed_text(docs).withColumns({"a": zero, "b": zero}), items, span, gram, filter_bits, every=True).drop("a", "b").withColumn("doc_id", null_id())
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, block_mb: float = BLOCK_MB) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of docs that aren't contaminated, whole and unchanged, each judged by its own text."""
     small_batches(docs.sparkSession)
-    blocks = _indexes(items, block_mb)
-    block, more = next(blocks), next(blocks, None)
-    if more is None:
-        return docs.mapInArrow(_clean(ItemIndex(block, span, gram)), docs.schema)
-    bad = _merged(keyed_text(docs), chain([block, more], blocks), span, gram).where("contaminated").select("text_key").distinct()
-    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(bad, key == bad["text_key"], "left_anti")
+    text = F.coalesce("text", F.lit(""))
+    a, b = _text_key(text)
+    judged = _judged(docs.select(F.lit(0).cast("long").alias("doc_id"), a, b, text.alias("text")), items, span, gram, filter_bits, every=False)
+    bad = stored(judged.where("contaminated").select(F.col("a").alias("__bad_a"), F.col("b").alias("__bad_b")).distinct(), "contaminated-texts")
+    return docs.join(bad, (a == F.col("__bad_a")) & (b == F.col("__bad_b")), "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,23 +420,23 @@ def test_line_dedup_by_host_of_pages(spark):
 # -- decontamination ---------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_mb", [8, 0.0001])
-def test_decontamination(spark, block_mb):
+@pytest.mark.parametrize("filter_bits", [decontamination.FILTER_BITS, 512])
+def test_decontamination(spark, filter_bits):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcÉ9") for _ in range(2))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((40, 13, 12, 3, 1, 0, 25))] + [(50, None), (51, ""), (None, "zz yy"), (0, "aa")]
     docs = [(1, items[0][1][5:90]), (2, "x, " + items[1][1].upper() + "!"), (3, items[2][1]), (4, None), (5, ""), (6, "zz-yy qq"), (7, " ".join(word() for _ in range(300)))]
     docs += [(8, items[6][1] + " q" * 600), (9, "-".join(items[0][1].split()[:12]))]
-    got = rows(decontamination.decontaminate(made(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_mb=block_mb))
+    got = rows(decontamination.decontaminate(made(spark, docs), spark.createDataFrame(items, "item_id long, text string"), filter_bits=filter_bits))
     keys = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert {x["doc_id"]: tuple(x[k] for k in keys) for x in got} == brute.decontaminate(docs, items)
 
 
-@pytest.mark.parametrize("block_mb", [8, 0.00005])
-def test_contaminated_rows_go(spark, block_mb):
+@pytest.mark.parametrize("filter_bits", [decontamination.FILTER_BITS, 512])
+def test_contaminated_rows_go(spark, filter_bits):
     items = [(1, " ".join(f"w{i}" for i in range(20))), (2, " ".join(f"v{i}" for i in range(15)))]
     docs = [(1, items[0][1]), (1, "clean text"), (None, items[1][1]), (None, None), (3, "")]
-    got = rows(decontamination.drop_contaminated(made(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_mb=block_mb))
+    got = rows(decontamination.drop_contaminated(made(spark, docs), spark.createDataFrame(items, "item_id long, text string"), filter_bits=filter_bits))
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "clean text"), ("3", ""), ("None", "None")]
 
 
@@ -469,10 +469,10 @@ def test_odd_rows(spark, name):
     assert sorted((r["doc_id"] for r in got), key=key) == sorted((d for d, _ in data), key=key)
 
 
-def test_odd_rows_against_several_blocks_of_items(spark):
+def test_odd_rows_against_a_full_filter(spark):
     data = ODD[:6] + [(None, "one two three"), (None, "one two three"), (None, None), (4, "one"), (4, "other words"), (4, "other words")]
     items = spark.createDataFrame([(1, "one two"), (2, "other words"), (3, "three")], "item_id long, text string")
-    one, several = (sorted(map(str, rows(decontamination.decontaminate(made(spark, data), items, block_mb=mb)))) for mb in (8, 0.000005))
+    one, several = (sorted(map(str, rows(decontamination.decontaminate(made(spark, data), items, filter_bits=n)))) for n in (decontamination.FILTER_BITS, 512))
     assert len(several) == len(data) and several == one
 
 

@@ -274,6 +274,21 @@ def test_shards_are_minimal_and_whole(spark, monkeypatch, seed, shards):
     check_shards(data, got, shards)
 
 
+def test_shards_of_any_ids(spark):
+    wide = [(-(2**62) - 5, "a"), (2**62 + 9, "bb"), (2**63 - 1, "ccc"), (-(2**63), "d" * 9), (-5, None), (None, "x"), (None, "y" * 30), (None, "x"), (3, "a"), (7, "q"), (7, "r" * 5)]
+    got = rows(sharding.shard_documents(made(spark, wide), 4))
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d), 16 + len(t or "")) for d, t in wide)
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    # the groups in order: d..., a, None, q and r..., bb, ccc, then those without an id by the hash of their text
+    both = [brute.least_capacity([25, 34, 16, *seven, 18, 19, *none], 4) for seven in ((17, 21), (21, 17)) for none in ((34, 46), (46, 34))]
+    assert max(sizes.values()) in both and len({r["shard"] for r in got if r["doc_id"] in (3, -(2**62) - 5)}) == 1
+    assert len({r["shard"] for r in got if r["size"] == 17 and r["doc_id"] is None}) == 1
+    none = rows(sharding.shard_documents(made(spark, [(None, "z" * i) for i in range(1, 60)]), 5))
+    assert len({r["shard"] for r in none}) == 5 and len(none) == 59
+
+
 def check_shards(data, got, shards):
     assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in data)
     groups = defaultdict(list)

@@ -1,14 +1,20 @@
 """Exact dedup with a log-structured merge index of digests, in SQL operations only.
 
-Flush: each partition of the documents is a memtable; its (digest, doc_id, length)
-entries are sorted by digest and written as one run, with Bloom filters and
-min-max statistics on the digest for lookups. Nothing is shuffled.
-Compaction: runs merge by digest into (digest, id that stays, group size); partial
-aggregation keeps one entry a digest and run before the shuffle, so a group that
-holds a third of all rows is no hot spot.
-Hits: every row of a group but the one that stays is verified byte by byte against
-that row's text. Should two texts share a digest, the groups of that digest are
-made anew from the texts themselves.
+Flush: each partition of a batch of documents is a memtable; its entries are sorted
+by digest and written as a run of level 0, with Parquet's Bloom filters and min-max
+statistics on the digest. Nothing is shuffled.
+Compaction: when a level has ``FANOUT`` runs, they merge by digest into one run of
+the next level. Readers merge what is left: (digest, smallest id, largest id, rows).
+Partial aggregation leaves one entry a digest and memtable before the shuffle, so a
+group that holds a third of all rows is no hot spot.
+Lookup: digests with more than one row are marked in a filter of ``FILTER_BITS``
+bits, the same size for any corpus. Rows whose digest isn't marked are unique and
+never move; only marked ones meet the index, and only their texts are read again.
+Hits: each row of a group is verified byte by byte against the text that stays.
+Should two texts share a digest, that digest's groups are made anew from the texts.
+
+A later batch is flushed into the same index, and its rows meet the ids of all
+batches before it; see :class:`DigestIndex`.
 
 Texts are equal when identical after lower-casing A-Z only.
 
@@ -27,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import keyed_text, null_id, scratch_dir, stored, table
 
-
 #: Rows of a group that are compared with one copy of the text that stays.
 VERIFIED = 500
+FANOUT = 4
+FILTER_BITS = 1 << 26
+SEGMENT_BITS = 1 << 15  # of one bitmap
 
 
 def ascii_lower(c: str | Column) -> Column:
@@ -43,41 +51,121 @@ def _entries(docs: DataFrame) -> DataFrame:
     return keyed_text(docs).select("doc_id", norm.alias("norm")).select(F.unhex(F.sha2("norm", 256)).alias("digest"), "doc_id", "norm")
 
 
-def flush(docs: DataFrame, at: str | None = None) -> str:
-    """Writes the digest runs of docs, one sorted run a partition; returns their path."""
-    at = at or f"{scratch_dir(docs.sparkSession)}/digest-runs-{uuid.uuid4().hex}"
-    runs = _entries(docs).select("digest", "doc_id", F.octet_length("norm").alias("n_bytes")).sortWithinPartitions("digest", "doc_id")
-    runs.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(256 << 10)).mode("append").parquet(at)
-    return at
-
-
-RUN_SCHEMA = "digest binary, doc_id long, n_bytes int"
-
-
-def compact(spark: SparkSession, runs: list[str], largest: bool = False) -> DataFrame:
-    """Merges runs: digest, the smallest (or largest) doc_id, and the number of rows."""
-    stays = F.max("doc_id") if largest else F.min("doc_id")
-    return spark.read.schema(RUN_SCHEMA).parquet(*runs).groupBy("digest").agg(stays.alias("keep_id"), F.count("*").alias("group_size"))
-
-
-def exact_dedup(docs: DataFrame, largest: bool = False) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256, a row a document."""
+def _merged(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
+
+
+class DigestIndex:
+    """Runs of digests in a folder, by level. A run is a folder L<level>-<id>; it counts once Spark has marked it as whole.
+
+    A run that compaction made names the runs that it replaces, so a reader never
+    counts both, even if the driver is lost before the old ones are removed.
+    """
+
+    SCHEMA = "digest binary, least long, most long, n long"
+
+    def __init__(self, spark: SparkSession, at: str | None = None, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.at = at or f"{scratch_dir(spark)}/digest-index-{uuid.uuid4().hex}"
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if at is None:  # only this run of the program knows it
+            self._fs.deleteOnExit(self._path(self.at))
+
+    def _run(self, level: int, replaces: list[str] = ()) -> str:
+        return f"L{level}-{uuid.uuid4().hex}" + "".join("~" + r.split("~")[0] for r in replaces)
+
+    def runs(self) -> list[str]:
+        """Names of the live runs."""
+        home = self._path(self.at)
+        if not self._fs.exists(home):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(home)]
+        whole = [n for n in names if self._fs.exists(self._path(f"{self.at}/{n}/_SUCCESS"))]
+        gone = {r for n in whole for r in n.split("~")[1:]}
+        return sorted(n for n in whole if n.split("~")[0] not in gone)
+
+    def _write(self, entries: DataFrame, name: str) -> None:
+        runs = entries.sortWithinPartitions("digest").write
+        runs.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(256 << 10)).option("compression", "zstd").parquet(f"{self.at}/{name}")
+
+    def flush(self, entries: DataFrame) -> None:
+        """Adds a batch of (digest, doc_id) as a run of level 0, a memtable a partition."""
+        own = entries.select("digest", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"), F.lit(1).cast("long").alias("n"))
+        self._write(own, self._run(0))
+        self.compact()
+
+    def compact(self) -> None:
+        """Merges each level that is full into one run of the next."""
+        while True:
+            levels: dict[int, list[str]] = {}
+            for name in self.runs():
+                levels.setdefault(int(name[1:].split("-")[0]), []).append(name)
+            full = [k for k, names in levels.items() if len(names) >= self.fanout]
+            if not full:
+                return
+            old = levels[min(full)]
+            self._write(_merged(self._read(old)), self._run(min(full) + 1, old))
+            for name in old:
+                self._fs.delete(self._path(f"{self.at}/{name}"), True)
+
+    def _read(self, runs: list[str]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.at}/{r}" for r in runs])
+
+    def merged(self) -> DataFrame:
+        """digest, least, most and n over all runs."""
+        return _merged(self._read(self.runs()))
+
+
+def _bit(digest: str) -> tuple[Column, Column]:
+    """Segment of a digest in the filter, and its bit there."""
+    at = F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+    return F.floor(at / SEGMENT_BITS).cast("int"), (at % SEGMENT_BITS).cast("int")
+
+
+def _marked(df: DataFrame, digests: DataFrame) -> DataFrame:
+    """df with ``marked``: whether its digest may be one of those. The filter is FILTER_BITS bits, so it is broadcast."""
+    segment, bit = _bit("digest")
+    bits = digests.select(segment.alias("__segment"), bit.cast("long").alias("bit")).groupBy("__segment").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, bit % 8) == 1
+    return df.withColumn("__segment", segment).join(F.broadcast(bits), "__segment", "left").withColumn("marked", F.coalesce(is_set, F.lit(False))).drop("__segment", "__bits")
+
+
+def exact_dedup(docs: DataFrame, largest: bool = False, index: DigestIndex | None = None, before: DataFrame | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256, a row a document of docs.
+
+    With an index that earlier batches were flushed into, docs are a further batch:
+    they are added to it, and keep_id and group_size are over all batches. ``before``
+    is then the documents of the earlier ones, for the texts that hits are verified against.
+    """
     spark = docs.sparkSession
-    runs = flush(docs)
-    index = stored(compact(spark, [runs], largest), "digest-index")  # as a table, so that a hot digest's join can be split
-    members = stored(spark.read.schema(RUN_SCHEMA).parquet(runs).join(index, "digest").select("doc_id", "digest", "keep_id", "group_size"), "exact-members")
-
-    whole = _entries(docs)
-    # a group meets its text that stays in parts of about VERIFIED rows, each with a copy of that text
+    index = index or DigestIndex(spark)
+    rows = stored(_entries(docs).select("digest", "doc_id"), "digests")
+    index.flush(rows)
+    stays = F.col("most") if largest else F.col("least")
+    groups = stored(index.merged().where("n > 1").select("digest", stays.alias("keep_id"), F.col("n").alias("group_size")), "digest-groups")
+
+    marked = _marked(rows, groups)
+    unique = marked.where("not marked").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    met = marked.where("marked").select("doc_id", "digest").join(groups, "digest", "left")
+    members = stored(unique.unionByName(met.select("doc_id", "digest", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))), "exact-members")
+
+    # texts of groups alone; a group meets its text that stays in parts of about VERIFIED rows, each with a copy of that text
+    own = _entries(docs)
+    copies = _marked(own, groups).where("marked").drop("marked")
+    known = copies if before is None else copies.unionByName(_marked(_entries(before), groups).where("marked").drop("marked"))
     parts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
-    hits = members.where("doc_id <> keep_id").select("doc_id", "digest", "keep_id", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part")).distinct()
-    stay = hits.select(F.col("keep_id").alias("doc_id"), "digest", "parts").distinct()
-    kept = whole.join(stay, ["doc_id", "digest"]).select(F.col("doc_id").alias("keep_id"), "digest", F.col("norm").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    verified = whole.join(hits, ["doc_id", "digest"]).join(kept, ["keep_id", "digest", "part"])
-    torn = verified.where("norm <> kept_text").select("digest").distinct()
+    head = known.join(groups.withColumnRenamed("keep_id", "doc_id"), ["digest", "doc_id"]).groupBy("digest").agg(F.min("norm").alias("kept_text"), F.first(parts).alias("parts"))
+    head = head.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = copies.join(groups.select("digest", parts.alias("parts")), "digest").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    torn = stored(dealt.join(head, ["digest", "part"]).where("norm <> kept_text").select("digest").distinct(), "torn-digests")
     if not torn.isEmpty():  # two texts with one digest: group these by text
+        whole = own if before is None else own.unionByName(_entries(before))
         by_text = whole.join(torn, "digest").groupBy("digest", "norm").agg((F.max("doc_id") if largest else F.min("doc_id")).alias("keep_id"), F.count("*").alias("group_size"))
-        again = whole.join(by_text, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
+        again = own.join(by_text, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
         members = members.join(torn, "digest", "left_anti").unionByName(again)
     return members.select(
         null_id().alias("doc_id"), null_id("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")

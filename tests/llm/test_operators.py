@@ -344,6 +344,22 @@ def test_torn_digests_are_grouped_by_text(spark, monkeypatch):
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
 
 
+def test_batches_meet_in_one_index(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "VERIFIED", 2)
+    index = exact_dedup.DigestIndex(spark, fanout=2)
+    batches = [[(1, "Ab"), (2, "x"), (3, None)], [(4, "aB"), (5, "y")], [(6, ""), (7, "X"), (8, "ab")], [(9, "Z")], [(10, "ab"), (10, "ab"), (11, "z")]]
+    seen, levels = [], []
+    for batch in batches:
+        before = made(spark, seen) if seen else None
+        got = {(r["doc_id"]): (r["keep_id"], r["group_size"], r["kept"]) for r in rows(exact_dedup.exact_dedup(made(spark, batch), index=index, before=before))}
+        seen += batch
+        low = lambda t: (t or "").lower()
+        own = {d: [i for i, u in seen if low(u) == low(t)] for d, t in batch}
+        assert got == {d: (min(ids), len(ids), d == min(ids)) for d, ids in own.items()}
+        levels.append(sorted(r.split("-")[0] for r in index.runs()))
+    assert levels == [["L0"], ["L1"], ["L0", "L1"], ["L2"], ["L0", "L2"]]
+
+
 # -- packing -----------------------------------------------------------------------
 
 

@@ -155,7 +155,7 @@ def exact_dedup(docs: DataFrame, largest: bool = False, index: DigestIndex | Non
 
     # texts of groups alone; a group meets its text that stays in parts of about VERIFIED rows, each with a copy of that text
     own = _entries(docs)
-    copies = _marked(own, groups).where("marked").drop("marked")
+    copies = stored(_marked(own, groups).where("marked").drop("marked"), "exact-copies")
     known = copies if before is None else copies.unionByName(_marked(_entries(before), groups).where("marked").drop("marked"))
     parts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
     head = known.join(groups.withColumnRenamed("keep_id", "doc_id"), ["digest", "doc_id"]).groupBy("digest").agg(F.min("norm").alias("kept_text"), F.first(parts).alias("parts"))

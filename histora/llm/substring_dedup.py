@@ -3,22 +3,25 @@
 Seeds. Words are hashed, the k-grams of each document are winnowed so that every
 span of ``span`` words owns exactly one anchor (the least k-gram hash within it).
 Equal spans own equal anchors, so a span can repeat across documents only where
-its anchor does. One shuffle of distinct (anchor, document) pairs finds the
-anchors of two documents or more.
-
-Extension. Only documents with such anchors are read again. Every span that an
-anchor owns, up to ``span - k`` words to either side, is hashed whole and
-compared with the spans of the other documents under the same anchor; neighbouring
-repeated spans join into maximal repeats. The key is 128 bits: anchor and span.
-
-Repeats inside one document are found within it. No pairs of documents are made:
-a span is compared with the smallest document that has it, by a window function,
-whose groups spill. The text is shuffled once and read twice.
-
-Defined cases: a null or empty text has no words and keeps none; texts shorter
-than ``span`` words are kept whole; rows that repeat a doc_id are judged each by
-itself against smaller ids, not against one another; a null doc_id counts as the
-largest.
+its anchor does. Anchors are aggregated over documents, with partial sums; each
+document is told which of its anchors nobody else has, so the others are seeds.
+No anchor is joined back, so one that a third of all documents have is no hot spot.
+
+Extension. Each seed is extended both ways, up to ``span - k`` words, to the stretch
+of spans that it owns, and stretches are compared whole: documents whose stretches
+under an anchor are equal are one class and move as one row. The spans of distinct
+stretches are aggregated to the first document that has each, and each document is
+told of which spans it is the first. All its other spans under seeds are repeats;
+neighbouring ones join to maximal repeats. Spans are grouped by 128 bits (anchor and
+span hash); within a document 64 bits tell them apart.
+
+Repeats inside one document are found within it. No pairs of documents are made,
+and nothing is gathered but what belongs to one document.
+
+Defined cases: a null or empty text has no words and keeps none; texts shorter than
+``span`` words are kept whole; a null doc_id counts as the largest; rows that share
+a doc_id (or have none) with other texts come in the order of a hash of their text;
+rows equal in doc_id and text are one document and fare alike.
 """
 
 from __future__ import annotations
@@ -28,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WordIds, keyed_text, null_id, sliding_min, small_batches, table, texts, window_hashes
+from .common import WordIds, keyed_text, mixed, null_id, sliding_min, small_batches, table, texts, window_hashes
 
 SPAN = 20
 GRAM = 6
@@ -44,100 +46,137 @@ def _spans(ids: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchors(span: int, gram: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+    """Anchors of each document, each once."""
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
-            found, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            found, sizes = [np.empty(0, np.uint64)], []
+            for text in texts(batch.column("text")):
                 words = text.split()
-                if len(words) >= span:
-                    own = np.unique(sliding_min(window_hashes(word.of(words), gram), span - gram + 1))
-                    found.append(own)
-                    of.append(np.full(len(own), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(of))], schema=schema)
+                own = np.unique(sliding_min(window_hashes(word.of(words), gram), span - gram + 1)) if len(words) >= span else found[0]
+                found.append(own)
+                sizes.append(len(own))
+            rest = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)) for c in ("doc_id", "key")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *rest], schema=schema)
 
     return run
 
 
-def _candidates(span: int, gram: int):
-    """Spans under the anchors that the document shares, each once a document."""
-    schema = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64())])
+def _list(column: pa.Array, row: int) -> np.ndarray:
+    """A list of longs as hashes; none for null."""
+    one = column[row]
+    return one.values.to_numpy(zero_copy_only=False).view(np.uint64) if one.is_valid else np.empty(0, np.uint64)
+
+
+def _stretches(span: int, gram: int):
+    """The stretches under the seeds of each document: anchor, hash of the stretch, and the spans in it."""
+    schema = pa.schema([("anchor", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
-            for doc, text, shared in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("shared"), strict=True):
-                anchor, whole = _spans(word.of(text.split()), span, gram)
-                at = np.isin(anchor, shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                whole, first = np.unique(whole[at], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[at][first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(whole), doc, np.int64))], schema=schema)
+            docs, keys, alone = (batch.column(c) for c in ("doc_id", "key", "alone"))
+            for row, text in enumerate(texts(batch.column("text"))):
+                words = text.split()
+                own = _list(alone, row)
+                if len(words) < span:
+                    continue
+                anchor, whole = _spans(word.of(words), span, gram)
+                at = np.flatnonzero(~np.isin(anchor, own)) if len(own) else np.arange(len(anchor))
+                if not len(at):
+                    continue
+                anchor, whole = anchor[at], whole[at]
+                # a stretch is a run of spans with one anchor; its hash is of its first span, its last and their number
+                first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(at) != 1)]))
+                ends = np.append(first[1:], len(at))
+                stretch = mixed(whole[first] * np.uint64(3) + mixed(whole[ends - 1] + (ends - first).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor[first].view(np.int64)),
+                        pa.array(stretch.view(np.int64)),
+                        pa.array(np.full(len(first), docs[row].as_py(), np.int64)),
+                        pa.array(np.full(len(first), keys[row].as_py(), np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(whole.view(np.int64))),
+                    ],
+                    schema=schema,
+                )
 
     return run
 
 
 def covered(ids: np.ndarray, span: int, repeated: np.ndarray) -> np.ndarray:
-    """Mask of the words under a span that occurs in ``repeated`` or earlier in the document."""
-    mask = np.zeros(len(ids), bool)
+    """Starts of the spans that are marked or occur earlier in the document."""
     whole = window_hashes(ids, span)
-    if not len(whole):
-        return mask
     _, first, back = np.unique(whole, return_index=True, return_inverse=True)
-    again = first[back] != np.arange(len(whole))
-    if len(repeated):
-        again |= np.isin(whole, repeated)
-    edges = np.zeros(len(ids) + 1, np.int64)
-    starts = np.flatnonzero(again)
-    edges[starts] += 1
-    np.subtract.at(edges, starts + span, 1)
-    return np.cumsum(edges[:-1]) > 0
+    return (first[back] != np.arange(len(whole))) | repeated
+
+
+def repeats(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """Maximal repeats, as first word and length, from a mask of the spans that repeat."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], starts.astype(np.int8), [0]])))
+    return [(int(a), int(b - a) + span - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _kept(span: int, with_text: bool):
+_REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+
+def _kept(span: int, gram: int, with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
+    schema = pa.schema(fields + [("kept_text", pa.string()), ("repeats", _REPEATS)] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("repeated"), strict=True):
+            alone, first = batch.column("alone"), batch.column("first")
+            for row, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True)):
                 words = text.split()
-                repeated = spans.values.to_numpy(zero_copy_only=False).view(np.uint64) if spans.is_valid else np.empty(0, np.uint64)
-                gone = covered(word.of(words), span, repeated)
-                kept = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x) if gone.any() else b" ".join(words)
-                rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode())[: len(schema)])
+                found, gone = [], None
+                if len(words) >= span:
+                    ids = word.of(words)
+                    anchor, whole = _spans(ids, span, gram)
+                    repeated = ~(np.isin(anchor, _list(alone, row)) | np.isin(whole, _list(first, row)))
+                    found = repeats(covered(ids, span, repeated), span)
+                if found:
+                    gone = np.zeros(len(words), bool)
+                    for a, n in found:
+                        gone[a : a + n] = True
+                    kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
+                else:
+                    kept = b" ".join(words)
+                rows.append((doc, len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(kept).hexdigest(), *((kept.decode(), [{"start": a, "length": n} for a, n in found]) if with_text else ())))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
 
+def _who() -> Column:
+    """A document's place in the order."""
+    return F.struct("doc_id", "key")
+
+
 def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text and its maximal repeats.
 
     A word goes when a span of ``span`` words over it also starts earlier: in a
-    smaller doc_id, or before it in the same document.
+    smaller doc_id, or before it in the same document. ``repeats`` has the first word
+    and the length of each maximal run of such spans; runs may overlap.
     """
     small_batches(docs.sparkSession)
-    docs = keyed_text(docs)
-    seeds = docs.mapInArrow(_anchors(span, gram), "anchor long, doc_id long")
-    by_anchor = Window.partitionBy("anchor")
-    shared = (
-        seeds.select("anchor", "doc_id", F.min("doc_id").over(by_anchor).alias("least"), F.max("doc_id").over(by_anchor).alias("most"))
-        .where("least < most")
-        .groupBy("doc_id")
-        .agg(F.collect_set("anchor").alias("shared"))
-    )
-    spans = docs.join(shared, "doc_id").mapInArrow(_candidates(span, gram), "anchor long, hash long, doc_id long")
-    repeated = (
-        spans.withColumn("least", F.min("doc_id").over(Window.partitionBy("anchor", "hash")))
-        .where("least < doc_id")
-        .groupBy("doc_id")
-        .agg(F.collect_list("hash").alias("repeated"))
-    )
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(repeated, "doc_id", "left").mapInArrow(_kept(span, with_text), out).withColumn("doc_id", null_id())
+    docs = keyed_text(docs).withColumn("key", F.xxhash64("text"))
+    by = ["doc_id", "key"]
+    seeds = docs.mapInArrow(_anchors(span, gram), "anchor long, doc_id long, key long")
+    holders = seeds.groupBy("anchor").agg(F.min(_who()).alias("least"), F.max(_who()).alias("most"))
+    alone = holders.where("least = most").select("anchor", "least.*").groupBy(*by).agg(F.collect_list("anchor").alias("alone"))
+    told = docs.join(alone, by, "left")
+    stretches = told.mapInArrow(_stretches(span, gram), "anchor long, stretch long, doc_id long, key long, spans array<long>")
+    classes = stretches.groupBy("anchor", "stretch").agg(F.min(_who()).alias("least"), F.first("spans").alias("spans"))
+    spans = classes.select("anchor", F.explode("spans").alias("hash"), "least")
+    first = spans.groupBy("anchor", "hash").agg(F.min("least").alias("least")).select("hash", "least.*").groupBy(*by).agg(F.collect_list("hash").alias("first"))
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, repeats array<struct<start:long,length:long>>" * with_text
+    return told.join(first, by, "left").mapInArrow(_kept(span, gram, with_text), out).withColumn("doc_id", null_id())
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

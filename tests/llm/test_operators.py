@@ -81,6 +81,14 @@ def test_substring_dedup_matches_brute_force(spark, span, gram):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_maximal_repeats_and_rows_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(1, a), (2, f"x {a} y {b[:-4]}"), (3, f"{b} {c}"), (4, f"{c} {c}"), (None, a), (None, "q " + a), (None, c + " r"), (5, "s"), (5, f"t {a}"), (5, f"t {a}")]
+    got = [(r["doc_id"], r["kept_text"], [(x["start"], x["length"]) for x in r["repeats"]]) for r in rows(substring_dedup.substring_dedup(made(spark, data)))]
+    want = [(1, a, []), (2, f"x y {b[:-4]}", [(1, 30)]), (3, " ".join(b.split()[29:]) + " " + c, [(0, 29)]), (4, "", [(0, 30), (30, 30)]), (None, "", [(0, 30)]), (None, "q", [(1, 30)]), (None, "r", [(0, 30)]), (5, "s", [])]
+    assert sorted(map(str, got)) == sorted(map(str, [*want, (5, "t", [(1, 30)]), (5, "t", [(1, 30)])]))
+
+
 def test_op1_on_whole_table(spark, documents):
     got = rows(QUERIES["op1_substring_dedup"](spark, MEDIUM))
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.substring_dedup(documents)

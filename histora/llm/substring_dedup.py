@@ -7,21 +7,20 @@ its anchor does. Anchors are aggregated over documents, with partial sums; each
 document is told which of its anchors nobody else has, so the others are seeds.
 No anchor is joined back, so one that a third of all documents have is no hot spot.
 
-Extension. Each seed is extended both ways, up to ``span - k`` words, to the stretch
-of spans that it owns, and stretches are compared whole: documents whose stretches
-under an anchor are equal are one class and move as one row. The spans of distinct
-stretches are aggregated to the first document that has each, and each document is
-told of which spans it is the first. All its other spans under seeds are repeats;
-neighbouring ones join to maximal repeats. Spans are grouped by 128 bits (anchor and
-span hash); within a document 64 bits tell them apart.
+Extension. Each seed is extended both ways, up to ``span - k`` words, over the spans
+that own it, which are compared whole: they are aggregated, with partial sums again,
+to the first document that has each, and each document is told of which spans it is
+the first. All its other spans under seeds are repeats; neighbouring ones join to
+maximal repeats. Spans are grouped by 128 bits (anchor and span hash); within a
+document 64 bits tell them apart.
 
 Repeats inside one document are found within it. No pairs of documents are made,
 and nothing is gathered but what belongs to one document.
 
 Defined cases: a null or empty text has no words and keeps none; texts shorter than
-``span`` words are kept whole; a null doc_id counts as the largest; rows that share
-a doc_id (or have none) with other texts come in the order of a hash of their text;
-rows equal in doc_id and text are one document and fare alike.
+``span`` words are kept whole; rows that repeat a doc_id are judged each by itself
+against smaller ids, not against one another; rows without a doc_id come after all
+others, in the order of a hash of their text, and equal ones fare alike.
 """
 
 from __future__ import annotations
@@ -31,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, keyed_text, mixed, null_id, sliding_min, small_batches, table, texts, window_hashes
+from .common import NULL_ID, WordIds, keyed_text, null_id, sliding_min, small_batches, table, texts, window_hashes
 
 SPAN = 20
 GRAM = 6
@@ -70,38 +69,31 @@ def _list(column: pa.Array, row: int) -> np.ndarray:
     return one.values.to_numpy(zero_copy_only=False).view(np.uint64) if one.is_valid else np.empty(0, np.uint64)
 
 
-def _stretches(span: int, gram: int):
-    """The stretches under the seeds of each document: anchor, hash of the stretch, and the spans in it."""
-    schema = pa.schema([("anchor", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.int64()))])
+def _extended(span: int, gram: int):
+    """The spans that own a seed of their document, each once a document: anchor, hash and whose they are."""
+    schema = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = WordIds()
         for batch in batches:
-            docs, keys, alone = (batch.column(c) for c in ("doc_id", "key", "alone"))
+            alone = batch.column("alone")
+            anchors, hashes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
             for row, text in enumerate(texts(batch.column("text"))):
                 words = text.split()
-                own = _list(alone, row)
                 if len(words) < span:
+                    sizes.append(0)
                     continue
                 anchor, whole = _spans(word.of(words), span, gram)
-                at = np.flatnonzero(~np.isin(anchor, own)) if len(own) else np.arange(len(anchor))
-                if not len(at):
-                    continue
-                anchor, whole = anchor[at], whole[at]
-                # a stretch is a run of spans with one anchor; its hash is of its first span, its last and their number
-                first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(at) != 1)]))
-                ends = np.append(first[1:], len(at))
-                stretch = mixed(whole[first] * np.uint64(3) + mixed(whole[ends - 1] + (ends - first).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor[first].view(np.int64)),
-                        pa.array(stretch.view(np.int64)),
-                        pa.array(np.full(len(first), docs[row].as_py(), np.int64)),
-                        pa.array(np.full(len(first), keys[row].as_py(), np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(whole.view(np.int64))),
-                    ],
-                    schema=schema,
-                )
+                own = _list(alone, row)
+                if len(own):
+                    seed = ~np.isin(anchor, own)
+                    anchor, whole = anchor[seed], whole[seed]
+                whole, first = np.unique(whole, return_index=True)
+                anchors.append(anchor[first])
+                hashes.append(whole)
+                sizes.append(len(whole))
+            whose = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)) for c in ("doc_id", "key")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(hashes).view(np.int64)), *whose], schema=schema)
 
     return run
 
@@ -152,9 +144,12 @@ def _kept(span: int, gram: int, with_text: bool):
     return run
 
 
-def _who() -> Column:
-    """A document's place in the order."""
-    return F.struct("doc_id", "key")
+def _holders(df: DataFrame, *by: str) -> DataFrame:
+    """Per group, the first document that has it, as doc_id and key, and whether no other has. Plain longs, so that sums are hashed."""
+    has_id, none = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")), F.when(F.col("doc_id") == NULL_ID, F.col("key"))
+    found = df.groupBy(*by).agg(F.min(has_id).alias("a"), F.max(has_id).alias("z"), F.min(none).alias("na"), F.max(none).alias("nz"))
+    alone = F.when(F.col("a").isNull(), F.col("na") == F.col("nz")).otherwise((F.col("a") == F.col("z")) & F.col("na").isNull())
+    return found.select(*by, F.coalesce("a", F.lit(NULL_ID)).alias("doc_id"), F.when(F.col("a").isNull(), F.col("na")).otherwise(0).alias("key"), alone.alias("is_alone"))
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = True) -> DataFrame:
@@ -165,16 +160,13 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_te
     and the length of each maximal run of such spans; runs may overlap.
     """
     small_batches(docs.sparkSession)
-    docs = keyed_text(docs).withColumn("key", F.xxhash64("text"))
+    docs = keyed_text(docs)
+    docs = docs.withColumn("key", F.when(F.col("doc_id") == NULL_ID, F.xxhash64("text")).otherwise(0))
     by = ["doc_id", "key"]
-    seeds = docs.mapInArrow(_anchors(span, gram), "anchor long, doc_id long, key long")
-    holders = seeds.groupBy("anchor").agg(F.min(_who()).alias("least"), F.max(_who()).alias("most"))
-    alone = holders.where("least = most").select("anchor", "least.*").groupBy(*by).agg(F.collect_list("anchor").alias("alone"))
-    told = docs.join(alone, by, "left")
-    stretches = told.mapInArrow(_stretches(span, gram), "anchor long, stretch long, doc_id long, key long, spans array<long>")
-    classes = stretches.groupBy("anchor", "stretch").agg(F.min(_who()).alias("least"), F.first("spans").alias("spans"))
-    spans = classes.select("anchor", F.explode("spans").alias("hash"), "least")
-    first = spans.groupBy("anchor", "hash").agg(F.min("least").alias("least")).select("hash", "least.*").groupBy(*by).agg(F.collect_list("hash").alias("first"))
+    seeds = _holders(docs.mapInArrow(_anchors(span, gram), "anchor long, doc_id long, key long"), "anchor")
+    told = docs.join(seeds.where("is_alone").groupBy(*by).agg(F.collect_list("anchor").alias("alone")), by, "left")
+    spans = _holders(told.mapInArrow(_extended(span, gram), "anchor long, hash long, doc_id long, key long"), "anchor", "hash")
+    first = spans.groupBy(*by).agg(F.collect_list("hash").alias("first"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, repeats array<struct<start:long,length:long>>" * with_text
     return told.join(first, by, "left").mapInArrow(_kept(span, gram, with_text), out).withColumn("doc_id", null_id())
 

@@ -2,8 +2,9 @@ r"""Personal data by pattern, checksum and context, in SQL operations only.
 
 Patterns propose spans, validators confirm them (parts of an address up to 255,
 Luhn for cards, mod 97 for account numbers, digit counts), and nearby words move
-the score: a span with a telling word shortly before it is surer. Offsets are code
-points, end exclusive.
+the score: a span with a telling word shortly before or after it is surer, and one
+next to a word that tells of something else (a version, an order number) less so.
+Offsets are code points, end exclusive.
 
 Spark's pattern functions return strings, not places; so a text is split at a
 pattern, which leaves the gaps, and the places follow from the lengths of gaps and
@@ -11,8 +12,8 @@ matches one after another. Both functions walk the same leftmost matches. The
 patterns are written so that no text makes them take more than linear time: runs
 are possessive and are only entered at their start.
 
-Base kinds are email, ip, card and phone, none of which context can drop. The
-method adds iban, the longest start of a run of groups that mod 97 confirms whatever the context, and secret, a key or
+Base kinds are email, ip, card and phone, none of which context can drop; their
+scores are returned. The method adds iban, the longest start of a run of groups that mod 97 confirms whatever the context, and secret, a key or
 token value that must have its telling word right before it.
 
 Defined cases: a null text is an empty one, without spans; a span at the edge of
@@ -53,6 +54,10 @@ KINDS = (
 )
 CONTEXT_CHARS = 24
 CONTEXT_GAIN = 0.2
+#: Words before a match that tell of something else, and what they take from its score.
+OTHERWISE = r"(?i)\b(?:version|release|order|invoice|isbn|build|v)\W{0,3}$"
+CONTEXT_LOSS = 0.3
+WALKED = 256
 LEAST_SCORE = 0.5
 
 
@@ -91,34 +96,40 @@ def _valid(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<start:int,end:int,match:string,before:string>>"
+_SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
 def _places(text: Column, kind: Kind) -> Column:
-    """All matches with their places and the text shortly before, in order."""
-    gaps = F.split(text, kind.pattern, -1)
+    """All matches with their places and the text shortly before and after, in order.
+
+    The walk goes over ``WALKED`` matches at a time, as each step copies what the walk has found.
+    """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    walked = F.aggregate(
-        F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found")),
-        lambda a, x: F.when(x["m"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-                F.concat(
-                    a["found"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(x["g"])).alias("start"),
-                            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                            x["m"].alias("match"),
-                            F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("before"),
-                        )
-                    ),
-                ).alias("found"),
-            )
-        ),
-        lambda a: a["found"],
+    gaps = F.split(text, kind.pattern, -1)
+    pairs = F.transform(
+        F.arrays_zip(matches.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.greatest(F.lit(1), F.size(gaps))).alias("next")),
+        lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).alias("gap"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["next"], F.lit(CONTEXT_CHARS)).alias("after")),
     )
+
+    def size(x: Column) -> Column:
+        return x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))
+
+    def walk(part: Column, at: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + x["gap"]
+            one = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"), x["before"].alias("before"), x["after"].alias("after"))
+            return F.when(x["m"].isNull(), a).otherwise(F.struct((a["at"] + size(x)).alias("at"), F.concat(a["found"], F.array(one)).alias("found")))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("found")), step, lambda a: a["found"])
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / WALKED).cast("int")), lambda i: F.slice(pairs, i * WALKED + 1, F.lit(WALKED)))
+    begun = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, p: F.struct((a["at"] + F.aggregate(p, F.lit(0), lambda n, x: n + size(x))).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        lambda a: a["starts"],
+    )
+    walked = F.flatten(F.zip_with(parts, begun, walk))
     there = F.contains(text, F.lit(kind.hint)) & text.rlike(kind.pattern) if kind.hint else text.rlike(kind.pattern)
     return F.when(there, walked).otherwise(F.array().cast(_SPAN))
 
@@ -136,10 +147,15 @@ def _accounts(text: Column, kind: Kind) -> Column:
     rests = F.when(F.size(heads) > 0, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
     def whole(head: Column, rest: Column) -> Column:
-        return F.struct(head["start"].alias("start"), head["end"].alias("end"), _account(F.concat(head["match"], rest)).alias("match"), head["before"].alias("before"))
+        return F.struct(head["start"].alias("start"), head["end"].alias("end"), _account(F.concat(head["match"], rest)).alias("match"), head["before"].alias("before"), rest.alias("rest"))
 
     found = F.filter(F.zip_with(heads, rests, whole), lambda s: s["match"].isNotNull())
-    ended = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match"), s["before"].alias("before")))
+    def ended_by(s: Column) -> Column:
+        taken = F.length(s["match"])
+        after = F.left(F.substring(s["rest"], taken - 3, F.lit(2 * CONTEXT_CHARS)), F.lit(CONTEXT_CHARS))  # the head is four characters of the match
+        return F.struct(s["start"].alias("start"), (s["start"] + taken).alias("end"), s["match"].alias("match"), s["before"].alias("before"), after.alias("after"))
+
+    ended = F.transform(found, ended_by)
     return F.aggregate(
         ended,
         F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found")),
@@ -154,7 +170,8 @@ def _confirmed(spans: Column, kind: Kind) -> Column:
 
 def _scored(spans: Column, kind: Kind, least_score: float) -> Column:
     def one(s: Column) -> Column:
-        score = F.lit(kind.score) + F.when(s["before"].rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
+        telling = s["before"].rlike(kind.context) if kind.context.endswith("$") else s["before"].rlike(kind.context) | s["after"].rlike(kind.context)
+        score = F.lit(kind.score) + F.when(telling, CONTEXT_GAIN).when(s["before"].rlike(OTHERWISE), -CONTEXT_LOSS).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
 
     spans = F.transform(spans, one)
@@ -175,11 +192,22 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least_score: floa
     return df.select(null_id().alias("doc_id"), "text", F.concat(*each).alias("found"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """doc_id and the text with every match replaced by its kind in brackets."""
-    found = find_pii(docs)
-    text = F.aggregate("found", F.col("text"), lambda t, s: F.replace(t, s["match"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    return found.select("doc_id", text.alias("text"))
+def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least_score: float = LEAST_SCORE) -> DataFrame:
+    """doc_id and the text with each span replaced by its kind in brackets. Spans that overlap are one, named by the first (by start, then the longer)."""
+    found = find_pii(docs, kinds, least_score)
+    region = "array<struct<start:int,end:int,kind:string>>"
+    spans = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+
+    def step(a: Column, s: Column) -> Column:
+        last, end = F.element_at(a, -1), -s["less"]
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["kind"].alias("kind"))
+        new = F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))
+        return F.when((F.size(a) > 0) & (s["start"] < F.try_element_at(a, F.lit(-1))["end"]), F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - 1)), F.array(wider))).otherwise(F.concat(a, F.array(new)))
+
+    regions = F.aggregate(spans, F.array().cast(region), step)
+    ends = F.concat(F.array(F.lit(0)), F.transform("regions", lambda r: r["end"]))
+    pieces = F.zip_with(F.col("regions"), ends, lambda r, at: F.concat(F.substring("text", at + 1, F.coalesce(r["start"], F.length("text")) - at), F.coalesce(F.concat(F.lit("["), r["kind"], F.lit("]")), F.lit(""))))
+    return found.withColumn("regions", regions).select("doc_id", F.array_join(pieces, "").alias("text"))
 
 
 def _joined(spans: Column) -> Column:
@@ -194,4 +222,6 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(_only([n])).cast("long").alias(f"n_{n}") for n in base),
         F.sha2(_joined(_only(base)), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+        F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )

@@ -23,8 +23,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the boilerplate lines of each source from the texts."""
-    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS), "source")
+    """Drops the boilerplate lines of each source from the texts.
+
+    A page of boilerplate alone is a copy; it stays whole, for the next stage to keep one of each group.
+    """
+    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS), "source", keep_bare=True)
     changed = F.col("n_dropped") > 0
     return cleaned.select(
         "doc_id",

@@ -3,9 +3,10 @@
 For each host, the pages that contain a line are divided by the host's pages; a
 line over ``RATIO`` is dropped wherever it stands on that host. Lines are the
 pieces between newlines, compared unchanged; lines of white space alone neither
-count nor go. Hosts under ``LEAST_PAGES`` pages are left alone, as a share means
-little there. A page of which nothing but blank lines would be left is a copy
-rather than chrome, and stays whole.
+count nor go. The rule is the same for hosts of every size: a line on two pages or
+more, over the ratio, goes. Two exceptions can be asked for, and are off: hosts under
+``least_pages`` pages are left alone; with ``keep_bare``, a page of which nothing but
+blank lines would be left, a copy rather than chrome, stays whole.
 
 Only 128-bit line hashes move, counted per host with partial sums, so neither a
 hot host nor a line on every page gathers in one task. A host has at most (its
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import null_id, stored, table
 
 RATIO_PERCENT = 8
-LEAST_PAGES = 20
 BROADCAST_ROWS = 200_000
 SALTS = 64
 
@@ -43,7 +43,7 @@ def _blank(line: Column) -> Column:
     return F.length(F.trim(F.regexp_replace(line, r"[\t\r\f\u000b]", " "))) == 0
 
 
-def boilerplate(pages: DataFrame, ratio_percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio_percent: int = RATIO_PERCENT, least_pages: int = 0) -> DataFrame:
     """host and key of each line over the ratio. pages: host, text."""
     lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(), lambda x: ~_blank(x)), _key))).alias("line"))
     seen = lines.groupBy("host", "line.a", "line.b").agg(F.count("*").alias("n")).where("n >= 2")
@@ -51,7 +51,7 @@ def boilerplate(pages: DataFrame, ratio_percent: int = RATIO_PERCENT, least_page
     return seen.join(totals, seen["host"].eqNullSafe(totals["host"])).where(F.col("n") * 100 > F.col("pages") * ratio_percent).select(seen["host"], F.struct("a", "b").alias("line"))
 
 
-def dedup_lines(docs: DataFrame, host: str | Column = "source", ratio_percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str | Column = "source", ratio_percent: int = RATIO_PERCENT, least_pages: int = 0, keep_bare: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with three more columns: kept_text, n_lines and n_dropped; columns of docs that are named so are replaced."""
     host = F.col(host) if isinstance(host, str) else host
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
@@ -67,8 +67,9 @@ def dedup_lines(docs: DataFrame, host: str | Column = "source", ratio_percent: i
     lines = _lines()
     kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains("__line_dedup_drop", _key(x)))
     joined = joined.withColumn("__line_dedup_kept", F.when(F.col("__line_dedup_drop").isNull(), lines).otherwise(kept))
-    bare = ~F.exists("__line_dedup_kept", lambda x: ~_blank(x))
-    joined = joined.withColumn("__line_dedup_kept", F.when(bare, lines).otherwise(F.col("__line_dedup_kept")))
+    if keep_bare:
+        bare = ~F.exists("__line_dedup_kept", lambda x: ~_blank(x))
+        joined = joined.withColumn("__line_dedup_kept", F.when(bare, lines).otherwise(F.col("__line_dedup_kept")))
     return joined.withColumns(
         {
             "kept_text": F.when(F.col("text").isNotNull(), F.array_join("__line_dedup_kept", "\n")),
@@ -91,14 +92,13 @@ l AS (
 b AS (SELECT *, NOT regexp_matches(line, '[^ \\t\\r\\f\\x0B]') AS blank FROM l),
 pages AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 bad AS (
-  SELECT b.source, line FROM b JOIN pages p ON b.source IS NOT DISTINCT FROM p.source WHERE NOT blank AND pages >= {LEAST_PAGES}
+  SELECT b.source, line FROM b JOIN pages p ON b.source IS NOT DISTINCT FROM p.source WHERE NOT blank
   GROUP BY b.source, line, pages HAVING count(DISTINCT rid) >= 2 AND count(DISTINCT rid) * 100 > pages * {RATIO_PERCENT}
 ),
 m AS (
   SELECT b.*, bad.line IS NOT NULL AS gone FROM b LEFT JOIN bad ON b.source IS NOT DISTINCT FROM bad.source AND b.line = bad.line
-),
-w AS (SELECT *, max(CASE WHEN NOT blank AND NOT gone THEN 1 ELSE 0 END) OVER (PARTITION BY rid) AS left_over FROM m)
-SELECT doc_id, count(*) AS n_lines, coalesce(sum(CASE WHEN gone AND left_over = 1 THEN 1 ELSE 0 END), 0)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone OR left_over = 0), '')) AS kept_sha256
-FROM w GROUP BY rid, doc_id
+)
+SELECT doc_id, count(*) AS n_lines, coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
 """

@@ -15,7 +15,7 @@ def documents(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-def lines_of(rows, percent=8, least_pages=20):
+def lines_of(rows, percent=8):
     """Plain line dedup by source."""
     pages, seen = Counter(), defaultdict(Counter)
     for r in rows:
@@ -25,7 +25,7 @@ def lines_of(rows, percent=8, least_pages=20):
     out = {}
     for r in rows:
         n = pages[r.source]
-        bad = {x for x, k in seen[r.source].items() if n >= least_pages and k >= 2 and k * 100 > n * percent}
+        bad = {x for x, k in seen[r.source].items() if k >= 2 and k * 100 > n * percent}
         kept = [x for x in r.text.split("\n") if x not in bad]
         if not any(x.strip(" \t\r\f\v") for x in kept):
             kept = r.text.split("\n")

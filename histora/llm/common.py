@@ -40,9 +40,11 @@ def small_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is named."""
+    """The folder that the cluster shares (spark.checkpoint.dir). On one machine, as in tests, a local one stands in; on several it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = f"/tmp/histora-scratch-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

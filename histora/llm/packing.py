@@ -154,7 +154,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: in
 
     def dealt(df: DataFrame, n: int, turn: int) -> DataFrame:
         groups = max(1, -(-n // group))
-        key = F.pmod(F.xxhash64(F.lit(turn), *(["doc_id", "piece"] if not turn else ["bin"])), F.lit(groups))
+        # pieces are dealt by their place in the stored table, as ids may repeat or be missing
+        key = F.pmod(F.xxhash64(F.lit(turn), F.col("bin") if turn else F.monotonically_increasing_id()), F.lit(groups))
         return df.groupBy(key.alias("dealt")).applyInPandas(_pack_group(length, turn), _PACKED)
 
     empty = pieces.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _PACKED.split(", ")[5:])))

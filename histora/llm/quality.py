@@ -170,13 +170,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     for label in (0, 1):  # of each class twice as many ids as rows, as some texts are too long or absent
         one = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
         picked = one if picked is None else picked.unionAll(one)
-    found = (
+    known_texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .where(F.octet_length("text") <= most_bytes)
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", "label", "text")
-        .collect()
     )
+    # ids may repeat, so the rows are bounded too
+    found = known_texts.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(4 * rows).collect()
     out, left = [], {0: rows, 1: rows}
     for r in sorted(found, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.text)):
         if left[r.label]:

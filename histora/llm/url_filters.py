@@ -85,7 +85,7 @@ def judge_captures(captures: DataFrame, entries: DataFrame, bucket_seconds: int
     return looked.join(hits, ["host", "fetched"], "left").select("capture_id", "host", "rule", F.col("rule").isNotNull().alias("blocked"))
 
 
-#: Times of the captures and of the list, as the tables hold neither: page n is fetched n minutes after this, and events are the list's entries.
+#: Times of the captures and of the list, as the tables hold neither: page n is fetched n * 7919 minutes after this, within 31 days, and events are the list's entries.
 EPOCH = "2024-01-01 00:00:00"
 
 

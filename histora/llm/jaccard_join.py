@@ -307,19 +307,21 @@ def _judged(docs: DataFrame, words: int, percent: int, slack: int) -> DataFrame:
     one = (F.min("row").alias("node"), F.min_by("doc_id", "row").alias("doc_id"), F.min_by("key", "row").alias("key"), F.min("doc_id").alias("least"))
     classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(*one, F.min("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
 
-    # regions of one-shingle pivots, of two classes or more
-    by_pivot, by_node = Window.partitionBy("pivot"), Window.partitionBy("node")
-    least, most = F.min("node").over(by_pivot), F.max("node").over(by_pivot)
+    # regions of one-shingle pivots, of two classes or more; counts of a pivot are sums that are joined back, as a frequent one's rows are too many for one task
+    by_node = Window.partitionBy("node")
     # merge joins: both sides grow with the corpus, so that a small one's broadcast would be a plan for small inputs only
     pivots = signed.select(F.col("row").alias("node"), "pivots").join(classes.select("node").hint("merge"), "node", "left_semi").select("node", F.explode("pivots").alias("pivot"))
-    met = pivots.select("node", "pivot", least.alias("least"), most.alias("most")).where("least < most").select("node", "pivot")
+    several = pivots.groupBy("pivot").agg(F.count("*").alias("df")).where("df > 1").select("pivot")
+    met = pivots.join(several.hint("merge"), "pivot", "left_semi")
     need = classes.select("node", least_shared(F.col("n"), slack).alias("need"))
     shared = stored(met.withColumn("s", F.count("*").over(by_node)).join(need.hint("merge"), "node").where("s >= need").select("node", "pivot", "need"), "jaccard-shared")
     # once more among those left; then only the rarest of a class's shared pivots
-    again = shared.withColumn("df", F.count("*").over(by_pivot)).where("df > 1")
+    frequency = shared.groupBy("pivot").agg(F.count("*").alias("df")).where("df > 1")
+    again = shared.join(frequency.hint("merge"), "pivot")
     rare = F.row_number().over(by_node.orderBy("df", "pivot"))
-    kept = again.withColumn("s", F.count("*").over(by_node)).withColumn("nth", rare).where("s >= need and nth <= s - need + 1")
-    star = kept.select("node", least.alias("least")).where("least < node").distinct()
+    kept = stored(again.withColumn("s", F.count("*").over(by_node)).withColumn("nth", rare).where("s >= need and nth <= s - need + 1").select("node", "pivot"), "jaccard-regions")
+    first = kept.groupBy("pivot").agg(F.min("node").alias("least"))
+    star = kept.join(first.hint("merge"), "pivot").select("node", "least").where("least < node").distinct()
     region = components(star.select(F.col("node").alias("a"), F.col("least").alias("b")))  # one star a region: as many edges as members
 
     members = stored(region.select(F.col("id").alias("node"), F.col("component").alias("region")).join(classes.select("node", "doc_id", "key", "n", "copies"), "node"), "jaccard-members")

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import singular
+from ..functions import conventions
 
-#: Intent of a flow's verb. FIXED VALUES.
-INTENTS = {
-    "add": "create", "create": "create", "new": "create", "invite": "create", "upload": "create",
-    "list": "view", "view": "view", "show": "view", "get": "view", "search": "view", "browse": "view",
-    "edit": "manage", "update": "manage", "rename": "manage", "configure": "manage", "manage": "manage",
-    "delete": "remove", "remove": "remove", "archive": "remove", "cancel": "remove",
-}
+def _word(w: Column) -> Column:
+    """A token in the singular; -us, -is and -ss stay, -es goes after a hiss alone."""
+    return (
+        F.when(F.length(w) <= 3, w)
+        .when(F.endswith(w, F.lit("ies")) & (F.length(w) > 4), F.regexp_replace(w, "ies$", "y"))
+        .when(w.rlike("(?:ss|us|is)$"), w)
+        .when(w.rlike("(?:sses|shes|ches|xes|zzes)$"), F.regexp_replace(w, "es$", ""))
+        .otherwise(F.regexp_replace(w, "s$", ""))
+    )
+
+
+def intent_of(verb: Column) -> Column:
+    verbs = conventions.lookup(conventions.INTENT_VERBS)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in verbs.items() for x in kv]), verb), F.lit("other"))
 
 
 def split_name(flows: DataFrame) -> DataFrame:
-    """flows with verb, resource (singular) and intent; names are verb-resource-... with a final -flow dropped."""
-    bare = F.regexp_replace(F.lower("flow"), "-flow$", "")
-    verb = F.split_part(bare, F.lit("-"), F.lit(1))
-    resource = F.regexp_replace(F.substring(bare, F.length(verb) + 2, F.lit(200)), "^-+", "")
-    intents = F.create_map(*[F.lit(x) for kv in INTENTS.items() for x in kv])
-    return flows.withColumn("verb", verb).withColumn("resource", singular(resource)).withColumn("intent", F.coalesce(F.try_element_at(intents, F.col("verb")), F.lit("use")))
+    """flows with verb, resource (each token in the singular, ``item`` if there is none) and intent; names are verb-resource-... with a final -flow dropped."""
+    parts = F.split(F.regexp_replace(F.lower("flow"), "-flow$", ""), "-")
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    resource = F.when(F.size(rest) > 0, F.array_join(F.transform(rest, _word), "-")).otherwise("item")
+    return flows.withColumn("verb", parts[0]).withColumn("resource", resource).withColumn("intent", intent_of(F.col("verb")))
+
+
+def journey_name(domain: Column, intent: Column, resource: Column) -> Column:
+    """Name of a journey: its domain in the plural, or its resource, in the words of its intent."""
+    label = F.coalesce(F.concat(F.replace(domain, F.lit("_"), F.lit(" ")), F.lit("s")), resource)
+    out = F.when(F.lit(False), label)
+    for kind, words in conventions.JOURNEY_NAMES.items():
+        before, after = words.split("{}")
+        out = out.when(intent == kind, F.concat(F.lit(before), label, F.lit(after)))
+    return out.otherwise(label)
 
 
 def cluster(flows: DataFrame) -> DataFrame:

@@ -6,43 +6,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import directory, is_test_path, jaccard, name_tokens, strictly_contained
+from ..functions import conventions as c
+from ..functions.text import directory, extension, is_test_path, jaccard, name_tokens, slugify, strictly_contained
 from .graph import components
 
-#: What a path is when nobody wrote it by hand: kind and pattern, the first that matches.
-ARTIFACTS = (
-    ("locale", r"(?:^|/)(?:locales?|i18n|translations?)/.*\.(?:json|ya?ml|po|ts)$"),
-    ("snapshot", r"(?:^|/)__snapshots__/|\.snap$"),
-    ("migration", r"(?:^|/)migrations?/.*\.(?:sql|py|rb|ts)$"),
-    ("lockfile", r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|Cargo\.lock|go\.sum)$"),
-    ("fixture", r"(?:^|/)(?:fixtures?|testdata)/"),
-    ("vendored", r"(?:^|/)(?:vendor|third_party|node_modules)/"),
-)
-
-#: Surfaces in order of priority, by path or route.
-SURFACES = (
-    ("docs", r"(?:^|/)(?:docs?|guides?|help)(?:/|$)"),
-    ("admin", r"(?:^|/)(?:admin|internal|backoffice)(?:/|$)"),
-    ("marketing", r"(?:^|/)(?:blog|pricing|about|landing|legal)(?:/|$)"),
-    ("auth", r"(?:^|/)(?:login|signup|sign-in|sign-up|auth)(?:/|$)"),
-    ("api", r"(?:^|/)api(?:/|$)"),
-)
-
-
-def _first(path: Column, rules, otherwise: Column) -> Column:
-    out = F.when(F.lit(False), otherwise)
-    for name, pattern in rules:
-        out = out.when(path.rlike(pattern), name)
-    return out.otherwise(otherwise)
+def _any(segments: Column, words: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(segments, F.array(*[F.lit(w) for w in words]))
 
 
 def artifact_kind(path: str | Column) -> Column:
-    """Why a file is no authored source, or null."""
-    return _first(F.col(path) if isinstance(path, str) else path, ARTIFACTS, F.lit(None).cast("string"))
+    """Why a file is no authored source: locale, generated, testing, seed, the first that holds; else null.
+
+    Configuration is never one, wherever it is; tests, compiled code and lock files are counted elsewhere.
+    """
+    path = F.lower(F.trim(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))))
+    path = F.regexp_replace(path, "^/+|/+$", "")
+    parts = F.split(path, "/")
+    name, dirs, end = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1), extension(path)
+    config = name.isin(*c.CONFIG_NAMES) | name.rlike(c.CONFIG_PATTERN)
+    elsewhere = is_test_path(path) | name.rlike(r"(?:\.gen\.|\.pb\.|_pb2\.py$|\.min\.(?:js|css)$|\.d\.ts$|^(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|go\.sum)$)")
+    return (
+        F.when(config | elsewhere | (path == ""), F.lit(None).cast("string"))
+        .when(end.isin(*c.LOCALE_ENDINGS) | ((end == "json") & _any(dirs, c.LOCALE_DIRS)), "locale")
+        .when(_any(dirs, c.GENERATED_DIRS) | name.rlike(c.GENERATED_NAME), "generated")
+        .when(_any(dirs, c.TESTING_DIRS) | F.contains(F.concat(F.lit("/"), path), F.lit(c.TESTING_PLACE)), "testing")
+        .when(_any(dirs, c.SEED_DIRS), "seed")
+    )
+
+
+def _scope_of(word: Column, *tables: dict[str, tuple[str, ...]]) -> Column:
+    """The class of a word in the first table that has it."""
+    each = [F.try_element_at(F.create_map(*[F.lit(x) for kv in c.lookup(t).items() for x in kv]), word) for t in tables]
+    return F.coalesce(*each)
+
+
+def _first_scope(hits: Column) -> Column:
+    return F.coalesce(*[F.when(F.array_contains(hits, s), s) for s in c.SCOPES])
+
+
+def url_words(path: Column) -> Column:
+    """Segments of a file's path that stand for its url: those after the last routing root, without groups and neutral file names."""
+    parts = F.split(path, "/")
+    last = F.greatest(*[F.size(parts) - F.array_position(F.reverse(parts), r) + F.when(F.array_contains(parts, r), 1).otherwise(-10_000) for r in c.URL_ROOTS])
+    after = F.filter(F.slice(parts, F.greatest(last, F.lit(0)) + 1, F.size(parts)), lambda s: ~s.rlike(r"^\(.*\)$"))
+    stem = F.regexp_replace(F.element_at(after, -1), r"\.[^.]*$", "")
+    tail = F.when(stem.isin(*c.NEUTRAL_STEMS), F.array().cast("array<string>")).otherwise(F.array(stem))
+    return F.when((last > 0) & (F.size(after) > 0), F.concat(F.slice(after, 1, F.size(after) - 1), tail)).otherwise(F.array().cast("array<string>"))
+
+
+def surface_signal(path: str | Column, published: Column | None = None) -> Column:
+    """What surface a file is of, by its route groups, url segments, workspace and root directory; null without any sign.
+
+    The order of precedence is that of SCOPES. ``published``: directories of command-line packages that are shipped, which are product.
+    """
+    path = F.regexp_replace(F.lower(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))), "^[/ ]+|[/ ]+$|(?<=/)/+", "")
+    parts = F.split(path, "/")
+    groups = F.transform(F.filter(parts, lambda s: s.rlike(r"^\([^.].*\)$")), lambda s: _scope_of(F.regexp_replace(s, r"^\(|\)$", ""), c.ROUTE_GROUPS, c.URL_SEGMENTS))
+    urls = F.transform(url_words(path), lambda s: _scope_of(s, c.URL_SEGMENTS))
+
+    def workspace(s: Column, i: Column) -> Column:
+        scope = _scope_of(F.try_element_at(parts, i + 2), c.WORKSPACE_DIRS)
+        if published is not None:
+            scope = F.when((scope == "dev_tooling") & F.array_contains(published, F.array_join(F.slice(parts, F.lit(1), i + 2), "/")), "product").otherwise(scope)
+        return F.when(s.isin(*c.WORKSPACE_PARENTS), scope)
+
+    spaces = F.transform(parts, workspace)
+    root = F.when(F.size(parts) > 1, _scope_of(parts[0], c.ROOT_DIRS))
+    return _first_scope(F.concat(groups, urls, spaces, F.array(root)))
 
 
 def surface(path: str | Column) -> Column:
-    return _first(F.col(path) if isinstance(path, str) else path, SURFACES, F.lit("product"))
+    return F.coalesce(surface_signal(path), F.lit("product"))
+
+
+def route_surface(pattern: str | Column) -> Column:
+    """What surface a url pattern is of; null without any sign."""
+    pattern = F.lower(F.col(pattern) if isinstance(pattern, str) else pattern)
+    words = F.filter(F.split(pattern, "/"), lambda s: (s != "") & ~s.rlike(r"^\[.*\]$|^:.+$|^<.+>$|^\{.+\}$|^\*|^\$"))
+    return _first_scope(F.transform(words, lambda s: _scope_of(s, c.URL_SEGMENTS)))
+
+
+def is_shell(name: str | Column) -> Column:
+    """Whether a name is that of a container page."""
+    slug = F.regexp_replace(slugify(name), "-page$", "")
+    return slug.isin(*c.SHELL_NAMES)
+
+
+def is_info_page(path: str | Column) -> Column:
+    words = url_words(F.regexp_replace(F.lower(F.col(path) if isinstance(path, str) else path), "^/+|/+$", ""))
+    return _any(words, c.INFO_SEGMENTS + c.URL_SEGMENTS["legal"])
 
 
 def repo_signals(files: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -59,7 +111,7 @@ def repo_signals(files: DataFrame, by: list[str] | None = None) -> DataFrame:
         "infra": F.count_if(path.rlike(r"\.(?:tf|hcl)$|(?:^|/)(?:charts|helm|k8s|terraform)/")),
         "tests": F.count_if(is_test_path(path)),
     }
-    return files.groupBy(*(by or [])).agg(*(c.cast("long").alias(n) for n, c in counts.items()))
+    return files.groupBy(*(by or [])).agg(*(x.cast("long").alias(n) for n, x in counts.items()))
 
 
 def repo_class(signals: DataFrame) -> DataFrame:

@@ -103,21 +103,23 @@ def feature_symbols(symbols: DataFrame, feature: str) -> DataFrame:
     return symbols.where(F.col("feature") == feature).select("file", "symbol", "ranges").distinct()
 
 
-def _runtime(features: DataFrame, runtime: DataFrame, name: str, missing: int, extra: list[str]) -> DataFrame:
-    paths = _named(features, name).select("feature", F.explode("paths").alias("path"))
-    rows = runtime.withColumn("_paths", F.coalesce(F.col("paths"), F.array("path")) if "paths" in runtime.columns else F.array("path")).withColumn("_row", F.xxhash64(*runtime.columns)).withColumn("path", F.explode(F.array_distinct("_paths")))
-    hit = rows.join(paths, "path").dropDuplicates(["feature", "_row"])
-    return hit.groupBy("feature", *extra).agg(F.count("*").alias("rows"), F.sum(F.coalesce("count", F.lit(missing))).alias("total"))
+def _runtime(features: DataFrame, runtime: DataFrame, name: str, missing: int) -> DataFrame:
+    """Rows of the run-time table that touch a file of the feature, each once, and the sum of their counts. One feature's paths are few."""
+    paths = _named(features, name).select("feature", "paths").withColumnRenamed("paths", "_own")
+    touched = F.coalesce(F.col("paths"), F.array("path")) if "paths" in runtime.columns else F.array("path")
+    rows = runtime.select(F.coalesce(F.col("count").cast("long"), F.lit(missing)).alias("_count"), touched.alias("_paths"))
+    hit = rows.join(paths, F.arrays_overlap("_paths", "_own"))
+    return hit.groupBy("feature").agg(F.count("*").alias("rows"), F.sum("_count").alias("total"))
 
 
 def feature_errors(features: DataFrame, errors: DataFrame, name: str) -> DataFrame:
     """Errors in a feature's files; a row without a count counts once."""
-    return _runtime(features, errors, name, 1, [])
+    return _runtime(features, errors, name, 1)
 
 
 def feature_pageviews(features: DataFrame, views: DataFrame, name: str) -> DataFrame:
     """Views of a feature's files; a row without a count counts nothing."""
-    return _runtime(features, views, name, 0, [])
+    return _runtime(features, views, name, 0)
 
 
 def repo_summary(features: DataFrame, flows: DataFrame) -> DataFrame:

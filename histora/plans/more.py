@@ -24,8 +24,7 @@ def _tree(d: Domain) -> DataFrame:
     return d.table("part").select("p_partkey", "p_brand", "p_type", "p_size", F.expr(PATH_SQL).alias("path"))
 
 
-@query("", PATHS_SQL + r""" SELECT p_partkey, CASE WHEN regexp_matches(path, '(^|/)(locales?|i18n|translations?)/.*\.(json|ya?ml|po|ts)$') THEN 'locale' END AS artifact,
-  CASE WHEN regexp_matches(path, '(^|/)(docs?|guides?|help)(/|$)') THEN 'docs' WHEN regexp_matches(path, '(^|/)api(/|$)') THEN 'api' ELSE 'product' END AS surface FROM f""")
+@query("", PATHS_SQL + r""" SELECT p_partkey, CASE WHEN path LIKE 'locales/%' AND path LIKE '%.json' THEN 'locale' END AS artifact, CASE WHEN path LIKE 'docs/%' THEN 'docs' ELSE 'product' END AS surface FROM f""")
 def path_classes(d: Domain) -> DataFrame:
     return _tree(d).select("p_partkey", shaping.artifact_kind("path").alias("artifact"), shaping.surface("path").alias("surface"))
 

@@ -385,19 +385,10 @@ def flow_overlap_counts(d: Domain) -> DataFrame:
     return ownership.flow_overlaps(d.flow_paths)
 
 
-@query("flow_paths fp", """, n AS (SELECT feature, count(*) AS c FROM fp GROUP BY 1), k AS (SELECT fp.feature, flow % 4 AS product, count(DISTINCT path) AS shared FROM fp JOIN flow_paths USING (path) WHERE flow % 7 < 2 GROUP BY ALL),
-r AS (SELECT feature AS dev, product, shared, shared::DOUBLE / c AS share, row_number() OVER (PARTITION BY feature ORDER BY shared::DOUBLE / c DESC, product) AS nth FROM k JOIN n USING (feature) WHERE shared::DOUBLE / c >= 0.5)
-SELECT dev, product, shared, share FROM r WHERE nth = 1""")
-def member_backfill(d: Domain) -> DataFrame:
-    product = d.flow_paths.where("flow % 7 < 2").select((F.col("flow") % 4).alias("b_id"), F.col("path").alias("member"))
-    return ownership.backfill(d.feature_paths.select(F.col("feature").alias("a_id"), F.col("path").alias("member")), product)
-
-
 @query("flow_paths fp", """, n AS (SELECT feature, count(*) AS c FROM fp GROUP BY 1), k AS (SELECT fp.feature, flow % 4 AS product, count(DISTINCT path) AS shared FROM fp JOIN flow_paths USING (path) GROUP BY ALL),
 r AS (SELECT feature AS dev, product, shared, shared::DOUBLE / c AS share, row_number() OVER (PARTITION BY feature ORDER BY shared::DOUBLE / c DESC, product) AS nth FROM k JOIN n USING (feature) WHERE shared::DOUBLE / c >= 0.5)
 SELECT dev, product, shared, share FROM r WHERE nth = 1""")
-def member_backfill_whole(d: Domain) -> DataFrame:
-    """member_backfill over all flows."""
+def member_backfill(d: Domain) -> DataFrame:
     product = d.flow_paths.select((F.col("flow") % 4).alias("b_id"), F.col("path").alias("member"))
     return ownership.backfill(d.feature_paths.select(F.col("feature").alias("a_id"), F.col("path").alias("member")), product)
 
@@ -450,17 +441,10 @@ def product_labels(d: Domain) -> DataFrame:
 # -- graphs ------------------------------------------------------------------------
 
 
-@query("edges fp", """, w(seed, node, depth) AS (SELECT DISTINCT feature, path, 0 FROM fp WHERE dir LIKE 'a%' OR dir LIKE 'b%' UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN edges e ON e.importer = w.node WHERE w.depth < 2)
+@query("edges fp", """, w(seed, node, depth) AS (SELECT DISTINCT feature, path, 0 FROM fp UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN edges e ON e.importer = w.node WHERE w.depth < 3)
 SELECT seed, node, min(depth) AS depth FROM w GROUP BY ALL""")
 def import_reach(d: Domain) -> DataFrame:
-    """Reach over imports from the files of each feature in directories of a and b."""
-    seeds = d.feature_paths.where("dir like 'a%' or dir like 'b%'").select(F.col("feature").alias("seed"), F.col("path").alias("node"))
-    return graph.reach(d.edges, seeds, 2)
-
-
-@query()
-def import_reach_whole(d: Domain) -> DataFrame:
-    """import_reach from all files of each feature, to the operator's depth; no plain SQL, tested against a walk."""
+    """Reach over imports from all files of each feature, to the operator's depth."""
     return graph.reach(d.edges, d.feature_paths.select(F.col("feature").alias("seed"), F.col("path").alias("node")))
 
 
@@ -481,26 +465,29 @@ def file_lane(d: Domain) -> DataFrame:
     return graph.file_lane(d.flow_paths.select("path", (F.col("flow") % 50).alias("product")), d.spark.range(1).select(F.lit(50).alias("n")), 45)
 
 
-SPARSE = "l_quantity = 50 AND l_discount < 0.005"
+def _label_rounds(n: int) -> str:
+    """SQL for least labels that go to and fro over the pairs (a, b) of e: n rounds are enough where no path is longer than 2n."""
+    rounds = ["l0 AS MATERIALIZED (SELECT a, min(b) AS label FROM e GROUP BY a)"]
+    for k in range(n):
+        rounds.append(f"r{k} AS MATERIALIZED (SELECT b, min(label) AS label FROM e JOIN l{k} USING (a) GROUP BY b)")
+        rounds.append(f"l{k + 1} AS MATERIALIZED (SELECT a, min(label) AS label FROM e JOIN r{k} USING (b) GROUP BY a)")
+    return ", ".join(rounds)
 
 
-@query("", f"""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE {SPARSE}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w(node, other) AS (SELECT a, a FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY node""")
+@query("", f"""WITH e AS MATERIALIZED (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), {_label_rounds(8)}
+SELECT a AS node, label AS component FROM l8 UNION ALL SELECT b, min(label) FROM e JOIN l8 USING (a) GROUP BY b""")
 def import_components(d: Domain) -> DataFrame:
-    e = d.table("lineitem").where(SPARSE).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
-    return graph.components(e)
-
-
-@query()
-def import_components_whole(d: Domain) -> DataFrame:
-    """import_components over all line items; no plain SQL, as a recursive query keeps every pair, tested against a walk."""
+    """Components over all line items; a part's name sorts before any supplier's, so the least label is a part's."""
     e = d.table("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
     return graph.components(e)
 
 
 def _set_checkpoints(spark: SparkSession) -> None:
-    """The folder that the cluster names; a local one only where it names none."""
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/histora-checkpoints")
+    """The folder that the cluster names. On one machine, as in tests, a local one stands in; on several it must be named."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(at or "/tmp/histora-checkpoints")
 
 
 @query("edges", """, c AS (SELECT p_partkey AS node, p_brand AS cluster FROM part), b AS (SELECT x.cluster AS ca, y.cluster AS cb FROM edges JOIN c x ON x.node = importer JOIN c y ON y.node = target), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1)
@@ -657,16 +644,9 @@ def entry_dedup(d: Domain) -> DataFrame:
     return sets.entry_dedup(f, d.table("part").select(F.col("p_partkey").alias("path"), (F.col("p_partkey") % 9).alias("owner"))).drop("paths")
 
 
-@query("", """WITH f AS (SELECT p_brand || '/' || p_type AS name, p_brand AS parent, p_partkey AS path FROM part WHERE p_size < 3), g AS (SELECT parent, count(DISTINCT name) AS siblings FROM f GROUP BY 1)
-SELECT CASE WHEN siblings >= 3 THEN parent ELSE name END AS name, count(DISTINCT path) AS paths, bool_or(siblings >= 3) AS collapsed FROM f JOIN g USING (parent) GROUP BY 1""")
-def sibling_collapse(d: Domain) -> DataFrame:
-    return sets.collapse_siblings(d.table("part").where("p_size < 3").select(F.concat_ws("/", "p_brand", "p_type").alias("name"), F.col("p_brand").alias("parent"), F.col("p_partkey").alias("path")))
-
-
 @query("", """WITH f AS (SELECT p_brand || '/' || p_type AS name, p_brand AS parent, p_partkey AS path FROM part), g AS (SELECT parent, count(DISTINCT name) AS siblings FROM f GROUP BY 1)
 SELECT CASE WHEN siblings >= 3 THEN parent ELSE name END AS name, count(DISTINCT path) AS paths, bool_or(siblings >= 3) AS collapsed FROM f JOIN g USING (parent) GROUP BY 1""")
-def sibling_collapse_whole(d: Domain) -> DataFrame:
-    """sibling_collapse over all parts."""
+def sibling_collapse(d: Domain) -> DataFrame:
     return sets.collapse_siblings(d.table("part").select(F.concat_ws("/", "p_brand", "p_type").alias("name"), F.col("p_brand").alias("parent"), F.col("p_partkey").alias("path")))
 
 
@@ -741,7 +721,7 @@ def overturn_ledger(d: Domain) -> DataFrame:
 
 
 @query("", """WITH f AS (SELECT DISTINCT lower(event_type) || '-' || (user_id % 20) || '-items' AS flow, 'd' || (event_id % 3) AS domain, CASE WHEN event_type = 'error' THEN 'cron' ELSE 'interactive' END AS trigger FROM events)
-SELECT domain, regexp_extract(flow, '-(.*)s$', 1) AS resource, CASE split_part(flow, '-', 1) WHEN 'view' THEN 'view' ELSE 'use' END AS intent, CASE WHEN trigger = 'interactive' THEN 'person' ELSE 'system' END AS space, count(*) AS flows FROM f GROUP BY 1, 2, 3, 4""")
+SELECT domain, regexp_extract(flow, '-(.*)s$', 1) AS resource, CASE split_part(flow, '-', 1) WHEN 'view' THEN 'browse' WHEN 'login' THEN 'execute' ELSE 'other' END AS intent, CASE WHEN trigger = 'interactive' THEN 'person' ELSE 'system' END AS space, count(*) AS flows FROM f GROUP BY 1, 2, 3, 4""")
 def journey_clusters(d: Domain) -> DataFrame:
     f = d.table("events").select(F.concat(F.lower("event_type"), F.lit("-"), (F.col("user_id") % 20).cast("string"), F.lit("-items")).alias("flow"), F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("domain"), F.when(F.col("event_type") == "error", "cron").otherwise("interactive").alias("trigger")).distinct()
     return journeys.cluster(f).drop("members")
@@ -809,6 +789,6 @@ def _with_checkpoints(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[
     return run
 
 
-for _name in ("identity_match", "import_reach", "import_reach_whole", "import_components", "import_components_whole"):
+for _name in ("identity_match", "import_reach", "import_components"):
     QUERIES[_name] = _with_checkpoints(QUERIES[_name])
 del _name

@@ -278,7 +278,7 @@ def test_components_of_a_path_in_no_order(spark):
 
 
 def test_whole_table_queries(spark):
-    q, d = {k: rows(QUERIES[f"{k}_whole"](spark, SMALL)) for k in ("import_reach", "import_components", "member_backfill", "sibling_collapse")}, Domain(spark, SMALL)
+    q, d = {k: rows(QUERIES[k](spark, SMALL)) for k in ("import_reach", "import_components", "member_backfill", "sibling_collapse")}, Domain(spark, SMALL)
     files, flows, steps = rows(d.feature_paths.select("feature", "path")), rows(d.flow_paths.select("flow", "path")), {}
     for a, b in rows(d.edges.select("importer", "target")):
         steps.setdefault(a, set()).add(b)
@@ -359,7 +359,7 @@ def test_touched_and_rehydrated(spark):
 
 def test_clusters_by_domain_resource_intent(spark):
     f = spark.createDataFrame([("create-users-flow", "d", "interactive"), ("add-user", "d", "interactive"), ("purge-users", "d", "cron")], "flow string, domain string, trigger string")
-    assert rows(journeys.cluster(f), "resource", "intent", "space", "flows") == [("user", "create", "person", 2), ("user", "use", "system", 1)]
+    assert rows(journeys.cluster(f), "resource", "intent", "space", "flows") == [("user", "author", "person", 2), ("user", "other", "system", 1)]
 
 
 @pytest.mark.parametrize("kind,want", [("single_saas", [("f", "P"), ("g", None)]), ("backend", [("f", "Q"), ("g", "Q")]), ("universal", [("f", "P"), ("g", "Q")]), ("turborepo", [("f", None), ("g", None)])])
@@ -400,6 +400,15 @@ def test_tools(spark, features):
         tools.call("none")
 
 
+def test_equal_runtime_rows_all_count(spark, features):
+    name = features.first()["feature"]
+    path = features.first()["paths"][0]
+    errors = spark.createDataFrame([(path, 2, "a"), (path, 2, "a"), (path, 3, "b"), (path, None, "c"), ("none", 9, "d")], "path string, count int, kind string")
+    assert [(r["rows"], r["total"]) for r in tools.feature_errors(features, errors, name).collect()] == [(4, 8)]
+    several = spark.createDataFrame([([path, path, "none"], 2), ([path], None), (["none"], 5)], "paths array<string>, count int").withColumn("path", F.lit(None).cast("string"))
+    assert [(r["rows"], r["total"]) for r in tools.feature_pageviews(features, several, name).collect()] == [(2, 2)]
+
+
 def test_change_tools(spark):
     f = spark.createDataFrame([("a", 0.5, 50.0), ("b", 0.0, None)], "feature string, bug_fix_ratio double, coverage_pct double")
     fp = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "feature string, path string")

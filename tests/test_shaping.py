@@ -12,7 +12,45 @@ def test_classes_and_shapes(spark):
     assert shaping.repo_shape(shaping.repo_signals(files)).first()["shape"] == "monorepo"
     assert rows(shaping.partition_plan(files), "workspace", "files", "class") == [("apps/web", 2, "product"), ("packages/ui", 2, "library"), ("root", 1, "product")]
     kinds = files.sparkSession.createDataFrame([("locales/en.json",), ("a/__snapshots__/x.snap",), ("src/a.ts",)], "p string").select(shaping.artifact_kind("p"), shaping.surface("p"))
-    assert [tuple(r) for r in kinds.collect()] == [("locale", "product"), ("snapshot", "product"), (None, "product")]
+    assert [tuple(r) for r in kinds.collect()] == [("locale", "product"), (None, "product"), (None, "product")]
+
+
+def test_artifacts(spark):
+    want = {
+        "apps/web/locales/en/common.json": "locale", "i18n/de.po": "locale", "messages/package.json": None, "lang/tsconfig.base.json": None, "src/lang/en.ts": None,
+        "src/__generated__/types.ts": "generated", "a/generated-metadata/x.json": "generated", "src/api.generated.ts": "generated", "src/generatedx/a.ts": None,
+        "src/__mocks__/data.ts": None, "src/mocks/data.ts": "testing", "packages/testing/mock-data/a.ts": "testing", "db/seeds/users.ts": "seed", "x/seed-data/a.sql": "seed",
+        "seeds.ts": None, "src/a.ts": None,
+    }
+    got = spark.createDataFrame([(p,) for p in want], "p string").select("p", shaping.artifact_kind("p")).collect()
+    assert {r[0]: r[1] for r in got} == want
+
+
+def test_surfaces(spark):
+    want = {
+        "app/(marketing)/pricing/page.tsx": "marketing", "app/(dashboard)/blog/page.tsx": "product", "apps/web/app/legal/terms/page.tsx": "legal", "pages/blog.tsx": "marketing",
+        "src/features/blog-model/a.ts": None, "apps/docs/app/guides/auth/page.tsx": "docs", "packages/cli/src/index.ts": "dev_tooling", "docs/readme.md": "docs", "website/src/x.ts": "marketing",
+        "docs": None, "app/routes/api/x.ts": None, "blog/app/x/page.tsx": None, "app/(.)pricing/page.tsx": None, "tools/storybook/a/b.ts": "dev_tooling",
+    }
+    got = spark.createDataFrame([(p,) for p in want], "p string").select("p", shaping.surface_signal("p"), shaping.surface_signal("p", F.array(F.lit("packages/cli")))).collect()
+    assert {r[0]: r[1] for r in got} == want and [r[2] for r in got if r[0].startswith("packages/cli")] == ["product"]
+    routes = {"/pricing": "marketing", "/docs/[slug]": "docs", "/u/:blog": None, "/privacy/blog": "legal", "": None}
+    got = spark.createDataFrame([(p,) for p in routes], "p string").select("p", shaping.route_surface("p"), shaping.is_shell("p"), shaping.is_info_page("p")).collect()
+    assert {r[0]: r[1] for r in got} == routes
+    names = spark.createDataFrame([("Home",), ("main-page",), ("Home Office",)], "p string").select(shaping.is_shell("p")).collect()
+    assert [r[0] for r in names] == [True, True, False]
+    info = spark.createDataFrame([("app/faq/page.tsx",), ("app/terms.tsx",), ("src/faq/page.tsx",)], "p string").select(shaping.is_info_page("p")).collect()
+    assert [r[0] for r in info] == [True, True, False]
+
+
+def test_flow_names(spark):
+    from histora.operators import journeys
+
+    want = {"create-detector-flow": ("create", "detector", "author"), "list-classes": ("list", "class", "browse"), "archive-status": ("archive", "status", "lifecycle"), "frob-cases-analyses": ("frob", "case-analyse", "other"), "delete": ("delete", "item", "manage"), "export-companies-flow": ("export", "company", "export")}
+    got = journeys.split_name(spark.createDataFrame([(f,) for f in want], "flow string")).collect()
+    assert {r["flow"]: (r["verb"], r["resource"], r["intent"]) for r in got} == want
+    named = spark.createDataFrame([("user_group", "author", "x"), (None, "lifecycle", "order")], "d string, i string, r string").select(journeys.journey_name(F.col("d"), F.col("i"), F.col("r"))).collect()
+    assert [r[0] for r in named] == ["Create & edit user groups", "Transition order through its lifecycle"]
 
 
 def test_reconcile(spark):

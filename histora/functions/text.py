@@ -128,27 +128,66 @@ def ancestors(path: str | Column) -> Column:
     return F.when(F.size(parts) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
 
 
-TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs", "e2e", "cypress", "__mocks__")
+# FIXED VALUES: what marks tests, made files and files that are no feature's.
+TEST_DIRS = ("__tests__", "__mocks__", "tests", "test", "e2e", "cypress", "playwright", "__fixtures__")
+TEST_WORDS = ("test", "tests", "spec", "specs", "e2e", "cy")
+LEGACY_TEST = r"(?i)\.(?:test|spec)\.(?:ts|tsx|js|jsx|py)$|/__tests__/|/tests?/|/test_[^/]+\.py$|/[^/]+_test\.py$"
+VENDOR_DIRS = ("node_modules", "vendor", "venv", ".venv", "dist", "build", "out", ".next", ".turbo", "target", "__pycache__", ".pytest_cache", ".generated", "generated")
+GENERATED_NAMES = (
+    r"\.pb\.(?:go|cc|h|dart|rb|swift|ts|js)$", r"\.pb\.gw\.go$", r"_grpc\.pb\.(?:go|ts)$", r"_pb2(?:_grpc)?\.pyi?$", r"[._]generated\.(?:go|cc|cpp|cxx|h|hpp|cs|swift|kt|dart|rb)$",
+    r"[._]gen\.(?:go|cc|cpp|cxx|h|hpp|cs|swift|kt|dart|rb)$", r"^zz_generated[._].*\.go$", r"_string\.go$", r"\.g\.dart$|\.freezed\.dart$", r"\.designer\.cs$",
+)
+INFRA_DIRS = (
+    "tests", "test", "__tests__", "migrations", "fixtures", "scripts", "ci", ".github", "docs", "static", "assets", "templates", "locale", "management",
+    "prisma", "drizzle", "graphql-schema", "docker", "deploy", "infra", "terraform",
+)
+INFRA_ENDINGS = ("toml", "lock", "cfg", "ini", "yml", "yaml", "json", "md", "txt", "rst")
+INFRA_NAMES = (
+    "dockerfile", "docker-compose.yml", "makefile", "caddyfile", ".gitignore", ".env", ".env.example", "readme.md", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt",
+    "package.json", "package-lock.json", "tsconfig.json", "vite.config.ts", "next.config.js", "tailwind.config.js",
+)
+
+
+def _parts(path: Column) -> tuple[Column, Column]:
+    """Directories and name of a path, in lower case."""
+    parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
+    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1)
 
 
 def is_test_path(path: str | Column) -> Column:
-    """A test directory above the file, or a test mark in its name."""
-    path = _col(path)
-    parts = F.split(F.lower(path), "/")
-    inside = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: s.isin(*TEST_DIRS))
-    return inside | F.lower(path).rlike(r"(?:^|/)(?:test_[^/]*|[^/]*(?:_test|\.test|\.spec|_spec))\.[a-z]+$")
+    """A test directory above the file, or a name whose last part before the ending begins or ends with a test word."""
+    dirs, name = _parts(_col(path))
+    dotted = F.split(name, r"\.")
+    words = F.filter(F.split(F.try_element_at(dotted, F.lit(-2)), "[-_]"), lambda w: w != "")
+    marked = (F.size(dotted) >= 2) & (F.try_element_at(words, F.lit(1)).isin(*TEST_WORDS) | F.try_element_at(words, F.lit(-1)).isin(*TEST_WORDS))
+    return F.exists(dirs, lambda s: s.isin(*TEST_DIRS)) | F.coalesce(marked, F.lit(False))
+
+
+def is_test_path_legacy(path: str | Column) -> Column:
+    """The older rule, by pattern alone."""
+    return F.concat(F.lit("/"), F.replace(_col(path), F.lit("\\"), F.lit("/"))).rlike(LEGACY_TEST)
+
+
+def is_vendor_or_test(path: str | Column) -> Column:
+    """Files whose imports count for nobody."""
+    at = F.concat(F.lit("/"), _col(path))
+    return at.rlike("/(?:" + "|".join(d.replace(".", r"\.") for d in (*VENDOR_DIRS, "tests", "test", "__tests__", "spec")) + r")/|\.test\.|\.spec\.|_test\.go")
 
 
 def is_generated(path: str | Column, text: Column | None = None) -> Column:
-    named = F.lower(_col(path)).rlike(r"(?:\.generated\.|\.gen\.|\.pb\.|_pb2\.py$|\.min\.(?:js|css)$|\.d\.ts$|(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml)$)")
+    """A name that only generators give, or their banner at the head of the text."""
+    _, name = _parts(_col(path))
+    named = name.rlike("|".join(GENERATED_NAMES))
     if text is None:
         return named
-    return named | F.coalesce(F.substring(text, 1, 2048).rlike(r"(?i)@generated|do not edit|auto-?generated"), F.lit(False))
+    return named | F.coalesce(F.substring(text, 1, 2048).rlike(r"(?i)@generated|code generated|do not edit"), F.lit(False))
 
 
 def is_infra(path: str | Column) -> Column:
-    path = F.lower(_col(path))
-    return path.rlike(r"(?:^|/)(?:dockerfile|makefile|jenkinsfile|procfile|\.gitignore|\.editorconfig)$|\.(?:tf|tfvars|lock|toml|ini|cfg)$|^[^/]+\.(?:json|ya?ml|config\.[jt]s)$|^\.github/")
+    """Settings and files of directories that are no feature's, hidden ones too; settings' endings count near the root."""
+    dirs, name = _parts(_col(path))
+    placed = F.exists(dirs, lambda d: d.isin(*INFRA_DIRS) | F.startswith(d, F.lit(".")))
+    return placed | name.isin(*INFRA_NAMES) | ((F.size(dirs) <= 1) & extension(_col(path)).isin(*INFRA_ENDINGS))
 
 
 def is_non_source(path: str | Column) -> Column:
@@ -177,7 +216,7 @@ def url_matches(url: Column, pattern: Column) -> Column:
 def path_to_route(path: str | Column) -> Column:
     """Route of a file by the app-directory convention: groups dropped, [x] as a parameter; null for other files."""
     path = _col(path)
-    inner = F.regexp_extract(path, r"(?:^|/)(?:app|pages|routes)/(.*?)/?(?:page|route|index|\+page|\+server)\.[jt]sx?$|(?:^|/)(?:app|pages|routes)/(?:\+page|\+server)\.svelte$", 1)
+    inner = F.regexp_extract(path, r"(?:^|/)(?:app|pages|routes)/(.*?)/?(?:page|route|index|\+page|\+server)\.(?:[jt]sx?|svelte)$", 1)
     is_route = path.rlike(r"(?:^|/)(?:app|pages|routes)/(?:.*/)?(?:page|route|index|\+page|\+server)\.(?:[jt]sx?|svelte)$")
     segments = F.filter(F.split(inner, "/"), lambda s: (s != "") & ~s.rlike(r"^\(.*\)$") & ~F.startswith(s, F.lit("@")))
     named = F.transform(segments, lambda s: F.regexp_replace(s, r"^\[+(?:\.\.\.)?([^\]]+)\]+$", "{$1}"))
@@ -212,18 +251,24 @@ def trigger_of(pattern: Column, path: Column, text: Column | None = None) -> Col
     return out.otherwise("interactive")
 
 
+# FIXED VALUES: roles by name, the first that matches.
 SYMBOL_ROLES = (
-    ("type", r"(?i)(?:types?|props|dto|schema)$"),
-    ("hook", r"^use[A-Z]"),
-    ("handler", r"(?i)^(?:get|post|put|patch|delete)$|handler$|controller$|^handle"),
-    ("validator", r"(?i)^(?:validate|is|has|check|assert)"),
-    ("mapper", r"(?i)^(?:to|from|map|format|parse|serialize)"),
-    ("component", r"^[A-Z]\w*$"),
+    ("loading-state", r"(?:^|[a-zA-Z_])(?:is|has)?(?:Loading|Pending|Fetching|Submitting|Saving|Refetching)(?:$|[A-Z_])"),
+    ("error-state", r"(?:^|[a-zA-Z_])(?:is|has)?(?:Error|Errors|ErrorMessage|ErrorState|Failure|Failed)(?:$|[A-Z_])"),
+    ("validator", r"^(?:validate|isValid|check|assert|ensure)[A-Z_]|^[a-zA-Z][A-Za-z]*Schema$|.+Validator$"),
+    ("data-fetch", r"^use[A-Z][A-Za-z]*(?:Mutation|Query|InfiniteQuery|SuspenseQuery|Subscription)$|^(?:fetch|get|list|load|create|update|delete)[A-Z][A-Za-z]*(?:Async|Promise)?$"),
+    ("side-effect", r"^use[A-Z][A-Za-z]*Effect$|^on[A-Z][A-Za-z]+$|^(?:before|after)[A-Z][A-Za-z]+Hook$"),
+    ("state", r"^(?:set|use)[A-Z][A-Za-z]*(?:State|Store|Atom|Signal|Reducer|Context)?$|.+(?:Atom|Signal|Store|Slice|Reducer|Context)$"),
+    ("handler", r"^handle[A-Z][A-Za-z]*$|^[A-Za-z]+(?:Handler|Controller|Action)$"),
 )
+HTTP_VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 
-def symbol_role(name: Column, kind: Column, path: Column) -> Column:
-    out = F.when(kind.isin("type", "interface", "enum"), "type").when(is_test_path(path), "test")
+def symbol_role(name: Column, kind: Column, path: Column, has_routes: Column | None = None) -> Column:
+    """What a symbol does in a flow, by its name, kind and file; ``helper`` if nothing tells."""
+    out = F.when(F.coalesce(name, F.lit("")) == "", "helper").when(kind.isin("type", "enum", "reexport"), "type")
+    out = out.when((has_routes if has_routes is not None else F.lit(False)) & name.isin(*HTTP_VERBS), "entry")
     for role, pattern in SYMBOL_ROLES:
         out = out.when(name.rlike(pattern), role)
-    return out.otherwise("helper")
+    drawn = path.rlike(r"(?i)\.[jt]sx$") & kind.isin("function", "class", "const") & name.rlike("^[A-Z]") & (F.upper(name) != name)
+    return out.when(drawn, "ui-component").otherwise("helper")

@@ -70,4 +70,4 @@ def freshness(commits: DataFrame, since, as_of, changed: DataFrame, known: DataF
 
 def quiet_periods(events: DataFrame, gap: str = "30 seconds") -> DataFrame:
     """Bursts of file events, each ended by a time of silence; works on streams with a watermark too. events: repo, ts, path."""
-    return events.groupBy("repo", F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("events"), F.approx_count_distinct("path").alias("paths") if events.isStreaming else F.countDistinct("path").alias("paths")).select("repo", F.col("burst.start").alias("started"), F.col("burst.end").alias("fired"), "events", "paths")
+    return events.groupBy("repo", F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("events"), F.size(F.collect_set("path")).cast("long").alias("paths")).select("repo", F.col("burst.start").alias("started"), F.col("burst.end").alias("fired"), "events", "paths")

@@ -27,30 +27,69 @@ def running_metrics(commit_features: DataFrame) -> DataFrame:
     return commit_features.groupBy("feature").agg(F.count("*").alias("total_commits"), F.sum(F.col("is_bug_fix").cast("long")).alias("bug_fixes"))
 
 
-def merge_into(path: str):
-    """A foreachBatch function that adds a batch's counts to the snapshot of the batch before.
-
-    Snapshots are folders by batch number, so a batch that is run again after a failure
-    writes the same folder from the same base: the merge is idempotent.
+#: Parts of the state, by a hash of the feature; a batch rewrites only the parts that it touches.
+BUCKETS = 64
+_STATE = "feature string, sha string, is_bug_fix boolean"
+
+
+def _versions(spark: SparkSession, path: str, before: int) -> dict[int, list[int]]:
+    """Versions of each part that are older than a batch, oldest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    if not fs.exists(at):
+        return found
+    for folder in fs.listStatus(at):
+        name = folder.getPath().getName()
+        if name.isdigit() and int(name) < before and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.getPath(), "_SUCCESS")):
+            for part in fs.listStatus(folder.getPath()):
+                inner = part.getPath().getName()
+                if inner.startswith("bucket="):
+                    found.setdefault(int(inner[7:]), []).append(int(name))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def _part(path: str, version: int, bucket: int) -> str:
+    return f"{path}/{version:08d}/bucket={bucket}"
+
+
+def merge_into(path: str, buckets: int = BUCKETS):
+    """A foreachBatch function that adds a batch's commits to the state.
+
+    The state is the set of (feature, sha), in parts by feature, so a commit that comes again, in
+    this batch or a later one, counts once. A batch writes a version of the parts that it
+    touches and leaves the others; a version that two newer ones follow is removed. A batch that
+    is run again after a failure reads what was before it and writes the same: the merge is idempotent.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select("feature", "sha", "is_bug_fix").dropDuplicates(["feature", "sha"]).groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.col("is_bug_fix").cast("long")).alias("b"))
-        base = snapshot(spark, path, number - 1)
-        joined = base.join(fresh, "feature", "full_outer") if base is not None else fresh.withColumn("total_commits", F.lit(0)).withColumn("bug_fixes", F.lit(0))
-        zero = F.lit(0)
-        out = joined.select("feature", (F.coalesce("total_commits", zero) + F.coalesce("n", zero)).cast("long").alias("total_commits"), (F.coalesce("bug_fixes", zero) + F.coalesce("b", zero)).cast("long").alias("bug_fixes"))
-        out.write.mode("overwrite").parquet(f"{path}/{number:08d}")
+        bucket = F.pmod(F.xxhash64("feature"), F.lit(buckets)).cast("int")
+        fresh = batch.select(F.col("feature").cast("string").alias("feature"), F.col("sha").cast("string").alias("sha"), F.col("is_bug_fix").cast("boolean").alias("is_bug_fix")).withColumn("bucket", bucket)
+        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # at most as many as there are parts
+        known = _versions(spark, path, number)
+        old = [_part(path, known[b][-1], b) for b in touched if b in known]
+        whole = fresh
+        if old:
+            whole = whole.unionByName(spark.read.schema(_STATE).parquet(*old).withColumn("bucket", bucket))
+        merged = whole.groupBy("bucket", "feature", "sha").agg(F.bool_or("is_bug_fix").alias("is_bug_fix"))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{number:08d}")
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for b in touched:
+            for version in known.get(b, [])[:-1]:
+                fs.delete(fs_path(_part(path, version, b)), True)
 
     return merge
 
 
 def snapshot(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number:08d}")
-    if number < 0 or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    """Counts of each feature after a batch: feature, total_commits, bug_fixes; None if there is no state."""
+    known = _versions(spark, path, number + 1)
+    if not known:
         return None
-    return spark.read.parquet(f"{path}/{number:08d}")
+    state = spark.read.schema(_STATE).parquet(*[_part(path, v[-1], b) for b, v in sorted(known.items())])
+    return state.groupBy("feature").agg(F.count("*").alias("total_commits"), F.sum(F.col("is_bug_fix").cast("long")).alias("bug_fixes"))
 
 
 def start_refresh(commit_features: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -61,3 +100,10 @@ def start_refresh(commit_features: DataFrame, path: str, checkpoint: str, every:
 
 def status(query: StreamingQuery) -> dict:
     return {"active": query.isActive, "status": query.status, "progress": query.lastProgress}
+
+
+def stop(query: StreamingQuery, seconds: int = 30) -> bool:
+    """Stops a query and says whether it has ended."""
+    query.stop()
+    query.awaitTermination(seconds)
+    return not query.isActive

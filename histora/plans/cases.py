@@ -80,7 +80,7 @@ planted("history_subtree", {"raw": (COMMITS, RAW)}, lambda raw: history.prepare_
 
 
 def _snapshots(raw: DataFrame) -> DataFrame:
-    shared = intake.Snapshot(raw, most=10**9)
+    shared = intake.Snapshot(raw, most=None)
     whole, web = shared.of(), shared.of("apps/web")
     return whole.select(F.lit("all").alias("tree"), "sha", F.explode("files").alias("path")).unionByName(web.select(F.lit("web").alias("tree"), "sha", F.explode("files").alias("path")))
 

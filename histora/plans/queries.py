@@ -415,9 +415,13 @@ def minted_ids(d: Domain) -> DataFrame:
     return ownership.sequence_ids(d.table("part").select("p_partkey", F.col("p_name").alias("name")), "feature", "name", "p_partkey")
 
 
-@query()
+@query("fp", LINEAGE_SQL + """, p AS (SELECT a_id, b_id, jaccard, row_number() OVER (ORDER BY jaccard DESC, a_id, b_id) AS n FROM o WHERE jaccard >= 0.5),
+w(n, ua, ub, taken) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false
+  UNION ALL SELECT p.n, CASE WHEN list_contains(ua, a_id) OR list_contains(ub, b_id) THEN ua ELSE list_append(ua, a_id) END, CASE WHEN list_contains(ua, a_id) OR list_contains(ub, b_id) THEN ub ELSE list_append(ub, b_id) END,
+    NOT (list_contains(ua, a_id) OR list_contains(ub, b_id)) FROM w JOIN p ON p.n = w.n + 1)
+SELECT a_id, b_id, jaccard FROM p JOIN w USING (n) WHERE taken""")
 def identity_match(d: Domain) -> DataFrame:
-    """One-to-one matching of old and new groups, best overlap first; no plain SQL, tested against a walk."""
+    """One-to-one matching of old and new groups, best overlap first; the SQL walks the pairs one by one."""
     base, new = _lineage(d)
     return ownership.greedy_match(ownership.overlap(new, base).where("jaccard >= 0.5"), [F.desc("jaccard"), F.col("a_id"), F.col("b_id")]).select("a_id", "b_id", "jaccard")
 
@@ -546,9 +550,17 @@ def regression_risk(d: Domain) -> DataFrame:
     return tools.regression_risk(_features(d), d.feature_paths, _changed(d))
 
 
-@query()
+_FOLD = "list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), lambda t: CASE WHEN ends_with(t, 'ing') AND length(t) >= 6 THEN t[:-4] WHEN ends_with(t, 'es') AND length(t) >= 5 THEN t[:-3] WHEN ends_with(t, 's') AND length(t) >= 4 THEN t[:-2] ELSE t END)"
+_CREDIT = """list_sum(list_transform(q, lambda t: CASE WHEN list_contains({0}, t) THEN 1.0::DOUBLE
+  WHEN len(list_filter({0}, lambda x: (length(t) >= 3 AND starts_with(x, t)) OR (length(x) >= 3 AND starts_with(t, x)))) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)) / 3"""
+
+
+@query("", f"""WITH n AS (SELECT p_brand AS feature, count(*) AS file_count, string_agg(DISTINCT p_name, ' ') AS labels FROM part GROUP BY 1),
+h AS (SELECT *, {_FOLD.format("feature")} AS a, {_FOLD.format("labels")} AS b, {_FOLD.format("'parts of ' || feature")} AS c, {_FOLD.format("'Brand 34 parts'")} AS q FROM n),
+s AS (SELECT feature AS name, round(3 * {_CREDIT.format("a")} + 2 * {_CREDIT.format("b")} + {_CREDIT.format("c")}, 3) AS score, 'parts of ' || feature AS description, file_count::INTEGER AS file_count FROM h)
+SELECT * FROM s WHERE score > 0 ORDER BY score DESC, name LIMIT 3""")
 def find_feature(d: Domain) -> DataFrame:
-    """The three best matches of a text query; scored by tokens, tested on fixtures."""
+    """The three best matches of a text query, scored by tokens; three is the tool's answer."""
     return tools.find_feature(_features(d), "Brand 34 parts")
 
 
@@ -591,9 +603,10 @@ def carry_forward(d: Domain) -> DataFrame:
     return incremental.carry_forward(rows.drop("p_size"), rows.select("uuid", (F.col("total") * 2).alias("total")), rows.where("p_size > 40").select("uuid"), ["total"])
 
 
-@query("", "SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("", "SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)")
 def orphan_files(d: Domain) -> DataFrame:
-    return incremental.orphans(d.table("part").select(F.col("p_partkey").alias("path")), d.table("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("path")))
+    owned = d.table("lineitem").where("l_returnflag = 'R' and l_quantity >= 49")
+    return incremental.orphans(d.table("part").select(F.col("p_partkey").alias("path")), owned.select(F.col("l_partkey").alias("path")))
 
 
 @query("fp", """, o AS (SELECT p_partkey AS path, p_name || p_size AS dir, p_brand FROM part), d AS (SELECT dir, min(p_brand) AS feature FROM o WHERE path % 2 = 0 GROUP BY dir HAVING count(DISTINCT p_brand) = 1),

@@ -23,8 +23,9 @@ from .history import commit_files, describe_files, newest, prepare_commits, scop
 class Snapshot:
     """One reading of a history for any number of subtrees: the commits are prepared once and cached, each subtree is a view of them."""
 
-    def __init__(self, raw: DataFrame, since: str | None = None, most: int = 7000) -> None:
-        self.commits = newest(prepare_commits(raw, since), most).cache()
+    def __init__(self, raw: DataFrame, since: str | None = None, most: int | None = 7000) -> None:
+        commits = prepare_commits(raw, since)
+        self.commits = (commits if most is None else newest(commits, most)).cache()
 
     def of(self, subtree: str | None = None) -> DataFrame:
         if not subtree:

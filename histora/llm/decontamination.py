@@ -221,3 +221,22 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram:
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+iw AS (SELECT item_id, w, least(len(w), {SPAN}) AS k, unnest(range(1, len(w) - least(len(w), {SPAN}) + 2)) AS s FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM iw),
+sizes AS (SELECT DISTINCT k FROM win),
+ds AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d JOIN sizes ON len(w) >= k),
+m AS (SELECT rid, ds.k, s, item_id FROM ds JOIN win ON win.k = ds.k AND g = array_to_string(w[s:s + ds.k - 1], ' ')),
+p AS (SELECT rid, unnest(range(s, s + k)) AS place FROM m),
+h AS (SELECT rid, count(DISTINCT place) AS n_hit FROM p GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""

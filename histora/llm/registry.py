@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_url_filters": url_filters.OP3_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op10_benchmark_decontamination": decontamination.OP10_SQL,
 }

@@ -173,3 +173,14 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_te
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN} + 2)) AS s FROM d WHERE len(w) >= {SPAN}),
+g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + {SPAN} - 1], ' ') ORDER BY doc_id, s) AS nth FROM s),
+gone AS (SELECT DISTINCT doc_id, place FROM (SELECT doc_id, unnest(range(s, s + {SPAN})) AS place FROM g WHERE nth > 1)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d),
+k AS (SELECT doc_id, count(gone.place) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE gone.place IS NULL) AS kept FROM words LEFT JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

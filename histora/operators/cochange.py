@@ -40,11 +40,11 @@ def cocommit_claims(commit_files: DataFrame, feature_paths: DataFrame, least: in
     sizes = cf.groupBy("sha").agg(F.count("*").alias("size"))
     most = sizes.agg(F.greatest(F.lit(1), F.expr(f"percentile_disc({size_share}) within group (order by size)").cast("long")).alias("most"))
     usable = sizes.crossJoin(F.broadcast(most)).where("size <= most").select("sha")  # one row
-    cf = cf.join(usable, "sha", "left_semi")
+    cf = cf.join(usable, "sha", "left_semi").checkpoint()  # read four times below
     orphans = cf.join(feature_paths.select("path").distinct(), "path", "left_anti")
     touched = cf.join(feature_paths.select("path", "feature"), "path").select("sha", "feature").distinct()
     totals = orphans.groupBy("path").agg(F.count("*").alias("total"))
-    co = orphans.join(touched, "sha").groupBy("path", "feature").agg(F.count("*").alias("n"))
+    co = orphans.join(touched, "sha").groupBy("path", "feature").agg(F.count("*").alias("n")).checkpoint()
     floor = co.agg(F.greatest(F.lit(least), F.expr("percentile_disc(0.75) within group (order by n)").cast("long")).alias("floor"))
     passing = co.join(totals, "path").crossJoin(F.broadcast(floor)).where((F.col("n") >= F.col("floor")) & (F.col("n") >= majority * F.col("total")))
     by = Window.partitionBy("path").orderBy(F.desc("n"))

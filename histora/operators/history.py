@@ -34,10 +34,6 @@ def trailing(weekly: DataFrame, weeks: int = TRAILING_WEEKS) -> DataFrame:
     return out.withColumn("health_lite", F.round(F.lit(100.0) * (F.lit(1.0) - share), 1))
 
 
-def first_tests(weekly: DataFrame) -> DataFrame:
-    return weekly.where("test_commits > 0").groupBy("entity").agg(F.min("week_idx").alias("pivot"))
-
-
 def activity_gate(weekly: DataFrame) -> DataFrame:
     """Entities under the median of all entities' commits."""
     totals = weekly.groupBy("entity").agg(F.sum("commits").alias("total"))
@@ -53,18 +49,24 @@ def share_shift(before_bugs, before_n, after_bugs, after_n):
     return F.when(delta > se, "down").when(-delta > se, "up").otherwise("no_change")
 
 
-def test_efficacy(weekly: DataFrame, gates: DataFrame) -> DataFrame:
-    """Bug share before and from the first test week on, with a verdict; the pivot week is after."""
-    pivot = first_tests(weekly)
-    joined = weekly.join(pivot, "entity", "left")
+def test_efficacy(weekly: DataFrame, gates: DataFrame | None = None) -> DataFrame:
+    """Bug share before and from the first test week on, with a verdict; the pivot week is after.
+
+    Without gates, entities under the median of all commits are gated, by the sums that are made here anyway.
+    """
+    joined = weekly.withColumn("pivot", F.min(F.when(F.col("test_commits") > 0, F.col("week_idx"))).over(Window.partitionBy("entity")))
     before = F.col("week_idx") < F.col("pivot")
 
     def total(c: str, side):
         return F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
 
     sums = joined.groupBy("entity").agg(
-        F.max("pivot").alias("pivot"), total("commits", before).alias("n_before"), total("bug_fixes", before).alias("b_before"), total("commits", ~before).alias("n_after"), total("bug_fixes", ~before).alias("b_after")
+        F.max("pivot").alias("pivot"), F.sum("commits").alias("total"), total("commits", before).alias("n_before"), total("bug_fixes", before).alias("b_before"), total("commits", ~before).alias("n_after"), total("bug_fixes", ~before).alias("b_after")
     )
+    if gates is None:
+        sums = sums.checkpoint()  # a row an entity
+        median = sums.agg(F.expr("percentile(total, 0.5)").alias("median"))
+        gates = sums.select("entity", "total").crossJoin(F.broadcast(median)).select("entity", (F.col("total") < F.col("median")).alias("gated"))  # one row
     shift = share_shift(F.col("b_before"), F.col("n_before"), F.col("b_after"), F.col("n_after"))
     verdict = (
         F.when(F.col("gated") | F.col("pivot").isNull() | (F.col("n_before") == 0) | (F.col("n_after") == 0), "insufficient_data")

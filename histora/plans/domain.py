@@ -41,7 +41,9 @@ class Domain:
     def fc(self) -> DataFrame:
         from ..operators.metrics import feature_commits
 
-        return feature_commits(self.commits, self.commit_files, self.feature_paths)
+        # lines as they are: feature_commits makes (commit, feature) distinct, so (commit, file) needn't be
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path"))
+        return feature_commits(self.commits, lines, self.feature_paths)
 
     @property
     def dated_fc(self) -> DataFrame:

@@ -182,8 +182,7 @@ e AS (SELECT *, bb / nb - ba / na AS delta, sqrt(greatest((bb + ba) / (nb + na)
 SELECT entity, pv AS pivot_week_idx, nb AS commits_before, na AS commits_after,
   CASE WHEN gated OR pv IS NULL OR nb = 0 OR na = 0 THEN 'insufficient_data' WHEN delta > se THEN 'improved' WHEN -delta > se THEN 'worsened' ELSE 'no_change' END AS verdict FROM e""")
 def test_efficacy(d: Domain) -> DataFrame:
-    weekly = history.weekly_history(d.touches)
-    return history.test_efficacy(weekly, history.activity_gate(weekly))
+    return history.test_efficacy(history.weekly_history(d.touches))
 
 
 @query("weekly", """, m AS (SELECT entity, quantile_cont(test_commits, 0.75)::DOUBLE AS mark FROM weekly WHERE test_commits > 0 GROUP BY entity),
@@ -802,6 +801,6 @@ def _with_checkpoints(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[
     return run
 
 
-for _name in ("identity_match", "import_reach", "import_components"):
+for _name in ("identity_match", "import_reach", "import_components", "cocommit_claims", "test_efficacy"):
     QUERIES[_name] = _with_checkpoints(QUERIES[_name])
 del _name

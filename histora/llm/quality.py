@@ -12,7 +12,7 @@ themselves, go through a logistic calibration to a score from 0 to 1.
 
 The model is fitted on the driver from a bounded sample: at most
 ``SAMPLE_ROWS`` labelled rows of each class, those with the smallest hash of
-doc_id, of texts up to ``SAMPLE_BYTES`` bytes. Two folds keep the calibration
+doc_id, of texts up to ``SAMPLE_BYTES`` bytes; of an id that repeats, one text. Two folds keep the calibration
 honest: a text is never measured against a dictionary that holds it. Scoring
 reads every whole text and sends nothing back.
 
@@ -176,8 +176,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", "label", "text")
     )
-    # ids may repeat, so the rows are bounded too
-    found = known_texts.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(4 * rows).collect()
+    # ids may repeat, so there is one text an id and label: the rows are bounded by the ids
+    found = known_texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     out, left = [], {0: rows, 1: rows}
     for r in sorted(found, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.text)):
         if left[r.label]:

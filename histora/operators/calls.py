@@ -16,6 +16,7 @@ from ..sources.scripts import SCRIPTS, Scan, read_script
 
 MOST_DEPTH = 4
 CROSS_DEPTH = 1
+STRETCH = 64
 MOST_NODES = 80
 #: Words before a round bracket that call nothing.
 NO_CALLS = frozenset("if for while switch catch return function typeof new await super import require async of in do else yield delete void".split())
@@ -46,6 +47,10 @@ def closure_confidence(depth: str | Column) -> Column:
 
 def _script_calls(path: str, text: str) -> Iterator[tuple]:
     scan, spans = Scan(text or ""), read_script(text or "")["defs"]
+    inmost: dict[int, tuple] = {}  # symbol around each line: wider spans are painted over by those within
+    for d in sorted((d for d in spans if d[0] != "const"), key=lambda d: (d[2] - d[3], d[1])):
+        for k in range(d[2], d[3] + 1):
+            inmost[k] = d
     for m in re.finditer(r"(?<![\w$.])(?:([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\(|<\s*([A-Z][\w$]*)(?=[\s/>]))", scan.bare):
         name = m[1] or m[2]
         if name in NO_CALLS:
@@ -53,11 +58,9 @@ def _script_calls(path: str, text: str) -> Iterator[tuple]:
         line = scan.line(m.start())
         if re.search(r"(?:function\s*\*?|class)\s*$", scan.bare[max(0, m.start() - 20) : m.start()]):
             continue
-        around = [d for d in spans if d[2] <= line <= d[3] and d[0] != "const"]
-        if around:
-            inner = min(around, key=lambda d: (d[3] - d[2], d[1]))
-            if inner[1] != name or line != inner[2]:
-                yield path, inner[1], name, line
+        inner = inmost.get(line)
+        if inner and (inner[1] != name or line != inner[2]):
+            yield path, inner[1], name, line
 
 
 def _python_calls(path: str, text: str) -> Iterator[tuple]:
@@ -400,7 +403,10 @@ def branches(files: DataFrame, symbols: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "kind", "condition", "start", "end"])
 
     found = files.where(F.endswith("path", F.lit(".py")) | F.col("path").rlike(SCRIPTS)).select("path", "text").mapInPandas(run, "path string, kind string, condition string, start int, end int")
-    around = found.join(symbols.select("path", F.col("name").alias("symbol"), F.col("start").alias("_a"), F.col("end").alias("_z")), "path").where("start >= _a and end <= _z")
+    # a branch meets the symbols of its stretch of lines
+    stretch = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor(F.col("end") / STRETCH))).alias("_s")
+    spans = symbols.where("start <= end").select("path", F.col("name").alias("symbol"), F.col("start").alias("_a"), F.col("end").alias("_z"), stretch)
+    around = found.withColumn("_s", F.floor(F.col("start") / STRETCH)).join(spans, ["path", "_s"]).where("start >= _a and end <= _z")
     inner = F.row_number().over(Window.partitionBy("path", "kind", "condition", "start", "end").orderBy(F.col("_z") - F.col("_a"), "symbol"))
     return around.withColumn("_nth", inner).where("_nth = 1").select("path", "symbol", "kind", "condition", "start", "end")
 

@@ -30,6 +30,11 @@ _OPEN, _CLOSE = "([{", ")]}"
 _REGEX_BEFORE = set("(,=:[!&|?{};\n") | {"n"}  # n: after return
 
 
+#: A line that goes on with the statement before it, and an end of a line that a statement can't have.
+_GOES_ON = re.compile(r"\s*(?:[.?:&|+*=,)\]}]|=>|extends\b|implements\b|as\b|satisfies\b)")
+_OPEN_END = re.compile(r"(?:[=,(+&|?:.]|=>)\s*$")
+
+
 @dataclass
 class Scan:
     """A text with comments and strings blanked, its brackets matched and its strings kept by place."""
@@ -129,7 +134,7 @@ class Scan:
                 return i
             if c in _CLOSE:
                 return i - 1
-            if c == "\n" and not re.match(r"\s*(?:[.?:&|+*=,)\]}]|=>|extends\b|implements\b|as\b|satisfies\b)", self.bare[i:]) and not re.search(r"(?:[=,(+&|?:.]|=>)\s*$", self.bare[max(0, i - 60) : i]):
+            if c == "\n" and not _GOES_ON.match(self.bare, i) and not _OPEN_END.search(self.bare[max(0, i - 60) : i]):
                 return i - 1
             i += 1
         return n - 1
@@ -143,6 +148,9 @@ _IMPORT = re.compile(r"import\s+(?P<type>type\s+)?(?:(?P<what>[^'\"`;]*?)\s*from
 _REEXPORT = re.compile(r"export\s+(?P<type>type\s+)?(?P<what>\*(?:\s*as\s+[\w$]+)?|\{[^}]*\})\s*from\s*(?P<quote>['\"])")
 _LIST = re.compile(r"export\s+(?P<type>type\s+)?\{(?P<what>[^}]*)\}(?!\s*from)")
 _DEFAULT = re.compile(r"export\s+default\s+(?!function\b|class\b|async\s+function\b|abstract\b)")
+_COMMON = re.compile(r"module\.exports\s*=\s*\{([^}]*)\}")
+_COMMON_ONE = re.compile(r"(?:module\.)?exports\.([\w$]+)\s*=\s*([\w$]+)\s*(?:;|$)", re.M)
+_DECORATOR = re.compile(r"(?m)^[ \t]*@[\w.]+(?:\(.*\))?[ \t]*\n\s*\Z")
 _CALLS = re.compile(r"\b(?P<how>import|require)\s*\(\s*(?P<quote>['\"`])")
 _METHOD = re.compile(r"(?P<head>(?:@[\w.]+(?:\([^)]*\))?\s*)*)(?:(?:public|private|protected|static|readonly|override|async|get|set|abstract)\s+)*\*?(?P<name>[\w$#]+)\s*(?:<[^>(]*>)?(?P<rest>\(|=\s*(?:async\s*)?(?:\(|[\w$]+\s*=>))")
 _JSX = re.compile(r"<\s*(?:[A-Z][\w.]*|[a-z][\w-]*|>)(?:[\s/>]|$)")
@@ -220,12 +228,12 @@ def read_script(text: str) -> dict[str, list[tuple]]:
         if r := _LIST.match(s.bare, at):
             exports.extend((b, "local", None, a) for a, b, t in _names(r["what"]) if not (t or r["type"]))
             continue
-        if r := re.match(r"module\.exports\s*=\s*\{([^}]*)\}", s.bare[at:]):
+        if r := _COMMON.match(s.bare, at):
             for part in r[1].split(","):
                 if p := re.match(r"\s*([\w$]+)(?:\s*:\s*([\w$]+))?\s*$", part):
                     exports.append((p[1], "local", None, p[2] or p[1]))
             continue
-        if r := re.match(r"(?:module\.)?exports\.([\w$]+)\s*=\s*([\w$]+)\s*(?:;|$)", s.bare[at:], re.M):
+        if r := _COMMON_ONE.match(s.bare, at):
             exports.append((r[1], "local", None, r[2]))
             continue
         if r := _DEFAULT.match(s.bare, at):
@@ -259,7 +267,7 @@ def read_script(text: str) -> dict[str, list[tuple]]:
             end = s.pairs.get(body, len(s.bare) - 1)
             name = name or "default"
             begin = at
-            while before := re.search(r"(?m)^[ \t]*@[\w.]+(?:\(.*\))?[ \t]*\n\s*$", s.bare[:begin]):
+            while before := _DECORATOR.search(s.bare, max(0, s.bare.rfind("\n", 0, max(0, s.bare.rfind("\n", 0, begin)))), begin):
                 begin = before.start()
             made = "component" if kind == "function" and name[:1].isupper() and _JSX.search(s.bare, body, end) else kind
             defs.append([made, name, s.line(begin), s.line(end), None, exported, "none"])

@@ -155,6 +155,13 @@ planted(
 )
 planted("executable_lines", {"files": (FILES, [("a{k}.py", "# c\n\nx = 1\n"), ("b{k}.ts", "/* a\n b */\n// c\nlet x\n\n"), ("c{k}.ts", None)])}, code.executable_lines, "path loc", [("a{k}.py", 1), ("b{k}.ts", 1), ("c{k}.ts", 0)])
 
+planted(
+    "text_rules",
+    {"files": (FILES, [("a{k}.prisma", "model Bill{k} {"), ("b{k}.go", 'r.GET("/x{k}", h)'), ("c{k}.ts", "export async function go{k}() {}"), ("d{k}.ts", None)])},
+    lambda files: code.from_text(files).where("source in ('prisma_models', 'go_router', 'js_exports')"),
+    "source path method name",
+    [("prisma_models", "a{k}.prisma", None, "Bill{k}"), ("go_router", "b{k}.go", "GET", "/x{k}"), ("js_exports", "c{k}.ts", "FUNCTION", "go{k}")],
+)
 TRUTH = ("features:\n  - name: billing\n    aliases: [pay, checkout]\n    must_include: [a.ts]\n  - name: auth\n    description: login\n", "flows:\n  - name: pay-order\n    feature: billing\n", "samples:\n  - path: a.ts\n    expected: billing\n")
 
 

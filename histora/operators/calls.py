@@ -179,7 +179,7 @@ def cross_stack(sites: DataFrame, routes: DataFrame) -> DataFrame:
 
     sites: caller, url; routes: pattern, method, handler. A url matches an equal route, or one whose fixed head is the
     url's, whole segments each; a template matches a route that has its fixed parts in order. All are
-    equi-joins: by the route, by each head of the url, by the template's longest fixed word.
+    equi-joins: by the route, by each head of the url, by the template's rarest fixed word.
     """
     template = F.contains("url", F.lit("${"))
     a = sites.withColumn("template", template).withColumn("u", F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"\$\{[^}]*\}", "*"), r"[?#].*$", ""), "(?<=.)/+$", ""))
@@ -191,9 +191,13 @@ def cross_stack(sites: DataFrame, routes: DataFrame) -> DataFrame:
     head = F.regexp_replace(F.substring_index("p", "*", 1), "/+$", "")
     open_ = b.withColumn("_head", head).where(F.contains("p", F.lit("*")) & (head != ""))
     by_head = plain.withColumn("_head", F.explode(F.array_distinct(heads))).join(open_, "_head")
-    longest = F.element_at(F.array_sort(F.transform(_fixed_words("u"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    keyed = a.where("template").withColumn("_w", longest).where("_w is not null")
-    met = keyed.join(b.withColumn("_w", F.explode(_fixed_words("p"))), "_w")
+    # a template meets routes by the rarest of its fixed words
+    by_word = b.withColumn("_w", F.explode(_fixed_words("p")))
+    rarity = by_word.groupBy("_w").agg(F.count("*").alias("_df"))
+    worded = a.where("template").withColumn("_w", F.explode(_fixed_words("u"))).join(rarity, "_w", "left")
+    # a word that no route has: no route matches, so null stands for it and joins nothing
+    rarest = worded.groupBy("caller", "url", "template", "u").agg(F.when(F.bool_and(F.col("_df").isNotNull()), F.min_by("_w", F.struct("_df", "_w"))).alias("_w"))
+    met = rarest.join(by_word, "_w")
     chunks = F.filter(F.transform(F.split("u", r"\*"), lambda x: F.regexp_replace(x, "/+$", "")), lambda x: x != "")
     rest = F.aggregate(chunks, F.col("p"), lambda left, x: F.when(left.isNull() | ~F.contains(left, x), F.lit(None).cast("string")).otherwise(F.substring(left, F.instr(left, x) + F.length(x), F.lit(4096))))
     in_order = met.where(rest.isNotNull())

@@ -552,7 +552,10 @@ def mounted_fastapi(hits: DataFrame) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]+?)(?:/__init__)?\.py$", 1)
     routes = hits.where("source = 'fastapi-route'").withColumn("module", stem)
     mounts = hits.where("source = 'fastapi-mount'").select(F.col("name").alias("module"), F.col("pattern").alias("_prefix"), directory("path").alias("_home"))
-    near = routes.join(mounts, "module").where(F.startswith("path", F.concat("_home", F.when(F.col("_home") == "", "").otherwise("/")))).groupBy("path").agg(F.max_by("_prefix", F.struct(F.length("_home"), "_prefix")).alias("_prefix"))
+    parts = F.split("path", "/")
+    homes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    above = routes.select("path", "module", F.explode(homes).alias("_home")).distinct()
+    near = above.join(mounts, ["module", "_home"]).groupBy("path").agg(F.max_by("_prefix", F.struct(F.length("_home"), "_prefix")).alias("_prefix"))
     full = F.regexp_replace(F.concat(F.lit("/"), F.concat_ws("/", F.coalesce("_prefix", F.lit("")), "pattern")), "/+", "/")
     composed = routes.join(near, "path", "left").withColumn("pattern", F.when((full != "/"), F.regexp_replace(full, "/$", "")).otherwise(full))
     named = F.filter(F.split("pattern", "/"), lambda s: (s != "") & ~s.rlike(r"^[:{\[<*$(]|^v\d+$") & ~F.lower(s).isin(*sorted(NOISE)))
@@ -566,15 +569,20 @@ def mounted_django(hits: DataFrame) -> DataFrame:
     module = F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit("."))
     mounts = hits.where("source = 'django-mount'").select(F.col("name").alias("of"), F.col("pattern").alias("prefix"), module.alias("by"))
 
-    def under(df: DataFrame) -> DataFrame:
-        met = df.withColumn("_m", module).join(mounts, (F.col("_m") == F.col("of")) | F.endswith("_m", F.concat(F.lit("."), F.col("of"))), "left")
-        return met
-
-    two = mounts.alias("x").join(mounts.alias("y"), (F.col("x.by") == F.col("y.of")) | F.endswith(F.col("x.by"), F.concat(F.lit("."), F.col("y.of"))), "left")
-    mounts = two.select(F.col("x.of").alias("of"), F.regexp_replace(F.concat_ws("/", F.coalesce("y.prefix", F.lit("")), "x.prefix"), "/+", "/").alias("prefix"), F.col("x.by").alias("by"))
+    def ends(c: str) -> Column:
+        """All ends of a module's name, by which another may include it."""
+        parts = F.split(c, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+    outer = mounts.select(F.col("of").alias("_end"), F.col("prefix").alias("_outer"))
+    two = mounts.withColumn("_end", F.explode(ends("by"))).join(outer, "_end").groupBy("of", "prefix", "by").agg(F.min("_outer").alias("_outer"))
+    mounts = mounts.join(two, ["of", "prefix", "by"], "left").select(F.col("of").alias("_end"), F.regexp_replace(F.concat_ws("/", F.coalesce("_outer", F.lit("")), "prefix"), "/+", "/").alias("prefix")).distinct()
+    named = urls.withColumn("_m", module)
+    met = named.select("_m").distinct().withColumn("_end", F.explode(ends("_m"))).join(mounts, "_end").select("_m", "prefix").distinct()
+    included = named.join(met, "_m", "left")
     full = F.regexp_replace(F.concat_ws("/", F.coalesce("prefix", F.lit("")), "pattern"), "/+", "/")
     pattern = F.when(full != "/", F.regexp_replace(full, "/$", "")).otherwise(full)
-    return under(urls).select("source", "name", "path", "method", F.when(F.startswith(pattern, F.lit("/")), pattern).otherwise(F.concat(F.lit("/"), pattern)).alias("pattern"))
+    return included.select("source", "name", "path", "method", F.when(F.startswith(pattern, F.lit("/")), pattern).otherwise(F.concat(F.lit("/"), pattern)).alias("pattern"))
 
 
 def rust_crates(hits: DataFrame, files: DataFrame) -> DataFrame:

@@ -366,6 +366,8 @@ def read_jsonc(text: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+#: The package that a specifier names.
+PACKAGE_NAME = r"^(@[^/]+/[^/]+|[^/@][^/]*)"
 _CONFIG = "path string, extends array<string>, base string, has_paths boolean, paths array<struct<pattern:string,target:string,nth:int>>"
 
 
@@ -402,7 +404,7 @@ def alias_map(files: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     for k in range(1, MOST_EXTENDS + 1):
         at = frontier.join(configs, "path").select("leaf", "path", F.explode("extends").alias("to"))
         near = at.where(F.startswith("to", F.lit("."))).select("leaf", _folded(F.concat_ws("/", F.nullif(directory("path"), F.lit("")), "to")).alias("to"))
-        by_name = at.where(~F.startswith("to", F.lit("."))).join(named, (F.col("to") == F.col("name")) | F.startswith("to", F.concat("name", F.lit("/"))))
+        by_name = at.where(~F.startswith("to", F.lit("."))).withColumn("name", F.regexp_extract("to", PACKAGE_NAME, 1)).join(named, "name")
         far = by_name.select("leaf", F.concat("dir", F.coalesce(F.nullif(F.substring(F.col("to"), F.length("name") + 1, F.lit(4096)), F.lit("")), F.lit("/tsconfig.json"))).alias("to"))
         tried = near.unionByName(far).select("leaf", F.explode(F.array("to", F.concat("to", F.lit(".json")), F.concat("to", F.lit("/tsconfig.json")))).alias("path"))
         frontier = tried.join(configs.select("path"), "path", "left_semi").join(chain.select("leaf", "path"), ["leaf", "path"], "left_anti").distinct().select("leaf", "path", F.lit(k).alias("depth")).checkpoint()
@@ -489,7 +491,7 @@ def resolve(specs: DataFrame, files: DataFrame, aliases: DataFrame, targets: Dat
     placed = bare.select("importer", "spec", F.explode(F.array_distinct(parents)).alias("workspace"))
     fits = placed.join(aliases, "workspace").where(F.when(F.col("exact"), F.col("spec") == F.col("prefix")).otherwise(F.startswith("spec", "prefix")))
     by_alias = fits.select("importer", "spec", F.lit("alias").alias("how"), F.array(-F.length("workspace"), -F.length("prefix"), "nth").alias("rank"), F.concat("target", F.substring(F.col("spec"), F.length("prefix") + 1, F.lit(4096))).alias("stem"))
-    name = F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^/@][^/]*)", 1)
+    name = F.regexp_extract("spec", PACKAGE_NAME, 1)
     sub = F.concat(F.lit("."), F.substring(F.col("spec"), F.length(name) + 1, F.lit(4096)))
     owned = bare.select("importer", "spec", name.alias("name"), sub.alias("asked")).join(targets, "name")
     star = F.regexp_replace("sub", r"\*.*$", "")
@@ -502,7 +504,7 @@ def resolve(specs: DataFrame, files: DataFrame, aliases: DataFrame, targets: Dat
     tried = relative.unionByName(by_alias).unionByName(by_package).select("importer", "spec", "how", order.alias("o"), "rank", F.posexplode(_tried(F.col("stem"))).alias("nth", "path"))
     found = tried.join(files.select("path").distinct(), "path").groupBy("importer", "spec").agg(F.min(F.struct("o", "rank", "nth", "path", "how")).alias("x")).select("importer", "spec", "x.path", "x.how")
     known = targets.select(F.col("name").alias("_name")).distinct()
-    rest = specs.join(found, ["importer", "spec"], "left").join(known, F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^/@][^/]*)", 1) == F.col("_name"), "left")
+    rest = specs.join(found, ["importer", "spec"], "left").join(known, F.regexp_extract("spec", PACKAGE_NAME, 1) == F.col("_name"), "left")
     external = F.col("spec").rlike(r"^(?:@[a-z0-9][\w.-]*/[\w.-]+|[a-z][\w.-]*|node:\w+)(?:/.*)?$") & F.col("_name").isNull()
     how = F.when(F.col("path").isNotNull(), F.col("how")).when(external, "external").otherwise("unresolved")
     return rest.select("importer", "spec", F.col("path").alias("target"), how.alias("how"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, sharding, substring_dedup, url_filters
+from . import decontamination, exact_dedup, fill_in_middle, jaccard_join, line_dedup, mixing, packing, pii, prefix_trie, quality, sharding, substring_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +31,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
+    "op11_mixing": mixing.OP11_SQL,
+    "op12_fill_in_middle": fill_in_middle.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

@@ -7,12 +7,9 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside an operator; larger than any id in use.
-NULL_ID = 2**63 - 1
-
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -21,16 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) with neither null: NULL_ID and the empty text stand in."""
-    return df.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-
-
-def null_id(c: str | Column = "doc_id") -> Column:
-    """Turns the stand-in id back into null."""
-    return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(NULL_ID))
+    """(doc_id, text), where the empty text stands for none. An id may be null: any 64-bit number is one that documents may have."""
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def small_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:

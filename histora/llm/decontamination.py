@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordIds, keyed_text, mixed, null_id, sliding_min, small_batches, stored, table, texts, window_hashes
+from .common import LOWER, WordIds, keyed_text, mixed, sliding_min, small_batches, stored, table, texts, window_hashes
 
 SPAN = 13
 GRAM = 7
@@ -205,8 +205,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     least one word in twenty is hit.
     """
     small_batches(docs.sparkSession)
-    zero = F.lit(0).cast("long")
-    return _judged(keyed_text(docs).withColumns({"a": zero, "b": zero}), items, span, gram, filter_bits, every=True).drop("a", "b").withColumn("doc_id", null_id())
+    # a marks rows without an id
+    rows = keyed_text(docs).withColumns({"a": F.col("doc_id").isNull().cast("long"), "b": F.lit(0).cast("long"), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    judged = _judged(rows, items, span, gram, filter_bits, every=True)
+    return judged.withColumn("doc_id", F.when(F.col("a") == 0, F.col("doc_id"))).drop("a", "b")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:

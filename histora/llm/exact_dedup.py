@@ -18,9 +18,10 @@ batches before it; see :class:`DigestIndex`.
 
 Texts are equal when identical after lower-casing A-Z only.
 
-Defined cases: null text counts as empty text; all empty texts are one group; rows
-that repeat both doc_id and text are one document and stay or go together, though
-each counts in group_size; a null doc_id counts as the largest and comes back null.
+Defined cases: null text counts as empty text; all empty texts are one group; of rows
+that repeat both doc_id and text one stays, the first in place, and each counts in
+group_size; a null doc_id counts as the largest and comes back null. A row that
+repeats the one that stays in an earlier batch goes.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, null_id, scratch_dir, stored, table
+from .common import keyed_text, scratch_dir, stored, table
 
 #: Rows of a group that are compared with one copy of the text that stays.
 VERIFIED = 500
@@ -52,7 +53,12 @@ def _entries(docs: DataFrame) -> DataFrame:
 
 
 def _merged(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    return entries.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("none").alias("none"), F.sum("n").alias("n"))
+
+
+def _stays(largest: bool) -> Column:
+    """The id that stays; rows without one come after all others."""
+    return F.when(F.col("none") == 0, F.col("most")) if largest else F.col("least")
 
 
 class DigestIndex:
@@ -62,7 +68,7 @@ class DigestIndex:
     counts both, even if the driver is lost before the old ones are removed.
     """
 
-    SCHEMA = "digest binary, least long, most long, n long"
+    SCHEMA = "digest binary, least long, most long, none long, n long"
 
     def __init__(self, spark: SparkSession, at: str | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.fanout = spark, fanout
@@ -91,7 +97,7 @@ class DigestIndex:
 
     def flush(self, entries: DataFrame) -> None:
         """Adds a batch of (digest, doc_id) as a run of level 0, a memtable a partition."""
-        own = entries.select("digest", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"), F.lit(1).cast("long").alias("n"))
+        own = entries.select("digest", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"), F.col("doc_id").isNull().cast("long").alias("none"), F.lit(1).cast("long").alias("n"))
         self._write(own, self._run(0))
         self.compact()
 
@@ -115,7 +121,7 @@ class DigestIndex:
         return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.at}/{r}" for r in runs])
 
     def merged(self) -> DataFrame:
-        """digest, least, most and n over all runs."""
+        """digest, least, most, none (rows without an id) and n over all runs."""
         return _merged(self._read(self.runs()))
 
 
@@ -143,33 +149,49 @@ def exact_dedup(docs: DataFrame, largest: bool = False, index: DigestIndex | Non
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
-    rows = stored(_entries(docs).select("digest", "doc_id"), "digests")
+    older = stored(index.merged().select("digest", _stays(largest).alias("older_id")), "older-digests") if index.runs() else None
+    rows = stored(_entries(docs).select("digest", "doc_id").withColumn("row", F.monotonically_increasing_id()), "digests")
     index.flush(rows)
-    stays = F.col("most") if largest else F.col("least")
-    groups = stored(index.merged().where("n > 1").select("digest", stays.alias("keep_id"), F.col("n").alias("group_size")), "digest-groups")
+    groups = index.merged().where("n > 1").select("digest", _stays(largest).alias("keep_id"), F.col("n").alias("group_size"))
+    held = F.lit(False)  # whether the row that stays is one of an earlier batch
+    if older is not None:
+        groups = groups.join(older.withColumn("known", F.lit(True)), "digest", "left")
+        held = F.coalesce("known", F.lit(False)) & F.col("older_id").eqNullSafe(F.col("keep_id"))
+    groups = stored(groups.select("digest", "keep_id", "group_size", held.alias("held")), "digest-groups")
 
     marked = _marked(rows, groups)
-    unique = marked.where("not marked").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    met = marked.where("marked").select("doc_id", "digest").join(groups, "digest", "left")
-    members = stored(unique.unionByName(met.select("doc_id", "digest", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))), "exact-members")
+    alone = F.lit(1).cast("long").alias("group_size"), F.lit(False).alias("held")
+    unique = marked.where("not marked").select("row", "doc_id", "digest", F.col("doc_id").alias("keep_id"), *alone)
+    met = marked.where("marked").select("row", "doc_id", "digest").join(groups, "digest", "left")
+    of_group = F.col("group_size").isNotNull()
+    met = met.select("row", "doc_id", "digest", F.when(of_group, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("held", F.lit(False)).alias("held"))
+    members = stored(unique.unionByName(met).withColumn("of_text", F.lit(0).cast("long")), "exact-members")  # of_text: tells texts of one digest apart
 
     # texts of groups alone; a group meets its text that stays in parts of about VERIFIED rows, each with a copy of that text
     own = _entries(docs)
     copies = stored(_marked(own, groups).where("marked").drop("marked"), "exact-copies")
     known = copies if before is None else copies.unionByName(_marked(_entries(before), groups).where("marked").drop("marked"))
     parts = F.ceil(F.col("group_size") / VERIFIED).cast("int")
-    head = known.join(groups.withColumnRenamed("keep_id", "doc_id"), ["digest", "doc_id"]).groupBy("digest").agg(F.min("norm").alias("kept_text"), F.first(parts).alias("parts"))
+    of = groups.select(F.col("digest").alias("of_digest"), "keep_id", parts.alias("parts"))
+    head = known.join(of, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_text"), F.first("parts").alias("parts"))
     head = head.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = copies.join(groups.select("digest", parts.alias("parts")), "digest").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = copies.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.join(groups.select("digest", parts.alias("parts")), "digest").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int"))
     torn = stored(dealt.join(head, ["digest", "part"]).where("norm <> kept_text").select("digest").distinct(), "torn-digests")
     if not torn.isEmpty():  # two texts with one digest: group these by text
-        whole = own if before is None else own.unionByName(_entries(before))
-        by_text = whole.join(torn, "digest").groupBy("digest", "norm").agg((F.max("doc_id") if largest else F.min("doc_id")).alias("keep_id"), F.count("*").alias("group_size"))
-        again = own.join(by_text, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
-        members = members.join(torn, "digest", "left_anti").unionByName(again)
-    return members.select(
-        null_id().alias("doc_id"), null_id("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+        none = F.count_if(F.col("doc_id").isNull())
+        agreed = lambda df: df.join(torn, "digest").groupBy("digest", "norm").agg(F.when(none == 0, F.max("doc_id")).alias("keep_id") if largest else F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        by_text = agreed(own if before is None else own.unionByName(_entries(before))).withColumn("held", F.lit(False))
+        if before is not None:
+            was = agreed(_entries(before)).select("digest", "norm", F.col("keep_id").alias("older_id"), F.lit(True).alias("known"))
+            by_text = by_text.join(was, ["digest", "norm"], "left").withColumn("held", held).drop("older_id", "known")
+        again = own.withColumn("row", F.monotonically_increasing_id()).join(by_text, ["digest", "norm"]).select("row", "doc_id", "digest", "keep_id", "group_size", "held", F.xxhash64("norm").alias("of_text"))
+        members = stored(members.join(torn, "digest", "left_anti").unionByName(again), "exact-members")
+    # of the rows with the id that stays, the first in place
+    first = members.where("group_size > 1 and not held and doc_id <=> keep_id").groupBy("digest", "of_text").agg(F.min("row").alias("row")).select("digest", "row", F.lit(True).alias("first"))
+    several = members.where("group_size > 1").join(first, ["digest", "row"], "left").withColumn("kept", F.coalesce("first", F.lit(False))).drop("first")
+    verdict = members.where("group_size = 1").withColumn("kept", F.lit(True)).unionByName(several)
+    return verdict.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +202,7 @@ OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
 )
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
-FROM d WINDOW w AS (PARTITION BY norm)
+SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER o = 1 AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm), o AS (PARTITION BY norm ORDER BY doc_id DESC NULLS FIRST)
 """

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, NULL_ID, WordIds, keyed_text, null_id, small_batches, stored, table, texts, window_hashes
+from .common import LOWER, WordIds, keyed_text, small_batches, stored, table, texts, window_hashes
 from .components import components
 
 WORDS = 4
@@ -327,7 +327,8 @@ def _judged(docs: DataFrame, words: int, percent: int, slack: int) -> DataFrame:
     members = stored(region.select(F.col("id").alias("node"), F.col("component").alias("region")).join(classes.select("node", "doc_id", "key", "n", "copies"), "node"), "jaccard-members")
     sizes = members.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "region").select("node", "doc_id", "key", "copies", "region", "blocks")
-    sets = docs.join(placed.hint("merge"), ["doc_id", "key"]).select("text", "region", "blocks", "node", "copies").mapInArrow(_sets(words), _SETS)
+    at = placed.withColumnsRenamed({"doc_id": "at_id", "key": "at_key"})
+    sets = docs.join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("key") == F.col("at_key"))).select("text", "region", "blocks", "node", "copies").mapInArrow(_sets(words), _SETS)
     block = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = block.withColumn("other", other).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
@@ -349,9 +350,9 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     small_batches(docs.sparkSession)
     return _judged(_keyed(docs), words, percent, slack).select(
-        null_id().alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_shingles"),
-        null_id(F.coalesce("least", "doc_id")).alias("component_id"),
+        F.coalesce("least", "doc_id").alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
 
@@ -362,7 +363,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sla
     Rows without a doc_id and rows without words stay.
     """
     small_batches(docs.sparkSession)
-    judged = _judged(_keyed(docs), words, percent, slack).where(F.col("component").isNotNull()).where(F.col("doc_id") != NULL_ID)
+    judged = _judged(_keyed(docs), words, percent, slack).where(F.col("component").isNotNull()).where(F.col("doc_id").isNotNull())
     # a row is the first of its component if its id is the smallest and its place the first of those
     first = judged.where("doc_id = least").groupBy("component").agg(F.min_by("key", "row").alias("first_key"))
     ids = judged.select("component", "doc_id", "key", "least").groupBy("component", "doc_id", "key", "least").agg(F.count("*").alias("rows")).join(first, "component")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import numpy as np
@@ -28,17 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, null_id, small_batches, stored, table
+from .common import keyed_text, small_batches, stored, table
 from .tokens import Encoder
 
 LENGTH = 4096
 END_ID = 1
 GROUP = 40_000
-ROUNDS = 3
 VOCABULARY = "word_bpe_49k.json"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = _PIECES + ", bin long, offset long, released boolean, group_bins long, group_bound long"
+_PACKED = _PIECES + ", no_id boolean, bin long, offset long, released boolean, group_bins long, group_bound long"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -117,7 +117,7 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
 
 def _placed(rows: pd.DataFrame) -> pd.DataFrame:
     """Offsets of the pieces in their bins, by bin, document and piece."""
-    rows = rows.sort_values(["bin", "doc_id", "piece", "start"], kind="stable")
+    rows = rows.sort_values(["bin", "no_id", "doc_id", "piece", "start"], kind="stable")
     before = rows.length.cumsum() - rows.length
     return rows.assign(offset=before - before.groupby(rows.bin).transform("min"))
 
@@ -132,7 +132,7 @@ def _pack_group(size: int, turn: int):
         if turn and need >= rows.bin.nunique():
             out, need = rows.copy(), rows.bin.nunique()
         else:
-            out = _placed(rows.assign(bin=(np.int64(turn) << 56 | np.int64(key[0]) << 24) + bins))
+            out = _placed(rows.assign(bin=(np.int64(turn) << 48 | np.int64(key[0]) << 24) + bins))
         filled = out.groupby("bin").length.sum().sort_values(kind="stable")
         given = set(filled[filled < size].index[: 1 + 8 * (need - bound)])
         return out.assign(released=out.bin.isin(given), group_bins=need, group_bound=bound)[[c.split()[0] for c in _PACKED.split(", ")]]
@@ -140,7 +140,7 @@ def _pack_group(size: int, turn: int):
     return run
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """pieces with bin, offset and the certificate of the group each was last packed in.
 
     group_bins and group_bound are the bins of that group and the fewest possible.
@@ -158,11 +158,13 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: in
         key = F.pmod(F.xxhash64(F.lit(turn), F.col("bin") if turn else F.monotonically_increasing_id()), F.lit(groups))
         return df.groupBy(key.alias("dealt")).applyInPandas(_pack_group(length, turn), _PACKED)
 
-    empty = pieces.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _PACKED.split(", ")[5:])))
+    # a flag stands for a missing id, as pandas has no whole numbers with gaps
+    own = pieces.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    empty = own.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _PACKED.split(", ")[6:])))
     packed = stored(dealt(empty, total, 0), "packed")
     kept, pool = [packed.where("not released")], packed.where("released")
     bins = packed.agg(F.countDistinct("bin")).first()[0]
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         held = pool.agg(F.count("*").alias("n"), F.countDistinct("bin").alias("bins")).first()
         if bins <= bound or held.bins < 2:
             break
@@ -176,13 +178,13 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: in
     whole = pool
     for x in kept:
         whole = whole.unionAll(x)
-    return whole.drop("released")
+    return whole.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("released", "no_id")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the certificate, a row a piece."""
     packed = pack(stored(pieces_of(docs, path, length, end_id), "pieces"), length, group)
-    return packed.select(null_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", "group_bins", "group_bound")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", "group_bins", "group_bound")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

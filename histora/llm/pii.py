@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, null_id, table
+from .common import keyed_text, table
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least_score: floa
         spans = _accounts(F.col("text"), kind) if kind.name == "iban" else _confirmed(_places(F.col("text"), kind), kind)
         df = df.withColumn(f"_{kind.name}", spans)
     each = [_scored(F.col(f"_{kind.name}"), kind, least_score) for kind in kinds]
-    return df.select(null_id().alias("doc_id"), "text", F.concat(*each).alias("found"))
+    return df.select("doc_id", "text", F.concat(*each).alias("found"))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least_score: float = LEAST_SCORE) -> DataFrame:

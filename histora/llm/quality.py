@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, null_id, small_batches, table, texts
+from .common import keyed_text, small_batches, stored, table, texts
 
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 32_768
@@ -164,26 +164,21 @@ def is_held_out(doc_id):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts of each class, outside the held-out fold, on the driver."""
+    """At most ``rows`` labelled texts of each class, outside the held-out fold, on the driver.
+
+    Of the labelled documents that have a text of at most most_bytes, those with the smallest hashes of their ids.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~is_held_out("doc_id"))
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    with_text = usable.select("doc_id").join(known, "doc_id").distinct()
     picked = None
-    for label in (0, 1):  # of each class twice as many ids as rows, as some texts are too long or absent
-        one = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
+    for label in (0, 1):
+        one = with_text.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = one if picked is None else picked.unionAll(one)
-    known_texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.octet_length("text") <= most_bytes)
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "label", "text")
-    )
+    picked = stored(picked, "labelled-ids")
     # ids may repeat, so there is one text an id and label: the rows are bounded by the ids
-    found = known_texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
-    out, left = [], {0: rows, 1: rows}
-    for r in sorted(found, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.text)):
-        if left[r.label]:
-            left[r.label] -= 1
-            out.append((r.text.encode(), r.label))
-    return out
+    found = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text.encode(), r.label) for r in sorted(found, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, r.label))]
 
 
 def _scored(model: Model):
@@ -200,7 +195,7 @@ def _scored(model: Model):
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
     small_batches(docs.sparkSession)
-    scored = keyed_text(docs).mapInArrow(_scored(model), "doc_id long, score double").withColumn("doc_id", null_id())
+    scored = keyed_text(docs).mapInArrow(_scored(model), "doc_id long, score double")
     return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordIds, keyed_text, null_id, sliding_min, small_batches, table, texts, window_hashes
+from .common import WordIds, keyed_text, sliding_min, small_batches, table, texts, window_hashes
 
 SPAN = 20
 GRAM = 6
@@ -123,7 +123,8 @@ def _kept(span: int, gram: int, with_text: bool):
         for batch in batches:
             rows = []
             alone, first = batch.column("alone"), batch.column("first")
-            for row, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True)):
+            ids_of = [d if k == 0 else None for d, k in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+            for row, (doc, text) in enumerate(zip(ids_of, texts(batch.column("text")), strict=True)):
                 words = text.split()
                 found, gone = [], None
                 if len(words) >= span:
@@ -146,10 +147,10 @@ def _kept(span: int, gram: int, with_text: bool):
 
 def _holders(df: DataFrame, *by: str) -> DataFrame:
     """Per group, the first document that has it, as doc_id and key, and whether no other has. Plain longs, so that sums are hashed."""
-    has_id, none = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")), F.when(F.col("doc_id") == NULL_ID, F.col("key"))
+    has_id, none = F.when(F.col("key") == 0, F.col("doc_id")), F.when(F.col("key") != 0, F.col("key"))
     found = df.groupBy(*by).agg(F.min(has_id).alias("a"), F.max(has_id).alias("z"), F.min(none).alias("na"), F.max(none).alias("nz"))
     alone = F.when(F.col("a").isNull(), F.col("na") == F.col("nz")).otherwise((F.col("a") == F.col("z")) & F.col("na").isNull())
-    return found.select(*by, F.coalesce("a", F.lit(NULL_ID)).alias("doc_id"), F.when(F.col("a").isNull(), F.col("na")).otherwise(0).alias("key"), alone.alias("is_alone"))
+    return found.select(*by, F.coalesce("a", F.lit(0)).alias("doc_id"), F.when(F.col("a").isNull(), F.col("na")).otherwise(0).alias("key"), alone.alias("is_alone"))
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = True) -> DataFrame:
@@ -161,14 +162,15 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_te
     """
     small_batches(docs.sparkSession)
     docs = keyed_text(docs)
-    docs = docs.withColumn("key", F.when(F.col("doc_id") == NULL_ID, F.xxhash64("text")).otherwise(0))
+    # key: 0 for a row with an id, else an odd number hashed from the text
+    docs = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(0).alias("key"))
     by = ["doc_id", "key"]
     seeds = _holders(docs.mapInArrow(_anchors(span, gram), "anchor long, doc_id long, key long"), "anchor")
     told = docs.join(seeds.where("is_alone").groupBy(*by).agg(F.collect_list("anchor").alias("alone")), by, "left")
     spans = _holders(told.mapInArrow(_extended(span, gram), "anchor long, hash long, doc_id long, key long"), "anchor", "hash")
     first = spans.groupBy(*by).agg(F.collect_list("hash").alias("first"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, repeats array<struct<start:long,length:long>>" * with_text
-    return told.join(first, by, "left").mapInArrow(_kept(span, gram, with_text), out).withColumn("doc_id", null_id())
+    return told.join(first, by, "left").mapInArrow(_kept(span, gram, with_text), out)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

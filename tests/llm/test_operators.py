@@ -269,6 +269,16 @@ def test_quality_without_labels_or_text(spark):
     assert len(got) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_sample_is_of_documents_that_can_be_used(spark):
+    docs = made(spark, [(i, f"text {i} " * (1 if i % 5 else 9000)) for i in range(200)] + [(None, "x"), (7, "again")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(10_000 + i, i % 2) for i in range(8000)] + [(7, 1), (8, None), (None, 1)], "doc_id long, quality int")
+    for n in (5, 30):
+        sample = quality.labelled_sample(docs, labels, n)
+        assert [sum(y == label for _, y in sample) for label in (0, 1)] == [n, n] and all(len(t) < 100 for t, _ in sample)
+    usable = [i for i in range(200) if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(int(t.split()[1]) for t, _ in quality.labelled_sample(docs, labels, 500) if b"again" not in t) == [i for i in usable if i != 7]
+
+
 # -- jaccard join ------------------------------------------------------------------
 
 
@@ -401,14 +411,44 @@ def test_op6_on_whole_table(spark, documents):
 @pytest.mark.parametrize("largest", [True, False])
 def test_exact_dedup(spark, largest):
     data = [(1, "Ab"), (2, "aB"), (3, "ab "), (4, None), (5, ""), (6, "É"), (7, "é"), (None, "AB"), (3, "ab "), (9, "ß"), (10, "K")]
-    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in rows(exact_dedup.exact_dedup(made(spark, data), largest))}
+    found = rows(exact_dedup.exact_dedup(made(spark, data), largest))
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in sorted(found, key=lambda r: r["kept"])}
     h = brute.sha
+    assert len(found) == len(data) and sum(r["kept"] for r in found) == len(got) - 3 == 7  # one row a group, also of rows that repeat
     stays = None if largest else 1
     assert got[1, h("ab")] == (stays, 3, not largest) and got[2, h("ab")] == (stays, 3, False) and got[None, h("ab")] == (stays, 3, largest)
     assert got[3, h("ab ")] == (3, 2, True)
     assert got[4, h("")] == (5 if largest else 4, 2, not largest) and got[6, h("É")] == (6, 1, True) and got[7, h("é")] == (7, 1, True)
 
 
+#: The largest and the smallest id, rows without one beside them, and repeats.
+FAR = [(2**63 - 1, "Aa"), (2**63 - 1, "aa"), (None, "b b"), (2**63 - 1, "B b"), (-(2**63), "c"), (-(2**63), "c"), (0, "d"), (None, "d"), (None, "d")]
+
+
+@pytest.mark.parametrize("largest", [True, False])
+@pytest.mark.parametrize("torn", [False, True])
+def test_any_id_is_legal_and_one_row_of_a_group_stays(spark, monkeypatch, largest, torn):
+    from pyspark.sql import functions as F
+
+    if torn:
+        entries = exact_dedup._entries
+        monkeypatch.setattr(exact_dedup, "_entries", lambda docs: entries(docs).withColumn("digest", F.substring(F.col("digest"), 1, 0)))
+    got = sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])) for r in rows(exact_dedup.exact_dedup(made(spark, FAR), largest)))
+    top, low = 2**63 - 1, -(2**63)
+    none = (lambda d: None) if largest else (lambda d: d)
+    want = [(top, top, 2, True), (top, top, 2, False), (None, none(top), 2, largest), (top, none(top), 2, not largest), (low, low, 2, True), (low, low, 2, False)]
+    want += [(0, none(0), 3, not largest), (None, none(0), 3, largest), (None, none(0), 3, False)]
+    assert got == sorted(map(str, want))
+
+
+def test_a_row_that_an_earlier_batch_has_goes(spark):
+    index = exact_dedup.DigestIndex(spark)
+    seen = [(1, "a"), (5, "b"), (None, "n")]
+    exact_dedup.exact_dedup(made(spark, seen), index=index).count()
+    got = rows(exact_dedup.exact_dedup(made(spark, [(1, "a"), (1, "a"), (4, "b"), (None, "n"), (9, "new")]), index=index, before=made(spark, seen)))
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])) for r in got) == sorted(map(str, [(1, 1, 3, False), (1, 1, 3, False), (4, 4, 2, True), (None, None, 2, False), (9, 9, 1, True)]))
+
+
 def test_torn_digests_are_grouped_by_text(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -438,6 +478,35 @@ def test_batches_meet_in_one_index(spark, monkeypatch):
 # -- packing -----------------------------------------------------------------------
 
 
+def test_exchange_goes_on_until_it_gains_nothing(spark, monkeypatch):
+    """Packing that gains a bin a round, however many rounds."""
+    sizes = [60] * 40 + [40] * 40
+    pieces = spark.createDataFrame([(i if i % 7 else None, 0, 0, n, 1) for i, n in enumerate(sizes)], packing._PIECES)
+    turns = []
+
+    def slow(size, turn):
+        turns.append(turn)
+
+        def run(key, rows):
+            whole = list(zip(sorted(rows.index[rows.length == 60]), sorted(rows.index[rows.length == 40]), strict=True))
+            bins = {i: k for k, pair in enumerate(whole[: 2 * turn]) for i in pair}  # a few more pairs a round
+            for i in rows.index:
+                bins.setdefault(i, len(bins) + 1000)
+            out = packing._placed(rows.assign(bin=[turn << 48 | bins[i] for i in rows.index]))
+            single = ~out.duplicated("bin", keep=False)
+            return out.assign(released=single, group_bins=1, group_bound=1)[[c.split()[0] for c in packing._PACKED.split(", ")]]
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack_group", slow)
+    got = rows(packing.pack(pieces, 100))
+    bins = defaultdict(int)
+    for x in got:
+        bins[x["bin"]] += x["length"]
+    assert sorted(str(x["doc_id"]) for x in got) == sorted(str(i if i % 7 else None) for i in range(80))
+    assert len(turns) > 5 and list(bins.values()) == [100] * 40
+
+
 def check_packing(got, lengths, size):
     by_doc, bins = defaultdict(list), defaultdict(list)
     for r in got:
@@ -584,6 +653,17 @@ def test_odd_rows_against_a_full_filter(spark):
     assert len(several) == len(data) and several == one
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_the_largest_id_is_no_missing_one(spark, name):
+    data = [(2**63 - 1, "one two three"), (2**63 - 1, "x"), (None, "one two three"), (-(2**63), "one two three"), (None, "long " * 30), (2**63 - 1, "long " * 30)]
+    got = rows(OPERATORS[name](made(spark, data)))
+    assert sorted((str(r["doc_id"]) for r in got)) == sorted(str(d) for d, _ in data)
+    for column in {"component_id", "keep_id"} & set(got[0]):
+        assert {str(r[column]) for r in got} <= {str(d) for d, _ in data}
+    if "n_removed" in got[0]:  # the rows without an id come last, so theirs go
+        assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got if r["n_words"] == 30) == [(str(2**63 - 1), 29), ("None", 30)]
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert rows(OPERATORS[name](made(spark, []))) == []

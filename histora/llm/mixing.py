@@ -60,13 +60,19 @@ def targets(sources: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.lit(level or 0.0)))
 
 
-def _keyed(docs: DataFrame, weight: str | Column | None, seed: str) -> DataFrame:
-    """doc_id, source, size and key of each row, and a digest of id and text."""
+def _keyed(docs: DataFrame, weight: str | Column | DataFrame | None, seed: str) -> DataFrame:
+    """doc_id, source, size, key and tie, which tells rows of one id apart. The texts don't move, also where weights are joined."""
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
-    weight = (F.lit(1.0) if weight is None else F.col(weight) if isinstance(weight, str) else weight).cast("double")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in("text").alias("size"), digest.alias("digest"), F.when(weight > 0, weight).otherwise(1.0).alias("by"))
+    own = F.lit(1.0) if weight is None or isinstance(weight, DataFrame) else F.col(weight) if isinstance(weight, str) else weight
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in("text").alias("size"), digest.alias("digest"), own.cast("double").alias("by"))
+    if isinstance(weight, DataFrame):
+        rows = stored(rows.drop("by"), "mix-digests")
+        known = weight.select(F.col("doc_id").cast("long").alias("__id"), F.col("weight").cast("double").alias("by"))
+        unnamed = rows.where("doc_id is null").withColumn("by", F.lit(None).cast("double"))  # kept from the join, where they would all meet
+        rows = rows.where("doc_id is not null").join(known, F.col("doc_id") == F.col("__id"), "left").drop("__id").unionByName(unnamed)
     u = (F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    return own.select("doc_id", "source", "size", (-F.log(u) / F.col("by")).alias("key"), F.substring("digest", 14, 16).alias("tie"))
+    key = -F.log(u) / F.when(F.col("by") > 0, F.col("by")).otherwise(1.0)
+    return rows.select("doc_id", "source", "size", key.alias("key"), F.substring("digest", 14, 16).alias("tie"))
 
 
 def _ends(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -94,10 +100,11 @@ def _ends(rows: DataFrame, plan: DataFrame) -> DataFrame:
             return done
 
 
-def mix(docs: DataFrame, weight: str | Column | None = None, cycle: tuple[int, ...] = CYCLE, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weight: str | Column | DataFrame | None = None, cycle: tuple[int, ...] = CYCLE, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target, epochs, picked (in the rest, too) and taken, a row a document.
 
-    ``weight`` is the documents' quality weight: twice the weight makes a document twice as likely to come next.
+    ``weight`` is the documents' quality weight, a column of docs or a table (doc_id, weight) with an id once: twice
+    the weight makes a document twice as likely to come next. Documents without one weigh 1.
     Sources in the order of their code points weigh as cycle says, repeating; null comes last.
     """
     rows = stored(_keyed(docs, weight, seed), "mix-keys")
@@ -130,21 +137,16 @@ def mix(docs: DataFrame, weight: str | Column | None = None, cycle: tuple[int, .
     return clear.unionByName(opened).withColumn("taken", (F.col("epochs") + F.col("picked")) * F.col("size"))
 
 
-def labelled_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with ``mix_weight``: GOOD or BAD as most of a document's labels say, 1 where there are none or as many of both."""
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) of labelled documents: GOOD or BAD as most of the labels say, 1 where there are as many of both."""
     share = F.avg(F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, -1.0))
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(share.alias("__share"))
-    known = known.select("__id", F.when(F.col("__share") > 0, GOOD).when(F.col("__share") < 0, BAD).otherwise(1.0).alias("mix_weight"))
-    docs = docs.drop("mix_weight")
-    named = docs.where("doc_id is not null").join(known, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    unnamed = docs.where("doc_id is null").withColumn("mix_weight", F.lit(None).cast("double"))  # kept from the join, where they would all meet
-    return named.unionByName(unnamed).withColumn("mix_weight", F.coalesce("mix_weight", F.lit(1.0)))
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(share.alias("share"))
+    return known.select("doc_id", F.when(F.col("share") > 0, GOOD).when(F.col("share") < 0, BAD).otherwise(1.0).alias("weight"))
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    weighted = labelled_weight(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return mix(weighted, "mix_weight").select("doc_id", "size", "source_size", "target", "taken")
+    weights = label_weights(table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP11_SQL = f"""

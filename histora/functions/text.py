@@ -18,9 +18,11 @@ NOT_BUG_FIX = (
     r"\bfix\s+(?:merge|conflict|rebase)\b",
     r"\bfix\s+(?:ci|pipeline|build|deploy)\b",
 )
+# FIXED VALUES: how tokens are folded, and which don't count.
 SUFFIXES = ("ing", "es", "s")  # folded once, longest first, never below three letters
 STOP_TOKENS = ("and", "or", "of", "the", "a", "an", "management", "service", "module", "system", "feature", "user")
 LEAST_PREFIX = 3
+TO_END = 2**31 - 1  # length of a substring that takes all that follows
 
 
 def _col(c: str | Column) -> Column:
@@ -174,13 +176,27 @@ def is_vendor_or_test(path: str | Column) -> Column:
     return at.rlike("/(?:" + "|".join(d.replace(".", r"\.") for d in (*VENDOR_DIRS, "tests", "test", "__tests__", "spec")) + r")/|\.test\.|\.spec\.|_test\.go")
 
 
+#: FIXED VALUES: the banners of generators, and how far into a text they are looked for.
+BANNER_CHARS = 2048
+BANNER_LINE = r"(?i)\bcode generated by\b[^\n]*\bdo not edit\b"
+BANNER_TAG = r"@generated\b"
+BANNER_WORD = r"(?i)\b(?:auto[- ]?|automatically )?generated\b"
+BANNER_PLEA = r"(?i)\b(?:do not|don'?t|should not be|never)\s+(?:be\s+)?(?:edit|modif|chang)"
+
+
 def is_generated(path: str | Column, text: Column | None = None) -> Column:
-    """A name that only generators give, or their banner at the head of the text."""
+    """A name that only generators give, or their banner at the head of the text.
+
+    A banner says by whom the code was generated and, in the same line, not to edit it; or has the generators' tag; or
+    has a word for generated and, anywhere in the head, a plea not to change it. A head with a null byte has none.
+    """
     _, name = _parts(_col(path))
     named = name.rlike("|".join(GENERATED_NAMES))
     if text is None:
         return named
-    return named | F.coalesce(F.substring(text, 1, 2048).rlike(r"(?i)@generated|code generated|do not edit"), F.lit(False))
+    head = F.substring(text, 1, BANNER_CHARS)
+    banner = head.rlike(BANNER_LINE) | head.rlike(BANNER_TAG) | (head.rlike(BANNER_WORD) & head.rlike(BANNER_PLEA))
+    return named | F.coalesce(banner & ~F.contains(head, F.lit("\x00")), F.lit(False))
 
 
 def is_infra(path: str | Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import is_generated, is_test_path
 from ..sources.scripts import SCRIPTS, Scan, read_script
+from .routes import network_calls
 
 MOST_DEPTH = 4
 CROSS_DEPTH = 1
@@ -141,23 +142,9 @@ def participants(graph: DataFrame, definitions: DataFrame) -> DataFrame:
 
 # -- over the network --------------------------------------------------------------
 
-#: Call sites of network clients: group 1 is the url.
-CLIENTS = (
-    r"\bfetch\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"\baxios\s*\.\s*(?:get|post|put|patch|delete|head|options|request)\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"\baxios\s*\(\s*\{[^}]*?\burl\s*:\s*['\"`]([^'\"`]+)['\"`]",
-    r"\$fetch\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"\buse(?:SWR(?:Mutation|Immutable)?|Query|Mutation)\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"\b(?:ky|got|superagent)(?:\s*\.\s*(?:get|post|put|patch|delete))?\s*\(\s*['\"`]([^'\"`]+)['\"`]",
-    r"\b(?:requests|httpx|client)\s*\.\s*(?:get|post|put|patch|delete)\s*\(\s*f?['\"]([^'\"]+)['\"]",
-    r"\bhttp\s*\.\s*(?:Get|Post|NewRequest\s*\(\s*\"[A-Z]+\"\s*,)\s*\(?\s*\"([^\"]+)\"",
-)
-
-
 def client_calls(files: DataFrame) -> DataFrame:
     """caller and url of network calls; absolute urls lose their host."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in CLIENTS]))
-    sites = files.where("text is not null").select(F.col("path").alias("caller"), F.explode(F.array_distinct(found)).alias("url"))
+    sites = network_calls(files).select("caller", "url").distinct()
     bare = F.regexp_replace("url", r"^https?://[^/]+", "")
     return sites.select("caller", F.when((bare == "") | bare.isNull(), "/").otherwise(bare).alias("url")).distinct()
 
@@ -199,7 +186,7 @@ def cross_stack(sites: DataFrame, routes: DataFrame) -> DataFrame:
     rarest = worded.groupBy("caller", "url", "template", "u").agg(F.when(F.bool_and(F.col("_df").isNotNull()), F.min_by("_w", F.struct("_df", "_w"))).alias("_w"))
     met = rarest.join(by_word, "_w")
     chunks = F.filter(F.transform(F.split("u", r"\*"), lambda x: F.regexp_replace(x, "/+$", "")), lambda x: x != "")
-    rest = F.aggregate(chunks, F.col("p"), lambda left, x: F.when(left.isNull() | ~F.contains(left, x), F.lit(None).cast("string")).otherwise(F.substring(left, F.instr(left, x) + F.length(x), F.lit(4096))))
+    rest = F.aggregate(chunks, F.col("p"), lambda left, x: F.when(left.isNull() | ~F.contains(left, x), F.lit(None).cast("string")).otherwise(F.substring(left, F.instr(left, x) + F.length(x), F.length(left))))
     in_order = met.where(rest.isNotNull())
     cols = ["caller", "url", "pattern", "method", "handler", "template"]
     hit = exact.select(*cols).unionByName(by_head.select(*cols)).unionByName(in_order.select(*cols))

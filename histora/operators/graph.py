@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import TO_END
+
 MOST_ROUNDS = 50
 
 
@@ -141,7 +143,7 @@ def resolve_imports(specifiers: DataFrame, files: DataFrame, aliases: DataFrame)
     """
     base = F.regexp_extract("importer", "^(.*)/[^/]*$", 1)
     relative = F.when(F.startswith("spec", F.lit(".")), _folded(F.concat(base, F.lit("/"), F.col("spec"))))
-    by_alias = specifiers.join(aliases, F.startswith("spec", "prefix"), "left").groupBy("importer", "spec").agg(F.max_by(F.concat("target", F.substring(F.col("spec"), F.length("prefix") + 1, F.lit(4096))), F.length("prefix")).alias("aliased"))
+    by_alias = specifiers.join(aliases, F.startswith("spec", "prefix"), "left").groupBy("importer", "spec").agg(F.max_by(F.concat("target", F.substring(F.col("spec"), F.length("prefix") + 1, F.lit(TO_END))), F.length("prefix")).alias("aliased"))
     stem = F.coalesce(relative, F.col("aliased"), F.regexp_replace("spec", "^/+", ""))
     endings = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
     tried = by_alias.select("importer", "spec", F.posexplode(F.array(*[F.concat(stem, F.lit(e)) for e in endings])).alias("nth", "path"))

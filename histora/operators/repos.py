@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import TO_END
+
 #: Packages that are frameworks themselves. FIXED VALUES.
 FRAMEWORKS = ("fastapi", "flask", "django", "starlette", "litestar", "express", "fastify", "koa", "next", "nuxt", "remix", "astro", "gin", "chi", "echo", "fiber", "axum", "actix-web", "rocket", "rails")
 SERVER_DEPENDENCIES = ("fastapi", "flask", "django", "starlette", "litestar", "sanic", "aiohttp", "tornado", "djangorestframework")
@@ -140,7 +142,7 @@ ROLLUP_OF = {
 def partition(files: DataFrame, by: str = "repo") -> DataFrame:
     """Workspaces of each repository with their class, confidence, files, and whether they are to be scanned on their own: repo, workspace, ... What is outside of any is ``root``."""
     member = F.regexp_extract("path", r"^((?:apps|packages|services|crates|libs)/[^/]+)/", 1)
-    placed = files.select(by, "text", F.when(member != "", member).otherwise("root").alias("workspace"), F.when(member != "", F.substring(F.col("path"), F.length(member) + 2, F.lit(4096))).otherwise(F.col("path")).alias("path"))
+    placed = files.select(by, "text", F.when(member != "", member).otherwise("root").alias("workspace"), F.when(member != "", F.substring(F.col("path"), F.length(member) + 2, F.lit(TO_END))).otherwise(F.col("path")).alias("path"))
     facts = signals(placed.withColumn("_unit", F.concat_ws("\u0000", by, "workspace")), "_unit")
     names = F.split("_unit", "\u0000")
     judged = repo_class(facts).select(names[0].alias(by), names[1].alias("workspace"), "files", "class", "confidence")

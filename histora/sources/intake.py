@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import directory, slugify
+from ..functions.text import TO_END, directory, slugify
 from .history import commit_files, describe_files, newest, prepare_commits, scoped, workspaces
 
 # -- snapshots and context ---------------------------------------------------------
@@ -74,7 +74,7 @@ def intake(files: DataFrame, raw_commits: DataFrame | None = None, since: str |
     own = files
     if subtree:
         prefix = subtree.strip("/") + "/"
-        own = files.where(F.startswith("path", F.lit(prefix))).withColumn("path", F.substring("path", len(prefix) + 1, 4096))
+        own = files.where(F.startswith("path", F.lit(prefix))).withColumn("path", F.substring("path", len(prefix) + 1, TO_END))
     described = describe_files(own)
     out = {"files": described, "workspaces": workspaces(described.where(F.element_at(F.split("path", "/"), -1) == "package.json").select("path", "text")), "stacks": stacks(described)}
     if raw_commits is not None:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import directory, is_test_path
+from ..functions.text import TO_END, directory, is_test_path
 from .scripts import SCRIPTS, Scan, read_script, resolve
 
 # -- Go ----------------------------------------------------------------------------
@@ -39,7 +39,7 @@ def go_edges(files: DataFrame) -> DataFrame:
     parents = F.transform(F.sequence(F.lit(0), F.size(F.split("importer", "/")) - 1), lambda i: F.array_join(F.slice(F.split("importer", "/"), F.lit(1), i), "/"))
     placed = go_imports(files).select("importer", "module", F.explode(parents).alias("dir")).join(go_modules(files), "dir")
     inner = placed.where((F.col("module") == F.col("name")) | F.startswith("module", F.concat("name", F.lit("/"))))
-    sub = F.regexp_replace(F.substring(F.col("module"), F.length("name") + 1, F.lit(4096)), "^/+", "")
+    sub = F.regexp_replace(F.substring(F.col("module"), F.length("name") + 1, F.lit(TO_END)), "^/+", "")
     asked = inner.withColumn("sub", sub).where("sub <> ''").select("importer", F.concat_ws("/", F.nullif("dir", F.lit("")), "sub").alias("package"))
     sources = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select("path")
     n = F.size(F.split("path", "/"))

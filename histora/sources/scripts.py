@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import directory
+from ..functions.text import TO_END, directory
 from ..operators.graph import _folded
 
 SCRIPTS = r"\.(?:[cm]?[jt]s|[jt]sx)$"
@@ -405,7 +405,7 @@ def alias_map(files: DataFrame, packages: DataFrame | None = None) -> DataFrame:
         at = frontier.join(configs, "path").select("leaf", "path", F.explode("extends").alias("to"))
         near = at.where(F.startswith("to", F.lit("."))).select("leaf", _folded(F.concat_ws("/", F.nullif(directory("path"), F.lit("")), "to")).alias("to"))
         by_name = at.where(~F.startswith("to", F.lit("."))).withColumn("name", F.regexp_extract("to", PACKAGE_NAME, 1)).join(named, "name")
-        far = by_name.select("leaf", F.concat("dir", F.coalesce(F.nullif(F.substring(F.col("to"), F.length("name") + 1, F.lit(4096)), F.lit("")), F.lit("/tsconfig.json"))).alias("to"))
+        far = by_name.select("leaf", F.concat("dir", F.coalesce(F.nullif(F.substring(F.col("to"), F.length("name") + 1, F.lit(TO_END)), F.lit("")), F.lit("/tsconfig.json"))).alias("to"))
         tried = near.unionByName(far).select("leaf", F.explode(F.array("to", F.concat("to", F.lit(".json")), F.concat("to", F.lit("/tsconfig.json")))).alias("path"))
         frontier = tried.join(configs.select("path"), "path", "left_semi").join(chain.select("leaf", "path"), ["leaf", "path"], "left_anti").distinct().select("leaf", "path", F.lit(k).alias("depth")).checkpoint()
         if frontier.isEmpty():
@@ -490,12 +490,12 @@ def resolve(specs: DataFrame, files: DataFrame, aliases: DataFrame, targets: Dat
     parents = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("importer", "/")) - 1)), lambda i: F.array_join(F.slice(F.split("importer", "/"), F.lit(1), i), "/")))
     placed = bare.select("importer", "spec", F.explode(F.array_distinct(parents)).alias("workspace"))
     fits = placed.join(aliases, "workspace").where(F.when(F.col("exact"), F.col("spec") == F.col("prefix")).otherwise(F.startswith("spec", "prefix")))
-    by_alias = fits.select("importer", "spec", F.lit("alias").alias("how"), F.array(-F.length("workspace"), -F.length("prefix"), "nth").alias("rank"), F.concat("target", F.substring(F.col("spec"), F.length("prefix") + 1, F.lit(4096))).alias("stem"))
+    by_alias = fits.select("importer", "spec", F.lit("alias").alias("how"), F.array(-F.length("workspace"), -F.length("prefix"), "nth").alias("rank"), F.concat("target", F.substring(F.col("spec"), F.length("prefix") + 1, F.lit(TO_END))).alias("stem"))
     name = F.regexp_extract("spec", PACKAGE_NAME, 1)
-    sub = F.concat(F.lit("."), F.substring(F.col("spec"), F.length(name) + 1, F.lit(4096)))
+    sub = F.concat(F.lit("."), F.substring(F.col("spec"), F.length(name) + 1, F.lit(TO_END)))
     owned = bare.select("importer", "spec", name.alias("name"), sub.alias("asked")).join(targets, "name")
     star = F.regexp_replace("sub", r"\*.*$", "")
-    inner = F.substring(F.col("asked"), F.length(star) + 1, F.lit(4096))
+    inner = F.substring(F.col("asked"), F.length(star) + 1, F.lit(TO_END))
     hit = owned.where((F.col("sub") == F.col("asked")) | (F.contains("sub", F.lit("*")) & F.startswith("asked", star) & (F.col("asked") != ".")))
     stem = F.when(F.contains("sub", F.lit("*")), F.replace("stem", F.lit("*"), inner)).otherwise(F.col("stem"))
     by_package = hit.select("importer", "spec", F.lit("workspace").alias("how"), F.array((F.col("sub") != F.col("asked")).cast("int"), "nth", F.lit(0)).alias("rank"), stem.alias("stem"))

@@ -84,3 +84,16 @@ def test_moves(spark):
     flows = spark.createDataFrame([("f1", "id1", "n1", "u"), ("f2", "id2", "n2", None)], "flow string, uuid string, name string, uf string")
     js = spark.createDataFrame([("u", "id1"), ("u", "n2")], "uf string, member string")
     assert rows(shaping.flow_members(flows, js)) == [("u", "f1"), ("u", "f2")]
+
+
+def test_banners_of_generators(spark):
+    from pyspark.sql import functions as F
+
+    from histora.functions import text
+
+    heads = {
+        "// Code generated by x. DO NOT EDIT.": True, "// Code generated by x.\n// do not edit": True, "// do not edit this list by hand": False, "# code generated by y": False, "/** @generated */": True, "// @generatedby": False,
+        "// Generated by orval\n// Do not edit manually": True, "// automatically generated\n// should not be edited": True, "// never change; auto-generated": True, "// generated nightly": False, "x" * 2048 + "@generated": False, "\x00 @generated": False, None: False,
+    }
+    rows = spark.createDataFrame([("a.ts", t) for t in heads], "path string, text string").select("text", text.is_generated("path", F.col("text")).alias("is")).collect()
+    assert {r["text"]: r["is"] for r in rows} == heads

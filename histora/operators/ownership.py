@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ancestors
+from . import graph, setjoin
+
+MOST_WALKED = 100_000  # pairs of a component that one task walks through
+ROUNDS_APART = 4  # rounds of mutual bests before what is left is split again
 
 
 def owner_lookup(files: DataFrame, feature_paths: DataFrame) -> DataFrame:
@@ -86,10 +93,15 @@ def lineage(base: DataFrame, new: DataFrame, related: float = 0.40, keeps: float
     if the Jaccard reaches ``keeps``; two new groups on one base compete, the higher and
     then the earlier wins; related groups without the id are splits; others are fresh.
     """
-    met = overlap(new, base).where(F.col("jaccard") >= related)
-    placed = met.join(new.select("a_id", "a_idx").distinct(), "a_id").join(base.select("b_id", "b_idx").distinct(), "b_id")
-    best = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("jaccard"), F.desc("b_idx")))).where("_nth = 1")
-    wins = best.withColumn("_wins", (F.col("jaccard") >= keeps) & (F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("jaccard"), "a_idx")) == 1))
+    met = setjoin.similar(new.select("a_id", "member"), base.select("b_id", "member"), related)
+    a_class, b_class = setjoin.set_classes(new.select("a_id", "member").distinct(), "a_id"), setjoin.set_classes(base.select("b_id", "member").distinct(), "b_id")
+    # of equal base groups the later one is the best
+    latest = b_class.join(base.select("b_id", "b_idx").distinct(), "b_id").groupBy(F.col("rep").alias("b_rep")).agg(F.max(F.struct("b_idx", "b_id")).alias("b"))
+    placed = met.withColumnRenamed("b_id", "b_rep").join(latest, "b_rep")
+    best = placed.groupBy(F.col("a_id").alias("rep")).agg(F.max(F.struct("jaccard", "b")).alias("best")).select("rep", F.col("best.b.b_id").alias("b_id"), F.col("best.jaccard").alias("jaccard"))
+    each = a_class.select("a_id", "rep").join(best, "rep").join(new.select("a_id", "a_idx").distinct(), "a_id")
+    first = each.groupBy("b_id").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "a_idx", "a_id"))["a_id"].alias("first"))
+    wins = each.join(first, "b_id").withColumn("_wins", (F.col("jaccard") >= keeps) & (F.col("a_id") == F.col("first")))
     full = new.select("a_id").distinct().join(wins.select("a_id", "b_id", "jaccard", "_wins"), "a_id", "left")
     kind = F.when(F.col("_wins"), "kept").when(F.col("b_id").isNotNull(), "split").otherwise("fresh")
     return full.select("a_id", F.when(F.col("_wins"), F.col("b_id")).alias("keeps_id"), F.col("b_id").alias("related_id"), F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"), kind.alias("kind"))
@@ -97,9 +109,11 @@ def lineage(base: DataFrame, new: DataFrame, related: float = 0.40, keeps: float
 
 def backfill(dev: DataFrame, product: DataFrame, least: float = 0.5) -> DataFrame:
     """The product that holds the largest share of a dev feature's paths, if at least half; ties by name."""
-    share = F.col("shared") / F.col("n_a")
-    met = overlap(dev, product).withColumn("share", share).where(F.col("share") >= least)
-    return met.withColumn("_nth", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("share"), "b_id"))).where("_nth = 1").select(F.col("a_id").alias("dev"), F.col("b_id").alias("product"), "shared", "share")
+    met = setjoin.similar(dev, product, least, share=True)
+    best = met.groupBy(F.col("a_id").alias("rep")).agg(F.min(F.struct((-F.col("shared")).alias("less"), "b_id", "n_a")).alias("best"))
+    classes = setjoin.set_classes(dev.select("a_id", "member").distinct(), "a_id")
+    shared = -F.col("best.less")
+    return classes.join(best, "rep").select(F.col("a_id").alias("dev"), F.col("best.b_id").alias("product"), shared.alias("shared"), (shared / F.col("best.n_a")).alias("share"))
 
 
 def secondary_owners(flow_paths: DataFrame, feature_paths: DataFrame, primary: DataFrame) -> DataFrame:
@@ -110,10 +124,8 @@ def secondary_owners(flow_paths: DataFrame, feature_paths: DataFrame, primary: D
 
 def flow_overlaps(flow_paths: DataFrame) -> DataFrame:
     """How many other flows share a path with each flow."""
-    fp = flow_paths.select("flow", "path").distinct()
-    pairs = fp.alias("a").join(fp.alias("b"), "path").where("a.flow <> b.flow").select(F.col("a.flow").alias("flow"), F.col("b.flow").alias("other")).distinct()
-    counted = pairs.groupBy("flow").agg(F.count("*").alias("others"))
-    return fp.select("flow").distinct().join(counted, "flow", "left").select("flow", F.coalesce("others", F.lit(0)).alias("others"))
+    met = setjoin.meetings(flow_paths.select(F.col("flow").alias("id"), F.col("path").alias("member")))
+    return met.select(F.col("id").alias("flow"), "others")
 
 
 def flow_owner(members: DataFrame) -> DataFrame:
@@ -157,28 +169,75 @@ def sequence_ids(rows: DataFrame, space: str, name: str = "name", order: str = "
     return rows.withColumn("seq", seq).withColumn("uuid", minted_id(space, F.col(name), F.col("seq")))
 
 
-def greedy_match(pairs: DataFrame, order: list[Column]) -> DataFrame:
-    """One-to-one matching that takes candidates best first, by rounds of mutual bests until no candidate is left.
+def hashed_ties(a: str = "a_id", b: str = "b_id") -> list[Column]:
+    """The end of an order that settles ties of a greedy matching by chance, the same in every run."""
+    return [F.xxhash64(a, b), F.col(a), F.col(b)]
+
+
+def greedy_match(pairs: DataFrame, order: list[Column], walked: int = MOST_WALKED) -> DataFrame:
+    """One-to-one matching that takes candidates best first, as a walk through all of them would.
 
-    pairs: a_id, b_id and what ``order`` sorts by; order must be total. A pair that is first for both of
-    its sides is taken by the greedy walk too; so taking all such pairs and dropping
-    their sides, again and again, gives the same matching. Each round takes the first candidate of
-    all at least. Equal scores may need a round a pair; so each round is written down.
+    pairs: a_id, b_id and what ``order`` sorts by; order must be total. Connected components don't
+    touch each other; those of at most ``walked`` pairs are walked, many in one task, each in its order. In larger ones the pairs
+    that are first for both of their sides, which the walk takes too, are taken in rounds until what is left falls
+    apart. Rounds are logarithmic where ties are broken by :func:`hashed_ties`; where
+    they are broken by the ids, a component of equal scores may need a round a pair until it is small enough.
     """
-    by_a, by_b = Window.partitionBy("a_id"), Window.partitionBy("b_id")
-    left, taken, n = pairs, pairs.limit(0), 0
+    columns = pairs.columns
+    left, found = _ranked(pairs.where("a_id is not null and b_id is not null"), order).checkpoint(), []
     while True:
-        ranked = left.withColumn("_a", F.row_number().over(by_a.orderBy(*order))).withColumn("_b", F.row_number().over(by_b.orderBy(*order)))
-        both = ranked.withColumn("_now", (F.col("_a") == 1) & (F.col("_b") == 1))
-        sides = both.withColumn("_of_b", F.max("_now").over(by_b)).withColumn("_of_a", F.max("_now").over(by_a)).checkpoint()
-        now = sides.where("_now").select(*pairs.columns)
-        if now.isEmpty():
-            return taken
-        n += 1
-        taken = taken.unionByName(now)
-        if n % 16 == 0:  # keeps the plan of the result short
-            taken = taken.checkpoint()
-        left = sides.where("not _of_a and not _of_b").select(*pairs.columns)
+        n = left.count()
+        if n <= walked:  # a bounded rest is one component or many, all the same
+            found.append(_walk(left.withColumn("_part", F.lit(0))))
+            break
+        side = lambda x: F.concat(F.lit(x), F.col(f"{x}_id").cast("string"))
+        parts = graph.components(left.select(side("a").alias("a"), side("b").alias("b")))
+        named = left.withColumn("node", side("a")).join(parts, "node").drop("node").checkpoint()
+        sizes = named.groupBy("component").agg(F.count("*").alias("_size"))
+        split = named.join(sizes, "component").checkpoint()
+        small = split.where(F.col("_size") <= walked)
+        groups = max(1, -(-n // walked))
+        found.append(_walk(small.withColumn("_part", F.pmod(F.xxhash64("component"), F.lit(groups)))).checkpoint())
+        left = split.where(F.col("_size") > walked).select(*columns, "_rank").checkpoint()
+        for _ in range(ROUNDS_APART):
+            if left.isEmpty():
+                break
+            best_a = left.groupBy("a_id").agg(F.min("_rank").alias("_rank"))
+            best_b = left.groupBy("b_id").agg(F.min("_rank").alias("_rank"))
+            now = best_a.join(best_b, "_rank").select("_rank", F.col("a_id").alias("_a"), F.col("b_id").alias("_b")).checkpoint()
+            found.append(left.join(now.select("_rank"), "_rank", "left_semi").checkpoint())
+            left = left.join(now.select(F.col("_a").alias("a_id")), "a_id", "left_anti").join(now.select(F.col("_b").alias("b_id")), "b_id", "left_anti").select(*columns, "_rank").checkpoint()
+    taken = found[0]
+    for x in found[1:]:
+        taken = taken.unionByName(x.select(*taken.columns))
+    return taken.select(*columns)
+
+
+def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with _rank, a number that sorts as order does. Rows are dealt by ranges, so no task holds them all."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rank", F.monotonically_increasing_id())
+    return dealt
+
+
+def _walk(pairs: DataFrame) -> DataFrame:
+    """The pairs that a walk in the order of _rank takes, each _part on its own; pairs stream by, only taken ids are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, a_taken, b_taken = None, set(), set()
+        for batch in batches:
+            keep = []
+            for p, a, b in zip(batch["_part"], batch["a_id"], batch["b_id"], strict=True):
+                if p != part:
+                    part, a_taken, b_taken = p, set(), set()
+                free = a not in a_taken and b not in b_taken
+                if free:
+                    a_taken.add(a)
+                    b_taken.add(b)
+                keep.append(free)
+            yield batch[keep]
+
+    dealt = pairs.repartition("_part").sortWithinPartitions("_part", "_rank")
+    return dealt.mapInPandas(run, dealt.schema).drop("_part", "component", "_size")
 
 
 def cluster_label(scores: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -83,6 +83,44 @@ SHELL_NAMES = ("home", "landing", "index", "main", "root")
 INFO_SEGMENTS = ("contact", "contact-us", "about", "about-us", "imprint", "faq")
 
 
+#: What makes no journey by itself. Directories and words of things that are drawn ...
+PRIMITIVE_DIRS = ("ui", "components", "component", "design-system", "design_system", "primitives", "primitive", "atoms", "atom")
+PRIMITIVE_WORDS = (
+    "atom", "atoms", "component", "components", "primitive", "primitives", "widget", "widgets", "data", "table", "datatable", "form", "forms",
+    "builder", "embed", "embeddable", "embeds", "icon", "icons", "ui", "layout", "layouts", "theme", "themes", "style", "styles",
+)
+PRIMITIVE_LEADS = ("components", "component", "atoms", "atom", "ui", "primitives", "primitive", "widgets", "widget", "designsystem", "design")
+#: ... directories with a connector each, and the domain that stands for them all ...
+PLUGIN_ROOTS = ("app-store", "app_store", "apps", "integrations", "integration", "connectors", "connector", "plugins", "plugin", "extensions")
+PLUGIN_DOMAIN = "integration"
+#: ... words and packages of what other code is built on ...
+INFRA_DOMAINS = (
+    "di", "dto", "ioc", "container", "util", "utils", "lib", "libs", "library", "libraries", "config", "configs", "configuration", "settings_config",
+    "type", "types", "typing", "const", "constant", "constants", "enum", "enums", "helper", "helpers", "util_helper", "internal", "core", "common",
+    "shared", "base", "misc", "prisma", "schema", "orm", "client", "key", "keys", "command", "commands", "api", "app", "apps", "no", "yes",
+    "automated", "transactional", "platform_library", "internationalization", "i18n", "intl", "locale", "locales",
+)
+INFRA_PACKAGES = (
+    "lib", "libs", "library", "libraries", "utils", "util", "helpers", "config", "configs", "types", "typings", "constants", "internal", "prisma",
+    "schema", "orm", "db", "database", "emails", "email", "mail", "mailer", "sms", "i18n", "intl", "internationalization", "locales",
+    "translations", "di", "ioc",
+)
+#: ... top directories of samples, and directories that only lead to packages.
+ARTIFACT_ROOTS = ("playground", "playgrounds", "example", "examples", "demo", "demos", "sample", "samples")
+WORKSPACE_ROOTS = ("packages", "package", "apps", "app", "src", "lib", "libs", "modules", "platform", "internal", "pkg", "crates", "services", "projects")
+
+#: Where a path names the domain that it serves, in order; module directories that are no domain; words before a label's noun.
+ROUTER_FILE = r"routers?/([a-z0-9_]+)\.py"
+JOB_FILE = r"(?:^|/)(?:inngest_functions?|inngest|celery_tasks?|tasks?|workers?|jobs?)/([a-z0-9_]+)\.py"
+MODULE_DIR = r"(?:^|/)(?:modules?|pages?|features?|views?|screens?)/([a-z0-9][-a-z0-9_]+)"
+SOURCE_DIR = r"(?:^|/)(?:app|src|frontend/src|backend|services|jobs)/([a-z0-9_]+)"
+NO_MODULES = ("components", "utils", "hooks", "lib", "types", "helpers", "common", "shared", "core", "base", "layouts", "styles", "assets", "constants")
+LABEL_LEADS = (
+    "the", "a", "an", "and", "with", "of", "for", "to", "rest", "api", "com", "self", "multi", "auto", "real", "full", "open", "custom", "smart",
+    "new", "advanced", "built", "in",
+)
+
+
 def lookup(table: dict[str, tuple[str, ...]]) -> dict[str, str]:
     """Word to its class; of classes that share a word, the first."""
     out: dict[str, str] = {}

@@ -24,12 +24,44 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3, cap: int | None =
     for d in range(1, depth + 1):
         found = frontier.join(steps, "node").select("seed", F.col("to").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         frontier = found.withColumn("depth", F.lit(d)).checkpoint()
+        if frontier.isEmpty():
+            break
         seen = seen.unionAll(frontier)
     if cap is None:
         return seen
     return seen.withColumn("_nth", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))).where(F.col("_nth") <= cap).drop("_nth")
 
 
+def reach_in_order(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 8, skipped: DataFrame | None = None) -> DataFrame:
+    """The nodes that a queue visits from each seed, in its order: seed, node, depth, place (from 1).
+
+    edges: importer, target, pos, in whose order a node's targets are looked at; seeds: seed, node. A layer is visited in
+    the order of the one before; the walk ends, within a layer too, at ``most`` nodes with the seed's own. Nodes of
+    ``skipped`` (node), as tests are, aren't visited, though a seed may be one.
+
+    A node's order key is (its parent's place, the edge's place), so each layer is one join and a rank; of a layer no more than
+    ``most`` nodes a seed go on, so a frontier never grows with the fan-out.
+    """
+    steps = edges.groupBy(F.col("importer").alias("node"), F.col("target").alias("to")).agg(F.min("pos").alias("pos")).where("node <> to")
+    if skipped is not None:
+        steps = steps.join(skipped.select(F.col("node").alias("to")).distinct(), "to", "left_anti")
+    # of a node's targets the first ones are enough: the walk takes most - 1 new ones, and passes over most - 1 that it knows
+    near = Window.partitionBy("node").orderBy("pos", "to")
+    steps = steps.withColumn("_nth", F.row_number().over(near)).where(F.col("_nth") <= 2 * most).checkpoint()
+    frontier = seeds.select("seed", "node").distinct().withColumns({"depth": F.lit(0), "place": F.lit(1)}).checkpoint()
+    seen = frontier
+    for d in range(1, depth + 1):
+        live = frontier.join(seen.groupBy("seed").agg(F.count("*").alias("_n")), "seed").where(F.col("_n") < most)
+        found = live.join(steps, "node").groupBy("seed", "_n", "to").agg(F.min(F.struct("place", "_nth")).alias("key"))
+        fresh = found.join(seen.select("seed", F.col("node").alias("to")), ["seed", "to"], "left_anti")
+        ranked = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("seed").orderBy("key", "to"))).where(F.col("_k") <= most)
+        frontier = ranked.where(F.col("_n") + F.col("_k") <= most).select("seed", F.col("to").alias("node"), F.lit(d).alias("depth"), (F.col("_n") + F.col("_k")).cast("int").alias("place")).checkpoint()
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 REACH_SQL = """
 WITH RECURSIVE walk(seed, node, depth) AS (
   SELECT seed, node, 0 FROM {seeds}

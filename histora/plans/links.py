@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import routes
+from ..functions import conventions as words
+from ..operators import graph, routes, seeding
 from .domain import Domain
 from .queries import _set_checkpoints, query
 
@@ -85,3 +86,105 @@ def route_resolution(d: Domain) -> DataFrame:
     _set_checkpoints(d.spark)
     return routes.resolve_calls(routes.network_calls(_calls(d)), _part_routes(d))
 
+
+
+# -- journeys ----------------------------------------------------------------------
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _one(w: str) -> str:
+    """A word in the singular, as SQL."""
+    return f"CASE WHEN length({w}) <= 3 THEN {w} WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN {w}[:-4] || 'y' WHEN regexp_matches({w}, '(ss|us|is)$') THEN {w} WHEN regexp_matches({w}, '(sses|shes|ches|xes|zzes)$') THEN {w}[:-3] WHEN {w} LIKE '%s' THEN {w}[:-2] ELSE {w} END"
+
+
+#: What the parts' names, sizes and types make of a flow: where it enters, its feature, its product's label and what sets it off.
+_FLOWS_SQL = f"""fl AS (
+  SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'list' ELSE 'ping' END || '-' || w1 || '-' || w2 || 's-flow' AS flow, p_partkey AS pos, w1, w2, p_size,
+    CASE p_partkey % 6 WHEN 0 THEN 'api-v2-config' WHEN 1 THEN 'data-table' WHEN 2 THEN 'platform-util' WHEN 3 THEN 'x' ELSE lower(p_type) END AS feature,
+    CASE p_size % 8 WHEN 0 THEN 'packages/ui/' || w2 || '/index.ts' WHEN 1 THEN 'packages/app-store/' || w2 || p_size || '/api.ts' WHEN 2 THEN 'packages/plugins/' || w1 || '/main.ts'
+      WHEN 3 THEN 'packages/lib/' || w1 || '/' || w2 || '.ts' WHEN 4 THEN 'backend/' || w2 || 's/service.py' WHEN 5 THEN 'playground/' || w2 || '.tsx'
+      WHEN 6 THEN 'apps/web/modules/' || w1 || '-' || w2 || '/page.tsx' ELSE 'src/routers/v1_' || w2 || 's.py' END AS entry,
+    CASE WHEN p_size % 5 = 0 THEN 'Full ' || w2 || ' & more' END AS product, CASE WHEN p_size % 7 = 0 THEN 'scheduled' ELSE 'interactive' END AS trigger, p_brand = 'Brand#2' AS artifact
+  FROM (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part)
+),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY flow, feature ORDER BY pos) AS nth FROM fl) WHERE nth = 1),
+dm AS (
+  SELECT *, CASE WHEN p_size % 8 = 7 THEN w2 WHEN product IS NOT NULL THEN w2 WHEN p_size % 8 = 6 THEN {_one("(w1 || '_' || w2)")} WHEN p_size % 8 = 4 THEN w2
+    ELSE {_one("replace(regexp_replace(feature, '^((api|test|v[0-9]+)-)+', ''), '-', '_')")} END AS domain
+  FROM f1
+),
+pl AS (SELECT CASE p_size % 8 WHEN 1 THEN 'app-store' WHEN 2 THEN 'plugins' WHEN 6 THEN 'apps' END AS root, CASE p_size % 8 WHEN 1 THEN w2 || p_size WHEN 2 THEN w1 WHEN 6 THEN 'web' END AS child FROM dm),
+ro AS (SELECT root FROM (SELECT root, count(DISTINCT child) AS c, count(*) AS n FROM pl WHERE root IS NOT NULL GROUP BY root) WHERE c >= 3 AND n <= 8 * c AND c >= 0.25 * n),
+kd AS (
+  SELECT *, length(domain) = 1 OR domain IN {_list(words.INFRA_DOMAINS)} OR (contains(domain, '_') AND split_part(domain, '_', -1) IN {_list(words.INFRA_DOMAINS)}) AS infra,
+    list_bool_and(list_transform(string_split(domain, '_'), lambda w: w IN {_list(words.PRIMITIVE_WORDS)})) AS drawn
+  FROM dm
+),
+rl AS (
+  SELECT *, CASE WHEN artifact OR p_size % 8 = 5 THEN 'dev_artifact' WHEN CASE p_size % 8 WHEN 1 THEN 'app-store' WHEN 2 THEN 'plugins' WHEN 6 THEN 'apps' END IN (SELECT root FROM ro) THEN 'plugin' WHEN trigger <> 'interactive' THEN 'system'
+    WHEN drawn OR (infra AND p_size % 8 = 0) THEN 'ui_primitive' WHEN infra THEN 'infra_domain' ELSE 'seed' END AS rule
+  FROM kd
+),
+sd AS (
+  SELECT flow, feature, rule, CASE rule WHEN 'plugin' THEN 'integration' WHEN 'system' THEN CASE WHEN drawn OR infra THEN w1 || '-' || w2 ELSE domain END ELSE domain END AS domain, {_one("w1")} || '-' || w2 AS resource,
+    CASE split_part(flow, '-', 1) WHEN 'create' THEN 'author' WHEN 'list' THEN 'browse' ELSE 'other' END AS intent, CASE rule WHEN 'system' THEN 'system' ELSE 'person' END AS space
+  FROM rl
+)"""
+
+
+def _part_flows(d: Domain) -> DataFrame:
+    w1, w2 = (F.split("p_name", " ")[k] for k in (0, 1))
+    size, pick = F.col("p_size"), lambda values, k: F.element_at(F.array(*values), (k + 1).cast("int"))
+    verb = pick([F.lit("create"), F.lit("list"), F.lit("ping")], F.col("p_partkey") % 3)
+    feature = pick([F.lit("api-v2-config"), F.lit("data-table"), F.lit("platform-util"), F.lit("x"), F.lower("p_type"), F.lower("p_type")], F.col("p_partkey") % 6)
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    entries = [
+        text("packages/ui/", w2, "/index.ts"), text("packages/app-store/", w2, size.cast("string"), "/api.ts"), text("packages/plugins/", w1, "/main.ts"), text("packages/lib/", w1, "/", w2, ".ts"),
+        text("backend/", w2, "s/service.py"), text("playground/", w2, ".tsx"), text("apps/web/modules/", w1, "-", w2, "/page.tsx"), text("src/routers/v1_", w2, "s.py"),
+    ]
+    return d.table("part").select(
+        text(verb, "-", w1, "-", w2, "s-flow").alias("flow"), feature.alias("feature"), pick(entries, size % 8).alias("entry"), F.array(F.lit("other/late.ts")).alias("paths"), F.when(size % 5 == 0, text("Full ", w2, " & more")).alias("product"),
+        F.when(size % 7 == 0, "scheduled").otherwise("interactive").alias("trigger"), (F.col("p_brand") == "Brand#2").alias("artifact"), F.col("p_partkey").alias("pos"),
+    )
+
+
+@query("", f"WITH {_FLOWS_SQL} SELECT flow, feature, rule, CASE WHEN rule IN ('dev_artifact', 'ui_primitive', 'infra_domain') THEN NULL ELSE domain END AS domain FROM sd")
+def journey_seeding(d: Domain) -> DataFrame:
+    """Which flows make journeys, and in what domain; the rest with the rule that took them."""
+    _set_checkpoints(d.spark)
+    return seeding.seeds(seeding.flow_domain(_part_flows(d))).select("flow", "feature", "rule", "domain")
+
+
+@query("", f"WITH {_FLOWS_SQL} SELECT space, domain, resource, intent, count(*) AS flows, min(flow) AS first_flow FROM sd WHERE rule NOT IN ('dev_artifact', 'ui_primitive', 'infra_domain') GROUP BY ALL")
+def journey_seeds(d: Domain) -> DataFrame:
+    _set_checkpoints(d.spark)
+    return seeding.seeded_journeys(seeding.seeds(seeding.flow_domain(_part_flows(d))))
+
+
+# -- reach in order ----------------------------------------------------------------
+
+
+def _layer(d: int) -> str:
+    """One layer of the queue's walk, as SQL: what the frontier's edges meet first, ranked, as far as the seed has room."""
+    return f"""c{d} AS (SELECT seed, target AS node, arg_min(f.place, (f.place, e.pos)) AS pp, arg_min(e.pos, (f.place, e.pos)) AS ep FROM l{d - 1} f JOIN e ON e.importer = f.node GROUP BY seed, target),
+n{d} AS (SELECT seed, count(*) AS n FROM s{d - 1} GROUP BY seed),
+l{d} AS (SELECT seed, node, {d} AS depth, n + k AS place FROM (SELECT c.*, n, row_number() OVER (PARTITION BY c.seed ORDER BY pp, ep, c.node) AS k FROM c{d} c JOIN n{d} n ON n.seed = c.seed
+  WHERE NOT EXISTS (SELECT 1 FROM s{d - 1} x WHERE x.seed = c.seed AND x.node = c.node)) WHERE n + k <= 8),
+s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM l{d})"""
+
+
+@query("", f"""WITH e AS (SELECT importer, target, min(pos) AS pos FROM (SELECT l_partkey AS importer, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target, l_orderkey AS pos FROM lineitem)
+  WHERE target IS NOT NULL AND importer <> target AND target NOT IN (SELECT p_partkey FROM part WHERE p_size = 7) GROUP BY ALL),
+l0 AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth, 1 AS place FROM part), s0 AS (SELECT * FROM l0), {", ".join(_layer(d) for d in (1, 2, 3))} SELECT seed, node, depth, place FROM s3""")
+def reach_order(d: Domain) -> DataFrame:
+    """The files that each file reaches, in the order of a queue, eight at most; files of one size are passed over."""
+    from pyspark.sql.window import Window
+
+    _set_checkpoints(d.spark)
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    edges = d.table("lineitem").select(F.col("l_partkey").alias("importer"), after.alias("target"), F.col("l_orderkey").alias("pos")).where("target is not null")
+    part = d.table("part")
+    return graph.reach_in_order(edges, part.select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("node")), skipped=part.where("p_size = 7").select(F.col("p_partkey").alias("node")))

@@ -72,6 +72,51 @@ def split_large(paths: DataFrame, most: int = 100, rounds: int = 8) -> DataFrame
     return out
 
 
+#: FIXED VALUES: directories that split nothing off, and files that are no part of their own.
+SPLIT_FROM = 40
+TECHNICAL_DIRS = ("tests", "test", "__tests__", "migrations", "templates", "static")
+SUPPORT_DIRS = ("tests", "test", "__tests__", "migrations", "templates", "static", "management", "templatetags", "locale")
+SUPPORT_STEMS = ("__init__", "apps", "urls", "admin", "conftest", "setup", "config")
+
+
+def split_features(paths: DataFrame, most: int = SPLIT_FROM) -> DataFrame:
+    """Features of more files than ``most`` by the directory after their common one, else by the files' stems: feature, path, part.
+
+    paths: feature, path. Directories split a feature if they make three parts or more, each under 0.7 of it; technical ones
+    stay with the rest. Else stems of two files or more do, if they make three parts besides the rest, under the same share. What
+    splits neither way stays whole. Everything is a count by (feature, part), joined back; no feature is gathered.
+    """
+    p = paths.select("feature", "path").distinct().withColumn("parts", F.split("path", "/"))
+    # the common prefix of all is that of the first and the last in order, within the shortest
+    whole = p.groupBy("feature").agg(F.count("*").alias("n"), F.min("parts").alias("low"), F.max("parts").alias("high"), F.min(F.size("parts")).alias("short"))
+    agrees = F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    same = F.array_position(F.concat(agrees, F.array(F.lit(False))), False).cast("int") - 1
+    big = whole.where(F.col("n") > most).select("feature", "n", F.least(same, F.col("short")).alias("prefix"))
+    seen = p.join(big, "feature")
+
+    leaf = F.element_at("parts", -1)
+    stem = F.lower(F.regexp_replace(leaf, r"(?<=.)\.[^.]*$", ""))
+    holder = F.lower(F.coalesce(F.try_element_at("parts", F.lit(-2)), F.lit("")))
+    below = F.lower(F.try_element_at("parts", F.col("prefix") + 1))
+    deeper = (F.col("prefix") < F.size("parts") - 1) & ~below.isin(*TECHNICAL_DIRS)
+    support = holder.isin(*SUPPORT_DIRS) | stem.isin(*SUPPORT_STEMS) | stem.rlike("^tests?_")
+    seen = seen.select("feature", "path", "n", F.when(deeper, F.concat_ws("-", "feature", below)).otherwise(F.col("feature")).alias("by_dir"), F.when(~support, F.concat_ws("-", "feature", stem)).alias("by_stem"))
+
+    dirs = seen.groupBy("feature", "n", "by_dir").agg(F.count("*").alias("k")).groupBy("feature", "n").agg(F.count("*").alias("groups"), F.max("k").alias("largest"))
+    first = dirs.where((F.col("groups") > 2) & (F.col("largest") < F.col("n") * 0.7)).select("feature", F.lit("dir").alias("way"))
+    stems = seen.groupBy("feature", "n", "by_stem").agg(F.count("*").alias("k"))
+    own = F.col("by_stem").isNotNull() & (F.col("k") > 1)
+    kept = stems.where(own).select("feature", "by_stem", F.lit(True).alias("own"))
+    rest = F.sum(F.when(~own, F.col("k")).otherwise(0))
+    second = stems.groupBy("feature", "n").agg((F.count_if(own) + 1).alias("groups"), F.greatest(F.max(F.when(own, F.col("k")).otherwise(0)), rest).alias("largest"))
+    second = second.where((F.col("groups") > 3) & (F.col("largest") < F.col("n") * 0.7)).join(first, "feature", "left_anti").select("feature", F.lit("stem").alias("way"))
+
+    placed = seen.join(first.unionByName(second), "feature", "left").join(kept, ["feature", "by_stem"], "left")
+    part = F.when(F.col("way") == "dir", F.col("by_dir")).when((F.col("way") == "stem") & F.col("own"), F.col("by_stem")).otherwise(F.col("feature"))
+    small = p.join(big.select("feature"), "feature", "left_anti").select("feature", "path", F.col("feature").alias("part"))
+    return placed.select("feature", "path", part.alias("part")).unionByName(small)
+
+
 def residual_clusters(paths: DataFrame) -> DataFrame:
     """Unowned paths by top directory, extension and depth (1, 2, 3 or more); single ones go to their top directory's rest."""
     parts = F.split("path", "/")

@@ -72,17 +72,17 @@ RAW = [
 planted(
     "history_scan",
     {"raw": (COMMITS, RAW)},
-    lambda raw: history.prepare_commits(raw, "2024-04-01").withColumn("files", F.array_join("files", ",")),
+    lambda raw: history.prepare_commits(raw, "2024-04-01").withColumn("files", F.array_join("files", ",")).withColumn("sha", F.col("short_sha")),
     "sha author message files is_bug_fix pr_number",
     [("abcdef01", "ann", "fix: crash (#12)", "apps/web/a{k}.ts,apps/webx/b.ts", True, 12), ("cdef0123", "ann", "Merge pull request #7 from x", "README{k}.md", False, 7)],
 )
-planted("history_subtree", {"raw": (COMMITS, RAW)}, lambda raw: history.prepare_commits(raw, None, "apps/web/").withColumn("files", F.array_join("files", ",")), "sha files", [("abcdef01", "a{k}.ts"), ("bcdef012", "a{k}.ts")])
+planted("history_subtree", {"raw": (COMMITS, RAW)}, lambda raw: history.prepare_commits(raw, None, "apps/web/").withColumn("files", F.array_join("files", ",")).withColumn("sha", F.col("short_sha")), "sha files", [("abcdef01", "a{k}.ts"), ("bcdef012", "a{k}.ts")])
 
 
 def _snapshots(raw: DataFrame) -> DataFrame:
     shared = intake.Snapshot(raw, most=None)
     whole, web = shared.of(), shared.of("apps/web")
-    return whole.select(F.lit("all").alias("tree"), "sha", F.explode("files").alias("path")).unionByName(web.select(F.lit("web").alias("tree"), "sha", F.explode("files").alias("path")))
+    return whole.select(F.lit("all").alias("tree"), F.col("short_sha").alias("sha"), F.explode("files").alias("path")).unionByName(web.select(F.lit("web").alias("tree"), F.col("short_sha").alias("sha"), F.explode("files").alias("path")))
 
 
 planted(
@@ -114,7 +114,7 @@ planted(
 
 def _context(files: DataFrame, raw: DataFrame) -> DataFrame:
     out = intake.intake(files, raw, subtree="apps/web")
-    rows = [out["files"].select(F.lit("file").alias("kind"), F.col("path").alias("what")), out["stacks"].select(F.lit("stack").alias("kind"), F.concat_ws(":", "dir", "stack").alias("what")), out["commit_files"].select(F.lit("commit").alias("kind"), F.concat_ws(":", "sha", "path").alias("what")), out["workspaces"].select(F.lit("package").alias("kind"), F.col("name").alias("what"))]
+    rows = [out["files"].select(F.lit("file").alias("kind"), F.col("path").alias("what")), out["stacks"].select(F.lit("stack").alias("kind"), F.concat_ws(":", "dir", "stack").alias("what")), out["commit_files"].select(F.lit("commit").alias("kind"), F.concat_ws(":", F.substring("sha", 1, 8), "path").alias("what")), out["workspaces"].select(F.lit("package").alias("kind"), F.col("name").alias("what"))]
     both = rows[0]
     for r in rows[1:]:
         both = both.unionByName(r)

@@ -19,6 +19,10 @@ from .queries import ORACLE, QUERIES, _with_checkpoints
 
 Rows = Sequence[tuple]
 
+#: Cases of ``once`` and the rows that they must give, for the tests.
+CASES: dict[str, Callable[..., DataFrame]] = {}
+CASE_SQL: dict[str, str] = {}
+
 
 def _literal(value, kind: T.DataType) -> Column:
     if value is None:
@@ -74,7 +78,10 @@ def planted(name: str, tables: dict[str, tuple[str, Rows]], run: Callable[..., D
 
 
 def once(name: str, tables: dict[str, tuple[str, Rows]], run: Callable[..., DataFrame], columns: str, want: Rows) -> None:
-    """As ``planted``, for operators whose result is over the whole input (a total, a top list): the rows stand once, unstamped."""
+    """As ``planted``, for operators whose result is over the whole input (a total, a top list): the rows stand once, unstamped.
+
+    Such a case reads no table, so it is a test and no query.
+    """
     names = columns.split()
 
     def query(spark, sf_dir: str) -> DataFrame:
@@ -82,6 +89,6 @@ def once(name: str, tables: dict[str, tuple[str, Rows]], run: Callable[..., Data
         return run(**made).select(*names)
 
     query.__name__ = name
-    QUERIES[name] = _with_checkpoints(query)
+    CASES[name] = _with_checkpoints(query)
     each = [", ".join(f"{_sql_literal(v)} AS {c}" for c, v in zip(names, r, strict=True)) for r in want]
-    ORACLE[name] = " UNION ALL ".join(f"SELECT {e}" for e in each)
+    CASE_SQL[name] = " UNION ALL ".join(f"SELECT {e}" for e in each)

@@ -37,7 +37,8 @@ def prepare_commits(raw: DataFrame, since: str | None = None, subtree: str | Non
     out = raw.where(F.col("ts") >= F.lit(since).cast("timestamp")) if since else raw
     if subtree:
         out = out.withColumn("files", scoped(F.col("files"), subtree)).where(F.size("files") > 0)
-    return out.select(F.substring("sha", 1, 8).alias("sha"), "author", "ts", "message", "files", is_bug_fix("message").alias("is_bug_fix"), pr_number("message").alias("pr_number"))
+    # whole ids, as those of many commits share their first characters; the short one is for display
+    return out.select("sha", F.substring("sha", 1, 8).alias("short_sha"), "author", "ts", "message", "files", is_bug_fix("message").alias("is_bug_fix"), pr_number("message").alias("pr_number"))
 
 
 def scoped(files, subtree: str):

@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from histora.plans import links
+from histora.plans import links, tables
 from histora.plans.queries import ORACLE, QUERIES
 
 from .conftest import SMALL
 
-NAMES = [n for n, f in vars(links).items() if n in ORACLE and f.__module__ == links.__name__]
+NAMES = [n for module in (links, tables) for n, f in vars(module).items() if n in ORACLE and getattr(f, "__module__", None) == module.__name__]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -24,5 +24,5 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(df.columns)
     plain = lambda rows: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     got = plain(tuple(r[c] for c in columns) for r in df.collect())
-    assert columns == sorted(want.columns) and len(got) > 0
+    assert columns == sorted(want.columns) and (len(got) > 0 or name.startswith("tool_"))
     assert got == plain(want.select(*(f'"{c}"' for c in columns)).fetchall())

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -429,3 +430,44 @@ def test_evaluation(spark):
     assert evaluation.recall(e, a, f).first().recall == 1.0
     assert evaluation.precision(e, a, f).first().precision == 0.75
     assert evaluation.generic_rate(f).first().generic_rate == 0.25
+
+
+def split_plainly(features, most):
+    """One feature after the other, by its directories, else by its stems."""
+    skip, support, stems = set(sets.TECHNICAL_DIRS), set(sets.SUPPORT_DIRS), set(sets.SUPPORT_STEMS)
+    out = {}
+    for name, paths in features.items():
+        parts = [p.split("/") for p in paths]
+        prefix = 0
+        while prefix < min(map(len, parts)) and len({x[prefix] for x in parts}) == 1:
+            prefix += 1
+        by_dir = {p: f"{name}-{x[prefix].lower()}" if prefix < len(x) - 1 and x[prefix].lower() not in skip else name for p, x in zip(paths, parts)}
+        by_stem = {}
+        for p, x in zip(paths, parts):
+            stem = (x[-1].rpartition(".")[0] or x[-1]).lower()
+            apart = (x[-2].lower() if len(x) > 1 else "") in support or stem in stems or stem.startswith(("test_", "tests_"))
+            by_stem[p] = None if apart else f"{name}-{stem}"
+        counts = Counter(by_stem.values())
+        by_stem = {p: g if g and counts[g] > 1 else name for p, g in by_stem.items()}
+        dirs, own = Counter(by_dir.values()), Counter(by_stem.values())
+        if len(paths) <= most:
+            part = dict.fromkeys(paths, name)
+        elif len(dirs) > 2 and max(dirs.values()) < 0.7 * len(paths):
+            part = by_dir
+        elif len({*own, name}) > 3 and max(own.values()) < 0.7 * len(paths):
+            part = by_stem
+        else:
+            part = dict.fromkeys(paths, name)
+        out |= {(name, p): g for p, g in part.items()}
+    return out
+
+
+def test_large_features_split_by_directories_or_stems(spark):
+    r = random.Random(5)
+    features = {"small": ["a/b.py", "c.py"], "flat": [f"x/main/{k}/m{k % 4}.py" for k in range(20)] + ["x/other/tests/test_m1.py", "x/other/urls.py"]}
+    for i in range(30):
+        dirs = r.sample(["A", "b", "tests", "c", "migrations", "d"], r.randint(1, 5))
+        features[f"f{i}"] = sorted({"/".join(["src"] * (i % 3) + ([r.choice(dirs)] if r.random() < 0.8 else []) + ([r.choice(dirs)] if r.random() < 0.4 else []) + [r.choice(["m", "n.x", "o", "test_p", "urls", ".env", "Q"]) + str(r.randint(0, 5) if i % 2 else "") + r.choice([".py", ".TS", ""])]) for _ in range(r.randint(3, 60))})
+    df = spark.createDataFrame([(f, p) for f, paths in features.items() for p in paths], "feature string, path string")
+    got = {(x["feature"], x["path"]): x["part"] for x in sets.split_features(df, 10).collect()}
+    assert got == split_plainly(features, 10) and len(set(got.values())) > len(features) + 10

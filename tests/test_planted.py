@@ -25,11 +25,13 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", [*NAMES, *(f"once:{n}" for n in planted.CASES)])
 def test_planted(spark, con, name):
-    df = QUERIES[name](spark, SMALL)
+    queries, sql = (planted.CASES, planted.CASE_SQL) if name.startswith("once:") else (QUERIES, ORACLE)
+    name = name.removeprefix("once:")
+    df = queries[name](spark, SMALL)
     columns = sorted(df.columns)
-    want = con.sql(ORACLE[name])
+    want = con.sql(sql[name])
     assert columns == sorted(want.columns)
     plain = lambda rows: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(want.select(*(f'"{c}"' for c in columns)).fetchall())

@@ -21,8 +21,14 @@ def test_commits_from_json(spark, tmp_path):
     ]
     (tmp_path / "log.json").write_text("\n".join(map(json.dumps, lines)))
     got = history.read_commits(spark, str(tmp_path), since="2024-01-01", subtree="app/")
-    assert rows(got, "sha", "is_bug_fix", "pr_number", "files") == [("01234567", True, 7, ["x.ts"])]
-    assert rows(history.commit_files(got)) == [("01234567", "x.ts")]
+    assert rows(got, "short_sha", "is_bug_fix", "pr_number", "files") == [("01234567", True, 7, ["x.ts"])]
+    assert rows(history.commit_files(got)) == [("0123456789ab", "x.ts")]
+
+
+def test_commits_whose_short_ids_are_the_same_stay_apart(spark):
+    raw = spark.createDataFrame([("0123456789ab", "a", None, "fix: x", ["p"]), ("01234567ffff", "b", None, "feat: y", ["q"])], history.COMMIT)
+    commits = history.prepare_commits(raw)
+    assert rows(history.commit_files(commits).join(commits.select("sha", "author", "is_bug_fix"), "sha").select("path", "author", "is_bug_fix")) == [("p", "a", True), ("q", "b", False)]
 
 
 def test_tree_skips_what_is_no_source(spark, tmp_path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conventions as words
 from ..operators import graph, routes, seeding
+from ..sources import mounts
 from .domain import Domain
 from .queries import _set_checkpoints, query
 
@@ -188,3 +189,50 @@ def reach_order(d: Domain) -> DataFrame:
     edges = d.table("lineitem").select(F.col("l_partkey").alias("importer"), after.alias("target"), F.col("l_orderkey").alias("pos")).where("target is not null")
     part = d.table("part")
     return graph.reach_in_order(edges, part.select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("node")), skipped=part.where("p_size = 7").select(F.col("p_partkey").alias("node")))
+
+
+# -- mounts ------------------------------------------------------------------------
+
+
+def _mounted_files(d: Domain) -> DataFrame:
+    """Three files a part, each of which mounts the next, by the part's name, type and size: of Express, FastAPI or Django."""
+    words_ = F.split("p_name", " ")
+    part = d.table("part").select(F.col("p_partkey").cast("string").alias("k"), words_[0].alias("w1"), words_[1].alias("w2"), F.lower("p_type").alias("t"), "p_size", F.col("p_size").cast("string").alias("n"))
+
+    def text(form: str) -> Column:
+        out = F.lit(form)
+        for name in ("k", "w1", "w2", "t", "n"):
+            out = F.replace(out, F.lit("{" + name + "}"), F.col(name))
+        return out
+
+    def tree(*files: tuple[str, str, str]) -> Column:
+        """(path, text, what large parts have besides)."""
+        return F.array(*[F.struct(text(p).alias("path"), F.concat(text(t), F.when(F.col("p_size") > 25, text(more)).otherwise("")).alias("text")) for p, t, more in files])
+
+    express = tree(
+        ("m{k}/app.js", "const app = express();\napp.use('/{w1}', auth, require('./r'));\n", ""),
+        ("m{k}/r/index.js", "const router = Router();\nconst deep = require('./{w2}');\nrouter.use('/{t}', deep);\nmodule.exports = router;\n", ""),
+        ("m{k}/r/{w2}.js", "const router = express.Router();\nmodule.exports = router;\nrouter.get('/:id', h);\n", "router.route('/{n}').post(h);\n"),
+    )
+    fastapi = tree(
+        ("m{k}/main.py", "from .api import top\napp = FastAPI()\napp.include_router(top, prefix='/{w1}')\n", ""),
+        ("m{k}/api/__init__.py", "from . import {w2}\ntop = APIRouter()\ntop.include_router({w2}.router, prefix='/{t}')\n", ""),
+        ("m{k}/api/{w2}.py", "router = APIRouter()\n@router.get('/{id}')\ndef one(): ...\n", "@router.post('/{n}')\ndef more(): ...\n"),
+    )
+    django = tree(
+        ("m{k}/urls.py", "urlpatterns = [path('{w1}/', include('m{k}.shop.urls'))]\n", ""),
+        ("m{k}/shop/urls.py", "urlpatterns = [\n  path('{t}/', include('m{k}.shop.{w2}.urls')),\n]\n", ""),
+        ("m{k}/shop/{w2}/urls.py", "urlpatterns = [\n  path('<id>/', one),\n]\n", "urlpatterns += [\n  path('{n}/', more),\n]\n"),
+    )
+    kind = F.col("p_size") % 3
+    return part.select(F.explode(F.when(kind == 0, express).when(kind == 1, fastapi).otherwise(django)).alias("f")).select("f.*")
+
+
+@query("", """WITH p AS (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, lower(p_type) AS t, p_size % 3 AS kind FROM part),
+r AS (SELECT *, false AS more FROM p UNION ALL SELECT *, true FROM p WHERE p_size > 25)
+SELECT 'm' || p_partkey || CASE kind WHEN 0 THEN '/r/' || w2 || '.js' WHEN 1 THEN '/api/' || w2 || '.py' ELSE '/shop/' || w2 || '/urls.py' END AS path, CASE WHEN kind = 2 THEN 'URL' WHEN more THEN 'POST' ELSE 'GET' END AS method,
+  '/' || w1 || '/' || t || '/' || CASE WHEN more THEN p_size::VARCHAR WHEN kind = 0 THEN ':id' WHEN kind = 1 THEN '{id}' ELSE '<id>' END AS pattern, 2 AS depth FROM r""")
+def mounted_routes(d: Domain) -> DataFrame:
+    """Routes under the prefixes of two files above theirs."""
+    _set_checkpoints(d.spark)
+    return mounts.mounted_routes(_mounted_files(d)).select("path", "method", "pattern", "depth")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import repos, sets, shaping, tools
+from ..operators import increments, repos, sets, shaping, tools
 from ..sources import anchors, intake
-from ..streaming import refresh
+from ..streaming import ledger, refresh
 from . import commands
 from .cases import _scratch
 from .domain import Domain
@@ -207,3 +207,68 @@ def watched_bursts(d: Domain) -> DataFrame:
         ended = refresh.bursts(refresh.file_events(spark, f"{at}/in"), "1 hour").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
         ended.awaitTermination()
     return spark.read.parquet(f"{at}/out").where("repo <> 'closing'").select("repo", "started", "events", "paths")
+
+
+# -- a map that is kept up to date -------------------------------------------------
+
+#: Files by the parts' names: even parts are the map's, odd ones new, placed by directory, by stem, by a directory's name or not at all.
+_FILES_SQL = f"""{_PARTS}, f AS (SELECT *, p_partkey % 2 = 0 AS old, CASE WHEN p_partkey % 2 = 0 THEN 'path' WHEN p_size % 4 = 0 THEN 'dir' WHEN p_size % 4 = 1 THEN 'stem' WHEN p_size % 4 = 2 THEN 'folder' END AS how,
+  CASE WHEN p_partkey % 2 = 0 THEN 'src/' || w2 || '/' || w1 || '/' || p_partkey || '.py' WHEN p_size % 4 = 0 THEN 'src/' || w2 || '/' || w1 || '/deep/' || p_partkey || '.py' WHEN p_size % 4 = 1 THEN 'lib/' || p_partkey || '/v1_' || w2 || '_view.py'
+    WHEN p_size % 4 = 2 THEN 'lib/' || w2 || 's/' || p_partkey || '.py' ELSE 'misc/' || p_partkey || '.py' END AS path FROM pt),
+a AS (SELECT *, CASE WHEN how IS NOT NULL THEN w2 END AS feature FROM f)"""
+
+
+def _map(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features, paths and every part's file."""
+    p, size = _parts(d), F.col("p_size") % 4
+    old = _text("src/", F.col("w2"), "/", F.col("w1"), "/", F.col("key"), ".py")
+    new = F.when(size == 0, _text("src/", F.col("w2"), "/", F.col("w1"), "/deep/", F.col("key"), ".py")).when(size == 1, _text("lib/", F.col("key"), "/v1_", F.col("w2"), "_view.py")).when(size == 2, _text("lib/", F.col("w2"), "s/", F.col("key"), ".py")).otherwise(_text("misc/", F.col("key"), ".py"))
+    files = p.select("p_partkey", "w2", F.when(F.col("p_partkey") % 2 == 0, old).otherwise(new).alias("path"))
+    paths = files.where("p_partkey % 2 = 0").select(F.col("w2").alias("feature"), "path", F.col("p_partkey").alias("pos"))
+    features = p.groupBy(F.col("w2").alias("feature")).agg(F.min("p_partkey").alias("pos"), F.count("*").alias("total_commits"), F.count_if(F.col("p_size") > 25).alias("bug_fixes"))
+    kept = features.select("*", F.lit(0.5).alias("bug_fix_ratio"), F.array(F.lit("0")).alias("authors"), F.lit("1990-01-01").cast("timestamp_ntz").alias("last_modified"), F.lit(1.0).alias("health_score"))
+    return kept, paths, files
+
+
+@query("", f'WITH {_FILES_SQL} SELECT path, feature, how AS "by" FROM a')
+def files_assigned(d: Domain) -> DataFrame:
+    """The feature that each file finds: its own, or by directory, stem or a directory's name."""
+    _set_checkpoints(d.spark)
+    features, paths, files = _map(d)
+    return increments.assign_files(features, paths, files)
+
+
+@query("commits", f""", {_FILES_SQL}, t AS (SELECT DISTINCT feature, sha, author, ts, is_bug_fix, date_diff('second', ts, (SELECT max(ts) FROM commits)) // 86400 AS age FROM lineitem JOIN a ON l_partkey = p_partkey JOIN commits ON sha = l_orderkey WHERE feature IS NOT NULL),
+u AS (SELECT *, CASE WHEN age < 30 THEN 1460 ELSE greatest(365, 730 - 2 * (age - 30)) END AS units FROM t),
+n AS (SELECT feature, count(*) AS n, count(*) FILTER (WHERE is_bug_fix) AS bugs, count(DISTINCT author) FILTER (WHERE author <> 0) AS authors, max(ts) AS ts, sum(units) FILTER (WHERE is_bug_fix)::DOUBLE / sum(units) AS share FROM u GROUP BY 1),
+b AS (SELECT w2 AS feature, count(*) AS total, count(*) FILTER (WHERE p_size > 25) AS fixes FROM pt GROUP BY 1),
+x AS (SELECT *, 100.0::DOUBLE / (1.0::DOUBLE + exp(8.0::DOUBLE * (share - 0.55::DOUBLE))) AS base, least(1.0::DOUBLE, (total + n) / 50.0::DOUBLE) AS active FROM b JOIN n USING (feature))
+SELECT feature, total + n AS total_commits, fixes + bugs AS bug_fixes, round((fixes + bugs)::DOUBLE / (total + n), 3) AS bug_fix_ratio, authors + 1 AS n_authors, strftime(ts, '%Y-%m-%d') AS last_modified, round(base * active + base * (1 - active) * 0.8, 1) AS health_score FROM x""")
+def map_update(d: Domain) -> DataFrame:
+    """The map's features after all commits, of which new files count for the features that they found."""
+    _set_checkpoints(d.spark)
+    features, paths, files = _map(d)
+    touched = d.table("lineitem").join(files, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("sha"), "path")
+    commits = d.commits.withColumns({"author": F.col("author").cast("string"), "pr_number": F.lit(None).cast("int")})
+    last = commits.agg(F.max("ts").alias("ts")).first()["ts"]
+    out, _, _ = increments.update_map(features, paths, commits, touched, F.lit(last))
+    return out.select("feature", "total_commits", "bug_fixes", "bug_fix_ratio", F.size("authors").cast("long").alias("n_authors"), F.date_format("last_modified", "yyyy-MM-dd").alias("last_modified"), "health_score")
+
+
+@query("", """WITH c AS (SELECT o_orderkey AS sha, o_custkey % 20 AS feature, o_custkey AS author, o_orderpriority = '1-URGENT' AS bug FROM orders WHERE NOT (o_orderkey % 3 = 0)),
+f AS (SELECT DISTINCT feature, sha, l_suppkey AS file FROM c JOIN lineitem ON l_orderkey = sha)
+SELECT 'F' || feature AS feature, count(*) AS total_commits, count(*) FILTER (WHERE bug) AS bug_fixes, count(DISTINCT author) AS authors, any_value(files) AS files FROM c LEFT JOIN (SELECT feature, count(DISTINCT file) AS files FROM f GROUP BY 1) USING (feature) GROUP BY feature""")
+def ledger_stream(d: Domain) -> DataFrame:
+    """Commits as a stream, a third of which a later batch takes back: counts, authors and files of what is left."""
+    spark = d.spark
+    at = _scratch(spark, f"ledger-{uuid.uuid4().hex}")
+    files = d.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("files"))
+    orders = d.table("orders").join(files, "o_orderkey", "left")
+    event = lambda seq, kind: orders.select(_text("F", (F.col("o_custkey") % 20).cast("string")).alias("feature"), F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_custkey").cast("string").alias("author"), (F.col("o_orderpriority") == "1-URGENT").alias("is_bug_fix"), "files")
+    gone = event(2, ledger.DROP).where("sha % 3 = 0")
+    again = event(1, ledger.ADD).where("sha % 5 = 0")  # the same commits once more
+    for batch in (event(1, ledger.ADD), gone.unionByName(again)):
+        batch.write.mode("append").parquet(f"{at}/in")
+        ended = ledger.start_ledger(spark.readStream.schema(ledger.EVENTS).parquet(f"{at}/in"), f"{at}/out", f"{at}/log")
+        ended.awaitTermination()
+    return ledger.current(spark.read.parquet(f"{at}/out/*"))

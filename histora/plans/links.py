@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import conventions as words
-from ..operators import graph, routes, seeding
+from ..operators import graph, regions, routes, seeding
 from ..sources import mounts
 from .domain import Domain
 from .queries import _set_checkpoints, query
@@ -236,3 +236,31 @@ def mounted_routes(d: Domain) -> DataFrame:
     """Routes under the prefixes of two files above theirs."""
     _set_checkpoints(d.spark)
     return mounts.mounted_routes(_mounted_files(d)).select("path", "method", "pattern", "depth")
+
+
+# -- regions -----------------------------------------------------------------------
+
+
+def _region_files(d: Domain) -> DataFrame:
+    """A script a part, with as many branches as its size says and a switch over its words, and a Python file besides."""
+    words_, size = F.split("p_name", " "), F.col("p_size")
+    ifs = F.array_join(F.transform(F.sequence(F.lit(1), size), lambda k: F.concat(F.lit("  if (a"), k.cast("string"), F.lit(") {\n    go()\n  }\n"))), "")
+    script = F.concat(F.lit("function f() {\n"), ifs, F.lit("}\nfunction g() {\n  switch (x) {\n    case '"), words_[0], F.lit("':\n      one()\n    case '"), words_[1], F.lit("':\n      two()\n  }\n}\n"))
+    python = F.concat(F.lit("def h(x):\n    if x == '"), words_[0], F.lit("':\n        return 1\n    else:\n        return "), size.cast("string"), F.lit("\n"))
+    key = F.col("p_partkey").cast("string")
+    rows = F.array(F.struct(F.concat(F.lit("s"), key, F.lit(".ts")).alias("path"), script.alias("text"), size.alias("n")), F.struct(F.concat(F.lit("p"), key, F.lit(".py")).alias("path"), python.alias("text"), F.lit(0).alias("n")))
+    return d.table("part").select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("", """WITH p AS (SELECT p_partkey AS k, p_size, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part), i AS (SELECT k, unnest(range(1, least(p_size, 20) + 1)) AS j FROM p)
+SELECT 's' || k || '.ts' AS path, 'f' AS symbol, 'if' AS kind, 'a' || j AS condition, 3 * j - 1 AS start, 3 * j + 1 AS last FROM i
+UNION ALL SELECT 's' || k || '.ts', 'g', unnest(['switch', 'switch_case', 'switch_case']), unnest(['x', '''' || w1 || '''', '''' || w2 || '''']), 3 * p_size + unnest([4, 5, 7]), 3 * p_size + unnest([9, 6, 8]) FROM p
+UNION ALL SELECT 'p' || k || '.py', 'h', unnest(['if', 'else']), unnest(['x == ''' || w1 || '''', '']), unnest([2, 4]), 5 FROM p""")
+def branch_regions(d: Domain) -> DataFrame:
+    """Conditional regions of scripts and Python files inside their functions, twenty of each at most."""
+    files = _region_files(d)
+    spans = F.when(F.endswith("path", F.lit(".py")), F.array(F.struct(F.lit("h").alias("name"), F.lit(1).alias("start"), F.lit(5).alias("end")))).otherwise(
+        F.array(F.struct(F.lit("f").alias("name"), F.lit(1).alias("start"), (3 * F.col("n") + 2).alias("end")), F.struct(F.lit("g").alias("name"), (3 * F.col("n") + 3).alias("start"), (3 * F.col("n") + 10).alias("end")))
+    )
+    symbols = files.select("path", F.explode(spans).alias("s")).select("path", "s.*")
+    return regions.branch_regions(files, symbols).select("path", "symbol", "kind", "condition", "start", F.col("end").alias("last"))

@@ -212,7 +212,7 @@ def watched_bursts(d: Domain) -> DataFrame:
 # -- a map that is kept up to date -------------------------------------------------
 
 #: Files by the parts' names: even parts are the map's, odd ones new, placed by directory, by stem, by a directory's name or not at all.
-_FILES_SQL = f"""{_PARTS}, f AS (SELECT *, p_partkey % 2 = 0 AS old, CASE WHEN p_partkey % 2 = 0 THEN 'path' WHEN p_size % 4 = 0 THEN 'dir' WHEN p_size % 4 = 1 THEN 'stem' WHEN p_size % 4 = 2 THEN 'folder' END AS how,
+_FILES_SQL = f"""{_PARTS}, f AS (SELECT *, p_partkey % 2 = 0 AS old, CASE WHEN p_partkey % 2 = 0 THEN 'path' WHEN p_size % 4 = 0 THEN CASE WHEN bool_or(p_partkey % 2 = 0) OVER (PARTITION BY w1, w2) THEN 'dir' ELSE 'folder' END WHEN p_size % 4 = 1 THEN 'stem' WHEN p_size % 4 = 2 THEN 'folder' END AS how,
   CASE WHEN p_partkey % 2 = 0 THEN 'src/' || w2 || '/' || w1 || '/' || p_partkey || '.py' WHEN p_size % 4 = 0 THEN 'src/' || w2 || '/' || w1 || '/deep/' || p_partkey || '.py' WHEN p_size % 4 = 1 THEN 'lib/' || p_partkey || '/v1_' || w2 || '_view.py'
     WHEN p_size % 4 = 2 THEN 'lib/' || w2 || 's/' || p_partkey || '.py' ELSE 'misc/' || p_partkey || '.py' END AS path FROM pt),
 a AS (SELECT *, CASE WHEN how IS NOT NULL THEN w2 END AS feature FROM f)"""

@@ -240,6 +240,21 @@ def test_captures_see_the_entries_active_when_fetched(spark):
     assert got == [(1, None, False), (2, "bad.example", True), (3, "bad.example", True), (4, None, False), (5, None, False), (6, None, False), (7, None, False), (8, "a.ok.example", True), (9, None, False), (9, None, False)]
 
 
+def test_captures_without_entries_and_entries_without_captures(spark):
+    """Empty tables on either side, extra columns with clashing names, repeats, long and odd urls."""
+    capture, entry = "capture_id long, url string, fetched string, host string, rule string, key string, bucket string, blocked int", "entry_id long, host string, ts string, listed boolean, valid_from int, state string, url string"
+    odd = [None, "", " ", "http://", "://x", "http:///p", "http://[::1]/x", "http://" + "a." * 3000 + "example/" + "x" * 50_000, "HTTP://Bad.Example./?q#f", "ftp://bad.example", "http://ok.example"]
+    rows_ = [(i, u, "2024-01-02 00:00:00", "h", "r", "k", "b", 1) for i, u in enumerate(odd)] + [(None, "http://bad.example", "2024-01-02 00:00:00", *["x"] * 4, 0)] * 2
+    none, captures = spark.createDataFrame([], capture), spark.createDataFrame(rows_, capture)
+    listed = [(1, "bad.example", "2024-01-01 00:00:00", True), (1, "bad.example", "2024-01-01 00:00:00", True), (2, "bad.example", None, False), (3, None, None, None), (None, "", "2024-01-01 00:00:00", True), (4, "example", "2024-01-03 00:00:00", True)]
+    entries = spark.createDataFrame([(*e, 1, "s", "u") for e in listed], entry)
+    assert rows(url_filters.judge_captures(none, entries)) == [] and rows(url_filters.judge_captures(none, spark.createDataFrame([], entry))) == []
+    without = rows(url_filters.judge_captures(captures, spark.createDataFrame([], entry)))
+    assert len(without) == len(rows_) and not any(r["blocked"] for r in without)
+    got = rows(url_filters.judge_captures(captures, entries))
+    assert len(got) == len(rows_) and sorted(str(r["capture_id"]) for r in got if r["blocked"]) == ["8", "9", "None", "None"]
+
+
 # -- quality -----------------------------------------------------------------------
 
 
@@ -269,6 +284,70 @@ def test_quality_without_labels_or_text(spark):
     assert len(got) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_scores_equal_a_plain_fit():
+    """Fit and score written out again, on 20 fixed texts: dictionaries, chunk-wise size differences, ridge logistic by Newton steps."""
+    import itertools
+    import re
+
+    import zstandard
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    texts = [" ".join(word() if i % 2 else r.choice(["WIN", "$$$", "CLICK!!", word().upper(), "77"]) for _ in range(r.choice([3, 40, 300]))).encode() for i in range(20)]
+    rows = [(t, i % 2) for i, t in enumerate(texts)]
+    views = ((lambda t: t, 112 << 10, 512), (lambda t: re.sub(b"0+", b"0", re.sub(b"A+", b"A", re.sub(b"a+", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", re.sub(rb"[a-z\x80-\xff]", b"a", t.replace(b"A", b"B"))))))), 32 << 10, 128))
+
+    def pieces(text, share):
+        if len(text) <= share:
+            return text
+        n = max(1, share // 64)
+        cuts = [i * len(text) // n for i in range(n + 1)]
+        return b"".join(text[a + zlib.crc32(text, i) % max(1, b - a - share // n + 1) :][: share // n] for i, (a, b) in enumerate(itertools.pairwise(cuts)))
+
+    def dictionaries(rows):
+        out = []
+        for view, size, _ in views:
+            for label in (1, 0):
+                own = [view(t) for t, y in rows if y == label]
+                out.append(b"\n".join(pieces(t, max(1, size // len(own) - 1)) for t in own)[:size])
+        return out
+
+    def features(text, dicts):
+        out = []
+        for k, (view, _, chunk) in enumerate(views):
+            v = view(text)
+            parts = [v[i : i + chunk] for i in range(0, max(1, len(v)), chunk)]
+            if len(parts) > 1 and len(parts[-1]) < chunk // 2:
+                parts[-2:] = [parts[-2] + parts[-1]]
+
+            def size(x, content=None):
+                known = {} if content is None else {"dict_data": zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), "write_dict_id": False}
+                return len(zstandard.ZstdCompressor(level=3, write_content_size=False, **known).compress(x))
+
+            good, bad = ([size(x, dicts[2 * k + side]) for x in parts] for side in (0, 1))
+            room = [len(x) + 8 for x in parts]
+            gain = [(b - g) / n for g, b, n in zip(good, bad, room)]
+            plain = size(v) / (len(v) + 16)
+            share = [g / n for g, n in zip(good, room)]
+            out += [np.mean(gain), min(gain), max(gain), plain, min(plain, 0.2), sum(good) / sum(room), sum(map(min, good, bad)) / sum(room), min(share), max(share)]
+        return out
+
+    fold = [i // 2 % 2 for i in range(20)]  # every other one of each class
+    x = np.array([features(t, dictionaries([q for q, g in zip(rows, fold) if g != f])) for (t, _), f in zip(rows, fold)])
+    y = np.array([label for _, label in rows], float)
+    centre, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[np.ones(20), (x - centre) / spread]
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w + np.linalg.inv(z.T @ np.diag(p * (1 - p)) @ z + 0.1 * np.eye(len(w))) @ (z.T @ (y - p) - 0.1 * w)
+    own = dictionaries(rows)
+    want = [1 / (1 + np.exp(-np.clip(w[0] + (np.array(features(t, own)) - centre) / spread @ w[1:], -30, 30))) for t in [*texts, b"", b"fresh words here", b"CLICK $$$ 77"]]
+    score = quality.fit(rows).scorer()
+    assert [score(t) for t in [*texts, b"", b"fresh words here", b"CLICK $$$ 77"]] == pytest.approx(want, abs=1e-6)
+    assert min(want[1:20:2]) > 0.5 > max(want[0:20:2])
+
+
 def test_sample_is_of_documents_that_can_be_used(spark):
     docs = made(spark, [(i, f"text {i} " * (1 if i % 5 else 9000)) for i in range(200)] + [(None, "x"), (7, "again")])
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(10_000 + i, i % 2) for i in range(8000)] + [(7, 1), (8, None), (None, 1)], "doc_id long, quality int")

@@ -29,8 +29,12 @@ NEEDS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 }
 
 
-def answer(tables: dict[str, DataFrame], request: dict[str, Any]) -> dict[str, Any]:
-    """The rows of one tool, or an error; an argument that a tool doesn't take is an error too. ``changed`` is a list of paths."""
+#: Rows of an answer at most; one that has more says so.
+MOST_ROWS = 1000
+
+
+def answer(tables: dict[str, DataFrame], request: dict[str, Any], most: int = MOST_ROWS) -> dict[str, Any]:
+    """The first ``most`` rows of one tool, and whether there are more, or an error; an argument that a tool doesn't take is an error too. ``changed`` is a list of paths."""
     name, given = request.get("tool"), dict(request.get("args") or {})
     if name == "tools":
         return {"tools": sorted(TOOLS)}
@@ -48,7 +52,8 @@ def answer(tables: dict[str, DataFrame], request: dict[str, Any]) -> dict[str, A
         rows = TOOLS[name](*(tables[t] for t in needed), **given)
     except TypeError as e:
         return {"error": str(e)}
-    return {"rows": [json.loads(x) for x in rows.toJSON().collect()]}  # a tool's answer is small
+    found = rows.toJSON().take(most + 1)
+    return {"rows": [json.loads(x) for x in found[:most]]} | ({"more": True} if len(found) > most else {})
 
 
 def serve_lines(tables: dict[str, DataFrame], source: IO[str], sink: IO[str]) -> int:

@@ -20,8 +20,11 @@ PATHS = "path string"
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
-    """A folder of its own where the cluster shares files."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/histora-checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own where the cluster shares files; on one machine, as in tests, a local one stands in."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(at or '/tmp/histora-checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def _scalar(name: str, schema: str, rows: list[tuple], columns: str, want: list[tuple], **made) -> None:
@@ -474,7 +477,7 @@ def _streamed(first: DataFrame, second: DataFrame) -> DataFrame:
     spark, at = first.sparkSession, _scratch(first.sparkSession, "stream")
     schema = "feature string, sha string, is_bug_fix boolean"
     for n, batch in enumerate((first, second)):
-        batch.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        batch.write.mode("append").parquet(f"{at}/in")
         query = refresh.start_refresh(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/state", f"{at}/log")
         query.awaitTermination()
     ended = refresh.stop(query) and not refresh.status(query)["active"]

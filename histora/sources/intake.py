@@ -186,10 +186,21 @@ def code_owners(files: DataFrame) -> DataFrame:
     return lines.where(F.size(parts) > 1).select(parts[0].alias("pattern"), F.explode(F.slice(parts, 2, F.size(parts))).alias("team")).where(F.startswith("team", F.lit("@")))
 
 
-def render_config(suggested: DataFrame) -> str:
-    """Suggestions as YAML text, for a person to read; there are as many as manifests and teams."""
+#: Lines that a text for a person has at most; a table has the rest.
+MOST_SHOWN = 10_000
+
+
+def _shown(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no text for a person; write the table instead")
+    return rows
+
+
+def render_config(suggested: DataFrame, most: int = MOST_SHOWN) -> str:
+    """Suggestions as YAML text, for a person to read; over ``most`` of them are an error."""
     out = ["features:"]
-    for r in suggested.orderBy("canonical").collect():
+    for r in _shown(suggested.orderBy("canonical"), most):
         out += [f"  {r.canonical}:"] + (["    variants:"] + [f"      - {json.dumps(v)}" for v in r.variants] if r.variants else ["    variants: []"])
     return "\n".join(out) + "\n"
 
@@ -376,10 +387,10 @@ def report_lines(features: DataFrame, flows: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(Window.orderBy("a", "b"))).select("n", "line")
 
 
-def report(features: DataFrame, flows: DataFrame, top: int = 3) -> str:
-    """The report as text: the table, then the worst ``top`` features with bug fixes."""
+def report(features: DataFrame, flows: DataFrame, top: int = 3, most: int = MOST_SHOWN) -> str:
+    """The report as text: the table, then the worst ``top`` features with bug fixes. A table of over ``most`` lines is an error; report_lines has it."""
     lines = ["| Feature / Flow | Health | Commits | Bug fixes | Bug % | Cov % |", "|---|---|---|---|---|---|"]
-    lines += [r.line for r in report_lines(features, flows).orderBy("n").collect()]
+    lines += [r.line for r in _shown(report_lines(features, flows).orderBy("n"), most)]
     worst = features.where("bug_fixes > 0").orderBy(F.desc("bug_fix_ratio"), "feature").limit(top).collect()
     lines += ["", f"Top {top} risk zones:" if worst else "No critical risk zones detected."]
     lines += [f"{i}. {r.feature}: {r.bug_fixes} bug fixes out of {r.total_commits} commits ({r.bug_fix_ratio * 100:.1f}%)" for i, r in enumerate(worst, 1)]

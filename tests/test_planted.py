@@ -105,6 +105,14 @@ def test_tools_over_http(spark):
         at.server_close()
 
 
+def test_answers_and_texts_are_bounded(spark):
+    rows = spark.range(30).selectExpr("concat('f', id) AS feature", "'d' AS description", "1.0D AS health_score", "0.5D AS bug_fix_ratio", "id AS total_commits", "array('p') AS paths", "1.0D AS coverage_pct")
+    cut = server.answer({"features": rows}, {"tool": "list_features"}, most=7)
+    assert len(cut["rows"]) == 7 and cut["more"] and "more" not in server.answer({"features": rows}, {"tool": "list_features"})
+    with pytest.raises(ValueError):
+        intake.render_config(rows.selectExpr("feature AS canonical", "paths AS variants"), most=29)
+
+
 def test_commits_that_come_again_count_once(spark, tmp_path):
     schema, at = "feature string, sha string, is_bug_fix boolean", str(tmp_path / "state")
     batches = [[("f", "a", True), ("g", "a", False)], [("f", "a", True), ("f", "b", False)], [("g", "c", True)], [("f", "b", False)]]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import increments, repos, sets, shaping, tools
-from ..sources import anchors, intake
+from ..sources import anchors, history, intake
 from ..streaming import ledger, refresh
 from . import commands
 from .cases import _scratch
@@ -272,3 +272,20 @@ def ledger_stream(d: Domain) -> DataFrame:
         ended = ledger.start_ledger(spark.readStream.schema(ledger.EVENTS).parquet(f"{at}/in"), f"{at}/out", f"{at}/log")
         ended.awaitTermination()
     return ledger.current(spark.read.parquet(f"{at}/out/*"))
+
+
+@query("", """WITH f AS (SELECT l_orderkey, string_agg('src/' || l_partkey || '.py', ',' ORDER BY 'src/' || l_partkey || '.py') AS files, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1)
+SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, o_custkey::VARCHAR AS author, epoch(o_orderdate)::BIGINT AS seconds, o_orderpriority = '1-URGENT' AS is_bug_fix, coalesce(n, 0) AS n_files, coalesce(files, '') AS files
+FROM orders LEFT JOIN f ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'""")
+def history_log(d: Domain) -> DataFrame:
+    """A history written as a log in text, read by ranges of its bytes, packed by month and read again from a date on."""
+    _set_checkpoints(d.spark)
+    at = _scratch(d.spark, "log")
+    files = d.table("lineitem").select("l_orderkey", _text("src/", F.col("l_partkey").cast("string"), ".py").alias("path")).distinct().groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list("path")), "\x00").alias("files"))
+    message = F.when(F.col("o_orderpriority") == "1-URGENT", "fix: crash\n\nover two lines").otherwise("feat: y")
+    head = F.concat_ws("\x1f", F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string"), F.col("o_custkey").cast("string"), message)
+    log = d.table("orders").join(files, "o_orderkey", "left").select(F.concat(head, F.lit("\x1e\n"), F.coalesce("files", F.lit(""))).alias("value"))
+    log.write.option("lineSep", "\x00").text(f"{at}/text")
+    history.pack_commits(history.read_log(d.spark, f"{at}/text"), f"{at}/packed")
+    out = history.read_packed(d.spark, f"{at}/packed", "1996-01-01")
+    return out.select("sha", "author", F.unix_seconds("ts").alias("seconds"), "is_bug_fix", F.size("files").cast("long").alias("n_files"), F.array_join("files", ",").alias("files"))

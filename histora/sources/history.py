@@ -1,6 +1,6 @@
 """Readers of exported history and source trees, and writers of results.
 
-Nothing here runs version control: history comes as exported JSON lines, trees as files.
+Nothing here runs version control: history comes as logs in text or JSON lines, trees as files.
 Schemas are declared, never inferred.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import directory, extension, is_bug_fix, pr_number
 
@@ -33,6 +34,50 @@ def read_commits(spark: SparkSession, path: str, since: str | None = None, subtr
     return prepare_commits(out, since, subtree)
 
 
+#: A commit in a log as text: whole id, time in seconds, author and message between unit separators, a record separator after the message, then its files; a null byte after each file.
+_FIELD, _BODY_END, _END = "\x1f", "\x1e", "\x00"
+_HEADER = rf"(?s)^\s*([0-9a-fA-F]{{40}}){_FIELD}(-?\d+){_FIELD}([^{_FIELD}]*){_FIELD}(.*){_BODY_END}\n?(.*)$"
+
+
+def read_log(spark: SparkSession, path: str, since: str | None = None, subtree: str | None = None) -> DataFrame:
+    """Commits from logs as text, as ``git log -z --name-only`` writes them with that format; any number of files of any size.
+
+    Spark deals a file by ranges of bytes and cuts it at its null bytes, so a row is a header or one more file of the commit
+    before it. In each range files follow its last header; what a range begins with belongs to the last header of the ranges
+    before it, of which there is a row a range.
+    """
+    raw = spark.read.option("lineSep", _END).text(path)
+    rows = raw.select("value", F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"))
+    part = lambda k: F.regexp_extract("value", _HEADER, k)
+    marked = rows.withColumn("own", F.nullif(part(1), F.lit(""))).checkpoint()
+    last = marked.groupBy("log", "range").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("last"))
+    earlier = Window.partitionBy("log").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("log", "range", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    here = Window.partitionBy("log", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = marked.withColumn("sha", F.last("own", ignorenulls=True).over(here)).join(carried, ["log", "range"]).withColumn("sha", F.coalesce("sha", "carried"))
+    files = named.select("sha", F.when(F.col("own").isNotNull(), part(5)).otherwise(F.col("value")).alias("path")).where("sha is not null and trim(path) <> ''")
+    heads = marked.where("own is not null").select(F.col("own").alias("sha"), part(3).alias("author"), F.timestamp_seconds(part(2).cast("long")).alias("ts"), F.trim(part(4)).alias("message")).dropDuplicates(["sha"])
+    if since:
+        heads = heads.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+    of = files.groupBy("sha").agg(F.array_sort(F.collect_set(F.regexp_replace("path", "^\n+", ""))).alias("files"))
+    whole = heads.join(of, "sha", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    return prepare_commits(whole.select("sha", "author", "ts", "message", "files"), None, subtree)
+
+
+def pack_commits(commits: DataFrame, at: str) -> None:
+    """Commits as a table by month, for reading again; those of a month lie together in the order of time."""
+    month = F.date_format("ts", "yyyy-MM")
+    commits.withColumn("month", month).repartition("month").sortWithinPartitions("ts").write.mode("append").partitionBy("month").parquet(at)
+
+
+def read_packed(spark: SparkSession, at: str, since: str | None = None) -> DataFrame:
+    """Commits of a packed table. With ``since``, months before it are no part of the scan, and the time is pushed into the rest."""
+    out = spark.read.option("basePath", at).parquet(at)
+    if since:
+        out = out.where((F.col("month") >= since[:7]) & (F.col("ts") >= F.lit(since).cast("timestamp")))
+    return out.drop("month")
+
+
 def prepare_commits(raw: DataFrame, since: str | None = None, subtree: str | None = None) -> DataFrame:
     out = raw.where(F.col("ts") >= F.lit(since).cast("timestamp")) if since else raw
     if subtree:

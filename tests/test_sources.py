@@ -1,4 +1,6 @@
+import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -136,3 +138,38 @@ def test_every_query_runs_on_the_smallest_tables(spark):
         assert sorted(df.columns) == sorted(want.columns)
         columns = sorted(df.columns)
         assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, want.select(*(f'"{c}"' for c in columns)).fetchall())), name
+
+
+def test_log_is_read_by_ranges(spark, tmp_path):
+    """A log as text, cut into ranges anywhere: the same commits and files as a walk through it gives."""
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    r, want, text = random.Random(2), {}, ""
+    for i in range(300):
+        sha, files = f"{i:040x}", [f"dir{r.randrange(5)}/f {r.randrange(40)}é.ts" for _ in range(r.choice([0, 1, 3, 60]))]
+        body = r.choice(["fix: crash (#12)\n\nwith a body\nof lines", "feat: y", "", "a \x1d b"])
+        want[sha] = ("Ann Ö", 1_700_000_000 + i, body.strip(), sorted(set(files)))
+        text += f"{sha}\x1f{1_700_000_000 + i}\x1fAnn Ö\x1f{body}\n\x1e" + ("\n" + "\x00".join(files) + "\x00" if files else "") + "\x00"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "one.txt").write_text(text)
+    (tmp_path / "log" / "two.txt").write_text("f" * 40 + "\x1f5\x1fbob\x1ffix: z\n\x1e\nsrc/a.ts\x00")
+    want["f" * 40] = ("bob", 5, "fix: z", ["src/a.ts"])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = history.read_log(spark, str(tmp_path / "log"))
+            assert {x["sha"]: (x["author"], int(x["ts"].timestamp()), x["message"].strip(), x["files"]) for x in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert history.read_log(spark, str(tmp_path / "log"), since="2023-11-14", subtree="dir1/").where("size(files) = 0").count() == 0
+
+
+def test_packed_commits_are_pruned_by_month(spark, tmp_path, capsys):
+    raw = spark.createDataFrame([(f"{m:040d}", "a", datetime.datetime(2024, m, 3), "fix: x", ["p"]) for m in range(1, 13)], history.COMMIT)
+    history.pack_commits(history.prepare_commits(raw), str(tmp_path / "packed"))
+    got = history.read_packed(spark, str(tmp_path / "packed"), "2024-05-02")
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    assert got.count() == 8 and "PartitionFilters: [isnotnull(month" in plan and "GreaterThanOrEqual(ts" in plan

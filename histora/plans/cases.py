@@ -256,17 +256,6 @@ once(
     "n line",
     [(1, "| b | 40 | 10 | 5 | 50.0% | 62% |"), (2, "| - x | 50 | 4 | 2 | 50.0% | - |"), (3, "| - y | 50 | 4 | 1 | 25.0% | - |"), (4, "| a | 90 | 10 | 1 | 10.0% | - |")],
 )
-_DOC = {"run_id": 1, "features": [{"name": "b", "health_score": 3.0, "paths": ["z", "a"]}, {"name": "a", "at": datetime.datetime(2024, 5, 1), "ids": {3, 1}, "span": (1, 2), "raw": b"\x01"}]}
-
-
-def _normal(one: DataFrame) -> DataFrame:
-    tagged = intake.to_tagged(_DOC)
-    again = intake.from_tagged(tagged)
-    other = {**tagged, "run_id": 2, "features": tagged["features"][::-1]}
-    return one.select(F.lit(again == _DOC).alias("same"), F.lit(intake.digest(tagged) == intake.digest(other)).alias("stable"), F.lit(intake.canonical(intake.to_tagged({2, 1}))).alias("set_form"))
-
-
-once("tagged_and_normal_forms", {"one": ("x int", [(1,)])}, _normal, "same stable set_form", [(True, True, '{"__type__":"set","value":[1,2]}')])
 once("stable_order", {"rows": ("a array<string>, b int", [(["y", "x"], 2), (["z"], 1)])}, lambda rows: intake.stable(rows).select(F.array_join("a", ",").alias("a"), "b"), "a b", [("x,y", 2), ("z", 1)])
 
 # -- classification ----------------------------------------------------------------

@@ -289,3 +289,28 @@ def history_log(d: Domain) -> DataFrame:
     history.pack_commits(history.read_log(d.spark, f"{at}/text"), f"{at}/packed")
     out = history.read_packed(d.spark, f"{at}/packed", "1996-01-01")
     return out.select("sha", "author", F.unix_seconds("ts").alias("seconds"), "is_bug_fix", F.size("files").cast("long").alias("n_files"), F.array_join("files", ",").alias("files"))
+
+
+@query("", f"""WITH {_PARTS} SELECT 'truth/' || p_partkey AS path, unnest(['feature', 'flow', CASE WHEN p_size > 25 THEN 'sample' ELSE 'error' END]) AS kind, unnest([w2, w1 || '-' || w2, CASE WHEN p_size > 25 THEN 'src/' || p_partkey || '.ts' END]) AS name,
+  unnest([NULL, w2, CASE WHEN p_size > 25 THEN w2 END]) AS owner, unnest([w1 || ',' || t, '', CASE WHEN p_size > 25 THEN '' END]) AS words FROM pt""")
+def truth_files(d: Domain) -> DataFrame:
+    """Expected features, flows and owners out of a file in YAML a part; a sample without a path is an error."""
+    lines = _text("features:\n  - name: ", F.col("w2"), "\n    aliases: [", F.col("w1"), ", ' ', ", F.col("t"), "]\nflows:\n  - {name: ", F.col("w1"), "-", F.col("w2"), ", feature: ", F.col("w2"), "}\nsamples:\n  - path: ")
+    sample = F.when(F.col("p_size") > 25, _text("src/", F.col("key"), ".ts\n    expected: ", F.col("w2"), "\n")).otherwise("''\n")
+    files = _parts(d).select(_text("truth/", F.col("key")).alias("path"), F.concat(lines, sample).alias("text"))
+    rows = intake.truth_rows(files)
+    return rows.select("path", "kind", "name", F.nullif("of", F.lit("")).alias("owner"), F.array_join("words", ",").alias("words"))
+
+
+@query("", """WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || '=' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) GROUP BY 1)
+SELECT o_orderkey, epoch_us(o_orderdate)::BIGINT AS micros, hex(encode(o_orderpriority)) AS raw, coalesce(parts, '') AS parts, o_custkey AS who FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def typed_round_trip(d: Domain) -> DataFrame:
+    """Orders with times, bytes, maps and nested fields, written as JSON beside their schema and read again."""
+    at = _scratch(d.spark, "typed")
+    one = d.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+    parts = one.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_linenumber", "p")))).alias("parts"))
+    orders = d.table("orders").join(parts, "o_orderkey", "left")
+    intake.write_typed(orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"), F.encode("o_orderpriority", "utf-8").alias("raw"), "parts", F.struct(F.col("o_custkey").alias("who")).alias("s")), at)
+    back = intake.read_typed(d.spark, at)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("parts")), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return back.select("o_orderkey", F.unix_micros("ts").alias("micros"), F.hex("raw").alias("raw"), F.coalesce(shown, F.lit("")).alias("parts"), "s.who")

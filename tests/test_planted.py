@@ -72,13 +72,32 @@ def test_empty_settings(spark):
     assert intake.render_config(spark.createDataFrame([("a", ["B b"]), ("c", [])], "canonical string, variants array<string>")) == 'features:\n  a:\n    variants:\n      - "B b"\n  c:\n    variants: []\n'
 
 
-def test_tags_refuse_what_they_cannot_keep():
-    with pytest.raises(TypeError):
-        intake.to_tagged(object())
-    with pytest.raises(TypeError):
-        intake.from_tagged({"__type__": "os.system", "value": 1})
-    odd = {("a", 1): {"__type__": b"\x00"}, 2: frozenset({"x"})}
-    assert intake.from_tagged(json.loads(json.dumps(intake.to_tagged(odd)))) == odd
+def test_truth_names_what_is_wrong(spark):
+    texts = {"a": "features:\n  - name: pay\n    aliases: [bill, ' ']\n  - name: pay\nflows: 3\nsamples:\n  - path: x.ts", "b": ": [", "c": None, "d": "flows:\n  - {name: go, feature: pay}\n  - name: go"}
+    rows = intake.truth_rows(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()
+    got = sorted((r["path"], r["kind"], r["name"] or "", ",".join(r["words"] or [])) for r in rows)
+    assert got == [("a", "error", "", ""), ("a", "error", "", ""), ("a", "error", "pay", ""), ("a", "feature", "pay", ""), ("a", "feature", "pay", "bill"), ("b", "error", "", ""), ("d", "flow", "go", ""), ("d", "flow", "go", "")]
+
+
+def test_tables_come_back_as_they_were(spark, tmp_path):
+    import datetime
+    import decimal
+
+    schema = "a long, t timestamp, n timestamp_ntz, d date, b binary, m map<int,array<string>>, s struct<x:double,y:array<int>>, e decimal(10,2), z string"
+    t = datetime.datetime(2024, 5, 1, 12, 30, 1, 123456)
+    rows = [(2**60, t, t, t.date(), b"\x00\xff", {1: ["p", None], 7: []}, (0.1, [3]), decimal.Decimal("5.25"), "é\n\"'"), (None,) * 9]
+    df = spark.createDataFrame(rows, schema)
+    intake.write_typed(df, str(tmp_path / "t"))
+    back = intake.read_typed(spark, str(tmp_path / "t"))
+    assert back.schema.simpleString() == df.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_digest_tells_tables_apart(spark):
+    of = lambda rows, **more: tuple(intake.digest_of(spark.createDataFrame(rows, "a array<string>, b int, run string"), **more).first())
+    rows = [(["y", "x"], 1, "r1"), (["z"], None, "r2")]
+    same = of([(["z"], None, "q"), (["x", "y"], 1, "q")], volatile=("run",))
+    assert of(rows, volatile=("run",)) == same and of(rows) != same and of(rows[:1], volatile=("run",)) != same and of(rows + rows, volatile=("run",)) != of(rows[:1] * 2 + rows[:1] * 2, volatile=("run",))
+    assert of([])[0] == 0
 
 
 def test_report(spark):

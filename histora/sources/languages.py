@@ -186,25 +186,61 @@ def late_edges(files: DataFrame) -> DataFrame:
     return python.select(*cols).unionByName(scripts.select(*cols)).where("importer <> target").distinct()
 
 
-def _dispatch_python(path: str, text: str) -> Iterator[tuple]:
-    try:
-        tree = ast.parse(text or "")
-    except (SyntaxError, ValueError):
-        return
-    for fn in ast.walk(tree):
-        if not isinstance(fn, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            continue
-        found = []
-        for branch in (n for n in ast.walk(fn) if isinstance(n, ast.If)):
-            key = next((c.value for c in ast.walk(branch.test) if isinstance(c, ast.Constant) and isinstance(c.value, str)), None)
-            got = {a.asname or a.name: ("." * s.level + (s.module or ""), a.name) for s in branch.body if isinstance(s, ast.ImportFrom) for a in s.names}
-            for stmt in branch.body:
-                if isinstance(stmt, ast.Return) and stmt.value is not None:
-                    name = next((n.id for n in ast.walk(stmt.value) if isinstance(n, ast.Name) and n.id in got), None)
-                    if name:
-                        found.append((path, fn.name, key, *got[name], branch.lineno))
-        if len(found) >= 2:
-            yield from found
+_ARM = "path string, symbol string, at int, arm int, line int, fact string, part int, nth int, name string, spec string, original string"
+
+
+class _Arms(ast.NodeVisitor):
+    """What the arms of a file's conditions say: texts that are compared, names that are imported, names that are returned."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.within, self.rows, self.arms = path, [], [], 0
+
+    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:  # noqa: N802
+        self.within.append((node.name, node.lineno))
+        self.generic_visit(node)
+        self.within.pop()
+
+    visit_AsyncFunctionDef = visit_FunctionDef  # noqa: N815
+
+    def visit_If(self, node: ast.If) -> None:  # noqa: N802
+        said: list[tuple] = [("key", 0, k, c.value, None, None) for k, c in enumerate(ast.walk(node.test)) if isinstance(c, ast.Constant) and isinstance(c.value, str)]
+        for part, statement in enumerate(node.body):
+            match statement:
+                case ast.ImportFrom(module=module, names=names, level=level):
+                    said += [("import", part, k, a.asname or a.name, "." * level + (module or ""), a.name) for k, a in enumerate(names)]
+                case ast.Return(value=ast.expr() as value):
+                    said += [("return", part, k, n.id, None, None) for k, n in enumerate(ast.walk(value)) if isinstance(n, ast.Name)]
+        self.arms += 1
+        self.rows += [(self.path, *function, self.arms, node.lineno, *row) for function in self.within for row in said]
+        self.generic_visit(node)
+
+
+def _python_arms(files: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.path, batch.text, strict=True):
+                seen = _Arms(path)
+                try:
+                    seen.visit(ast.parse(text or ""))
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                rows += seen.rows
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ARM.split(", ")])
+
+    return files.select("path", "text").mapInPandas(run, _ARM)
+
+
+def _python_registries(files: DataFrame) -> DataFrame:
+    """Arms that return what they import, of functions with two of them or more, by joining what their arms say."""
+    arms = _python_arms(files)
+    arm = ["path", "symbol", "at", "arm"]
+    of = lambda fact: arms.where(F.col("fact") == fact)
+    keys = of("key").groupBy(*arm).agg(F.min_by("name", "nth").alias("key"))
+    imports = of("import").groupBy(*arm, "name").agg(F.max_by(F.struct("spec", "original"), F.struct("part", "nth")).alias("x"))
+    given = of("return").join(imports, [*arm, "name"]).groupBy(*arm, "line", "part").agg(F.min_by("x", "nth").alias("x"))
+    several = given.groupBy("path", "symbol", "at").agg(F.count("*").alias("n")).where("n >= 2").select("path", "symbol", "at")
+    return given.join(several, ["path", "symbol", "at"]).join(keys, arm, "left").select("path", "symbol", "key", "x.spec", F.col("x.original").alias("name"), "line")
 
 
 def _dispatch_script(path: str, text: str) -> Iterator[tuple]:
@@ -236,11 +272,12 @@ def dispatch_registries(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for p, t in zip(batch.path, batch.text, strict=True) for r in (_dispatch_python(p, t) if p.endswith(".py") else _dispatch_script(p, t))]
+            rows = [r for p, t in zip(batch.path, batch.text, strict=True) for r in _dispatch_script(p, t)]
             yield pd.DataFrame(rows, columns=["path", "symbol", "key", "spec", "name", "line"])
 
-    sources = files.where((F.endswith("path", F.lit(".py")) | F.col("path").rlike(SCRIPTS)) & ~is_test_path("path"))
-    return sources.select("path", "text").mapInPandas(run, "path string, symbol string, key string, spec string, name string, line int")
+    sources = files.where(~is_test_path("path"))
+    scripts = sources.where(F.col("path").rlike(SCRIPTS)).select("path", "text").mapInPandas(run, "path string, symbol string, key string, spec string, name string, line int")
+    return _python_registries(sources.where(F.endswith("path", F.lit(".py")))).unionByName(scripts)
 
 
 def dispatch_targets(files: DataFrame) -> DataFrame:

@@ -20,7 +20,12 @@ CROSS_DEPTH = 1
 STRETCH = 64
 MOST_NODES = 80
 #: Words before a round bracket that call nothing.
-NO_CALLS = frozenset("if for while switch catch return function typeof new await super import require async of in do else yield delete void".split())
+NO_CALLS = frozenset(
+    (
+        "if", "for", "while", "switch", "catch", "return", "function", "typeof", "new", "await", "super", "import", "require", "async", "of", "in",
+        "do", "else", "yield", "delete", "void",
+    )
+)
 
 # -- confidence --------------------------------------------------------------------
 

@@ -25,11 +25,20 @@ HIT = "source string, name string, path string, method string, pattern string"
 
 #: Words that name no feature by themselves. FIXED VALUES.
 NOISE = frozenset(
-    "src app pages routes api lib libs components component shared common utils util helpers helper hooks config configs controllers controller models model views view services "
-    "service handlers handler middleware internal core main index page layout route schemas schema types type public private".split()
+    (
+        "src", "app", "pages", "routes", "api", "lib", "libs", "components", "component", "shared", "common", "utils", "util", "helpers", "helper",
+        "hooks", "config", "configs", "controllers", "controller", "models", "model", "views", "view", "services", "service", "handlers",
+        "handler", "middleware", "internal", "core", "main", "index", "page", "layout", "route", "schemas", "schema", "types", "type", "public",
+        "private",
+    )
 )
 #: Places that hold no product. FIXED VALUES.
-NO_PRODUCT = frozenset("__stories__ stories storybook examples example playground playgrounds demo demos sample samples fixtures fixture mocks mock __generated__ generated node_modules vendor dist build".split())
+NO_PRODUCT = frozenset(
+    (
+        "__stories__", "stories", "storybook", "examples", "example", "playground", "playgrounds", "demo", "demos", "sample", "samples",
+        "fixtures", "fixture", "mocks", "mock", "__generated__", "generated", "node_modules", "vendor", "dist", "build",
+    )
+)
 
 
 def slug(text: str) -> str:
@@ -73,8 +82,17 @@ PYTHON_ROUTES = ("urls.py", "router.py", "routers.py", "routes.py")
 MARKERS = frozenset(("", "page", "route", "layout", "index", "+page", "+server", "_app", "_document", "_index", "_layout", "_route"))
 CONTROLLERS = ("_controller.rb", "Controller.php", "_controller.ex", "Controller.cs", "Controller.java", "Controller.kt")
 GO_ROOTS = ("cmd", "internal", "pkg", "modules", "apps")
-GO_EXCLUDED = frozenset("vendor testdata examples example docs .git third_party node_modules".split())
-RUST_EXCLUDED = frozenset("target tests benches bench examples example vendor vendored external-crates third_party third-party .git node_modules".split())
+GO_EXCLUDED = frozenset(
+    (
+        "vendor", "testdata", "examples", "example", "docs", ".git", "third_party", "node_modules",
+    )
+)
+RUST_EXCLUDED = frozenset(
+    (
+        "target", "tests", "benches", "bench", "examples", "example", "vendor", "vendored", "external-crates", "third_party", "third-party",
+        ".git", "node_modules",
+    )
+)
 
 
 def file_route(path: str, stack: str, workspace: str = "") -> str | None:
@@ -193,6 +211,7 @@ Reader = Callable[[str, str], Iterator[tuple]]
 _VERBS = "get|post|put|patch|delete|head|options|all"
 
 
+# FIXED VALUES: the forms in which the framework declares routes, by its own interface.
 def _fastapi(path: str, text: str) -> Iterator[tuple]:
     prefix = {m[1]: (p[1] if (p := re.search(r"prefix\s*=\s*['\"]([^'\"]*)['\"]", m[2])) else "") for m in re.finditer(r"(\w+)\s*(?::\s*\w+\s*)?=\s*APIRouter\(([^)]*)\)", text)}
     for m in re.finditer(r"@(\w+)\.(get|post|put|patch|delete|head|options)\(\s*['\"]([^'\"]*)['\"]", text):
@@ -203,6 +222,7 @@ def _fastapi(path: str, text: str) -> Iterator[tuple]:
             yield "fastapi-mount", m[1].split(".")[0], path, None, p[1]
 
 
+# FIXED VALUES: the forms in which the framework declares routes, by its own interface.
 def _fastify(path: str, text: str) -> Iterator[tuple]:
     if "fastify" not in text.lower():
         return
@@ -218,6 +238,7 @@ def _fastify(path: str, text: str) -> Iterator[tuple]:
                 yield "fastify-route", url_slug(url[1]) or "root", path, verb.upper(), url[1]
 
 
+# FIXED VALUES: the forms in which the framework declares routes, by its own interface.
 def _express(path: str, text: str) -> Iterator[tuple]:
     if re.search(r"['\"]@nestjs/|fastify|koa-router|@koa/router", text):
         return

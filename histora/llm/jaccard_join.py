@@ -56,6 +56,7 @@ WORDS = 4
 PERCENT = 85
 SLACK = 7  # percent
 BLOCK = 2_000_000
+BATCH_ROWS, BATCH_MB = 256, 8  # of what goes to a worker at once
 LEAF = 512
 PIVOTS = 16
 
@@ -348,7 +349,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Documents link when 100 * intersection >= percent * union of their shingle sets.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS, BATCH_MB)
     return _judged(_keyed(docs), words, percent, slack).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -362,7 +363,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sla
 
     Rows without a doc_id and rows without words stay.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS, BATCH_MB)
     judged = _judged(_keyed(docs), words, percent, slack).where(F.col("component").isNotNull()).where(F.col("doc_id").isNotNull())
     # a row is the first of its component if its id is the smallest and its place the first of those
     first = judged.where("doc_id = least").groupBy("component").agg(F.min_by("key", "row").alias("first_key"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import ancestors
 from . import graph, setjoin
+from .keep import kept
 
 MOST_WALKED = 100_000  # pairs of a component that one task walks through
 ROUNDS_APART = 4  # rounds of mutual bests before what is left is split again
@@ -93,25 +94,31 @@ def lineage(base: DataFrame, new: DataFrame, related: float = 0.40, keeps: float
     if the Jaccard reaches ``keeps``; two new groups on one base compete, the higher and
     then the earlier wins; related groups without the id are splits; others are fresh.
     """
-    met = setjoin.similar(new.select("a_id", "member"), base.select("b_id", "member"), related)
-    a_class, b_class = setjoin.set_classes(new.select("a_id", "member").distinct(), "a_id"), setjoin.set_classes(base.select("b_id", "member").distinct(), "b_id")
+    # the groups' places go with their members, so that both are read once
+    a = kept(new.select("a_id", "member", "a_idx").where("member is not null").distinct())
+    b = kept(base.select("b_id", "member", "b_idx").where("member is not null").distinct())
+    a_place, b_place = a.groupBy("a_id").agg(F.min("a_idx").alias("a_idx")), b.groupBy("b_id").agg(F.min("b_idx").alias("b_idx"))
+    a, b = a.select("a_id", "member").distinct(), b.select("b_id", "member").distinct()
+    a_class, b_class = setjoin.set_classes(a, "a_id"), setjoin.set_classes(b, "b_id")
+    met = setjoin.similar_of(a, a_class, b, b_class, related)
     # of equal base groups the later one is the best
-    latest = b_class.join(base.select("b_id", "b_idx").distinct(), "b_id").groupBy(F.col("rep").alias("b_rep")).agg(F.max(F.struct("b_idx", "b_id")).alias("b"))
+    latest = b_class.join(b_place, "b_id").groupBy(F.col("rep").alias("b_rep")).agg(F.max(F.struct("b_idx", "b_id")).alias("b"))
     placed = met.withColumnRenamed("b_id", "b_rep").join(latest, "b_rep")
     best = placed.groupBy(F.col("a_id").alias("rep")).agg(F.max(F.struct("jaccard", "b")).alias("best")).select("rep", F.col("best.b.b_id").alias("b_id"), F.col("best.jaccard").alias("jaccard"))
-    each = a_class.select("a_id", "rep").join(best, "rep").join(new.select("a_id", "a_idx").distinct(), "a_id")
+    each = a_class.select("a_id", "rep").join(best, "rep").join(a_place, "a_id")
     first = each.groupBy("b_id").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "a_idx", "a_id"))["a_id"].alias("first"))
     wins = each.join(first, "b_id").withColumn("_wins", (F.col("jaccard") >= keeps) & (F.col("a_id") == F.col("first")))
-    full = new.select("a_id").distinct().join(wins.select("a_id", "b_id", "jaccard", "_wins"), "a_id", "left")
+    full = a_place.select("a_id").join(wins.select("a_id", "b_id", "jaccard", "_wins"), "a_id", "left")
     kind = F.when(F.col("_wins"), "kept").when(F.col("b_id").isNotNull(), "split").otherwise("fresh")
     return full.select("a_id", F.when(F.col("_wins"), F.col("b_id")).alias("keeps_id"), F.col("b_id").alias("related_id"), F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"), kind.alias("kind"))
 
 
 def backfill(dev: DataFrame, product: DataFrame, least: float = 0.5) -> DataFrame:
     """The product that holds the largest share of a dev feature's paths, if at least half; ties by name."""
-    met = setjoin.similar(dev, product, least, share=True)
+    a, b = setjoin.members_of(dev, "a_id"), setjoin.members_of(product, "b_id")
+    classes = setjoin.set_classes(a, "a_id")
+    met = setjoin.similar_of(a, classes, b, setjoin.set_classes(b, "b_id"), least, share=True)
     best = met.groupBy(F.col("a_id").alias("rep")).agg(F.min(F.struct((-F.col("shared")).alias("less"), "b_id", "n_a")).alias("best"))
-    classes = setjoin.set_classes(dev.select("a_id", "member").distinct(), "a_id")
     shared = -F.col("best.less")
     return classes.join(best, "rep").select(F.col("a_id").alias("dev"), F.col("best.b_id").alias("product"), shared.alias("shared"), (shared / F.col("best.n_a")).alias("share"))
 

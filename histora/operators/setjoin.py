@@ -22,13 +22,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keep import kept
+
 HEAVY = 1000
+MOST_LISTED = 20_000_000  # shared members of pairs, up to which they are simply joined and counted
 
 
 def _signature(member: str) -> list[Column]:
     return [F.count("*").alias("n"), F.bit_xor(F.xxhash64(member)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("y")]
 
 
+def members_of(sets: DataFrame, key: str) -> DataFrame:
+    """(key, member), each pair once, written down, as it is read several times."""
+    return kept(sets.select(key, "member").where(F.col("member").isNotNull()).distinct())
+
+
 def set_classes(sets: DataFrame, key: str) -> DataFrame:
     """key, rep (the least key with the same members) and n (members). sets: key, member, each pair once."""
     signed = sets.groupBy(key).agg(*_signature("member"))
@@ -54,20 +62,37 @@ def _prefix(rows: DataFrame, sizes: DataFrame, needed: Column) -> DataFrame:
     return rows.join(last.select("id", "last"), "id").where("bucket <= last").select("id", "member", "bucket")
 
 
-def similar(a: DataFrame, b: DataFrame, least: float, share: bool = False, heavy: int = HEAVY) -> DataFrame:
+def similar(a: DataFrame, b: DataFrame, least: float, share: bool = False, heavy: int = HEAVY, listed: int = MOST_LISTED) -> DataFrame:
     """a_id, b_id, shared, n_a, n_b and jaccard of the pairs of distinct sets over a bound: Jaccard, or with ``share`` the shared part of a's.
 
     a: a_id, member; b: b_id, member. Of equal sets of one side only the least id stands in the result; see
-    :func:`set_classes`. The cost is linear in the rows for the light members, times ``heavy`` at most.
+    :func:`set_classes`. The cost is linear in the rows for the light members, times ``heavy`` at most. Where the shared members
+    of all pairs, which are summed first, are ``listed`` at most, they are joined as they are; the result is the same.
     """
     if not 0 < least <= 1:
         raise ValueError("the bound must be over 0 and at most 1")
-    a, b = (x.select(k, "member").where(F.col("member").isNotNull()).distinct().checkpoint() for x, k in ((a, "a_id"), (b, "b_id")))
-    na, nb = (set_classes(x, k).where(F.col(k) == F.col("rep")).select(F.col("rep").alias("id"), "n").checkpoint() for x, k in ((a, "a_id"), (b, "b_id")))
+    a, b = members_of(a, "a_id"), members_of(b, "b_id")
+    return similar_of(a, set_classes(a, "a_id"), b, set_classes(b, "b_id"), least, share, heavy, listed)
+
+
+def similar_of(a: DataFrame, a_class: DataFrame, b: DataFrame, b_class: DataFrame, least: float, share: bool = False, heavy: int = HEAVY, listed: int = MOST_LISTED) -> DataFrame:
+    """As ``similar``, of pairs that are there once and their classes."""
+    na, nb = (c.where(F.col(k) == F.col("rep")).select(F.col("rep").alias("id"), "n") for c, k in ((a_class, "a_id"), (b_class, "b_id")))
     a, b = (x.withColumnRenamed(k, "id").join(n.select("id"), "id", "left_semi") for x, k, n in ((a, "a_id", na), (b, "b_id", nb)))
     df = a.groupBy("member").agg(F.count("*").alias("da")).join(b.groupBy("member").agg(F.count("*").alias("db")), "member")
-    df = df.select("member", _bucket(F.col("da") + F.col("db")).alias("bucket"))
-    a, b = (x.join(df, "member").select("id", "member", "bucket").checkpoint() for x in (a, b))
+    if (df.agg(F.sum(F.col("da") * F.col("db")).alias("n")).first()["n"] or 0) <= listed:
+        met = a.select(F.col("id").alias("a_id"), "member").join(b.select(F.col("id").alias("b_id"), "member"), "member")
+    else:
+        met = _met(a, na, b, nb, df.select("member", _bucket(F.col("da") + F.col("db")).alias("bucket")), least, share, heavy)
+    counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
+    out = counted.join(na.select(F.col("id").alias("a_id"), F.col("n").alias("n_a")), "a_id").join(nb.select(F.col("id").alias("b_id"), F.col("n").alias("n_b")), "b_id")
+    out = out.select("a_id", "b_id", "shared", "n_a", "n_b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+    return out.where(F.col("shared") / F.col("n_a") >= least if share else F.col("jaccard") >= least)
+
+
+def _met(a: DataFrame, na: DataFrame, b: DataFrame, nb: DataFrame, df: DataFrame, least: float, share: bool, heavy: int) -> DataFrame:
+    """a_id, b_id and member: what the pairs share that may be over the bound. df: member, bucket of the members that both sides have."""
+    a, b = (kept(x.join(df, "member").select("id", "member", "bucket")) for x in (a, b))
     light = F.col("bucket") < math.ceil(math.log2(heavy))
     needed = F.ceil(F.lit(least) * F.col("n") - 1e-9)  # shared members that a set of n needs at least
 
@@ -94,12 +119,8 @@ def similar(a: DataFrame, b: DataFrame, least: float, share: bool = False, heavy
     over = common.where(F.col("k") >= F.lit(least) * whole - 1e-9).select("ka", "kb")
     by_heavy = over.join(of_a.select(F.col("id").alias("a_id"), F.col("kind").alias("ka")), "ka").join(of_b.select(F.col("id").alias("b_id"), F.col("kind").alias("kb")), "kb").select("a_id", "b_id")
 
-    asked = by_light.unionByName(by_heavy).distinct().checkpoint()
-    met = asked.join(a.select(F.col("id").alias("a_id"), "member"), "a_id").join(b.select(F.col("id").alias("b_id"), "member"), ["b_id", "member"])
-    counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
-    out = counted.join(na.select(F.col("id").alias("a_id"), F.col("n").alias("n_a")), "a_id").join(nb.select(F.col("id").alias("b_id"), F.col("n").alias("n_b")), "b_id")
-    out = out.select("a_id", "b_id", "shared", "n_a", "n_b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
-    return out.where(F.col("shared") / F.col("n_a") >= least if share else F.col("jaccard") >= least)
+    asked = kept(by_light.unionByName(by_heavy).distinct())
+    return asked.join(a.select(F.col("id").alias("a_id"), "member"), "a_id").join(b.select(F.col("id").alias("b_id"), "member"), ["b_id", "member"])
 
 
 def meetings(sets: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -108,7 +129,7 @@ def meetings(sets: DataFrame, heavy: int = HEAVY) -> DataFrame:
     The cost is heavy times the rows for light members, and for heavy ones a bitmap of all sets for each distinct set of
     heavy members.
     """
-    sets = sets.select("id", "member").where("id is not null and member is not null").distinct().checkpoint()
+    sets = kept(sets.select("id", "member").where("id is not null and member is not null").distinct())
     degree = sets.groupBy("member").agg(F.count("*").alias("df"))
     ids = sets.select("id").distinct()
     frequent = degree.where(F.col("df") > heavy).select("member").checkpoint()

@@ -1,12 +1,14 @@
 """What keeps the work in step with the input: sizes that aren't guessed too low, tasks by rows, texts scanned once."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from histora.operators import calls, graph
-from histora.plans import planted, trees
+from histora.operators import calls, graph, shaping
+from histora.plans import planted, tables, trees
 from histora.plans.domain import Domain
-from histora.sources import scripts
+from histora.plans.queries import ORACLE, QUERIES
+from histora.sources import intake, scripts
 
 from .conftest import SMALL
 
@@ -54,3 +56,61 @@ def test_loops_and_joins_read_scans_that_are_written_down(spark, name):
     else:
         made = calls.cross_stack(calls.client_calls(planted.stamped(d, trees.FILES, trees.CLIENTS)), planted.stamped(d, *trees.ROUTES))
     assert "MapInPandas" not in text(made) and "regexp_extract_all" not in text(made)
+
+
+def test_titles_meet_by_rare_words_alone(spark):
+    n = 400
+    specs = spark.range(n).select(F.concat(F.lit("user can create invoice"), "id").alias("title")).unionByName(spark.createDataFrame([("odd",), (None,), ("user create",)], "title string"))
+    journeys = spark.range(n).select(F.concat(F.lit("u"), "id").alias("uf"), F.concat(F.lit("create-user-invoice"), "id").alias("name")).unionByName(spark.createDataFrame([("t", "create-user"), ("s", "user-create"), (None, "x-y")], "uf string, name string"))
+    got = {r.title: (r.uf, r.n) for r in shaping.match_specs(specs, journeys).collect()}
+    assert len(got) == n + 3 and got["odd"] == got[None] == (None, None) and got["user create"] == ("s", 2)
+    assert all(got[f"user can create invoice{k}"] == (f"u{k}", 3) for k in range(n))
+
+
+def test_hot_words_of_titles_make_no_pairs(spark, tmp_path):
+    """What the join of words gives is the number of titles, not its square."""
+    n = 2000
+    specs = spark.range(n).select(F.concat(F.lit("create invoice"), "id").alias("title"))
+    journeys = spark.range(n).select(F.concat(F.lit("u"), "id").alias("uf"), F.concat(F.lit("create-invoice"), "id").alias("name"))
+    out = shaping.match_specs(specs, journeys)
+    assert out.where("n = 2").count() == n
+    seen = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan()
+    joined = [m for p in nodes(plan.finalPhysicalPlan(), seen) if "Join" in p.nodeName() for m in [p.metrics().get("numOutputRows")] if m.isDefined()]
+    assert joined and max(m.get().value() for m in joined) <= 2 * n
+
+
+def nodes(plan, seen):
+    yield plan
+    inner = [plan.plan()] if plan.nodeName().endswith("QueryStage") else list(seen(plan.children()))
+    for p in inner:
+        yield from nodes(p, seen)
+
+
+def test_truth_is_parsed_once(spark):
+    rows = intake.truth_rows(spark.createDataFrame([("a", "features:\n  - name: x\n  - name: x\n"), ("b", "a: [")], "path string, text string"))
+    assert "MapInPandas" not in text(rows)
+    assert sorted((r.path, r.kind, r.name) for r in rows.collect())[-1][0] == "b"
+
+
+def test_parts_with_texts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PARTS_A_TASK", 50)
+    d = Domain(spark, SMALL)
+    assert tables._parts(d).rdd.getNumPartitions() == -(-d.table("part").count() // 50)
+
+
+def test_lineage_takes_names_in_their_order(spark, tmp_path):
+    """Of equal groups the later name is the best: Brand#9 after Brand#25, as the SQL has it."""
+    ts = lambda y: f"timestamp_ntz'{y}-01-01 00:00:00'"
+    part = [(i, b, "same") for i, b in enumerate(("Brand#9", "Brand#25", "Brand#1"))]
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(o * 10 + p, p) for o in (0, 1) for p, _, _ in part]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = spark.createDataFrame([(k,) for k, _ in lines], "o_orderkey long").select("o_orderkey", F.lit(1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit("2-HIGH").alias("o_orderpriority"), F.expr(f"CASE WHEN o_orderkey < 10 THEN {ts(1995)} ELSE {ts(1999)} END").alias("o_orderdate"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["lineage_overlap"](spark, str(tmp_path)).select("a_id", "keeps_id", "related_id", "kind").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(f"SELECT a_id, keeps_id, related_id, kind FROM ({ORACLE['lineage_overlap']})").fetchall()))

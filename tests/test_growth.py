@@ -60,11 +60,11 @@ def test_loops_and_joins_read_scans_that_are_written_down(spark, name):
 
 def test_titles_meet_by_rare_words_alone(spark):
     n = 400
-    specs = spark.range(n).select(F.concat(F.lit("user can create invoice"), "id").alias("title")).unionByName(spark.createDataFrame([("odd",), (None,), ("user create",)], "title string"))
-    journeys = spark.range(n).select(F.concat(F.lit("u"), "id").alias("uf"), F.concat(F.lit("create-user-invoice"), "id").alias("name")).unionByName(spark.createDataFrame([("t", "create-user"), ("s", "user-create"), (None, "x-y")], "uf string, name string"))
+    specs = spark.range(n).select(F.concat(F.lit("user can create paid invoice"), "id").alias("title")).unionByName(spark.createDataFrame([("odd",), (None,), ("create large order",)], "title string"))
+    journeys = spark.range(n).select(F.concat(F.lit("u"), "id").alias("uf"), F.concat(F.lit("create-paid-invoice"), "id").alias("name")).unionByName(spark.createDataFrame([("t", "order-large"), ("s", "large-order"), (None, "x-y")], "uf string, name string"))
     got = {r.title: (r.uf, r.n) for r in shaping.match_specs(specs, journeys).collect()}
-    assert len(got) == n + 3 and got["odd"] == got[None] == (None, None) and got["user create"] == ("s", 2)
-    assert all(got[f"user can create invoice{k}"] == (f"u{k}", 3) for k in range(n))
+    assert len(got) == n + 3 and got["odd"] == got[None] == (None, None) and got["create large order"] == ("s", 2)
+    assert all(got[f"user can create paid invoice{k}"] == (f"u{k}", 3) for k in range(n))
 
 
 def test_hot_words_of_titles_make_no_pairs(spark, tmp_path):

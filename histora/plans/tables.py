@@ -19,9 +19,13 @@ from .queries import _set_checkpoints, query
 _PARTS = "pt AS (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, lower(p_type) AS t FROM part)"
 
 
+#: Parts of one task, where a text is made of each.
+PARTS_A_TASK = 5_000
+
+
 def _parts(d: Domain) -> DataFrame:
     words = F.split("p_name", " ")
-    return d.table("part").withColumns({"w1": words[0], "w2": words[1], "t": F.lower("p_type"), "key": F.col("p_partkey").cast("string")})
+    return d.dealt("part", PARTS_A_TASK).withColumns({"w1": words[0], "w2": words[1], "t": F.lower("p_type"), "key": F.col("p_partkey").cast("string")})
 
 
 def _text(*x: str | Column) -> Column:
@@ -295,6 +299,7 @@ def history_log(d: Domain) -> DataFrame:
   unnest([NULL, w2, CASE WHEN p_size > 25 THEN w2 END]) AS owner, unnest([w1 || ',' || t, '', CASE WHEN p_size > 25 THEN '' END]) AS words FROM pt""")
 def truth_files(d: Domain) -> DataFrame:
     """Expected features, flows and owners out of a file in YAML a part; a sample without a path is an error."""
+    _set_checkpoints(d.spark)
     lines = _text("features:\n  - name: ", F.col("w2"), "\n    aliases: [", F.col("w1"), ", ' ', ", F.col("t"), "]\nflows:\n  - {name: ", F.col("w1"), "-", F.col("w2"), ", feature: ", F.col("w2"), "}\nsamples:\n  - path: ")
     sample = F.when(F.col("p_size") > 25, _text("src/", F.col("key"), ".ts\n    expected: ", F.col("w2"), "\n")).otherwise("''\n")
     files = _parts(d).select(_text("truth/", F.col("key")).alias("path"), F.concat(lines, sample).alias("text"))

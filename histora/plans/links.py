@@ -249,7 +249,7 @@ def _region_files(d: Domain) -> DataFrame:
     python = F.concat(F.lit("def h(x):\n    if x == '"), words_[0], F.lit("':\n        return 1\n    else:\n        return "), size.cast("string"), F.lit("\n"))
     key = F.col("p_partkey").cast("string")
     rows = F.array(F.struct(F.concat(F.lit("s"), key, F.lit(".ts")).alias("path"), script.alias("text"), size.alias("n")), F.struct(F.concat(F.lit("p"), key, F.lit(".py")).alias("path"), python.alias("text"), F.lit(0).alias("n")))
-    return d.table("part").select(F.explode(rows).alias("r")).select("r.*")
+    return d.dealt("part", 5_000).select(F.explode(rows).alias("r")).select("r.*")
 
 
 @query("", """WITH p AS (SELECT p_partkey AS k, p_size, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part), i AS (SELECT k, unnest(range(1, least(p_size, 20) + 1)) AS j FROM p)

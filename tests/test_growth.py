@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from histora.operators import calls, graph, shaping
+from histora.operators import calls, graph, regions, shaping
 from histora.plans import planted, tables, trees
 from histora.plans.domain import Domain
 from histora.plans.queries import ORACLE, QUERIES
@@ -114,3 +114,15 @@ def test_lineage_takes_names_in_their_order(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = QUERIES["lineage_overlap"](spark, str(tmp_path)).select("a_id", "keeps_id", "related_id", "kind").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(f"SELECT a_id, keeps_id, related_id, kind FROM ({ORACLE['lineage_overlap']})").fetchall()))
+
+
+def test_regions_over_several_stretches_count_once_without_a_broadcast(spark):
+    """Fifty regions of a symbol of three stretches, and one over all of them: twenty are kept, the first ones."""
+    body = "".join(f"  if (a{k}) {{\n    go()\n  }}\n" for k in range(1, 51))
+    files = spark.createDataFrame([(f"s{p}.ts", f"function f() {{\n  if (all) {{\n{body}  }}\n}}\n") for p in range(40)], "path string, text string")
+    symbols = files.select("path", F.lit("f").alias("name"), F.lit(1).alias("start"), F.lit(155).alias("end"))
+    out = regions.branch_regions(files, symbols)
+    assert "BroadcastHashJoin" not in text(out)
+    rows = out.collect()
+    assert len(rows) == 40 * regions.MOST_REGIONS
+    assert {r.condition for r in rows if r.path == "s7.ts"} == {"all", *(f"a{k}" for k in range(1, 20))}

@@ -1,5 +1,7 @@
 """What keeps the work in step with the input: sizes that aren't guessed too low, tasks by rows, texts scanned once."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from histora.plans import planted, tables, trees
 from histora.plans.domain import Domain
 from histora.plans.queries import ORACLE, QUERIES
 from histora.sources import intake, scripts
+from histora.streaming import ledger
 
 from .conftest import SMALL
 
@@ -126,3 +129,24 @@ def test_regions_over_several_stretches_count_once_without_a_broadcast(spark):
     rows = out.collect()
     assert len(rows) == 40 * regions.MOST_REGIONS
     assert {r.condition for r in rows if r.path == "s7.ts"} == {"all", *(f"a{k}" for k in range(1, 20))}
+
+
+def test_one_features_commits_are_dealt_out(spark, tmp_path):
+    """What happens to the commits of one feature, in any order, as a plain walk has it; its commits stand in many parts."""
+    rng, names = random.Random(7), [c.split()[0] for c in ledger.EVENTS.split(", ")]
+    live: dict[str, tuple] = {}
+    at, src = str(tmp_path / "out"), str(tmp_path / "in")
+    for n in range(2):
+        rows = [("f", rng.randrange(9), rng.choice((ledger.ADD, ledger.DROP)), f"c{rng.randrange(60)}", None, None, None) for _ in range(200)]
+        # what an event says of a commit follows from the commit and its place, so that repeats say the same
+        rows = [(f, q, k, s, *((f"a{(q + len(s)) % 5}", q % 2 == 0, [f"x{q}", f"y{s}", f"x{q}"]) if k == ledger.ADD else (None, None, None))) for f, q, k, s, *_ in rows]
+        for _, q, k, s, *own in sorted(rows, key=lambda r: (r[1], r[2] == ledger.DROP)):
+            seq, was, held = live.get(s, (-1, False, None))
+            if q >= seq:
+                live[s] = (q, k == ledger.ADD, held if was and k == ledger.ADD else own)
+        spark.createDataFrame(rows, ledger.EVENTS).select(*names).write.mode("append").parquet(src)
+        ledger.start_ledger(spark.readStream.schema(ledger.EVENTS).parquet(src), at, str(tmp_path / "log")).awaitTermination()
+        own = [x[2] for x in live.values() if x[1]]
+        want = ("f", len(own), sum(x[1] for x in own), len({x[0] for x in own}), len({f for x in own for f in x[2]}))
+        assert [tuple(r) for r in ledger.current(spark.read.parquet(f"{at}/*")).collect()] == [want]
+    assert len(list((tmp_path / "log-state" / "commits").glob("*/bucket=*"))) > 8

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from histora.operators import calls, graph, regions, shaping
+from histora.operators import calls, graph, regions, shaping, tools
 from histora.plans import planted, tables, trees
 from histora.plans.domain import Domain
 from histora.plans.queries import ORACLE, QUERIES
@@ -150,3 +150,12 @@ def test_one_features_commits_are_dealt_out(spark, tmp_path):
         want = ("f", len(own), sum(x[1] for x in own), len({x[0] for x in own}), len({f for x in own for f in x[2]}))
         assert [tuple(r) for r in ledger.current(spark.read.parquet(f"{at}/*")).collect()] == [want]
     assert len(list((tmp_path / "log-state" / "commits").glob("*/bucket=*"))) > 8
+
+
+def test_run_time_rows_meet_a_feature_by_path(spark):
+    """Equal rows count each, one of several paths once, and none is compared with every path of the feature."""
+    features = spark.createDataFrame([("F", ["p1", "p2", "p2"], "f")], "feature string, paths array<string>, display_name string").withColumns({c: F.array().cast("array<string>") for c in ("aliases", "labels")})
+    rows = spark.createDataFrame([(["p1", "p2"], 2), (["p1", "p2"], 2), (["p2", None], None), (["no"], 7), ([], 7), (None, 3)], "paths array<string>, count int").withColumn("path", F.lit("p1"))
+    out = tools.feature_errors(features, rows, "F")
+    assert "arrays_overlap" not in text(out) and "NestedLoop" not in text(out)
+    assert [tuple(r) for r in out.collect()] == [("F", 4, 8)]

@@ -10,7 +10,7 @@ from histora.operators import calls, graph, regions, shaping, tools
 from histora.plans import planted, tables, trees
 from histora.plans.domain import Domain
 from histora.plans.queries import ORACLE, QUERIES
-from histora.sources import intake, scripts
+from histora.sources import intake, languages, scripts
 from histora.streaming import ledger
 
 from .conftest import SMALL
@@ -159,3 +159,11 @@ def test_run_time_rows_meet_a_feature_by_path(spark):
     out = tools.feature_errors(features, rows, "F")
     assert "arrays_overlap" not in text(out) and "NestedLoop" not in text(out)
     assert [tuple(r) for r in out.collect()] == [("F", 4, 8)]
+
+
+@pytest.mark.parametrize("name", ["late_imports", "dispatch_registries"])
+def test_late_imports_and_registries_are_scanned_once(spark, name):
+    files = planted.stamped(Domain(spark, SMALL), trees.FILES, trees.LATE if name == "late_imports" else trees.DISPATCH)
+    made = languages.late_edges(files) if name == "late_imports" else languages.dispatch_targets(files)
+    assert "MapInPandas" not in text(made)
+    assert made.count() == (3 if name == "late_imports" else 6) * 200

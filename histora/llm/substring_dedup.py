@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, keyed_text, sliding_min, small_batches, table, texts, window_hashes
+from .common import keyed_text, sliding_min, small_batches, table, texts, window_hashes, word_hashes
 
 SPAN = 20
 GRAM = 6
@@ -44,17 +44,36 @@ def _spans(ids: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return sliding_min(window_hashes(ids, gram), span - gram + 1), window_hashes(ids, span)
 
 
+def _runs(anchor: np.ndarray) -> np.ndarray:
+    """Where runs of one value start. Neighbouring spans mostly own one anchor, so their runs are few."""
+    return np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)])
+
+
+def _among(anchor: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which spans own one of the given anchors, asked once a run."""
+    if not len(own):
+        return np.zeros(len(anchor), bool)
+    at = _runs(anchor)
+    return np.repeat(np.isin(anchor[at], own), np.diff(np.append(at, len(anchor))))
+
+
+def _twice(whole: np.ndarray) -> np.ndarray:
+    """Values that occur twice or more. Most documents have none, and a plain sort tells so."""
+    ordered = np.sort(whole)
+    return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+
+
 def _anchors(span: int, gram: int):
     """Anchors of each document, each once."""
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordIds()
         for batch in batches:
             found, sizes = [np.empty(0, np.uint64)], []
             for text in texts(batch.column("text")):
                 words = text.split()
-                own = np.unique(sliding_min(window_hashes(word.of(words), gram), span - gram + 1)) if len(words) >= span else found[0]
+                own = sliding_min(window_hashes(word_hashes(words), gram), span - gram + 1) if len(words) >= span else found[0]
+                own = np.unique(own[_runs(own)]) if len(own) else own
                 found.append(own)
                 sizes.append(len(own))
             rest = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)) for c in ("doc_id", "key")]
@@ -74,7 +93,6 @@ def _extended(span: int, gram: int):
     schema = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordIds()
         for batch in batches:
             alone = batch.column("alone")
             anchors, hashes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
@@ -83,13 +101,15 @@ def _extended(span: int, gram: int):
                 if len(words) < span:
                     sizes.append(0)
                     continue
-                anchor, whole = _spans(word.of(words), span, gram)
+                anchor, whole = _spans(word_hashes(words), span, gram)
                 own = _list(alone, row)
                 if len(own):
-                    seed = ~np.isin(anchor, own)
+                    seed = ~_among(anchor, own)
                     anchor, whole = anchor[seed], whole[seed]
-                whole, first = np.unique(whole, return_index=True)
-                anchors.append(anchor[first])
+                if _twice(whole).size:
+                    whole, first = np.unique(whole, return_index=True)
+                    anchor = anchor[first]
+                anchors.append(anchor)
                 hashes.append(whole)
                 sizes.append(len(whole))
             whose = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)) for c in ("doc_id", "key")]
@@ -98,11 +118,18 @@ def _extended(span: int, gram: int):
     return run
 
 
-def covered(ids: np.ndarray, span: int, repeated: np.ndarray) -> np.ndarray:
-    """Starts of the spans that are marked or occur earlier in the document."""
-    whole = window_hashes(ids, span)
-    _, first, back = np.unique(whole, return_index=True, return_inverse=True)
-    return (first[back] != np.arange(len(whole))) | repeated
+def covered(whole: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Spans, by their hashes, that are marked or occur earlier in the document."""
+    twice = _twice(whole)
+    if not len(twice):
+        return repeated
+    at = np.flatnonzero(np.isin(whole, twice))
+    _, first = np.unique(whole[at], return_index=True)
+    later = np.ones(len(at), bool)
+    later[first] = False
+    out = repeated.copy()
+    out[at[later]] = True
+    return out
 
 
 def repeats(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -119,7 +146,6 @@ def _kept(span: int, gram: int, with_text: bool):
     schema = pa.schema(fields + [("kept_text", pa.string()), ("repeats", _REPEATS)] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordIds()
         for batch in batches:
             rows = []
             alone, first = batch.column("alone"), batch.column("first")
@@ -128,10 +154,11 @@ def _kept(span: int, gram: int, with_text: bool):
                 words = text.split()
                 found, gone = [], None
                 if len(words) >= span:
-                    ids = word.of(words)
+                    ids = word_hashes(words)
                     anchor, whole = _spans(ids, span, gram)
-                    repeated = ~(np.isin(anchor, _list(alone, row)) | np.isin(whole, _list(first, row)))
-                    found = repeats(covered(ids, span, repeated), span)
+                    repeated = ~_among(anchor, _list(alone, row))
+                    repeated[repeated] = ~np.isin(whole[repeated], _list(first, row))
+                    found = repeats(covered(whole, repeated), span)
                 if found:
                     gone = np.zeros(len(words), bool)
                     for a, n in found:

@@ -746,3 +746,15 @@ def test_the_largest_id_is_no_missing_one(spark, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert rows(OPERATORS[name](made(spark, []))) == []
+
+
+def test_substring_dedup_asks_for_anchors_once_a_run():
+    """Neighbouring spans own one anchor: what is asked is the runs, and spans that occur twice are told without the places of all."""
+    anchor, own = np.repeat(np.array([5, 9, 5, 7], np.uint64), [300, 200, 100, 1]), np.array([5, 8], np.uint64)
+    assert len(substring_dedup._runs(anchor)) == 4
+    assert substring_dedup._among(anchor, own).tolist() == np.isin(anchor, own).tolist()
+    assert not substring_dedup._among(anchor, own[:0]).any() and len(substring_dedup._among(anchor[:0], own)) == 0
+    whole, marked = np.array([3, 1, 3, 2, 1, 3], np.uint64), np.array([0, 0, 0, 1, 0, 0], bool)
+    assert substring_dedup._twice(whole).tolist() == [1, 3]
+    assert substring_dedup.covered(whole, marked).tolist() == [False, False, True, True, True, True]
+    assert substring_dedup.covered(whole[3:5], marked[3:5]).tolist() == [True, False]

@@ -1,6 +1,7 @@
 """What keeps the work in step with the input: sizes that aren't guessed too low, tasks by rows, texts scanned once."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -176,3 +177,23 @@ def test_texts_of_routes_are_read_before_routes_of_one_pattern_meet(spark):
     assert sorted(map(tuple, out.collect())) == [("a.ts", "interactive"), ("b.ts", "webhook"), ("c.ts", "scheduled"), ("d.ts", "interactive"), ("e.ts", "queue")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" not in plan[: plan.index("Join")] and plan.count("substring(") == 1
+
+
+def test_scans_take_few_steps_for_what_is_no_code_and_are_written_down(spark):
+    """The scan goes from mark to mark, not from character to character: a long string or comment costs next to nothing."""
+    long = "x" * 2_000_000
+    text_ = f"/* {long} */ const a = '{long}', b = `{long} ${{a}} {long}`;\nexport {{ a }};"
+    at = time.process_time()
+    found = scripts.read_script(text_)
+    assert time.process_time() - at < 1.5
+    assert [d[:2] for d in found["defs"]] == [("const", "a"), ("const", "b")] and found["exports"] == [("a", "local", None, "a")]
+    files = spark.createDataFrame([("a.ts", "import b from './b'"), ("b.ts", "export default 1"), ("n.ts", None)], "path string, text string")
+    scanned = {r.path: r for r in scripts.scan_scripts(files).collect()}
+    assert [tuple(x) for x in scanned["a.ts"].imports] == [("default", "./b", "default", "b", 1, False)] and scanned["n.ts"].defs == []
+    assert "MapInArrow" in text(scripts.scan_scripts(files)) and "MapInArrow" not in text(scripts.symbol_edges(files))
+
+
+def test_long_templates_are_dealt_by_their_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(planted, "TEXT_A_TASK", 10_000)
+    files = planted.stamped(keys(spark, tmp_path, 100), trees.FILES, [("r{k}/a.tsx", "x" * 1000)])
+    assert files.rdd.getNumPartitions() >= 10 and files.count() == 100

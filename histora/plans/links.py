@@ -194,10 +194,14 @@ def reach_order(d: Domain) -> DataFrame:
 # -- mounts ------------------------------------------------------------------------
 
 
+#: Parts whose files one task makes and reads.
+PARTS_A_TASK = 5_000
+
+
 def _mounted_files(d: Domain) -> DataFrame:
     """Three files a part, each of which mounts the next, by the part's name, type and size: of Express, FastAPI or Django."""
     words_ = F.split("p_name", " ")
-    part = d.table("part").select(F.col("p_partkey").cast("string").alias("k"), words_[0].alias("w1"), words_[1].alias("w2"), F.lower("p_type").alias("t"), "p_size", F.col("p_size").cast("string").alias("n"))
+    part = d.dealt("part", PARTS_A_TASK).select(F.col("p_partkey").cast("string").alias("k"), words_[0].alias("w1"), words_[1].alias("w2"), F.lower("p_type").alias("t"), "p_size", F.col("p_size").cast("string").alias("n"))
 
     def text(form: str) -> Column:
         out = F.lit(form)
@@ -225,7 +229,9 @@ def _mounted_files(d: Domain) -> DataFrame:
         ("m{k}/shop/{w2}/urls.py", "urlpatterns = [\n  path('<id>/', one),\n]\n", "urlpatterns += [\n  path('{n}/', more),\n]\n"),
     )
     kind = F.col("p_size") % 3
-    return part.select(F.explode(F.when(kind == 0, express).when(kind == 1, fastapi).otherwise(django)).alias("f")).select("f.*")
+    # a product with the files' places, not an explode of part alone, whose size Spark would guess at that of a few bytes and broadcast
+    each = part.crossJoin(F.broadcast(d.spark.range(3).select(F.col("id").cast("int").alias("i"))))  # three rows
+    return each.select(F.explode(F.array(F.get(F.when(kind == 0, express).when(kind == 1, fastapi).otherwise(django), F.col("i")))).alias("f")).select("f.*")
 
 
 @query("", """WITH p AS (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, lower(p_type) AS t, p_size % 3 AS kind FROM part),

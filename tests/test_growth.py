@@ -180,6 +180,12 @@ def test_texts_of_routes_are_read_before_routes_of_one_pattern_meet(spark):
     assert "substring" not in plan[: plan.index("Join")] and plan.count("substring(") == 1
 
 
+def test_marks_of_routes_are_found_anywhere_in_a_text(spark):
+    routes = spark.createDataFrame([("/p", "a.ts", "x" * 100_000 + "svix"), ("/p", "b.ts", " " * 4090 + "new Worker("), ("/p", "c.ts", None), ("/p", "d.ts", " " * 100_000), ("/c", "e.ts", " " * 5000 + "svix")], "pattern string, path string, text string")
+    out = repos.triggers(routes, spark.createDataFrame([("/c",)], "pattern string")).select("path", "trigger")
+    assert sorted(map(tuple, out.collect())) == [("a.ts", "webhook"), ("b.ts", "queue"), ("c.ts", "interactive"), ("d.ts", "interactive"), ("e.ts", "scheduled")]
+
+
 def test_scans_take_few_steps_for_what_is_no_code_and_are_written_down(spark):
     """The scan goes from mark to mark, not from character to character: a long string or comment costs next to nothing."""
     long = "x" * 2_000_000
